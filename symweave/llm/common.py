@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch handed to Python. Texts may be long, so batches stay small.
@@ -75,3 +76,22 @@ def bounded_by_hash(df: DataFrame, key: Column, rows: int, bound: int) -> DataFr
     if rows <= bound:
         return df
     return df.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < int(bound / rows * (1 << 30)))
+
+
+def buckets_for(rows: int, each: int = 250_000) -> int:
+    """Into how many buckets a group may have to be split so that a task sorts about `each` rows."""
+    return max(16, -(-rows // each))
+
+
+def ranked(df: DataFrame, keys: list[str], parts: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """df with the 0-based rank of each row in its group of `keys`, by `parts` and then `order`.
+
+    Rows are numbered inside (keys, parts) only, and the sizes of earlier parts are added, so
+    a group that holds much of the table is sorted in as many tasks as it has parts. keys and
+    parts must not be null.
+    """
+    sizes = df.groupBy(*keys, *parts).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*keys, *parts, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    here = F.row_number().over(Window.partitionBy(*keys, *parts).orderBy(*order)) - 1
+    return df.withColumn("__here", here).join(before, [*keys, *parts]).withColumn(name, F.col("__before") + F.col("__here")).drop("__here", "__before")

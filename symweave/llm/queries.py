@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact, quality, urls
+from . import exact, mixing, quality, simhash, urls
 
 
 def queries() -> dict:
     return {
         "op3_exact_dedup": exact.op3_exact_dedup,
+        "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+        "op6_mixing": mixing.op6_mixing,
         "op9_url_filters": urls.op9_url_filters,
         "op10_quality_classifier": quality.op10_quality_classifier,
     }
@@ -16,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": exact.ORACLE_SQL,
+        "op6_mixing": mixing.ORACLE_SQL,
         "op9_url_filters": urls.ORACLE_SQL,
     }
