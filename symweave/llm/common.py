@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows per Arrow batch handed to Python. Texts may be long, so batches stay small.
 ARROW_ROWS = 512
 
@@ -18,7 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, as a few very long texts must fit in a worker."""
+    """Make ready for Python on the executors: ship the package, and bound the rows of an Arrow
+    batch, as a few very long texts must fit in a worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

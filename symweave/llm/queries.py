@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, quality, simhash, urls
+from . import exact, mixing, packing, quality, simhash, tokenfile, urls
 
 
 def queries() -> dict:
     return {
         "op3_exact_dedup": exact.op3_exact_dedup,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+        "op5_token_ids": tokenfile.op5_token_ids,
         "op6_mixing": mixing.op6_mixing,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_url_filters": urls.op9_url_filters,
         "op10_quality_classifier": quality.op10_quality_classifier,
     }
