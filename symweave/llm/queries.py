@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, packing, quality, simhash, tokenfile, urls
+from . import exact, langid, mixing, packing, quality, simhash, tokenfile, urls
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": langid.op1_language_id,
         "op3_exact_dedup": exact.op3_exact_dedup,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_token_ids": tokenfile.op5_token_ids,
