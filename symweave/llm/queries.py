@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, langid, mixing, packing, quality, simhash, tokenfile, urls
+from . import exact, html_text, langid, mixing, packing, quality, simhash, tokenfile, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_token_ids": tokenfile.op5_token_ids,
         "op6_mixing": mixing.op6_mixing,
+        "op7_html_extraction": html_text.op7_html_extraction,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_url_filters": urls.op9_url_filters,
         "op10_quality_classifier": quality.op10_quality_classifier,
