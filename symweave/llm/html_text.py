@@ -54,6 +54,8 @@ BOILER_WORDS = frozenset(
     "newsletter subscribe subscription signup login comment comments commentlist comments-area disqus respond reply replies discussion share sharing social related "
     "recommended recommendations widget widgets pagination pager copyright disclaimer alert alerts skip paywall feedback legal privacy tags taglist".split()
 )
+#: Of these, the ones that an article element itself may be.
+COMMENT_WORDS = frozenset("comment comments reply ad advert advertisement sponsored promo".split())
 ARTICLE_TAGS = frozenset({"article", "main"})
 ARTICLE_WORDS = frozenset("article content main post entry story body text".split())
 
@@ -63,6 +65,8 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORDS = re.compile(r"[^\W_]+")
 _CLASS_PART = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*", re.ASCII)
+#: A class that says what its element has or lacks, not what it is.
+_ABOUT = re.compile(r"(?<![^\s])(?:has|with|no|without|show|hide|is)-\S+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -136,10 +140,11 @@ def _surroundings(tag: str, raw: str, above: _Open | None) -> _Open:
         hidden = True
     if raw and not raw.isspace():
         a = _attributes(raw)
-        words = {w for k in ("class", "id") for x in _CLASS_PART.findall(a.get(k, "").lower()) for w in (x, *x.split("-"))}
-        words |= {w for k in ("class", "id") for w in re.split(r"[_\s]+", a.get(k, "").lower())}
+        names = _ABOUT.sub(" ", f"{a.get('class', '')} {a.get('id', '')}".lower())
+        words = {w for x in _CLASS_PART.findall(names) for w in (x, *x.split("-"))} | set(re.split(r"[_\s]+", names))
         role = a.get("role", "").lower()
-        if words & BOILER_WORDS and tag not in ("body", "html", "article", "main") or role in BOILER_ROLES:
+        named = words & (COMMENT_WORDS if tag in ("body", "html", "article", "main") else BOILER_WORDS)
+        if named and tag not in ("body", "html") or role in BOILER_ROLES:
             boiler = True
         elif tag in ("div", "section", "td") and words & ARTICLE_WORDS or role in ("main", "article"):
             article = True
