@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact, html_text, langid, mixing, packing, quality, simhash, tokenfile, urls
+from . import exact, html_text, langid, mixing, neardup, packing, quality, simhash, tokenfile, urls
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.op1_language_id,
+        "op2_embedding_near_dedup": neardup.op2_embedding_near_dedup,
         "op3_exact_dedup": exact.op3_exact_dedup,
         "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
         "op5_token_ids": tokenfile.op5_token_ids,
