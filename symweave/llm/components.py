@@ -29,6 +29,14 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether each node has one parent at most, and no parent has one."""
+    ends = links.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(links.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): every node that has a link to another node, with the smallest node reachable.
 
@@ -40,12 +48,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
         "links",
     )
-    seen = None
     for _ in range(MAX_ROUNDS):
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
-        if state[0] == 0 or tuple(state) == seen:
+        if _settled(now):
             break
-        seen = tuple(state)
         after = written(_small_star(_large_star(now)), "links")
         discard(now)
         now = after

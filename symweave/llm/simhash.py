@@ -97,13 +97,13 @@ def _signed(x: int) -> int:
 def _forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links from fingerprints to the root of their tree, for unsigned distinct fps."""
     m = len(fps)
-    label = np.arange(m)
-    step = max(1, 4_000_000 // m)
+    label = np.arange(m, dtype=np.int32)
+    step = max(1, 250_000 // m)
     while True:
         new = label.copy()
         for i in range(0, m, step):
             near = np.bitwise_count(fps[i : i + step, None] ^ fps[None, :]) <= distance
-            new[i : i + step] = np.where(near, label[None, :], m).min(axis=1)
+            new[i : i + step] = np.where(near, label[None, :], np.int32(m)).min(axis=1)
         np.minimum.at(new, label, new.copy())
         new = new[new]
         if (new == label).all():
