@@ -2,7 +2,7 @@
 
 A byte-level BPE never merges across its pre-tokens, and no pre-token goes on over a space
 or line feed that a non-space character follows. Texts are therefore cut before each of these,
-and a piece is encoded by the library once while it stays in a bounded memo.
+and a piece that is in a bounded memo is not encoded again by the library.
 """
 
 from __future__ import annotations
@@ -13,16 +13,13 @@ from array import array
 
 import numpy as np
 
-#: The memo has two generations of so many pieces; longer pieces are not kept in it.
-MEMO_PIECES, MEMO_CHARS = 250_000, 48
-#: New words are encoded as lines of one text, so many at a time.
-LINES = 1000
+#: The memo takes so many pieces, of so many characters at most.
+MEMO_PIECES, MEMO_CHARS = 1_000_000, 40
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 
 _CUT = re.compile(r"(?=[ \n]\S)")
-_SPACE = re.compile(r"[\s\u180e]")
-_IRREGULAR = re.compile(r"[ \n](?:\s|\Z)|\A[ \n]")
+_ODD = re.compile(r"[^\S \n]")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -32,6 +29,24 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_TOKENIZER)
 
 
+class _Memo(dict):
+    """Ids by piece; a piece is keyed without its leading space if it has one, a text's start as a tuple."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self._encode = tokenizer.encode
+
+    def __missing__(self, key: str | tuple[str]) -> bytes:
+        if type(key) is tuple:
+            piece = key[0]
+        else:  # a piece that starts with a line feed and then text was cut there
+            piece = key if key[:1] == "\n" and key[1:2].strip() else " " + key
+        ids = array("I", self._encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(piece) <= MEMO_CHARS and len(self) < MEMO_PIECES:
+            self[key] = ids
+        return ids
+
+
 class Encoder:
     """Token ids of texts, special tokens' strings being ordinary text."""
 
@@ -41,71 +56,29 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        #: By piece, without its leading space if it has one; a text's start is keyed as a tuple.
-        self._memo: dict[object, bytes] = {}
-        self._old: dict[object, bytes] = {}
-        self._line_feed = self._tokenizer.encode("\n", add_special_tokens=False).ids
+        self._memo = _Memo(self._tokenizer)
 
     @staticmethod
     def _keys(text: str) -> list:
-        if _IRREGULAR.search(text):
-            first, *rest = _CUT.split(text)
-            if first == "" and rest:
-                first, *rest = rest
-            return [(first,), *[p[1:] if p[0] == " " else p for p in rest]]
-        keys: list = text.replace("\n", " \n").split(" ")
-        keys[0] = (keys[0],)
-        return keys
-
-    @staticmethod
-    def _piece(key: object) -> str:
-        if isinstance(key, tuple):
-            return key[0]
-        # a piece that starts with a line feed and then text was cut there
-        return key if key[:1] == "\n" and key[1:2].strip() else " " + key
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Words without any white space, each after a space: a line feed between two stays apart."""
-        (feed,) = self._line_feed
-        texts = [" " + "\n ".join(words[i : i + LINES]) for i in range(0, len(words), LINES)]
-        out: list[bytes] = []
-        for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = array("I", e.ids)
-            cuts = np.flatnonzero(np.frombuffer(ids, np.uint32) == feed)
-            raw = ids.tobytes()
-            begins, ends = [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(raw)]
-            out += [raw[i:j] for i, j in zip(begins, ends, strict=True)]
-        return out
-
-    def _encode_new(self, keys: list) -> dict[object, bytes]:
-        plain = [x for x in keys if type(x) is str and x]
-        if _SPACE.search("".join(plain)):
-            plain = [x for x in plain if not _SPACE.search(x)]
-        out: dict[object, bytes] = dict(zip(plain, self._encode_words(plain), strict=True)) if plain else {}
-        rest = [x for x in keys if x not in out]
-        encoded = self._tokenizer.encode_batch_fast(list(map(self._piece, rest)), add_special_tokens=False)
-        out.update((x, array("I", e.ids).tobytes()) for x, e in zip(rest, encoded, strict=True))
-        return out
+        plain = text[0] not in " \n" and text[-1] not in " \n" and not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text)
+        if plain and not _ODD.search(text):
+            keys: list = text.replace("\n", " \n").split(" ")
+            keys[0] = (keys[0],)
+            return keys
+        first, *rest = _CUT.split(text)
+        if first == "" and rest:
+            first, *rest = rest
+        return [(first,), *[p[1:] if p[0] == " " else p for p in rest]]
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self._memo.__getitem__, self._keys(text))) if text else b""
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids, as little-endian unsigned 32-bit integers."""
-        keys = [self._keys(t) if t else [] for t in texts]
-        found = [list(map(self._memo.get, k)) for k in keys]
-        missed = dict.fromkeys(x for k, f in zip(keys, found, strict=True) if None in f for x, y in zip(k, f, strict=True) if y is None)
-        if missed:
-            old = self._old
-            new = {x: old[x] for x in missed if x in old}
-            new |= self._encode_new([x for x in missed if x not in new])
-            for k, f in zip(keys, found, strict=True):
-                if None in f:
-                    f[:] = [new[x] if y is None else y for x, y in zip(k, f, strict=True)]
-            if len(self._memo) + len(new) > MEMO_PIECES:
-                self._memo, self._old = {}, self._memo
-            self._memo.update((x, y) for x, y in new.items() if len(x) <= MEMO_CHARS and type(x) is str)
-        return [b"".join(f) for f in found]
+        return [self.encode_bytes(t) for t in texts]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.encode_all([text])[0], "<u4")
+        return np.frombuffer(self.encode_bytes(text), "<u4")
 
 
 def encoder(path: str) -> Encoder:
