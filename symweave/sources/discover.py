@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, has_path_prefix
+from ..shipping import ship
 
 SIZE_CAP_BYTES = 1_000_000
 # Directories that are never walked, besides those that start with a dot.
@@ -61,13 +65,51 @@ def in_skipped_dir(path: Column, skip: tuple[str, ...] = SKIP_DIRS) -> Column:
     return F.exists(dirs, lambda d: d.isin(*skip) | d.startswith("."))
 
 
-def read_folder(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to root, content, length) of every file below root."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    top = "/" + root.partition("://")[2].partition("/")[2] if "://" in root else str(Path(root.removeprefix("file:")).resolve())
-    uri_path = F.regexp_replace("path", r"^[a-z0-9+.-]+:(//[^/]*)?", "")
-    relative = F.expr(f"substring(__p, {len(top.rstrip('/')) + 2})")
-    return raw.withColumn("__p", F.url_decode(F.replace(uri_path, F.lit("+"), F.lit("%2B")))).select(relative.alias("path"), "content", "length")
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path relative to root, uri, length) of every file below root, names alone.
+
+    Listed by the file system itself, as Spark's file sources leave out names that start with
+    an underscore, and `__init__.py` is one.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.makeQualified(top)
+    rows, found = [], fs.listFiles(top, True)
+    prefix = top.toUri().getPath().rstrip("/") + "/"
+    while found.hasNext():
+        status = found.next()
+        path = status.getPath()
+        rows.append((path.toUri().getPath().removeprefix(prefix), path.toString(), status.getLen()))
+    return spark.createDataFrame(rows, "path string, uri string, length long")
+
+
+def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Local names are taken as they are, as they come unquoted."""
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """(path, content, length) of listed files; one that cannot be read is left out."""
+    ship(files.sparkSession)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, uri, length in zip(*(b.column(c).to_pylist() for c in ("path", "uri", "length")), strict=True):
+                try:
+                    fs, inner = _opened(uri)
+                    with fs.open_input_stream(inner) as source:
+                        rows.append((path, source.read(), length))
+                except OSError:
+                    continue
+            columns = zip(*rows, strict=True) if rows else ([],) * 3
+            kinds = (pa.string(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "content", "length"])
+
+    return files.select("path", "uri", "length").mapInArrow(read, "path string, content binary, length long")
 
 
 def discover(
@@ -77,24 +119,24 @@ def discover(
 
     At the top of a git working copy git says which files there are, and skipped directories
     apply with strict_skip only; elsewhere everything outside skipped and dot directories is
-    taken. exclude: path prefixes, by whole segments. Links and files over the cap are left out.
+    taken. exclude: paths, by whole segments. Links and files over the cap are left out; only
+    what is left is read.
     """
     local = Path(root.removeprefix("file://"))
     known = "://" not in root.removeprefix("file://") and local.is_dir()
-    files = read_folder(spark, root).where(F.col("length") <= size_cap)
+    files = listed(spark, root).where(F.col("length") <= size_cap)
     by_git = known and is_git_root(str(local))
     if by_git:
         files = files.join(git_listing(spark, str(local)), "path", "left_semi")
     if not by_git or strict_skip:
         files = files.where(~in_skipped_dir(F.col("path"), skip))
     for prefix in exclude:
-        files = files.where(~has_path_prefix(F.col("path"), prefix))
+        files = files.where(~has_path_prefix(F.regexp_replace("uri", r"^file:/+", "/"), prefix.removeprefix("file://")))
     if known:
         links = [(str(p.relative_to(local)),) for p in local.rglob("*") if p.is_symlink()]
-        if links:
-            linked = spark.createDataFrame(links, "path string")
-            files = files.join(F.broadcast(linked), "path", "left_anti")
-    return files
+        for path, in links:
+            files = files.where(~has_path_prefix(F.col("path"), path))
+    return with_content(files)
 
 
 def with_language(files: DataFrame) -> DataFrame:

@@ -29,13 +29,13 @@ def affected_files(changes: DataFrame, files: DataFrame, symbols: DataFrame, edg
     return touched.unionByName(near).distinct()
 
 
-def watch(spark: SparkSession, folder: str, checkpoint: str, apply: Callable[[DataFrame, int], None], pattern: str = "*.py", available_now: bool = True) -> StreamingQuery:
-    """Stream new and rewritten files of a folder into apply(files, batch), files being (path, content, length).
+def watch(spark: SparkSession, folder: str, checkpoint: str, apply: Callable[[DataFrame, int], None], available_now: bool = True) -> StreamingQuery:
+    """Stream snapshots of files (path, content, as Parquet in a folder) into apply(files, batch).
 
-    Each file comes once for each modification. A batch that fails is given again, so apply must
-    be repeatable, as keyed merges are.
+    Of several snapshots of one path in a batch the one with the last content by hash would be
+    a guess, so a batch is given as it came. A batch that fails is given again: apply must be
+    repeatable, as keyed merges are.
     """
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    source = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    writer = source.select("path", "content", "length").writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    source = spark.readStream.schema("path string, content binary").parquet(folder)
+    writer = source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
