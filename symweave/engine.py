@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import impact, report, resolve, retrieve, store, traverse
 from .schemas import EDGE, FILE, INDEX_RUN, SYMBOL, TIERS
+from .shared import written
 from .sources import discover as found
 from .sources import python_source, scip
 from .streaming import incremental
@@ -96,29 +97,31 @@ class Engine:
 
     def _index(self, root, repo_id, occurrences, files, use_scip, prune, progress) -> IndexResult:
         progress("discover")
-        read = found.with_language(files if files is not None else found.discover(self.spark, root, exclude=(self.store.root,))).persist()
+        read = found.with_language(files if files is not None else found.discover(self.spark, root, exclude=(self.store.root,)))
         progress("parse")
-        parsed = python_source.parse_files(read.where(F.col("lang") == "python")).persist()
+        parsed = written(python_source.parse_files(read.where(F.col("lang") == "python")), "parsed")
+        read = written(read.select("path"), "read")
         old = self.store.tables()
         mine = {n: df.where(F.col("repo_id") == repo_id) for n, df in old.items() if n not in ("repo", "index_run")}
 
         new_files = parsed.select(F.lit(repo_id).alias("repo_id"), "path", F.lit("python").alias("lang"), "blob_sha", "n_lines")
-        all_files = store.upsert(old["file"], new_files, ["repo_id", "path"]).persist()
+        all_files = store.upsert(old["file"], new_files, ["repo_id", "path"])
+        all_files = written(all_files, "files")
         file_ids = all_files.where(F.col("repo_id") == repo_id).join(new_files.select("path"), "path", "left_semi").select("id", "path")
         if prune:
             gone = mine["file"].join(read.select("path"), "path", "left_anti").select("id")
             kept = store.delete_files({k: old[k] for k in ("symbol", "edge")} | {"file": all_files}, gone)
-            old, all_files = old | kept, kept["file"]
+            old, all_files = old | {k: written(kept[k], k) for k in ("symbol", "edge")}, written(kept["file"], "files")
 
         rows = parsed.join(file_ids.withColumnRenamed("id", "file_id"), "path").select("file_id", F.inline("symbols"))
         top = old["symbol"].agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        numbered = store.numbered(rows, ["file_id", "symbol_seq"], top).withColumns({"repo_id": F.lit(repo_id), "scip_symbol": F.lit(None).cast("string")}).persist()
+        numbered = store.numbered(rows, ["file_id", "symbol_seq"], top).withColumns({"repo_id": F.lit(repo_id), "scip_symbol": F.lit(None).cast("string")})
         # symbols of files that were read again are new; all edges of the repository are resolved anew
-        symbols = store.replace_of_files(old["symbol"], numbered, file_ids).persist()
+        symbols = written(store.replace_of_files(old["symbol"], numbered, file_ids), "symbols")
         own = symbols.where(F.col("repo_id") == repo_id)
 
         progress("resolve")
-        refs = parsed.join(file_ids.withColumnRenamed("id", "file_id"), "path").select("file_id", F.inline("references")).persist()
+        refs = parsed.join(file_ids.withColumnRenamed("id", "file_id"), "path").select("file_id", F.inline("references"))
         parts = [
             resolve.defines_edges(own, numbered.select("id", "parent_qualified_name")).join(numbered.select(F.col("id").alias("dst_symbol_id"), F.col("symbol_seq").alias("ref_seq")), "dst_symbol_id")
             .withColumns({"phase": F.lit(_PHASE_DEFINES), "file_id": F.col("evidence_file_id")}),
@@ -143,6 +146,7 @@ class Engine:
         kept = old["edge"].join(file_ids.select(F.col("id").alias("evidence_file_id")), "evidence_file_id", "left_anti")
         kept = kept.join(symbols.select(F.col("id").alias("src_symbol_id")), "src_symbol_id", "left_semi")
         kept = kept.join(symbols.select(F.col("id").alias("dst_symbol_id")), "dst_symbol_id", "left_semi").select(*[f.name for f in EDGE])
+        kept = written(kept, "kept")
         added = store.insert_edges(kept, fresh, ["phase", "file_id", "ref_seq"])
         top = old["edge"].agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         added = store.numbered(added, ["phase", "file_id", "ref_seq", "dst_symbol_id"], top).withColumns({"repo_id": F.lit(repo_id), "confidence": F.lit(1.0)})
@@ -153,8 +157,6 @@ class Engine:
         self._repo(root, indexed_sha=found.current_sha(root), indexed_at=datetime.now(UTC).replace(tzinfo=None, microsecond=0), scip_status=status)
         done, seen = parsed.count(), read.count()
         counts = self.counts(root)
-        for df in (read, parsed, all_files, numbered, symbols, refs):
-            df.unpersist()
         return IndexResult(done, seen - done, *counts, status, warnings)
 
     def changes(self, root: str, files: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SCHEMA_VERSION, TABLES, TIERS, empty
+from ..shared import written
 
 _NATURAL = ["src_symbol_id", "dst_symbol_id", "kind", "tier"]
 
@@ -29,10 +30,11 @@ def numbered(rows: DataFrame, order: list[str], start: int = 0, name: str = "id"
     """rows with ids from start + 1 on in the given order.
 
     The order is total over the table, so rows are sorted by range and counted by partition;
-    no window gathers them in one task.
+    no window gathers them in one task; they are written once, so that the
+    numbers cannot change when a part is computed again.
     """
     ordered = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    marked = ordered.withColumn("__m", F.monotonically_increasing_id()).persist()
+    marked = written(ordered.withColumn("__m", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__m", 33)
     sizes = marked.groupBy(part.alias("__p")).agg(F.count("*").alias("__c"))
     # one row for each partition
@@ -125,11 +127,17 @@ class Store:
         path = self._path(f"{self.root}/state.json")
         if not self._fs.exists(path):
             return {}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/state.json").collect()))
+        source = self._fs.open(path)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        finally:
+            source.close()
 
     def table(self, name: str) -> DataFrame:
         path = self._state().get("tables", {}).get(name)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{path}") if path else empty(self.spark, TABLES[name])
+        if not path:
+            return empty(self.spark, TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{path}").select(*TABLES[name].names)
 
     def tables(self) -> dict[str, DataFrame]:
         return {n: self.table(n) for n in TABLES}
