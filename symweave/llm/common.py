@@ -99,3 +99,26 @@ def ranked(df: DataFrame, keys: list[str], parts: list[str], order: list[str], n
     before = sizes.select(*keys, *parts, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     here = F.row_number().over(Window.partitionBy(*keys, *parts).orderBy(*order)) - 1
     return df.withColumn("__here", here).join(before, [*keys, *parts]).withColumn(name, F.col("__before") + F.col("__here")).drop("__here", "__before")
+
+
+#: Places of the bitmap that looks_listed() broadcasts: 2^25 bits are 4 MB at most, whatever the data.
+BITMAP_PLACES = 1 << 25
+
+
+def looks_listed(df: DataFrame, column: Column, listed: DataFrame, key: Column, name: str) -> DataFrame:
+    """df with a boolean: false only for rows whose column is surely not among the keys of listed.
+
+    The keys set bits by hash in a bitmap of fixed size, which is broadcast. A key may be
+    taken for another, so what looks listed has yet to be joined; all else needs no shuffle.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_PLACES)) + 1
+    bits = (
+        listed.select(place(key).alias("__p"))
+        .groupBy(F.bitmap_bucket_number("__p").alias("__bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__bits"))
+    )
+    at = F.bitmap_bit_position("__p")
+    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(at, 3) + 1).cast("int"), 1)), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(at, F.lit(8)))), F.lit(2)) == 1
+    probed = df.withColumn("__p", place(column)).withColumn("__bucket", F.bitmap_bucket_number("__p"))
+    return probed.join(F.broadcast(bits), "__bucket", "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("__p", "__bucket", "__bits")

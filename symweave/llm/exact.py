@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import looks_listed, table, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,9 +50,10 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     groups = written(groups, "groups")
     shared = groups.where("group_size > 1").select("d")
     # bytes inside shared digests: classes of equal text, and how many each digest has
+    all_texts = docs.select(k.alias("id"), ascii_lower(t).alias("t")).select("id", "t", digest(F.col("t")).alias("d"))
     texts = (
-        docs.select(k.alias("id"), ascii_lower(t).alias("t"))
-        .select("id", "t", digest(F.col("t")).alias("d"))
+        looks_listed(all_texts, F.col("d"), shared, F.col("d"), "shared")
+        .where("shared")
         .join(shared, "d", "left_semi")
         .groupBy("d", "t")
         .agg(best("id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -79,19 +80,26 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of docs that stay, all columns.
 
-    Of rows that also share the id, as repeated rows do, one stays.
+    Of rows that also share the id, as repeated rows do, one stays. Only rows whose text looks
+    shared are joined with the groups; the others pass where they are.
     """
-    kept = exact_groups(docs, key, text, keep).where("kept").select(F.col(key).alias("__id"), F.col("text_sha256").alias("__sha"))
-    keepers = written(kept.groupBy("__id", "__sha").agg(F.count("*").alias("rows")), "keepers")
+    groups = written(exact_groups(docs, key, text, keep).select(F.col(key).alias("__id"), F.col("text_sha256").alias("__sha"), "group_size", "kept"), "exact")
+    several = groups.where("group_size > 1")
+    keepers = several.where("kept").groupBy("__id", "__sha").agg(F.count("*").alias("rows"))
+    keepers = written(keepers, "keepers")
     repeated = keepers.where("rows > 1").select("__id", "__sha")
     k, t = docs[f"`{key}`"], docs[f"`{text}`"]
     marked = docs.withColumns({"__sha": F.sha2(ascii_lower(t), 256), "__id": k})
-    stay = marked.join(keepers, marked["__id"].eqNullSafe(keepers["__id"]) & (marked["__sha"] == keepers["__sha"]), "left_semi")
+    marked = looks_listed(marked, F.col("__sha"), several.select("__sha"), F.col("__sha"), "__shared")
+    alone, looked = marked.where("NOT __shared"), marked.where("__shared")
+    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__sha"] == b["__sha"])
+    shas = several.select("__sha").distinct()
+    alone = alone.unionByName(looked.join(shas, "__sha", "left_anti").select(*marked.columns))
+    stay = looked.join(keepers, same(looked, keepers), "left_semi")
     if not repeated.isEmpty():
-        again = stay["__id"].eqNullSafe(repeated["__id"]) & (stay["__sha"] == repeated["__sha"])
-        once = stay.join(repeated, again, "left_semi").dropDuplicates(["__id", "__sha"])
-        stay = stay.join(repeated, again, "left_anti").unionByName(once)
-    return stay.drop("__sha", "__id")
+        once = stay.join(repeated, same(stay, repeated), "left_semi").dropDuplicates(["__id", "__sha"])
+        stay = stay.join(repeated, same(stay, repeated), "left_anti").unionByName(once)
+    return alone.unionByName(stay).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", seed: int = SEED) -> DataFrame:
     Rows that share id, source and size are interchangeable, and share their copies out.
     """
     plan = mix_plan(docs, key, seed).groupBy("id", "none", "s", "size").agg(F.count("*").alias("rows"), F.sum("copies").alias("total"))
-    plan = written(plan.where("total > 0"), "mix")
+    plan = written(plan.where("total > 0"), "mix")  # narrow; documents move once
     marked = docs.select(
         *[docs[f"`{c}`"] for c in docs.columns],
         docs["source"].isNull().alias("__none"),
@@ -96,7 +96,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", seed: int = SEED) -> DataFrame:
         F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long").alias("__size"),
     )
     same = marked[f"`{key}`"].eqNullSafe(plan["id"]) & (marked["__none"] == plan["none"]) & (marked["__s"] == plan["s"]) & (marked["__size"] == plan["size"])
-    taken = marked.join(plan, same).select(*[marked[f"`{c}`"] for c in docs.columns], plan["rows"].alias("__rows"), plan["total"].alias("__total"), "__s")
+    # the plan has a row for almost every document, so it is never a side to broadcast
+    taken = marked.join(plan.hint("merge"), same).select(*[marked[f"`{c}`"] for c in docs.columns], plan["rows"].alias("__rows"), plan["total"].alias("__total"), "__s")
     single = taken.where("__rows = 1").withColumn("__copies", F.col("__total"))
     alike = Window.partitionBy(F.col(f"`{key}`"), "__s", "__total", "__rows").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() != "map"]))
     several = taken.where("__rows > 1").withColumn("__at", F.row_number().over(alike) - 1)

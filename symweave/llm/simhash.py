@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import looks_listed, small_batches, table, written
 from .components import components
 
 BITS, MAX_DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
@@ -220,17 +220,22 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", d
     """One document of each component stays, one with the component's id; all columns.
 
     Ids that several rows have are looked up by fingerprint as well, so that of repeated rows
-    one stays and a row is never kept for another row's sake.
+    one stays and a row is never kept for another row's sake. Rows whose id stays and is
+    theirs alone pass where they are.
     """
     groups = written(near_groups(docs, key, text, distance), "near")
     named = F.col(key).eqNullSafe(F.col("component_id"))
     ids = written(groups.groupBy(F.col(key).alias("__id")).agg(F.count("*").alias("rows"), F.bool_or(named).alias("some")), "kept")
     single, several = ids.where("some AND rows = 1").select("__id"), ids.where("some AND rows > 1").select("__id")
-    is_in = lambda of: docs[f"`{key}`"].eqNullSafe(of["__id"])
-    stay = docs.join(single, is_in(single), "left_semi")
+    # ids that one row has and that stay need no join; the others are those to look up
+    others = ids.where("NOT (some AND rows = 1)").select("__id")
+    marked = looks_listed(docs, docs[f"`{key}`"], others, F.col("__id"), "__look")
+    passed, looked = marked.where("NOT __look").select(*docs.columns), marked.where("__look").select(*docs.columns)
+    is_in = lambda of: looked[f"`{key}`"].eqNullSafe(of["__id"])
+    stay = passed.unionByName(looked.join(single, is_in(single), "left_semi"))
     if several.isEmpty():
         return stay
-    again = docs.join(several, is_in(several), "left_semi").withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    again = looked.join(several, is_in(several), "left_semi").withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     prints = fingerprints(again.select(F.col("__row").alias("id"), F.col(f"`{text}`").alias("t")), "id", "t")
     roots = groups.where(named).select(F.col(key).alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
     chosen = prints.join(roots, prints["id"][key].eqNullSafe(roots["__id"]) & (prints["fp"] == roots["__fp"])).dropDuplicates(["__id", "__root"])
