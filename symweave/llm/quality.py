@@ -35,7 +35,7 @@ EPOCHS = 3
 SCALE = 50.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 THRESHOLD = 0.7
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 #: A pair of one word with itself, up to three words on, shares one slot whatever the word.
 _REPEATS = [(k, crc32(b"\x00same %d" % k)) for k in (1, 2, 3)]
@@ -92,18 +92,38 @@ def sigmoid(s: float) -> float:
     return 1 / (1 + np.exp(-max(-60.0, min(60.0, s))))
 
 
+class TrainingSet:
+    """Sparse rows in a few flat arrays; texts are not kept."""
+
+    def __init__(self, bits: int = BITS) -> None:
+        self.bits, self._features = bits, Features(bits)
+        self._parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]] = []
+
+    def add(self, texts: list[str | None], labels: list[int]) -> None:
+        slots, values, ends = [], [], [0]
+        for text in texts:
+            i, n = np.unique(self._features.slots(text), return_counts=True)
+            slots.append(i.astype(np.int32))
+            values.append((n * (SCALE / max(1, n.sum()))).astype(np.float32))
+            ends.append(ends[-1] + len(i))
+        if texts:
+            self._parts.append((np.concatenate(slots), np.concatenate(values), np.array(ends), labels))
+
+    def fit(self, epochs: int = EPOCHS) -> np.ndarray:
+        """2^bits weights and the bias."""
+        model, bias = Ftrl(1 << self.bits), 1 << self.bits
+        for _ in range(epochs):
+            for slots, values, ends, labels in self._parts:
+                for k, y in enumerate(labels):
+                    row = slice(ends[k], ends[k + 1])
+                    model.update(np.append(slots[row], bias).astype(np.int64), np.append(values[row], 1.0).astype(float), float(y))
+        return model.weights(np.arange(bias + 1))
+
+
 def train(texts: list[str | None], labels: list[int], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """2^bits weights and the bias."""
-    features, model = Features(bits), Ftrl(1 << bits)
-    rows = []
-    for text in texts:
-        i, n = np.unique(features.slots(text), return_counts=True)
-        x = n * (SCALE / max(1, n.sum()))
-        rows.append((np.append(i, 1 << bits), np.append(x, 1.0)))
-    for _ in range(epochs):
-        for (i, x), y in zip(rows, labels, strict=True):
-            model.update(i, x, float(y))
-    return model.weights(np.arange((1 << bits) + 1))
+    rows = TrainingSet(bits)
+    rows.add(texts, labels)
+    return rows.fit(epochs)
 
 
 def score_text(weights: np.ndarray, features: Features, text: str | None) -> float:
@@ -126,12 +146,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
     rows = training_rows(docs, labels, bound)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ys = [], []
+        found, any_ = TrainingSet(), False
         for b in batches:
-            texts += b.column("text").to_pylist()
-            ys += b.column("label").to_pylist()
-        if texts:
-            yield pa.RecordBatch.from_pydict({"w": pa.array([train(texts, ys).astype("<f8").tobytes()])})
+            found.add(b.column("text").to_pylist(), b.column("label").to_pylist())
+            any_ = any_ or b.num_rows > 0
+        if any_:
+            yield pa.RecordBatch.from_pydict({"w": pa.array([found.fit().astype("<f8").tobytes()])})
 
     small_batches(docs.sparkSession)
     in_order = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "label", F.xxhash64("text"))

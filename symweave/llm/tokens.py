@@ -14,7 +14,7 @@ from array import array
 import numpy as np
 
 #: The memo takes so many pieces, of so many characters at most.
-MEMO_PIECES, MEMO_CHARS = 1_000_000, 40
+MEMO_PIECES, MEMO_CHARS = 600_000, 40
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 
