@@ -10,7 +10,7 @@ White space inside a block becomes one space; character references are decoded;
 are joined by a line feed in page order. Nothing else is dropped or cut.
 
 Defined results: a null, empty or text-free page has the empty text; broken and unclosed markup
-is read as far as it goes, a tag that never closes being text; repeated rows come out as
+is read as far as it goes, and a tag that the page's end cuts off is no text; repeated rows come out as
 often as they went in; an empty table gives an empty result; other columns pass through.
 """
 
@@ -60,7 +60,7 @@ ARTICLE_TAGS = frozenset({"article", "main"})
 ARTICLE_WORDS = frozenset("article content main post entry story body text".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
+    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|</?[a-zA-Z][^>]*\Z", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORDS = re.compile(r"[^\W_]+")
