@@ -45,7 +45,7 @@ SMOOTH, UNKNOWN = 0.1, 1e-7
 #: Longer words are scored in parts of so many characters; longer pieces are not used.
 MAX_WORD, MAX_PIECE = 24, 12
 BLOCK = 4096
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -58,19 +58,24 @@ def vocabulary_path() -> str:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Marked words in parts of at most MAX_WORD characters."""
-    out = []
-    for w in _WORD.findall(text.lower() if text else ""):
-        w = MARK + w
-        if len(w) <= MAX_WORD:
-            out.append(w)
-        else:
-            out += [w[i : i + MAX_WORD] for i in range(0, len(w), MAX_WORD)]
-    return out
+    return _WORD.findall(text.lower()) if text else []
+
+
+def parts_of(word: str) -> list[str]:
+    """The marked word in parts of at most MAX_WORD characters."""
+    marked = MARK + word
+    return [marked[i : i + MAX_WORD] for i in range(0, len(marked), MAX_WORD)]
 
 
 class Pieces:
-    """Number of each usable piece from 1; 0 is none."""
+    """Number of each usable piece from 1, found by a 64-bit hash of its characters; 0 is none.
+
+    All substrings of a block of words are hashed by character position and length at once and
+    looked up in an open table of TABLE_BITS bits, whose entries hold the whole hash.
+    """
+
+    TABLE_BITS = 20
+    _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
     def __init__(self, pieces: list[str]) -> None:
         self.number: dict[str, int] = {}
@@ -78,6 +83,25 @@ class Pieces:
             if p and len(p) <= MAX_PIECE and p not in self.number:
                 self.number[p] = len(self.number) + 1
         self.longest = max(map(len, self.number), default=1)
+        size = 1 << max(self.TABLE_BITS, (4 * len(self.number)).bit_length())
+        self._shift = np.uint64(64 - size.bit_length() + 1)
+        self._hash, self._piece = np.zeros(size + 64, np.uint64), np.zeros(size + 64, np.int32)
+        self._probes = 1
+        for p, n in self.number.items():
+            h = self._text_hash(p)
+            at = first = int(np.uint64(h * int(self._SPREAD) & 0xFFFFFFFFFFFFFFFF) >> self._shift)
+            while self._piece[at]:
+                if int(self._hash[at]) == h:
+                    raise ValueError("two pieces have one hash")
+                at += 1
+            self._hash[at], self._piece[at] = h, n
+            self._probes = max(self._probes, at - first + 1)
+
+    def _text_hash(self, text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * int(self._STEP) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -87,19 +111,27 @@ class Pieces:
         usual = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
         return cls([model.id_to_piece(i) for i in usual])
 
+    def _lookup(self, h: np.ndarray) -> np.ndarray:
+        at = ((h * self._SPREAD) >> self._shift).astype(np.int64)
+        found = np.where(self._hash[at] == h, self._piece[at], 0)
+        for k in range(1, self._probes):
+            found = np.where(self._hash[at + k] == h, self._piece[at + k], found)
+        return found
+
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers [character, length - 1, word] ending after each character, and lengths."""
-        get, longest = self.number.get, self.longest
         lengths = np.array([len(w) for w in words])
-        n = int(lengths.max())
-        flat: list[int] = []
-        for w in words:
-            for i in range(1, len(w) + 1):
-                flat += [get(w[i - k : i], 0) for k in range(1, min(i, longest) + 1)]
-                flat += [0] * (longest - min(i, longest))
-            flat += [0] * ((n - len(w)) * longest)
-        grid = np.array(flat, np.int32).reshape(len(words), n, longest)
-        return np.ascontiguousarray(grid.transpose(1, 2, 0)), lengths
+        m, n = len(words), int(lengths.max())
+        codes = np.zeros((m, n), np.uint64)
+        codes[np.arange(n) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint64(1)
+        grid = np.zeros((n, self.longest, m), np.int32)
+        h = np.zeros((m, n), np.uint64)
+        for k in range(1, min(n, self.longest) + 1):
+            # h[:, j] is the hash of the k characters from j on
+            h = h[:, : n - k + 1] * self._STEP + codes[:, k - 1 :]
+            inside = np.arange(k, n + 1) <= lengths[:, None]
+            grid[k - 1 :, k - 1, :] = np.where(inside, self._lookup(h), 0).T
+        return grid, lengths
 
 
 def _step_sets(grid: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
@@ -168,35 +200,52 @@ class Model:
     vocabulary: str
 
     def scorer(self) -> Scorer:
-        return Scorer(self)
+        """One for each process, as a broadcast model is one object in a worker."""
+        if not hasattr(self, "_scorer"):
+            self._scorer = Scorer(self)
+        return self._scorer
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_scorer"}
 
 
 class Scorer:
+    """Scores of words, kept for as many as the memo takes, and of texts."""
+
     def __init__(self, model: Model) -> None:
         self.model, self.pieces = model, Pieces.load(model.vocabulary)
         self._place: dict[str, int] = {}
-        self._scores = np.zeros((0, len(model.languages)))
+        self._scores = np.zeros((1024, len(model.languages)))
+
+    def _learn(self, words: list[str]) -> None:
+        parts = [parts_of(w) for w in words]
+        flat = word_scores([p for ps in parts for p in ps], self.pieces, self.model.p)
+        begins = np.cumsum([0, *map(len, parts)])[:-1]
+        at = len(self._place)
+        while len(self._scores) < at + len(words):
+            self._scores = np.concatenate((self._scores, np.zeros_like(self._scores)))
+        self._scores[at : at + len(words)] = np.add.reduceat(flat, begins, axis=0)
+        self._place.update(zip(words, range(at, at + len(words)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        words = [words_of(t) for t in texts]
-        place = self._place
-        new = {w: 0 for ws in words for w in ws if w not in place}
-        if len(place) + len(new) > MEMO_WORDS:
-            place.clear()
-            self._scores = self._scores[:0]
-            new = dict.fromkeys((w for ws in words for w in ws), 0)
+        if not self.model.languages:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        words, place = [words_of(t) for t in texts], self._place
+        new = list(set().union(*words).difference(place))
         if new:
-            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-            self._scores = np.concatenate((self._scores, word_scores(list(new), self.pieces, self.model.p)))
+            self._learn(new)
         out = []
         for ws in words:
-            if not ws or not self.model.languages:
+            if not ws:
                 out.append((UNDETERMINED, 0.0))
                 continue
             at = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
             s = self._scores[at].sum(axis=0) + self.model.share
             best = int(s.argmax())
             out.append((self.model.languages[best], float(1 / np.exp(s - s[best]).sum())))
+        if len(place) > MEMO_WORDS:  # the last to come go
+            for w in new:
+                del place[w]
         return out
 
 
@@ -221,7 +270,7 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", rows: int = TRAIN
         for b in batches:
             seen: dict[str, Counter] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(words_of(text))
+                seen.setdefault(lang, Counter()).update(p for w in words_of(text) for p in parts_of(w))
             for lang, c in seen.items():
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(c), "word": list(c), "n": pa.array(c.values(), pa.int64())})
 
