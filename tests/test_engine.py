@@ -157,3 +157,12 @@ def test_citations_and_fusion(spark):
     symbols = spark.createDataFrame([(5, 1, 2, 9)], "id long, file_id long, start_line int, end_line int")
     cited = spark.createDataFrame([("a.py", 3, 4), ("a.py", 1, 4), ("b.py", 1, 1), ("a.py", 4, 3)], "path string, start_line int, end_line int")
     assert {(r["path"], r["start_line"], r["verified"]) for r in retrieve.check_citations(cited, symbols, files).collect()} == {("a.py", 3, True), ("a.py", 1, False), ("b.py", 1, False), ("a.py", 4, False)}
+
+
+def test_cosine_in_blocks_of_queries(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 5 + 1), float(i % 3), 1.0]) for i in range(40)] + [(90, [0.0, 0.0, 0.0])], "id long, v array<float>")
+    queries = vectors.where("id % 4 = 0").selectExpr("id AS query_id", "v AS query")
+    one = retrieve.cosine_top_k(vectors, queries, "id", "v", 3).collect()
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 3)
+    assert sorted(one) == sorted(retrieve.cosine_top_k(vectors, queries, "id", "v", 3).collect())
+    assert len(one) == 30 and all(r["id"] != 90 for r in one)
