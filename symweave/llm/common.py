@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..shared import discard, scratch, shared_root, written
 from ..shipping import ship
 
+__all__ = ["discard", "scratch", "shared_root", "written"]
+
 #: Rows per Arrow batch handed to Python. Texts may be long, so batches stay small.
 ARROW_ROWS = 512
 
@@ -26,45 +26,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees, as spark.checkpoint.dir names it.
-
-    Where the setting is missing, as in tests, a local master gets a temporary folder and
-    any other master is refused: a machine-local folder would lose data on a cluster.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="symweave-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/symweave/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The rows of df as a written table: cuts lineage, survives lost executors, is read by column."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_of_id(column: Column) -> Column:
     """crc32 of an id written as decimal text; null ids count as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
