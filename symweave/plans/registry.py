@@ -41,7 +41,12 @@ def oracle_sql() -> dict[str, str]:
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """What depends on the widest class within four hops, with names and evidence."""
     name = g.symbols(spark, sf).where(F.col("id") == g.WIDE_SEED).select("qualified_name").first()[0]
-    return traverse.find_references(g.symbols(spark, sf), g.files(spark, sf), g.edges(spark, sf), name, 4)
+    return traverse.find_references(g.symbols(spark, sf), g.files(spark, sf), _kept_edges(spark, sf), name, 4)
+
+
+def _kept_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges for several hops: here they are derived from other tables, so they are derived once."""
+    return g.edges(spark, sf).persist()
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -75,7 +80,7 @@ def edges_by_kind_filter(spark, sf):
 
 def _reverse(name: str, seed: int, depth: int, tiers: tuple[str, ...] = (), collapse: tuple[str, ...] = ("kind",)) -> None:
     def run(spark, sf):
-        return traverse.reverse_dependencies(g.edges(spark, sf), seed, depth, tiers, collapse)
+        return traverse.reverse_dependencies(_kept_edges(spark, sf), seed, depth, tiers, collapse)
 
     run.__name__ = name
     _query(g.with_graph(f"SELECT depth, {_EDGE} FROM hits", g.reach_sql(seed, depth, tiers, collapse)))(run)
@@ -103,7 +108,7 @@ def refs_by_location(spark, sf):
     """The address is a line inside the span of a customer that no order narrows."""
     where = g.symbols(spark, sf).where(F.col("id") == g.FUNCTION0 + 1).join(g.files(spark, sf).withColumnRenamed("id", "file_id"), "file_id")
     at = where.select(F.concat("path", F.lit(":"), F.col("end_line"))).first()[0]
-    return traverse.find_references(g.symbols(spark, sf), g.files(spark, sf), g.edges(spark, sf), at, 2).select(*_HIT_COLUMNS)
+    return traverse.find_references(g.symbols(spark, sf), g.files(spark, sf), _kept_edges(spark, sf), at, 2).select(*_HIT_COLUMNS)
 
 
 @_query(g.with_graph(f"SELECT h.tier, count(*) AS n, count(DISTINCT h.src_symbol_id) AS sources {_HIT_JOIN} GROUP BY 1", g.reach_sql(g.WIDE_SEED, 4)))
@@ -124,7 +129,7 @@ _SEEDS = [g.WIDE_SEED, g.DEEP_SEED, g.FILE0]
 )
 def reach_of_many_seeds(spark, sf):
     seeds = spark.createDataFrame([(s, s) for s in _SEEDS], "seed_id long, symbol_id long")
-    return traverse.reach(g.edges(spark, sf), seeds, 2).groupBy("seed_id", "symbol_id").agg(F.min("depth").alias("depth"))
+    return traverse.reach(_kept_edges(spark, sf), seeds, 2).groupBy("seed_id", "symbol_id").agg(F.min("depth").alias("depth"))
 
 
 @_query(
@@ -135,7 +140,7 @@ def reach_of_many_seeds(spark, sf):
 )
 def forward_dependencies(spark, sf):
     seeds = spark.createDataFrame([(0, g.METHOD0 + 1)], "seed_id long, symbol_id long")
-    return traverse.reach(g.edges(spark, sf), seeds, 3, forward=True).groupBy("symbol_id").agg(F.min("depth").alias("depth"))
+    return traverse.reach(_kept_edges(spark, sf), seeds, 3, forward=True).groupBy("symbol_id").agg(F.min("depth").alias("depth"))
 
 
 def _both_ways(seed: int, radius: int) -> str:
@@ -154,7 +159,7 @@ def _both_ways(seed: int, radius: int) -> str:
     )
 )
 def subgraph_with_budget(spark, sf):
-    return traverse.subgraph(g.edges(spark, sf), g.DEEP_SEED, 2)
+    return traverse.subgraph(_kept_edges(spark, sf), g.DEEP_SEED, 2)
 
 
 @_query(
@@ -638,7 +643,7 @@ def impact_span_seed(spark, sf):
 )
 def impact_groups(spark, sf):
     seeds = g.symbols(spark, sf).where("kind = 'class' AND id % 7 = 0").select(F.col("id").alias("symbol_id"))
-    return impact.impact(g.edges(spark, sf), seeds, g.symbols(spark, sf), g.files(spark, sf), 2)
+    return impact.impact(_kept_edges(spark, sf), seeds, g.symbols(spark, sf), g.files(spark, sf), 2)
 
 
 # -- extraction
