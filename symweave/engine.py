@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .operators import impact, report, resolve, retrieve, store, traverse
 from .schemas import EDGE, FILE, INDEX_RUN, SYMBOL, TIERS
 from .shared import written
+from .sources import chunks as chunk_source
 from .sources import discover as found
 from .sources import python_source, scip
 from .streaming import incremental
@@ -181,6 +182,16 @@ class Engine:
     def files(self, root: str) -> DataFrame:
         return self._mine(root, "file")
 
+    def find_symbol(self, root: str, qualified_name: str) -> DataFrame:
+        """The symbol of a name, with the lowest id if several have it."""
+        return self.symbols(root).where(F.col("qualified_name") == qualified_name).orderBy("id").limit(1)
+
+    def chunks(self, root: str, files: DataFrame) -> DataFrame:
+        """Chunks of files (path, content) with the ids of their symbols and files here."""
+        named = self.symbols(root).groupBy("file_id", "qualified_name").agg(F.max("id").alias("symbol_id"))
+        cut = chunk_source.chunks(files).join(self.files(root).select("path", F.col("id").alias("file_id"), "repo_id"), "path")
+        return cut.join(named, ["file_id", "qualified_name"], "left").select("repo_id", "file_id", "symbol_id", "start_line", "end_line", "text", "n_tokens")
+
     def list_files(self, root: str, limit: int = traverse.DEFAULT_LIMIT) -> DataFrame:
         return self.files(root).orderBy("path").limit(limit)
 

@@ -26,6 +26,7 @@ from ..shipping import ship
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _SCOPES = (*_FUNCTIONS, ast.ClassDef, ast.Lambda)
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
 _STRING = re.compile(r"(?is)\A([a-z]*)('''|\"\"\"|'|\")(.*)\2\Z")
 
 
@@ -46,6 +47,11 @@ def count_lines(text: str) -> int:
     return text.count("\n") + bool(text and not text.endswith("\n"))
 
 
+def source_lines(text: str) -> list[str]:
+    """Lines with their ends, as the grammar counts them: no other separators."""
+    return _LINE.findall(text)
+
+
 def _tree(text: str) -> ast.Module | None:
     try:
         with warnings.catch_warnings():
@@ -57,12 +63,12 @@ def _tree(text: str) -> ast.Module | None:
 
 def _recovered(text: str) -> tuple[ast.Module | None, str]:
     """The tree of the text without its broken top-level statements, which become blank lines."""
-    lines = text.splitlines(keepends=True)
+    lines = source_lines(text)
     starts = [i for i, x in enumerate(lines) if x[:1].strip() and x[0] not in "#)]}" and not x.startswith(("else", "elif", "except", "finally"))]
     # decorators belong to what follows them
     starts = [s for k, s in enumerate(starts) if k == 0 or not lines[starts[k - 1]].startswith("@")]
     kept = ["\n"] * len(lines)
-    for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
+    for a, b in zip(starts, [*starts[1:], len(lines)][: len(starts)], strict=True):
         if _tree("".join(lines[a:b])) is not None:
             kept[a:b] = lines[a:b]
     text = "".join(kept)
@@ -73,7 +79,7 @@ class _Reader:
     def __init__(self, path: str, text: str, shown: str) -> None:
         self.out = Parsed(path, count_lines(text))
         self.package = path.removesuffix(".py").split("/")[:-1]
-        self.lines = shown.splitlines(keepends=True)
+        self.lines = source_lines(shown)
         self.encoded = [x.encode() for x in self.lines]
         self.shown = shown
         self.parameters = self._parameter_lists()

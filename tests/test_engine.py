@@ -72,6 +72,9 @@ def test_questions(engine, tree):
     q = names(engine, root)
     assert {q[r["symbol_id"]] for r in engine.impact_of(root, changed, 1).collect()} == {"pkg.shapes.Shape.area"}  # the file changed itself
     assert {q[r["symbol_id"]] for r in engine.subgraph(root, "run.main", 1).collect()} == {"run", "pkg.use.build"}
+    assert engine.find_symbol(root, "run.main").first()["kind"] == "function" and engine.find_symbol(root, "no").count() == 0
+    files = engine.spark.createDataFrame([("run.py", bytearray((tree / "run.py").read_bytes()))], "path string, content binary")
+    assert [(r["symbol_id"], r["start_line"]) for r in engine.chunks(root, files).collect()] == [(None, 1)]
     assert [r["path"] for r in engine.list_files(root, 2).collect()] == ["pkg/__init__.py", "pkg/shapes.py"]
 
 

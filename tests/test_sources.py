@@ -110,7 +110,8 @@ def test_inherits_decorators_and_annotations():
 def test_broken_source_keeps_its_lines_and_what_parses():
     p = parse_python("m.py", "def ok():\n    pass\ndef f(:\n    bad !!\nclass C:\n    y = 1\n")
     assert [(s["qualified_name"], s["start_line"]) for s in p.symbols] == [("m", 1), ("m.ok", 1), ("m.C", 5), ("m.C.y", 6)]
-    for text in ("def f(:\n", "\x00", "(" * 300, "é" * 10 + "\n  x", "class \n"):
+    assert symbol("a = 1\x0c\u2028\nb = 2\r\ndef f(x): pass\n", "m.f")["signature"] == "f(x)"
+    for text in ("    bad (\n", "\n  )\n", "def f(:\n", "\x00", "(" * 300, "é" * 10 + "\n  x", "class \n"):
         assert parse_python("m.py", text).symbols[0]["kind"] == "file"
 
 
