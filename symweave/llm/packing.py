@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buckets_for, ranked, small_batches, table, written
-from .tokens import END_ID, default_path, encoder
+from .tokens import END_ID, default_path, encoder, in_blocks
 
 ROOM = 2048
 
@@ -179,9 +179,9 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id"
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in batches:
+        for b in in_blocks(batches, "text"):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(enc.encode_all(b.column("text").to_pylist())):
+            for i, ids in enumerate(enc.encode_column(b.column("text"))):
                 raw = ids + end
                 for k, (at, n) in enumerate(cut(len(raw) // 4, room)):
                     row.append(i)

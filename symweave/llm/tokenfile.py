@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, small_batches, table, written
-from .tokens import END_ID, default_path, encoder
+from .tokens import END_ID, default_path, encoder, in_blocks
 
 FRAME_IDS = 1 << 16
 LEVEL = 1
@@ -161,15 +161,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, key
         uri = f"{folder}/part-{part:07d}.tok"
         fs, path = _open(uri)
         trial, n = f"{path}.{uuid.uuid4().hex}", 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in in_blocks(batches, "text"):
             if writer is None:
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(trial)
                 writer = TokenWriter(out, frame_ids)
             n += b.num_rows
-            for i, ids in zip(b.column("id").to_pylist(), enc.encode_all(b.column("text").to_pylist()), strict=True):
+            for i, ids in zip(b.column("id").to_pylist(), enc.encode_column(b.column("text")), strict=True):
                 writer.add(i, ids + end)
         if writer is not None:
             writer.close()

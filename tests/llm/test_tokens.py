@@ -6,6 +6,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -30,13 +31,23 @@ def test_pieces_encode_as_whole_texts(library, monkeypatch):
     for text in TEXTS:
         assert enc.encode(text).tolist() == library(text)
     rng = random.Random(0)
-    parts = ["a", "b", " ", "  ", "\n", "\t", "\xa0", " ", "᠎", "\x85", "é", "1", "!", "'s", "​", "<|endoftext|>", "世", "🙂", "\r\n"]
+    parts = ["a", "b", " ", "  ", "\n", "\t", "\x00", "\xa0", " ", "᠎", "\x85", "é", "1", "!", "'s", "​", "<|endoftext|>", "世", "🙂", "\r\n"]
     monkeypatch.setattr(tk, "MEMO_PIECES", 50)
     small = tk.Encoder(PATH)
     for _ in range(3000):
         text = "".join(rng.choices(parts, k=rng.randint(0, 12)))
         assert enc.encode(text).tolist() == small.encode(text).tolist() == library(text), repr(text)
-    assert enc.encode_bytes(None) == b""
+    assert enc.encode(None).tolist() == []
+    column = pa.array([*TEXTS, None, *TEXTS], pa.string())
+    for slice_ in (column, column[3:], column[:0]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_column(slice_)] == [library(t) for t in slice_.to_pylist()]
+
+
+def test_batches_are_joined_to_blocks():
+    batches = [pa.RecordBatch.from_pydict({"i": [n], "text": ["x" * 10]}) for n in range(7)]
+    blocks = list(tk.in_blocks(iter(batches), "text", size=30))
+    assert [r for b in blocks for r in b.column("i").to_pylist()] == list(range(7)) and 1 < len(blocks) < 7
+    assert list(tk.in_blocks(iter([batches[0].slice(0, 0)]), "text")) == []
 
 
 def ids_of(rng, n):
