@@ -40,8 +40,9 @@ def values_sql(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {said}) AS v({names})"
 
 
-SYMBOLS_SQL = values_sql(SYMBOL_ROWS, "id, file_id, kind, qualified_name")
-REFS_SQL = values_sql(REF_ROWS, "file_id, ref_seq, kind, src_qualified_name, target_text, evidence_line")
+SYMBOLS_SQL = f"SELECT CAST(id AS BIGINT) AS id, CAST(file_id AS BIGINT) AS file_id, kind, qualified_name FROM ({values_sql(SYMBOL_ROWS, 'id, file_id, kind, qualified_name')})"
+_REF_VALUES = values_sql(REF_ROWS, "file_id, ref_seq, kind, src_qualified_name, target_text, evidence_line")
+REFS_SQL = f"SELECT CAST(file_id AS BIGINT) AS file_id, ref_seq, kind, src_qualified_name, target_text, evidence_line FROM ({_REF_VALUES})"
 
 _OK = "CASE WHEN r.kind = 'calls' THEN n.dst_kind IN ('function', 'method', 'class') WHEN r.kind = 'inherits' THEN n.dst_kind = 'class' ELSE true END"
 #: Common tables from syms and refs to targets (file_id, ref_seq, place, dst).
