@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import small_batches, table
+from .common import small_batches, table, tidied
 
 # Fixed values of HTML.
 BLOCK_TAGS = frozenset(
@@ -358,7 +358,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *new], [*kept, "text", "n_chars"])
 
     schema = [*[read.schema[c] for c in kept], StructField("text", StringType()), StructField("n_chars", LongType())]
-    return read.mapInArrow(extracted, StructType(schema))
+    return read.mapInArrow(tidied(extracted), StructType(schema))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import held_out, small_batches, table, written
+from .common import held_out, small_batches, table, tidied, written
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -274,7 +274,7 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", rows: int = TRAIN
             for lang, c in seen.items():
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(c), "word": list(c), "n": pa.array(c.values(), pa.int64())})
 
-    types = written(sample.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    types = written(sample.mapInArrow(tidied(counted), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     pieces = Pieces.load(vocabulary)
     size = len(pieces.number) + 1
     p = np.full((size, len(languages)), 1 / size)
@@ -296,7 +296,7 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", rows: int = TRAIN
                 on = np.nonzero(total)[0]
                 yield pa.RecordBatch.from_pydict({"j": pa.array(np.full(len(on), j, np.int32)), "piece": pa.array(on.astype(np.int32)), "c": pa.array(total[on])})
 
-        sums = types.mapInArrow(expected, "j int, piece int, c double").groupBy("j", "piece").agg(F.sum("c").alias("c")).toArrow()
+        sums = types.mapInArrow(tidied(expected), "j int, piece int, c double").groupBy("j", "piece").agg(F.sum("c").alias("c")).toArrow()
         c = np.zeros_like(p)
         c[sums.column("piece").to_numpy(), sums.column("j").to_numpy()] = sums.column("c").to_numpy()
         c[1:] += SMOOTH
@@ -320,7 +320,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             new = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(predicted, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(tidied(predicted), StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, ranked, small_batches, table, written
+from .common import buckets_for, ranked, small_batches, table, tidied, written
 from .tokens import END_ID, default_path, encoder, in_blocks
 
 ROOM = 2048
@@ -195,7 +195,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id"
             )
 
     kind = wanted.schema["id"].dataType.simpleString()
-    return wanted.mapInArrow(encoded, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return wanted.mapInArrow(tidied(encoded), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", room: int = ROOM) -> DataFrame:
@@ -216,7 +216,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", r
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.select(*names, F.col("__rank").cast("long").alias("__rank"))
-    return rows.mapInArrow(placed, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return rows.mapInArrow(tidied(placed), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_by_hash, held_out, small_batches, table
+from .common import bounded_by_hash, held_out, small_batches, table, tidied
 
 BITS = 18
 TRAIN_ROWS = 12_000
@@ -155,7 +155,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
 
     small_batches(docs.sparkSession)
     in_order = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "label", F.xxhash64("text"))
-    found = in_order.mapInArrow(fit, "w binary").collect()
+    found = in_order.mapInArrow(tidied(fit), "w binary").collect()
     return np.frombuffer(found[0][0], "<f8") if found else np.zeros((1 << BITS) + 1)
 
 
@@ -172,7 +172,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, name: str = "score") ->
             s = [score_text(w, features, t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, name])
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(tidied(scored), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import looks_listed, small_batches, table, written
+from .common import looks_listed, small_batches, table, tidied, written
 from .components import components
 
 BITS, MAX_DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             fp = np.array([fingerprint(t) for t in b.column("t").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp)], ["id", "fp"])
 
-    return rows.mapInArrow(hashed, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(tidied(hashed), f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 def block_masks(k: int, distance: int = MAX_DISTANCE, bits: int = BITS) -> list[int]:
@@ -175,7 +175,7 @@ def _met_in_chunks(long_runs: DataFrame, distance: int, limit: int) -> DataFrame
     )
     cells = cells.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
     cells = cells.select("t", F.xxhash64("t", "key", "i", "j").alias("key"), "fp")
-    return cells.mapInArrow(_met_in_runs(distance, 1 << 62), _pairs_schema()).select("a", "b")
+    return cells.mapInArrow(tidied(_met_in_runs(distance, 1 << 62)), _pairs_schema()).select("a", "b")
 
 
 def fingerprint_links(distinct: DataFrame, distance: int = MAX_DISTANCE, blocks: int | None = None, limit: int = RUN_LIMIT) -> DataFrame:
@@ -190,7 +190,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = MAX_DISTANCE, blocks:
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"),
     ).select("t", "key", "fp")
     filed = filed.repartition("t", "key").sortWithinPartitions("t", "key")
-    met = written(filed.mapInArrow(_met_in_runs(distance, limit), _pairs_schema()), "met")
+    met = written(filed.mapInArrow(tidied(_met_in_runs(distance, limit)), _pairs_schema()), "met")
     links = met.where("NOT over").select("a", "b")
     long_runs = met.where("over").select("t", "key", F.col("a").alias("fp"))
     if long_runs.isEmpty():

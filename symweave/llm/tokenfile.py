@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, table, written
+from .common import scratch, small_batches, table, tidied, written
 from .tokens import END_ID, default_path, encoder, in_blocks
 
 FRAME_IDS = 1 << 16
@@ -177,7 +177,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, key
                 "part": pa.array([part], pa.int64()), "uri": [uri], "documents": pa.array([n], pa.int64()), "ids": pa.array([writer.ids], pa.int64()),
             })
 
-    files = written(ordered.mapInArrow(write, "part long, uri string, documents long, ids long"), "token-files")
+    files = written(ordered.mapInArrow(tidied(write), "part long, uri string, documents long, ids long"), "token-files")
     # one row for each file
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     return files.withColumn("first", F.coalesce(before, F.lit(0)))
@@ -205,7 +205,7 @@ def read_digests(files: DataFrame) -> DataFrame:
                     })
 
     parts = max(1, min(int(files.count()), 4 * spark.sparkContext.defaultParallelism))
-    return files.repartition(parts, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(parts, "part").mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

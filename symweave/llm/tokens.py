@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: The memo takes so many pieces, of so many bytes at most; it is some 40 bytes a piece.
-MEMO_PIECES, MEMO_BYTES = 1_000_000, 40
+MEMO_PIECES, MEMO_BYTES = 700_000, 40
 #: Bytes of text in a block, about, and new words that the library gets as lines of one text.
-BLOCK_BYTES, LINES = 8_000_000, 1000
+BLOCK_BYTES, LINES = 5_000_000, 1000
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 
@@ -118,10 +118,10 @@ class Encoder:
         distinct = words.dictionary_encode()
         ids, begin, size = self._pieces(distinct.dictionary)
         at = distinct.indices.to_numpy()
-        each = size[at]
-        end = np.cumsum(each)
+        each = size[at].astype(np.int32)
+        end = np.cumsum(each, dtype=np.int64)
         total = int(end[-1]) if len(end) else 0
-        tokens = ids[np.repeat((begin[at] - (end - each)).astype(np.int32), each) + np.arange(total, dtype=np.int32)]
+        tokens = ids[np.repeat((begin[at] - end + each).astype(np.int32), each) + np.arange(total, dtype=np.int32)]
         cuts = np.concatenate(([0], end))[bounds].tolist()
         return [tokens[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import small_batches, table
+from .common import small_batches, table, tidied
 
 SEP = "\x1f"
 #: URLs stepped together; long ones are stepped with others of about their length.
@@ -204,7 +204,7 @@ def filter_urls(
             new = zip(*[(*p, *s) for p, s in zip(parts, said, strict=True)], strict=True) if parts else ([],) * 4
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, pa.string()) for x in new]], [*b.schema.names, *[f.name for f in added]])
 
-    return kept.mapInArrow(judged, StructType([*kept.schema.fields, *added]))
+    return kept.mapInArrow(tidied(judged), StructType([*kept.schema.fields, *added]))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
