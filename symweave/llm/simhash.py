@@ -19,7 +19,7 @@ an empty result; other columns are ignored (`near_groups`) or kept (`drop_near_c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -217,13 +217,18 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
-    """One document of each component stays, one with the component's id; all columns.
+    """One document of each component stays, one with the component's id; all columns."""
+    groups = written(near_groups(docs, key, text, distance), "near")
+    return keep_one_of_each(docs, groups, lambda again: fingerprints(again, "id", "t"), key, text)
+
+
+def keep_one_of_each(docs: DataFrame, groups: DataFrame, prints: Callable[[DataFrame], DataFrame], key: str, text: str) -> DataFrame:
+    """docs without all but one row of each component of groups (key, fp, root, component_id); prints makes (id, t) into (id, fp).
 
     Ids that several rows have are looked up by fingerprint as well, so that of repeated rows
     one stays and a row is never kept for another row's sake. Rows whose id stays and is
     theirs alone pass where they are.
     """
-    groups = written(near_groups(docs, key, text, distance), "near")
     named = F.col(key).eqNullSafe(F.col("component_id"))
     ids = written(groups.groupBy(F.col(key).alias("__id")).agg(F.count("*").alias("rows"), F.bool_or(named).alias("some")), "kept")
     single, several = ids.where("some AND rows = 1").select("__id"), ids.where("some AND rows > 1").select("__id")
@@ -236,9 +241,9 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", d
     if several.isEmpty():
         return stay
     again = looked.join(several, is_in(several), "left_semi").withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    prints = fingerprints(again.select(F.col("__row").alias("id"), F.col(f"`{text}`").alias("t")), "id", "t")
+    found = prints(again.select(F.col("__row").alias("id"), F.col(f"`{text}`").alias("t")))
     roots = groups.where(named).select(F.col(key).alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-    chosen = prints.join(roots, prints["id"][key].eqNullSafe(roots["__id"]) & (prints["fp"] == roots["__fp"])).dropDuplicates(["__id", "__root"])
+    chosen = found.join(roots, found["id"][key].eqNullSafe(roots["__id"]) & (found["fp"] == roots["__fp"])).dropDuplicates(["__id", "__root"])
     return stay.unionByName(chosen.select("id.*"))
 
 
