@@ -4,16 +4,18 @@
 2. Centroids are fitted on a bounded sample; every vector is indexed in its OVERLAP nearest
    clusters. A cluster too large for one task is cut into chunks, and each pair of chunks
    is a cell of its own, so nothing is cut off and no task is unbounded.
-3. Each cell builds a flat graph by robust pruning of its nearest candidates; the adjacency lists
-   of a vector are united over its cells.
+3. Each cell builds a flat graph by robust pruning of its nearest candidates, and adds far edges: to
+   the nearest of thinner and thinner samples and to a few members at random, so that tight families
+   are not shut off from each other. The adjacency lists of a vector are united over its cells.
 4. Each cell searches for all its vectors on the united graph: greedily from the medoid until
    the search stands at the query, then from neighbour to neighbour as far as they are in range
    or within SLACK of it. What is found is verified by cosine in double precision.
 5. A pair that several cells hold is counted in one of them only, which both ends know from the
    clusters they are in. So counts are sums, and no cell emits its pairs: it returns a count
    and a root for each vector.
-6. An audit compares links of a fixed number of vectors with brute force over all rows; below
-   RECALL the index is rebuilt with more overlap.
+6. An audit compares links of some vectors, of more while they hold few links, with brute force over
+   all rows; below RECALL the index is rebuilt with more overlap, candidates and degree. If that
+   does not help, the cells are compared exactly, in blocks.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components
 link with nothing, nor do vectors of different lengths; rows with a null id take no part and
@@ -40,8 +42,12 @@ OVERLAP = 3
 #: Rows of a cell, at most about; larger clusters are cut into chunks of half of it.
 CELL_ROWS = 4000
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
+#: Far edges of a vector: to each sample, one in THIN of the one before, and to members at random.
+FAR, THIN, AT_RANDOM = 4, 8, 2
 SLACK = 0.1
 AUDIT, RECALL, ATTEMPTS = 512, 0.98, 3
+#: True links that an audit should hold, and the most vectors that it takes for that.
+AUDIT_LINKS, MOST_AUDITED = 2000, 8192
 #: Pairs handled together in a search.
 STEP_PAIRS = 200_000
 
@@ -98,10 +104,45 @@ def robust_graph(x: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGR
             alive &= ~((alpha * alpha * between[rows, pick] <= away) & on[:, None])
             alive[rows, pick] = False
     a, b = np.concatenate(out_a), np.concatenate(out_b)
-    pairs = np.unique(np.concatenate((a * m + b, b * m + a)))
+    far_a, far_b = _far_edges(f) if m > n + 1 else (a[:0], b[:0])
+    pairs = np.unique(np.concatenate((a * m + b, b * m + a, far_a * m + far_b)))
     return np.split(pairs % m, np.searchsorted(pairs // m, np.arange(1, m)))
 
 
+def _far_edges(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One way to the nearest of each sample, both ways to members at random; chosen by the vectors, not by their places."""
+    m, d = f.shape
+    order = np.lexsort((f[:, 0], (f.astype(np.float64) @ np.random.default_rng(d).normal(size=d) * 1e4) % 1))
+    out_a, out_b = [], []
+    size = m // THIN
+    while size:
+        sample = order[:size]
+        for i in range(0, m, 512):
+            s = f[i : i + 512] @ f[sample].T
+            k = min(FAR, size)
+            top = sample[np.argpartition(-s, k - 1, axis=1)[:, :k]].ravel()
+            a = np.repeat(np.arange(i, i + len(s)), k)
+            out_a.append(a[a != top])
+            out_b.append(top[a != top])
+        size //= THIN
+    for r in range(AT_RANDOM):
+        other = order[np.random.default_rng(r).permutation(m)]
+        on = order != other
+        out_a += [order[on], other[on]]
+        out_b += [other[on], order[on]]
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def all_in_range(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """search_in_range() by comparing all, in blocks."""
+    out = []
+    for i in range(0, len(x), 256):
+        q, v = np.nonzero(x[i : i + 256] @ x.T >= threshold)
+        out.append(np.stack((q + i, v)))
+    q, v = np.concatenate(out, axis=1)
+    return q[q != v], v[q != v]
+
+
 def search_in_range(x: np.ndarray, lists: list[np.ndarray], threshold: float, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
     """(query, found) for each ordered pair of different vectors found with cosine >= threshold."""
     m = len(x)
@@ -221,23 +262,29 @@ def _cells(assigned: DataFrame) -> DataFrame:
 _CELL = ["dim", "shard", "i", "j"]
 
 
-def _build(table_: pa.Table) -> pa.Table:
-    rep = table_.column("rep").to_numpy()
-    lists = robust_graph(unit(_matrix(table_.column("v").combine_chunks())))
-    return pa.table({"rep": pa.array(rep), "near": pa.array([rep[x].tolist() for x in lists], pa.list_(pa.int64()))})
+def _build(more: int):
+    def build(table_: pa.Table) -> pa.Table:
+        rep = table_.column("rep").to_numpy()
+        lists = robust_graph(unit(_matrix(table_.column("v").combine_chunks())), CANDIDATES * more, DEGREE * more)
+        return pa.table({"rep": pa.array(rep), "near": pa.array([rep[x].tolist() for x in lists], pa.list_(pa.int64()))})
+
+    return build
 
 
-def _search(threshold: float):
+def _search(threshold: float, exact: bool = False):
     def search(table_: pa.Table) -> pa.Table:
         rep, w = table_.column("rep").to_numpy(), table_.column("w").to_numpy()
         shard, i, j = (table_.column(c)[0].as_py() for c in ("shard", "i", "j"))
         chunk = table_.column("chunk").to_numpy()
         x = unit(_matrix(table_.column("v").combine_chunks()))
-        place: dict[int, list[int]] = {}
-        for k, r in enumerate(rep.tolist()):
-            place.setdefault(r, []).append(k)
-        lists = [np.array(sorted({k for r in near for k in place.get(r, ())}), np.int64) for near in table_.column("near").to_pylist()]
-        q, v = search_in_range(x, lists, threshold)
+        if exact:
+            q, v = all_in_range(x, threshold)
+        else:
+            place: dict[int, list[int]] = {}
+            for k, r in enumerate(rep.tolist()):
+                place.setdefault(r, []).append(k)
+            lists = [np.array(sorted({k for r in near for k in place.get(r, ())}), np.int64) for near in table_.column("near").to_pylist()]
+            q, v = search_in_range(x, lists, threshold)
         other = rep[q] != rep[v]
         q, v = q[other], v[other]
         # the one cell that counts a pair: the first cluster that both are in, and there the chunks of the two
@@ -268,15 +315,30 @@ def _search(threshold: float):
 
 def _linked(vectors: DataFrame, centroids: dict[int, np.ndarray], overlap: int, threshold: float) -> DataFrame:
     cells = written(_cells(_assigned(vectors, centroids, overlap)), "cells")
-    graph = cells.groupBy(*_CELL).applyInArrow(_build, "rep long, near array<long>")
+    graph = cells.groupBy(*_CELL).applyInArrow(_build(max(1, overlap // OVERLAP)), "rep long, near array<long>")
     united = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     both = cells.join(united, "rep")
     return written(both.groupBy(*_CELL).applyInArrow(_search(threshold), "rep long, links long, root long"), "found")
 
 
+def _linked_exactly(vectors: DataFrame, centroids: dict[int, np.ndarray], overlap: int, threshold: float) -> DataFrame:
+    cells = _cells(_assigned(vectors, centroids, overlap))
+    return written(cells.groupBy(*_CELL).applyInArrow(_search(threshold, exact=True), "rep long, links long, root long"), "found")
+
+
 def _audit(vectors: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the links of a fixed number of vectors, found by brute force, that the search found."""
-    queries = vectors.orderBy(F.xxhash64("rep", F.lit(11)), "rep").limit(AUDIT).select("rep", "v").toArrow()
+    """Share of the links of some vectors, found by brute force, that the search found."""
+    size = AUDIT
+    while True:
+        truth, got, taken = _audited(vectors, found, threshold, size)
+        if truth >= AUDIT_LINKS or taken < size or size >= MOST_AUDITED:
+            return got / truth if truth else 1.0
+        size *= 4
+
+
+def _audited(vectors: DataFrame, found: DataFrame, threshold: float, size: int) -> tuple[int, int, int]:
+    """Links of `size` vectors by brute force, those of them that were found, and the vectors there were."""
+    queries = vectors.orderBy(F.xxhash64("rep", F.lit(11)), "rep").limit(size).select("rep", "v").toArrow()
     ids, rows = queries.column("rep").to_numpy(), queries.column("v").to_pylist()
     by = {d: [k for k, r in enumerate(rows) if len(r) == d] for d in {len(r) for r in rows}}
     matrices = {d: unit(np.array([rows[k] for k in ks])) for d, ks in by.items()}
@@ -298,7 +360,7 @@ def _audit(vectors: DataFrame, found: DataFrame, threshold: float) -> float:
     truth = vectors.mapInArrow(count, "rep long, truth long").groupBy("rep").agg(F.sum("truth").alias("truth"))
     got = found.groupBy("rep").agg(F.sum("links").alias("links"))
     both = truth.join(got, "rep", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0))))).first()
-    return both[1] / both[0] if both[0] else 1.0
+    return both[0] or 0, both[1] or 0, len(ids)
 
 
 def near_groups(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -316,6 +378,9 @@ def near_groups(rows: DataFrame, key: str = "vec_id", vector: str = "embedding",
         recall = _audit(vectors, found, threshold)
         if recall >= RECALL:
             break
+    else:
+        found = _linked_exactly(vectors, centroids, OVERLAP << attempt, threshold)
+        recall = _audit(vectors, found, threshold)
     links = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     roots = components(links)
     of = (

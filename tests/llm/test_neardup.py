@@ -85,3 +85,25 @@ def test_an_audit_below_the_bound_widens_the_index(spark, monkeypatch):
     monkeypatch.setattr(neardup, "_linked", lambda v, c, overlap, t: seen.append(overlap) or linked(v, c, overlap, t))
     got = run(spark, [(i, [float(i % 7 + 1), float(i % 3), 1.0]) for i in range(20)])
     assert seen == [3, 6, 12] and {r["audit_recall"] for r in got} == {0.5}
+
+
+def tight_families(families, size, cosine, dim=64, seed=1):
+    """Families of very tight vectors around centres that have this cosine with each other."""
+    rng = np.random.default_rng(seed)
+    base = np.linalg.qr(rng.normal(size=(dim, families + 1)))[0].T
+    centres = np.sqrt(cosine) * base[0] + np.sqrt(1 - cosine) * base[1:]
+    return np.repeat(centres, size, axis=0) + rng.normal(size=(families * size, dim)) * 2e-4
+
+
+@pytest.mark.parametrize(("families", "size", "cosine"), [(3, 100, 0.97), (6, 100, 0.97), (10, 60, 0.99)])
+def test_tight_families_in_range_of_each_other_are_linked(families, size, cosine):
+    x = neardup.unit(tight_families(families, size, cosine))
+    q, _ = neardup.search_in_range(x, neardup.robust_graph(x), 0.95)
+    assert len(q) >= 0.98 * len(x) * (len(x) - 1)
+
+
+def test_cells_are_compared_exactly_if_the_graph_does_not_do(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_linked", lambda v, c, overlap, t: v.sparkSession.createDataFrame([], "rep long, links long, root long"))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(tight_families(3, 60, 0.97))]
+    got = run(spark, rows)
+    assert {(r["n_links"], r["component_id"], r["audit_recall"]) for r in got} == {(179, 0, 1.0)}
