@@ -54,7 +54,17 @@ BOILER_WORDS = frozenset(
     "newsletter subscribe subscription signup login comment comments commentlist comments-area disqus respond reply replies discussion share sharing social related "
     "recommended recommendations widget widgets pagination pager copyright disclaimer alert alerts skip paywall feedback legal privacy tags taglist".split()
 )
-#: Of these, the ones that an article element itself may be.
+#: Of these, the ones that an element of an article's own text may be called as well: words and density decide there.
+WEAK_WORDS = frozenset(
+    "alert alerts notice notices legal privacy disclaimer copyright feedback social related discussion tags foot footnotes skip share sharing consent promotion "
+    "recommended recommendations reply replies respond".split()
+)
+#: Parts of a name that say nothing of what the element holds; the part before them does.
+PLAIN_PARTS = frozenset(
+    "area articles bar block box button buttons card cards col column container content form group head header inner item items left line link links list main "
+    "outer panel posts primary right row secondary section slot stories story text title top bottom unit wrap wrapper zone".split()
+)
+#: Of BOILER_WORDS, the ones that an article element itself may be.
 COMMENT_WORDS = frozenset("comment comments reply ad advert advertisement sponsored promo".split())
 ARTICLE_TAGS = frozenset({"article", "main"})
 ARTICLE_WORDS = frozenset("article content main post entry story body text".split())
@@ -63,6 +73,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|</?[a-zA-Z][^>]*\Z", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORDS = re.compile(r"[^\W_]+")
 _CLASS_PART = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*", re.ASCII)
 #: A class that says what its element has or lacks, not what it is.
@@ -75,7 +86,7 @@ class Block:
     text: str
     words: int = 0
     linked: int = 0
-    boiler: bool = False
+    boiler: float = 0.0
     article: bool = False
     heading: bool = False
     item: bool = False
@@ -88,7 +99,8 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    boiler: bool
+    #: 1: no main text; 0.5: so says a weak word only
+    boiler: float
     article: bool
     hidden: bool
 
@@ -107,7 +119,7 @@ class _Page:
         text = " ".join("".join(t for t, _ in parts).split())
         if not text:
             return
-        top = self.stack[-1] if self.stack else _Open("", False, False, False)
+        top = self.stack[-1] if self.stack else _Open("", 0.0, False, False)
         tags = {o.tag for o in self.stack[-4:]}
         linked = sum(len(_WORDS.findall(t)) for t, link in parts if link)
         self.blocks.append(
@@ -129,13 +141,24 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _is_named(names: str, words: frozenset[str]) -> bool:
+    """Whether a name is one of the words, or one of them and plain parts behind it, or ends with one."""
+    for name in names.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x and not x.isdigit()]
+        while len(parts) > 1 and parts[-1] in PLAIN_PARTS:
+            parts.pop()
+        if name in words or parts and parts[-1] in words:
+            return True
+    return False
+
+
 def _surroundings(tag: str, raw: str, above: _Open | None) -> _Open:
-    boiler, article, hidden = (above.boiler, above.article, above.hidden) if above else (False, False, False)
+    boiler, article, hidden = (above.boiler, above.article, above.hidden) if above else (0.0, False, False)
     if tag in ARTICLE_TAGS:
         article = True
     # a header of the page holds no main text; one inside the article has its title
     if tag in BOILER_TAGS or tag == "header" and not article:
-        boiler = True
+        boiler = 1.0
     if tag in RAW_TAGS:
         hidden = True
     if raw and not raw.isspace():
@@ -143,9 +166,14 @@ def _surroundings(tag: str, raw: str, above: _Open | None) -> _Open:
         names = _ABOUT.sub(" ", f"{a.get('class', '')} {a.get('id', '')}".lower())
         words = {w for x in _CLASS_PART.findall(names) for w in (x, *x.split("-"))} | set(re.split(r"[_\s]+", names))
         role = a.get("role", "").lower()
-        named = words & (COMMENT_WORDS if tag in ("body", "html", "article", "main") else BOILER_WORDS)
-        if named and tag not in ("body", "html") or role in BOILER_ROLES:
-            boiler = True
+        # ids of headings and of an article's sections are anchors made of their titles
+        anchor = tag in _HEADINGS or article and (tag == "section" or "section" in words)
+        called = _ABOUT.sub(" ", (a.get("class", "") if anchor else f"{a.get('class', '')} {a.get('id', '')}").lower())
+        known = COMMENT_WORDS if tag in ARTICLE_TAGS else BOILER_WORDS
+        if role in BOILER_ROLES or tag not in ("body", "html") and _is_named(called, known - WEAK_WORDS if article and tag not in ARTICLE_TAGS else known):
+            boiler = 1.0
+        elif article and tag not in ("body", "html", *ARTICLE_TAGS) and _is_named(called, WEAK_WORDS):
+            boiler = max(boiler, 0.5)
         elif tag in ("div", "section", "td") and words & ARTICLE_WORDS or role in ("main", "article"):
             article = True
         if "hidden" in a or a.get("aria-hidden") == "true" or _HIDDEN.search(a.get("style", "").lower()):
@@ -213,7 +241,7 @@ def blocks_of(source: str | None) -> list[Block]:
 FEATURES = ("boiler", "inside", "outside", "heading", "item", "words", "density", "words_before", "density_before", "words_after", "density_after")
 
 # The labelled table, a row for each kind of block that was read and judged by hand.
-# boiler, inside an article, outside the page's article, heading, item, words, density, words and density before, words and density after: content
+# boiler (0.5: by a weak word inside the article), inside an article, outside the page's article, heading, item, words, density, words and density before, words and density after: content
 LABELLED = """
 0 1 0 1 0   9 0.0   7 0.0  40 0.0 : 1
 0 1 0 1 0   1 0.0   2 1.0   1 0.0 : 1
@@ -249,6 +277,18 @@ LABELLED = """
 1 1 0 1 0   2 0.0  80 0.0  25 0.0 : 0
 1 1 0 0 0  45 0.0   3 0.0  30 0.0 : 0
 1 1 0 0 0   9 0.0  40 0.0  12 0.0 : 0
+.5 1 0 0 0 150 0.0  40 0.0  60 0.0 : 1
+.5 1 0 0 0  60 0.0   5 0.0  30 0.0 : 1
+.5 1 0 0 0  30 0.0   2 0.0  50 0.0 : 1
+.5 1 0 0 0  25 0.1  60 0.0   0 0.0 : 1
+.5 1 0 0 0  90 0.1  60 0.0   3 1.0 : 1
+.5 1 0 0 0   3 0.0  60 0.0   2 1.0 : 0
+.5 1 0 0 0   5 0.0  50 0.0  40 0.0 : 0
+.5 1 0 0 1   2 1.0   3 0.0   2 1.0 : 0
+.5 1 0 0 0   6 1.0  60 0.0  40 0.0 : 0
+.5 1 0 0 0  30 0.9   4 0.0  30 0.0 : 0
+.5 1 0 0 1  25 0.8  25 0.8   9 0.8 : 0
+.5 1 0 1 0   2 0.0  60 0.0   3 1.0 : 0
 0 0 1 0 0   6 0.0   2 1.0   9 0.0 : 0
 0 0 1 0 0  20 0.0   0 0.0   3 1.0 : 0
 0 0 1 1 0   3 0.0  40 0.0  12 0.0 : 0

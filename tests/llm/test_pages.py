@@ -112,3 +112,26 @@ def test_urls_of_a_table(spark):
     assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
     assert sorted((r["page_id"] or 0, r["host"], r["rule"], r["verdict"]) for r in out.collect()) == [(0, "b.net", "net/fr/", "block"), (1, "a.com", "com/", "allow"), (1, "a.com", "com/", "allow"), (2, "", None, "allow")]
     assert urls.filter_urls(spark.createDataFrame([], "url string")).count() == 0
+
+
+LONG = "word " * 39 + "end"
+
+
+@pytest.mark.parametrize(
+    ("inside", "text"),
+    [
+        (f'<section id="related-work"><h2>Related work</h2><p>{LONG}</p></section>', f"Related work\n{LONG}"),
+        ('<section id="privacy"><h2 id="privacy">Privacy</h2><p>Short.</p></section>', "Privacy\nShort."),
+        ('<h2 id="Legal_issues">Legal issues</h2><p>Few words.</p><h2 id="discussion">Discussion</h2>', "Legal issues\nFew words.\nDiscussion"),
+        ('<div class="section" id="discussion"><p>It is so.</p></div>', "It is so."),
+        ('<div class="social-policy"><p>It is so.</p></div>', "It is so."),
+        (f'<div class="notice"><p>{LONG}</p></div>', LONG),
+        ('<div class="share"><a href="/">Share this</a></div>', ""),
+        (f'<div class="related-posts"><p><a href="/">{LONG}</a></p></div>', ""),
+        (f'<div class="reader-comments"><p>{LONG}</p></div>', ""),
+        (f'<div class="comment-list"><p>{LONG}</p></div><div class="ad">{LONG}</div><div id="ad_slot_2">Buy</div>', ""),
+    ],
+)
+def test_sections_of_an_article_are_not_lost_for_their_names(inside, text):
+    source = f"<nav><a href='/'>Home</a></nav><article><h1>Title</h1><p>{LONG}</p>{inside}<p>{LONG} too</p></article>"
+    assert h.main_text(source) == "\n".join(x for x in ("Title", LONG, text, f"{LONG} too") if x)
