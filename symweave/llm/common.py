@@ -16,8 +16,8 @@ from ..shipping import ship
 
 __all__ = ["discard", "scratch", "shared_root", "written"]
 
-#: Rows per Arrow batch handed to Python. Texts may be long, so batches stay small.
-ARROW_ROWS = 512
+#: Rows and bytes of an Arrow batch handed to Python, at most but for its last row. Texts may be long, so batches stay small.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +39,11 @@ def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Make ready for Python on the executors: ship the package, and bound the rows of an Arrow
-    batch, as a few very long texts must fit in a worker."""
+    """Make ready for Python on the executors: ship the package, and bound the rows and bytes of
+    an Arrow batch, as a few very long texts must fit in a worker."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def crc_of_id(column: Column) -> Column:

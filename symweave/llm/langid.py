@@ -6,49 +6,61 @@ forward pass over its characters gives; expected counts from the same pass and a
 re-estimate the probabilities (EM). A text's score in a language is the sum over its words and
 the language's share; the posterior of the best language is returned.
 
-Words are runs of letters, lower-cased and started with the vocabulary's word mark. Characters
-outside the vocabulary count alike in all languages. Words are scored in blocks, one vector
-step per character and piece length, and each distinct word once while it stays in a bounded
-memo. Every text is scored whole, where it lies, without a shuffle.
+Words are runs of letters with their marks, lower-cased and started with the vocabulary's word
+mark. All pieces that can stand in such a word are used, and words are scored whole, however
+long: the pass goes in windows of WINDOW characters, carries the last values over and rescales
+them before they vanish. Characters outside the vocabulary count alike in all languages. Each
+distinct word is scored once while it stays in a memo of MEMO_BYTES at most. Every text is
+scored whole, where it lies, without a shuffle.
 
 Training reads about TRAIN_ROWS texts of each language, chosen by a hash of the id among rows
-that are not held out; its counts are summed on the executors, and one number per piece and
-language passes the driver.
-
-Defined results: null texts and texts without a letter are `und` with score 0; rows without a
-language teach nothing; with no language to learn all are `und`; languages that score alike
-go by name; repeated rows score alike; an empty table gives an empty result; extra columns are
-ignored (`predict` keeps them).
+that are not held out, and of these the words of up to LEARNT_LETTERS letters; its counts are
+summed on the executors, and one number per piece and language passes the driver. Languages are
+MAX_LANGUAGES at most, as every worker holds all their probabilities; more are an error.
+
+Defined results: null texts and texts without a letter (Unicode category L) are `und` with score
+0; rows without a language teach nothing; with no language to learn all are `und`; languages that
+score alike go by name; repeated rows score alike; very long texts and words are scored whole; an
+empty table gives an empty result; extra columns are kept by `predict` unless it is told which to
+keep, and columns called like its results, in any case, are replaced.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import functools
+import itertools
+import sys
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import held_out, small_batches, table, tidied, written
+from .common import discard, held_out, small_batches, table, tidied, written
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 TRAIN_ROWS = 1500
+LEARNT_LETTERS = 32
+MAX_LANGUAGES = 500
 ROUNDS = 3
 #: Added to each piece's expected count, and the probability of a character outside the vocabulary.
 SMOOTH, UNKNOWN = 0.1, 1e-7
-#: Longer words are scored in parts of so many characters; longer pieces are not used.
-MAX_WORD, MAX_PIECE = 24, 12
-BLOCK = 4096
-MEMO_WORDS = 600_000
+#: Words scored together, characters of them in all, and characters of a word at a time.
+BLOCK, CELLS, WINDOW = 4096, 1 << 18, 128
+#: Values below LOW are brought back up every RESCALE characters; a character costs 1e-12 at the least.
+LOW, RESCALE = 1e-120, 8
+MEMO_BYTES = 20_000_000
+#: Characters of the texts whose words are held at once; a longer text is held as counts of its distinct words.
+HELD = 1_000_000
 UNDETERMINED = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def vocabulary_path() -> str:
@@ -61,12 +73,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def parts_of(word: str) -> list[str]:
-    """The marked word in parts of at most MAX_WORD characters."""
-    marked = MARK + word
-    return [marked[i : i + MAX_WORD] for i in range(0, len(marked), MAX_WORD)]
-
-
 class Pieces:
     """Number of each usable piece from 1, found by a 64-bit hash of its characters; 0 is none.
 
@@ -74,13 +80,13 @@ class Pieces:
     looked up in an open table of TABLE_BITS bits, whose entries hold the whole hash.
     """
 
-    TABLE_BITS = 20
+    TABLE_BITS = 17
     _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
     def __init__(self, pieces: list[str]) -> None:
         self.number: dict[str, int] = {}
         for p in pieces:
-            if p and len(p) <= MAX_PIECE and p not in self.number:
+            if p and p not in self.number:
                 self.number[p] = len(self.number) + 1
         self.longest = max(map(len, self.number), default=1)
         size = 1 << max(self.TABLE_BITS, (4 * len(self.number)).bit_length())
@@ -104,12 +110,15 @@ class Pieces:
         return h
 
     @classmethod
+    @functools.cache  # one for each process
     def load(cls, path: str) -> Pieces:
+        """The vocabulary's pieces that can stand in a word."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        usual = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
-        return cls([model.id_to_piece(i) for i in usual])
+        usual = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+        inside = regex.compile(rf"{MARK}?[\p{{L}}\p{{M}}]*")
+        return cls([p for p in usual if inside.fullmatch(p) and p == p.lower()])
 
     def _lookup(self, h: np.ndarray) -> np.ndarray:
         at = ((h * self._SPREAD) >> self._shift).astype(np.int64)
@@ -118,20 +127,33 @@ class Pieces:
             found = np.where(self._hash[at + k] == h, self._piece[at + k], found)
         return found
 
+    def window(self, codes: np.ndarray, lengths: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """Piece numbers [character, length - 1, word] ending after each of the characters from begin to end."""
+        m, low = len(codes), max(0, begin - self.longest + 1)
+        grid = np.zeros((end - begin, self.longest, m), np.int32)
+        part = codes[:, low:end].astype(np.uint64)
+        width = part.shape[1]
+        h = np.zeros((m, width), np.uint64)
+        for k in range(1, min(width, self.longest) + 1):
+            # h[:, j] is the hash of the k characters from low + j on
+            h = h[:, : width - k + 1] * self._STEP + part[:, k - 1 :]
+            first = max(0, begin - low - k + 1)
+            last = np.arange(low + first + k - 1, end)
+            grid[last - begin, k - 1] = np.where(last < lengths[:, None], self._lookup(h[:, first:]), 0).T
+        return grid
+
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Piece numbers [character, length - 1, word] ending after each character, and lengths."""
-        lengths = np.array([len(w) for w in words])
-        m, n = len(words), int(lengths.max())
-        codes = np.zeros((m, n), np.uint64)
-        codes[np.arange(n) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint64(1)
-        grid = np.zeros((n, self.longest, m), np.int32)
-        h = np.zeros((m, n), np.uint64)
-        for k in range(1, min(n, self.longest) + 1):
-            # h[:, j] is the hash of the k characters from j on
-            h = h[:, : n - k + 1] * self._STEP + codes[:, k - 1 :]
-            inside = np.arange(k, n + 1) <= lengths[:, None]
-            grid[k - 1 :, k - 1, :] = np.where(inside, self._lookup(h), 0).T
-        return grid, lengths
+        """The window of all characters, and lengths."""
+        codes, lengths = _codes(words)
+        return self.window(codes, lengths, 0, codes.shape[1]), lengths
+
+
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points plus one [word, character], 0 behind a word's end; and lengths."""
+    lengths = np.array([len(w) for w in words])
+    codes = np.zeros((len(words), int(lengths.max())), np.uint32)
+    codes[np.arange(codes.shape[1]) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
+    return codes, lengths
 
 
 def _step_sets(grid: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
@@ -158,14 +180,41 @@ def forward(grid: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def word_scores(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """Log-probability [word, language]."""
+    """Log-probability [word, language], over all segmentations of the whole word."""
     out = np.zeros((len(words), p.shape[1]))
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for at in range(0, len(order), BLOCK):
-        part = order[at : at + BLOCK]
-        grid, lengths = pieces.lattice([words[i] for i in part])
-        alpha = forward(grid, lengths, p)
-        out[part] = np.log(alpha[lengths, np.arange(len(part))])
+    at = 0
+    while at < len(order):
+        many = min(BLOCK, len(order) - at)
+        while many > 1 and many * len(words[order[at + many - 1]]) > CELLS:
+            many //= 2
+        part = order[at : at + many]
+        out[part] = _block_scores(*_codes([words[i] for i in part]), pieces, p)
+        at += many
+    return out
+
+
+def _block_scores(codes: np.ndarray, lengths: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    m, n = codes.shape
+    out, scale = np.zeros((m, p.shape[1])), np.zeros((m, p.shape[1]))
+    recent: deque[np.ndarray] = deque([np.ones((m, p.shape[1]))], maxlen=pieces.longest)
+    for begin in range(0, n, WINDOW):
+        grid = pieces.window(codes, lengths, begin, min(n, begin + WINDOW))
+        some = grid.any(axis=2)
+        for i, ids in enumerate(grid):
+            now = recent[-1] * p[ids[0]]
+            for k in range(2, len(recent) + 1):
+                if some[i, k - 1]:
+                    on = np.nonzero(ids[k - 1])[0]
+                    now[on] += recent[-k][on] * p[ids[k - 1, on]]
+            recent.append(now)
+            done = begin + i + 1
+            if (ended := lengths == done).any():
+                out[ended] = np.log(now[ended]) + scale[ended]
+            if done % RESCALE == 0 and (low := (now < LOW) & (lengths > done)[:, None]).any():
+                for values in recent:
+                    values[low] /= LOW
+                scale[low] += np.log(LOW)
     return out
 
 
@@ -216,22 +265,44 @@ class Scorer:
         self.model, self.pieces = model, Pieces.load(model.vocabulary)
         self._place: dict[str, int] = {}
         self._scores = np.zeros((1024, len(model.languages)))
+        self._bytes = 0
 
     def _learn(self, words: list[str]) -> None:
-        parts = [parts_of(w) for w in words]
-        flat = word_scores([p for ps in parts for p in ps], self.pieces, self.model.p)
-        begins = np.cumsum([0, *map(len, parts)])[:-1]
         at = len(self._place)
         while len(self._scores) < at + len(words):
             self._scores = np.concatenate((self._scores, np.zeros_like(self._scores)))
-        self._scores[at : at + len(words)] = np.add.reduceat(flat, begins, axis=0)
+        self._scores[at : at + len(words)] = word_scores([MARK + w for w in words], self.pieces, self.model.p)
         self._place.update(zip(words, range(at, at + len(words)), strict=True))
 
+    def _forget(self, words: list[str], known: int) -> None:
+        """Of the last words to come, keep those that the memo has room for: a string, its place in the table, its scores."""
+        room = MEMO_BYTES - self._bytes
+        size = np.cumsum([sys.getsizeof(w) + 100 + 8 * len(self.model.languages) for w in words])
+        keep = int(np.searchsorted(size, room, "right"))
+        self._bytes += int(size[keep - 1]) if keep else 0
+        if keep < len(words):
+            for w in words[keep:]:
+                del self._place[w]
+            self._scores = self._scores[: max(1024, known + keep)].copy()
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model.languages:
             return [(UNDETERMINED, 0.0)] * len(texts)
-        words, place = [words_of(t) for t in texts], self._place
-        new = list(set().union(*words).difference(place))
+        out: list[tuple[str, float]] = []
+        at = 0
+        while at < len(texts):
+            end, held = at, 0
+            while end < len(texts) and (end == at or held + len(texts[end] or "") <= HELD):
+                held += len(texts[end] or "")
+                end += 1
+            out += self._predict(texts[at:end])
+            at = end
+        return out
+
+    def _predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        words = [words_of(t) if len(t or "") <= HELD else Counter(m[0] for m in _WORD.finditer(t.lower())) for t in texts]
+        place = self._place
+        known, new = len(place), list(set().union(*words).difference(place))
         if new:
             self._learn(new)
         out = []
@@ -239,13 +310,12 @@ class Scorer:
             if not ws:
                 out.append((UNDETERMINED, 0.0))
                 continue
-            at = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
-            s = self._scores[at].sum(axis=0) + self.model.share
+            each = self._scores[np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))]
+            s = (np.fromiter(ws.values(), float, len(ws)) @ each if isinstance(ws, Counter) else each.sum(axis=0)) + self.model.share
             best = int(s.argmax())
             out.append((self.model.languages[best], float(1 / np.exp(s - s[best]).sum())))
-        if len(place) > MEMO_WORDS:  # the last to come go
-            for w in new:
-                del place[w]
+        if new:
+            self._forget(new, known)
         return out
 
 
@@ -255,76 +325,81 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", rows: int = TRAIN
     small_batches(spark)
     vocabulary = vocabulary or vocabulary_path()
     usable = docs.where(learn & F.col("lang").isNotNull()).select(docs[f"`{key}`"].alias("id"), "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    found = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in found}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((1, 0)), np.zeros(0), vocabulary)
     # one scan for all languages: the share of each language's ids below its own bound
-    below = F.lit(False)
-    for lang in languages:
-        bound = min(1.0, rows / sizes[lang]) * (1 << 30)
-        below = below | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < int(bound)))
-    sample = usable.where(below).select("lang", "text")
+    bounds = spark.createDataFrame([(x, int(min(1.0, rows / n) * (1 << 30))) for x, n in sizes.items()], "lang string, bound long")
+    hashed = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30))
+    sample = usable.join(F.broadcast(bounds), "lang").where(hashed < F.col("bound")).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[str, Counter] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(p for w in words_of(text) for p in parts_of(w))
+                seen.setdefault(lang, Counter()).update(MARK + w for w in words_of(text) if len(w) <= LEARNT_LETTERS)
             for lang, c in seen.items():
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(c), "word": list(c), "n": pa.array(c.values(), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c), pa.string()), "word": pa.array(list(c), pa.string()), "n": pa.array(c.values(), pa.int64())})
 
     types = written(sample.mapInArrow(tidied(counted), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    pieces = Pieces.load(vocabulary)
-    size = len(pieces.number) + 1
+    size = len(Pieces.load(vocabulary).number) + 1
     p = np.full((size, len(languages)), 1 / size)
     p[0] = UNKNOWN
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(p)
 
         def expected(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            held: dict[str, tuple[list, list]] = {}
-            own = Pieces.load(vocabulary)
-            for b in batches:
-                for lang, word, n in zip(*(b.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-                    ws, ns = held.setdefault(lang, ([], []))
-                    ws.append(word)
-                    ns.append(n)
-            for lang, (ws, ns) in held.items():
-                j = languages.index(lang)
-                total = expected_counts(ws, np.array(ns, float), own, np.ascontiguousarray(now.value[:, j]))
-                on = np.nonzero(total)[0]
-                yield pa.RecordBatch.from_pydict({"j": pa.array(np.full(len(on), j, np.int32)), "piece": pa.array(on.astype(np.int32)), "c": pa.array(total[on])})
+            own, total, held = Pieces.load(vocabulary), {}, []
+            for b in itertools.chain(batches, [None]):
+                if b is not None:
+                    held.append(b)
+                if held and (b is None or sum(x.num_rows for x in held) >= 5 * BLOCK):
+                    part, held = pa.Table.from_batches(held).to_pandas(), []
+                    for lang, rows_ in part.groupby("lang"):
+                        j = languages.index(lang)
+                        counts = expected_counts(rows_["word"].tolist(), rows_["n"].to_numpy(float), own, np.ascontiguousarray(now.value[:, j]))
+                        total[j] = total[j] + counts if j in total else counts
+            for j, counts in total.items():
+                on = np.nonzero(counts)[0]
+                yield pa.RecordBatch.from_pydict({"j": pa.array(np.full(len(on), j, np.int32)), "piece": pa.array(on.astype(np.int32)), "c": pa.array(counts[on])})
 
         sums = types.mapInArrow(tidied(expected), "j int, piece int, c double").groupBy("j", "piece").agg(F.sum("c").alias("c")).toArrow()
+        now.unpersist()
         c = np.zeros_like(p)
         c[sums.column("piece").to_numpy(), sums.column("j").to_numpy()] = sums.column("c").to_numpy()
         c[1:] += SMOOTH
         p = c / c.sum(axis=0)
         p[0] = UNKNOWN
+    discard(types)
     share = np.log(np.array([sizes[x] for x in languages]) / sum(sizes.values()))
     return Model(languages, p, share, vocabulary)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; columns of these names are replaced."""
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """docs, or its columns to keep, with lang_pred and score; columns of these names are replaced."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in ("lang_pred", "score")])
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
+    read = docs.select(*[docs[f"`{c}`"] for c in keep], docs["text"].alias("__read"))
     shared = spark.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
         for b in batches:
-            said = scorer.predict(b.column("text").to_pylist())
+            said = scorer.predict(b.column(len(keep)).to_pylist())
             new = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*keep, "lang_pred", "score"])
 
-    return docs.mapInArrow(tidied(predicted), StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    fields = [*read.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return read.mapInArrow(tidied(predicted), StructType(fields))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, ~held_out(F.col("doc_id")))
-    out = predict(docs.select("doc_id", "text"), model)
+    out = predict(docs, model, keep=["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -50,16 +51,16 @@ def test_expected_counts_are_those_of_all_segmentations():
 
 
 def test_table_of_pieces_finds_all_and_nothing_else():
-    pieces = langid.Pieces([f"p{i}" for i in range(3000)] + ["", "x" * 99, "p1"])
-    assert len(pieces.number) == 3000
-    words = ["p7p2999", "zzz", "p"]
+    pieces = langid.Pieces([f"p{i}" for i in range(3000)] + ["", "x" * 30, "p1"])
+    assert len(pieces.number) == 3001
+    words = ["p7p2999", "zzz", "p", "x" * 33]
     grid, lengths = pieces.lattice(words)
     for w, word in enumerate(words):
         for i in range(1, grid.shape[0] + 1):
             for k in range(1, grid.shape[1] + 1):
                 expected = pieces.number.get(word[i - k : i], 0) if k <= i <= len(word) else 0
                 assert grid[i - 1, k - 1, w] == expected
-    assert lengths.tolist() == [7, 3, 1]
+    assert lengths.tolist() == [7, 3, 1, 33]
 
 
 WORDS = {"en": "the of and to that with".split(), "de": "und der nicht das mit über".split()}
@@ -87,14 +88,57 @@ def test_languages_are_learnt_and_held_out_rows_are_not(spark):
     assert langid.train(wrong, ~held_out(F.col("doc_id"))).languages == ["de", "en"]
 
 
+def test_long_words_are_summed_over_all_segmentations(monkeypatch):
+    """Against exact fractions, over windows and far below the smallest float."""
+    pieces, rng = langid.Pieces(PIECES), np.random.default_rng(3)
+    p = rng.random((len(PIECES) + 1, 2)) * 1e-4
+    p[0] = langid.UNKNOWN
+    words = ["▁" + "".join(rng.choice(list("abx"), n)) for n in (1, 7, 8, 9, 40, 129, 300, 700)]
+    expected = []
+    for w in words:
+        for j in range(2):
+            values = [Fraction(1)]
+            for i in range(1, len(w) + 1):
+                steps = [(k, pieces.number.get(w[i - k : i], 0)) for k in range(1, min(i, pieces.longest) + 1)]
+                values.append(sum(values[i - k] * Fraction(float(p[n, j])) for k, n in steps if n or k == 1))
+            expected.append(math.log(values[-1].numerator) - math.log(values[-1].denominator))
+    assert np.allclose(langid.word_scores(words, pieces, p).ravel(), expected, rtol=1e-12)
+    monkeypatch.setattr(langid, "CELLS", 100)
+    monkeypatch.setattr(langid, "WINDOW", 5)
+    assert np.allclose(langid.word_scores(words, pieces, p).ravel(), expected, rtol=1e-12)
+
+
+def test_the_whole_vocabulary_of_words_is_used():
+    pieces = langid.Pieces.load(langid.vocabulary_path())
+    assert {"▁international", "▁particularly", "▁communication"} <= set(pieces.number) and pieces.longest == 16
+    assert langid.Pieces.load(langid.vocabulary_path()) is pieces
+
+
+@pytest.mark.parametrize(("text", "words"), [("² ½ ① Ⅷ 3 _", []), ("a²b", ["a", "b"]), ("ÀB c1d", ["àb", "c", "d"]), ("日本", ["日本"]), ("नमस्ते", ["नमस्ते"])])
+def test_words_are_letters(text, words):
+    assert langid.words_of(text) == words
+
+
 def test_memo_of_words_may_overflow(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MEMO_WORDS", 5)
+    monkeypatch.setattr(langid, "MEMO_BYTES", 900)
+    monkeypatch.setattr(langid, "HELD", 60)
     docs = spark.createDataFrame(language_rows(10), "doc_id long, text string, lang string")
     model = langid.train(docs, F.lit(True))
     texts = [r[1] for r in language_rows(10)]
     scorer = langid.Scorer(model)
     first = [scorer.predict([t])[0] for t in texts]
     assert first == [scorer.predict([t])[0] for t in texts]
+    assert 0 < scorer._bytes <= langid.MEMO_BYTES and len(scorer._place) < 12
+    monkeypatch.setattr(langid, "HELD", 10**9)
+    for (a, s), (b, t) in zip(first, langid.Scorer(model).predict(texts), strict=True):
+        assert a == b and s == pytest.approx(t)
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "a", f"l{i}") for i in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs, F.lit(True))
 
 
 def test_nothing_to_learn(spark):
