@@ -5,14 +5,17 @@ into 2^18 slots; a document's vector holds each slot's count divided by the numb
 scale, so long and short texts weigh alike. FTRL-proximal updates visit the training rows
 in hash order. Scoring is a sparse dot product over the whole text.
 
-Training uses at most about TRAIN_ROWS labelled rows, chosen by a hash of the id, and sees
-text and label only. The sample's bound makes its broadcast and its single training task
-bounded; all other rows are scored where they are, without a shuffle.
+Training uses at most about TRAIN_ROWS labelled rows of TRAIN_CHARS characters in all, chosen by
+a hash of id, label and text, and sees text and label only. The bound is held after labels and
+documents have met, as ids may repeat in both; it makes the single training task bounded. All
+other rows are scored where they are, without a shuffle.
 
 Defined results: a null text is scored as the empty text, whose score is that of the bias
-alone; without usable labels every score is 0.5; null or other labels than 0 and 1 are
-ignored; repeated label rows count once and contradicting ones both count; repeated
-documents score alike; extra columns are ignored (`score_quality` keeps them).
+alone; without usable labels or documents every score is 0.5; null or other labels than 0 and 1
+are ignored; rows that repeat id, text and label teach once, contradicting labels both teach, and
+so do different texts of one id; repeated documents score alike; very long texts are scored whole;
+an empty table gives an empty result; extra columns are kept by `score_quality` unless it is told
+which to keep, and a column called like its result, in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_by_hash, held_out, small_batches, table, tidied
+from .common import bounded_by_hash, held_out, small_batches, table, tidied, written
 
 BITS = 18
-TRAIN_ROWS = 12_000
+TRAIN_ROWS, TRAIN_CHARS = 12_000, 120_000_000
 EPOCHS = 3
 SCALE = 50.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
@@ -132,13 +135,17 @@ def score_text(weights: np.ndarray, features: Features, text: str | None) -> flo
     return sigmoid(total + float(weights[-1]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
-    """(id, text, label) of the bounded sample."""
+def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
+    """(id, text, label, h) of the bounded sample; h is a hash of the text."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label")).distinct()
     sample = bounded_by_hash(usable, F.col("id"), usable.count(), bound)
     texts = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text"))
-    return texts.join(F.broadcast(sample), "id")
+    met = texts.join(F.broadcast(sample), "id").withColumn("h", F.xxhash64("text"))
+    rows = written(met.groupBy("id", "label", "h").agg(F.first("text").alias("text")).select("id", "text", "label", "h"), "labelled")
+    size = rows.agg(F.count("*"), F.sum(F.char_length("text"))).first()
+    share = max(size[0] / bound, (size[1] or 0) / chars)
+    return bounded_by_hash(rows, F.struct("id", "label", "h"), size[0], int(size[0] / share)) if share > 1 else rows
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> np.ndarray:
@@ -154,31 +161,32 @@ def train_quality(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
             yield pa.RecordBatch.from_pydict({"w": pa.array([found.fit().astype("<f8").tobytes()])})
 
     small_batches(docs.sparkSession)
-    in_order = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "label", F.xxhash64("text"))
+    in_order = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "label", "h").select("text", "label")
     found = in_order.mapInArrow(tidied(fit), "w binary").collect()
     return np.frombuffer(found[0][0], "<f8") if found else np.zeros((1 << BITS) + 1)
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
-    """docs with the score; a column of that name is replaced."""
+def score_quality(docs: DataFrame, weights: np.ndarray, name: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """docs, or its columns to keep, with the score; a column of that name is replaced."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != name])
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != name.lower()]
+    read = docs.select(*[docs[f"`{c}`"] for c in keep], docs["text"].alias("__read"))
     shared = spark.sparkContext.broadcast(weights)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w = Features(), shared.value
         for b in batches:
-            s = [score_text(w, features, t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, name])
+            s = [score_text(w, features, t) for t in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*keep, name])
 
-    return docs.mapInArrow(tidied(scored), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return read.mapInArrow(tidied(scored), StructType([*read.schema.fields[:-1], StructField(name, DoubleType())]))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
     weights = train_quality(docs, table(spark, sf_dir, "labels"))
-    out = score_quality(docs, weights)
+    out = score_quality(docs, weights, keep=["doc_id"])
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

@@ -184,6 +184,57 @@ def test_sparse_scores_are_plain_dot_products():
         assert quality.score_text(weights, features, text) == pytest.approx(1 / (1 + math.exp(-total)))
 
 
+def plain_ftrl(rows, alpha, beta, l1, l2, epochs):
+    """FTRL-proximal as it was published, coordinate by coordinate: rows of ({slot: value}, label); "bias" has no penalty."""
+    z, n = {}, {}
+
+    def weight(i):
+        a, b = (0.0, 0.0) if i == "bias" else (l1, l2)
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= a else -(zi - math.copysign(a, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + b)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            x = {**x, "bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_training_is_plain_ftrl():
+    rows = quality_rows(40)
+    weights = quality.train([t for _, t, _ in rows], [y for _, _, y in rows], bits=10)
+    features, plain = quality.Features(10), []
+    for _, t, y in rows:
+        slots = features.slots(t).tolist()
+        plain.append(({i: float(np.float32(slots.count(i) * (quality.SCALE / len(slots)))) for i in set(slots)}, y))
+    expected = plain_ftrl(plain, quality.ALPHA, quality.BETA, quality.L1, quality.L2, quality.EPOCHS)
+    assert weights[-1] == pytest.approx(expected.pop("bias")) and any(expected.values())
+    assert np.allclose(weights[list(expected)], list(expected.values())) and np.count_nonzero(weights[:-1]) == sum(map(bool, expected.values()))
+
+
+def test_repeated_ids_do_not_break_the_bound_nor_teach_twice(spark):
+    rows = quality_rows(60)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    once = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    often = once.unionByName(once.where("doc_id < 9")).unionByName(once)
+    assert (quality.train_quality(once, labels) == quality.train_quality(often, labels)).all()
+    hot = spark.range(5000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    assert 300 < quality.training_rows(hot, labels, bound=400).count() < 500
+    assert quality.training_rows(hot, labels, chars=20_000).agg(F.sum(F.length("text"))).first()[0] < 24_000
+
+
+def test_quality_of_empty_tables(spark):
+    docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    weights = quality.train_quality(docs, labels)
+    assert not weights.any() and quality.score_quality(docs, weights).count() == 0
+
+
 def test_the_training_sample_is_bounded(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
