@@ -14,7 +14,8 @@ A table becomes one file for each range of document ids. Files are written under
 their attempt and then renamed, so a lost executor or a second attempt leaves whole files.
 
 Defined results: null and empty texts have the end id only; rows with a null id come first;
-repeated rows are written as often as they occur; an empty table gives no files and an empty
+rows of one id go by a hash of their text; repeated rows are written as often as they occur; very
+long texts are encoded whole and may span many frames; an empty table gives no files and an empty
 result; other columns are ignored. Document ids are integers.
 """
 

@@ -4,7 +4,8 @@ A byte-level BPE never merges across its pre-tokens, and no pre-token goes on ov
 or line feed that a non-space character follows. Texts are therefore cut before each of these.
 The pieces of a block of texts are made distinct column-wise, and the library encodes those
 that a bounded memo does not hold. Texts with other white space, or with runs of it, are cut
-one by one by the same rule.
+one by one by the same rule; texts that hold the string of a special token, or a NUL, are given
+to the library whole.
 """
 
 from __future__ import annotations
@@ -55,14 +56,14 @@ def in_blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = BLOCK_
 
 
 class Encoder:
-    """Token ids of texts, special tokens' strings being ordinary text."""
+    """Token ids of texts, as the library's encode() gives them without added special tokens."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._special = sorted(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
         (self._line_feed,) = self._tokenizer.encode("\n", add_special_tokens=False).ids
         #: Pieces, without their leading space if they have one; and where their ids are in _ids.
         self._known = pa.array([], pa.string())
@@ -137,6 +138,8 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         full = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False)
         odd = pc.fill_null(pc.match_substring_regex(texts, _IRREGULAR), False).to_numpy(zero_copy_only=False)
+        for special in self._special:
+            odd |= pc.fill_null(pc.match_substring(texts, special), False).to_numpy(zero_copy_only=False)
         regular = np.flatnonzero(full & ~odd)
         if len(regular):
             marked = pc.binary_join_element_wise(_START, texts.take(pa.array(regular)), "")
@@ -145,10 +148,11 @@ class Encoder:
                 out[i] = ids
         rest = np.flatnonzero(full & odd).tolist()
         said = [texts[i].as_py() for i in rest]
-        for i, text in zip(rest, said, strict=True):
-            if _START in text:
+        whole = [any(mark in text for mark in (_START, *self._special)) for text in said]
+        for i, text, uncut in zip(rest, said, whole, strict=True):
+            if uncut:
                 (out[i],) = self._texts([text])
-        cut = [(i, self._cut(t)) for i, t in zip(rest, said, strict=True) if _START not in t]
+        cut = [(i, self._cut(t)) for i, t, uncut in zip(rest, said, whole, strict=True) if not uncut]
         if cut:
             bounds = np.cumsum([0, *[len(k) for _, k in cut]])
             for (i, _), ids in zip(cut, self._joined(pa.array([k for _, ks in cut for k in ks], pa.string()), bounds), strict=True):
