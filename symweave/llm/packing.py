@@ -2,9 +2,9 @@
 
 Packing depends on lengths alone, so it is planned on the histogram of lengths, of at most
 `room` numbers, with multiplicities: a pattern (lengths that fill a sequence) and how often it
-is used. From the longest length down, the gap that it leaves is looked up among single
-lengths, sums of two and sums of three; a combination that fills it exactly is consumed as
-often as the available counts allow. What then is left goes best-fit: the longest first, into
+is used. From the longest length down, the gap that it leaves is looked up in an index of single
+lengths, sums of two and sums of three, kept under the counts that are left; a combination that
+fills it exactly is consumed as often as they allow. What then is left goes best-fit: the longest first, into
 the smallest gap that holds it, a new sequence if none does.
 
 Documents meet the plan by length and rank: each pattern takes a stretch of ranks of each of
@@ -13,12 +13,14 @@ tasks. Only the histogram and the plan, both bounded by `room`, pass the driver.
 
 Defined results: null and empty texts have the end id only; documents longer than a sequence
 are cut so that only the first piece may be shorter, all others are full; null ids are packed
-like any other; repeated rows are packed as often as they occur; an empty table gives an
-empty result; other columns are ignored.
+like any other; repeated rows are packed as often as they occur; very long texts are encoded
+whole; pieces of one length are interchangeable in the plan and go by bucket, id and piece; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -47,73 +49,113 @@ class Pattern:
 
 
 class Histogram:
-    """Available lengths with an index of which sums of two are possible."""
+    """Available lengths, and an index of the sums of one, two and three of them, as sets of bits.
+
+    Singles are exact at all times, and their mirrored set gives the pairs of a sum in one step.
+    The sums of two and of three are made anew when a length has run out since; until then, and
+    where a scarce length would be used twice, they may hold too much, so a combination counts
+    only once its lengths are found among the counts.
+    """
 
     def __init__(self, counts: dict[int, int], room: int = ROOM) -> None:
-        self.n = np.zeros(room + 1, np.int64)
+        self.n, self.room = [0] * (room + 1), room
         for length, count in counts.items():
             self.n[length] += count
-
-    def exact(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three available lengths with the sum gap, the longest first."""
-        n = self.n
-        if gap > 0 and n[gap]:
-            return (gap,)
-        return self._two(gap) or self._three(gap)
+        self._single = sum(1 << x for x, count in enumerate(self.n) if x and count > 0)
+        self._mirror = sum(1 << (room - x) for x, count in enumerate(self.n) if x and count > 0)
+        self._pair = self._triple = 0
+        self._stale = True
+
+    def add(self, length: int, count: int) -> None:
+        """Change the count of a length."""
+        had, self.n[length] = self.n[length] > 0, self.n[length] + count
+        if had != (self.n[length] > 0):
+            self._single ^= 1 << length
+            self._mirror ^= 1 << (self.room - length)
+
+    def use(self, length: int, count: int) -> None:
+        self.add(length, -count)
+        self._stale |= not self.n[length]
+
+    def _indexed(self) -> None:
+        below = (1 << (self.room + 1)) - 1
+        lengths = _bits(self._single)
+        self._pair = self._triple = 0
+        for x in lengths:
+            self._pair |= (self._single ^ (1 << x if self.n[x] < 2 else 0)) << x
+        self._pair &= below
+        for x in lengths:
+            self._triple |= self._pair << x
+        self._triple &= below
+        self._stale = False
+
+    def exact(self, gap: int, without: int = 0) -> tuple[int, ...] | None:
+        """One, two or three available lengths with the sum gap, the longest first; one of `without` is taken."""
+        if self._stale:
+            self._indexed()
+        if without:
+            self.add(without, -1)
+        found = self._one(gap) or self._two(gap) or self._three(gap)
+        if without:
+            self.add(without, 1)
+        return found
+
+    def _one(self, gap: int) -> tuple[int] | None:
+        return (gap,) if self._single >> gap & 1 else None
 
     def _two(self, gap: int) -> tuple[int, int] | None:
-        if gap < 2:
+        """The pair with the longest length."""
+        if not self._pair >> gap & 1:
+            return None
+        low = self._single & (self._mirror >> (self.room - gap)) & ((1 << (gap // 2 + 1)) - 1)
+        if gap % 2 == 0 and self.n[gap // 2] < 2:
+            low &= ~(1 << (gap // 2))
+        if not low:
             return None
-        low = np.arange(1, gap // 2 + 1)
-        high = gap - low
-        free = (self.n[low] > 0) & (self.n[high] > 0) & ((low != high) | (self.n[low] > 1))
-        at = int(free.argmax())
-        return (int(high[at]), int(low[at])) if free[at] else None
+        x = (low & -low).bit_length() - 1
+        return gap - x, x
 
     def _three(self, gap: int) -> tuple[int, int, int] | None:
-        if gap < 3:
+        if not self._triple >> gap & 1:
             return None
-        for a in (np.nonzero(self.n[1 : gap - 1])[0] + 1)[::-1].tolist():
-            if 3 * a < gap:
-                return None
-            self.n[a] -= 1
-            two = self._two(gap - a)
-            self.n[a] += 1
-            if two and two[0] <= a:
-                return (a, *two)
+        for x in reversed(_bits(self._single & ((1 << gap) - 1))):
+            if 3 * x < gap:
+                break
+            self.add(x, -1)
+            two = self._two(gap - x)
+            self.add(x, 1)
+            if two and two[0] <= x:
+                return (x, *two)
         return None
 
 
+def _bits(x: int) -> list[int]:
+    """Places of the bits that are set, in ascending order."""
+    return [i for i, c in enumerate(reversed(bin(x)[2:])) if c == "1"]
+
+
 def plan_packing(counts: dict[int, int], room: int = ROOM) -> list[Pattern]:
     """Patterns that use each length just as often as counts has it."""
-    h = Histogram(counts, room)
-    n, out = h.n, []
+    h, out = Histogram(counts, room), []
     for length in range(room, 0, -1):
-        while n[length]:
+        while h.n[length] > 0:
             gap = room - length
-            if not gap:
-                found: tuple[int, ...] | None = ()
-            else:
-                n[length] -= 1
-                found = h.exact(gap)
-                n[length] += 1
+            found = h.exact(gap, length) if gap else ()
             if found is None:
                 break
-            use: dict[int, int] = {}
-            for x in (length, *found):
-                use[x] = use.get(x, 0) + 1
-            times = min(int(n[x]) // m for x, m in use.items())
+            use = Counter((length, *found))
+            times = min(h.n[x] // m for x, m in use.items())
             for x, m in use.items():
-                n[x] -= m * times
+                h.use(x, m * times)
             out.append(Pattern(sorted(use.items(), reverse=True), times))
-    return out + _best_fit(n, room)
+    return out + _best_fit(h.n, room)
 
 
-def _best_fit(n: np.ndarray, room: int) -> list[Pattern]:
+def _best_fit(n: list[int], room: int) -> list[Pattern]:
     """The rest, longest first; sequences of one content are handled together."""
     open_: dict[int, list[Pattern]] = {}
     for length in range(room, 0, -1):
-        left = int(n[length])
+        left = n[length]
         while left:
             gap = next((g for g in range(length, room) if open_.get(g)), None)
             p = open_[gap].pop() if gap is not None else Pattern([], left)
