@@ -12,7 +12,7 @@ that are numbered apart, so the source that holds a third of all rows is spread
 tasks. The table of sources has one row for each source and is the only thing sorted as one.
 
 Defined results: null texts have size 0; null sources are one source, the last; null ids
-come first in their bucket; repeated rows are sampled one by one; sources of size 0 have
+go to buckets by a hash of their text and come first there; repeated rows are sampled one by one; very long texts are measured whole; ties of size go by id; sources of size 0 have
 target 0 and no words; an empty table gives an empty result; other columns are ignored
 (`mix_plan`) or kept (`mixed`).
 """
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, ranked, table, written
+from .common import ranked, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed values of the standing mix.
@@ -30,6 +30,8 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 SEED = 20240229
 #: Words in a band of sizes, and the number of bands; the last one has all larger sizes.
 BAND, BANDS = 32, 1024
+#: Into how many buckets a band of a source is split, so that one may hold a third of all rows; the same at every size.
+BUCKETS = 256
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -65,12 +67,11 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", seed: int = SEED, most: int =
             docs["source"].isNull().alias("none"),
             F.coalesce(docs["source"], F.lit("")).alias("s"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+            F.coalesce(F.pmod(docs[f"`{key}`"], F.lit(BUCKETS)), F.conv(F.substring(F.md5(text), 1, 2), 16, 10)).cast("int").alias("bucket"),
         ),
         "sizes",
     )
     rows = sized.withColumn("band", F.least(F.floor(F.col("size") / BAND), F.lit(BANDS - 1)))
-    buckets = buckets_for(sized.count())
-    rows = rows.withColumn("bucket", F.coalesce(F.pmod(F.col("id"), F.lit(buckets)), F.lit(0)))
     rows = ranked(rows, ["none", "s"], ["band", "bucket"], ["size", "id"])
     plan = targets(sized.groupBy("none", "s").agg(F.sum("size").alias("source_size")), most=most)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.when(F.col("none"), "null").otherwise(F.concat(F.lit("="), "s")))), 1, 8), 16, 10)
@@ -89,22 +90,23 @@ def mixed(docs: DataFrame, key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """
     plan = mix_plan(docs, key, seed).groupBy("id", "none", "s", "size").agg(F.count("*").alias("rows"), F.sum("copies").alias("total"))
     plan = written(plan.where("total > 0"), "mix")  # narrow; documents move once
-    marked = docs.select(
-        *[docs[f"`{c}`"] for c in docs.columns],
-        docs["source"].isNull().alias("__none"),
-        F.coalesce(docs["source"], F.lit("")).alias("__s"),
-        F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long").alias("__size"),
-    )
-    same = marked[f"`{key}`"].eqNullSafe(plan["id"]) & (marked["__none"] == plan["none"]) & (marked["__s"] == plan["s"]) & (marked["__size"] == plan["size"])
+    columns = docs.columns
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"), docs[f"`{key}`"].alias("of"), docs["source"].alias("source"), docs["text"].alias("text"))
+    marked = row.select(
+        "row", "of", F.col("source").isNull().alias("no"), F.coalesce("source", F.lit("")).alias("by"),
+        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("long"),
+    )
+    same = marked["of"].eqNullSafe(plan["id"]) & (marked["no"] == plan["none"]) & (marked["by"] == plan["s"]) & (marked["long"] == plan["size"])
     # the plan has a row for almost every document, so it is never a side to broadcast
-    taken = marked.join(plan.hint("merge"), same).select(*[marked[f"`{c}`"] for c in docs.columns], plan["rows"].alias("__rows"), plan["total"].alias("__total"), "__s")
-    single = taken.where("__rows = 1").withColumn("__copies", F.col("__total"))
-    alike = Window.partitionBy(F.col(f"`{key}`"), "__s", "__total", "__rows").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() != "map"]))
-    several = taken.where("__rows > 1").withColumn("__at", F.row_number().over(alike) - 1)
-    share = F.floor((F.col("__at") + 1) * F.col("__total") / F.col("__rows")) - F.floor(F.col("__at") * F.col("__total") / F.col("__rows"))
-    both = single.unionByName(several.withColumn("__copies", share).drop("__at"))
-    repeated = both.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = marked.join(plan.hint("merge"), same).select("row", "of", "no", "by", "long", "rows", "total")
+    single = taken.where("rows = 1").withColumn("copies", F.col("total"))
+    plain = [F.col("row").getField(c) for c in columns if "map" not in docs.schema[c].dataType.simpleString()]
+    alike = Window.partitionBy("of", "no", "by", "long").orderBy(F.xxhash64(*plain))
+    several = taken.where("rows > 1").withColumn("at", F.row_number().over(alike) - 1)
+    share = F.floor((F.col("at") + 1) * F.col("total") / F.col("rows")) - F.floor(F.col("at") * F.col("total") / F.col("rows"))
+    both = single.unionByName(several.withColumn("copies", share).drop("at"))
+    repeated = both.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,11 +117,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS s,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents
+    CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+    coalesce((doc_id % {BUCKETS} + {BUCKETS}) % {BUCKETS}, CAST('0x' || substr(md5(coalesce(text, '')), 1, 2) AS BIGINT)) AS bucket FROM documents
 ), banded AS (
-  SELECT *, least(size // {BAND}, {BANDS - 1}) AS band,
-    coalesce(((doc_id % b) + b) % b, 0) AS bucket
-  FROM sized, (SELECT greatest(16, (count(*) + 249999) // 250000) AS b FROM documents)
+  SELECT *, least(size // {BAND}, {BANDS - 1}) AS band FROM sized
 ), ranks AS (
   SELECT *, row_number() OVER (PARTITION BY none, s ORDER BY band, bucket, size, doc_id NULLS FIRST) - 1 AS rank FROM banded
 ), src AS (

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import random
 from collections import Counter
 from zlib import crc32
@@ -16,13 +17,13 @@ from symweave.llm import common, mixing, packing, tokenfile
 from symweave.llm import tokens as tk
 
 PATH = tk.default_path()
+SPECIAL = "<|endoftext|>"
 TEXTS = ["", "a", " a", "a ", "The quick  brown\n\nfox\tjumps", "x\n y", "<|endoftext|> it's 42", "é 世界 🙂", "word " * 3000, "\xa0 ᠎ b", "a\r\nb \x1c c"]
 
 
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -43,6 +44,14 @@ def test_pieces_encode_as_whole_texts(library, monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_column(slice_)] == [library(t) for t in slice_.to_pylist()]
 
 
+def test_special_tokens_are_encoded_as_the_library_does(library):
+    enc, rng = tk.Encoder(PATH), random.Random(7)
+    assert library(f"a {SPECIAL} b") == [64, 220, 50256, 275]
+    parts = ["a", " ", "\n", "b ", SPECIAL, SPECIAL[:-1], "<|", "|>", "\t", "é"]
+    texts = [SPECIAL, SPECIAL * 2, f" {SPECIAL}", f"{SPECIAL} ", f"word {SPECIAL}\n x", SPECIAL.upper(), *["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(3000)]]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_column(pa.array(texts))] == [library(t) for t in texts]
+
+
 def test_batches_are_joined_to_blocks():
     batches = [pa.RecordBatch.from_pydict({"i": [n], "text": ["x" * 10]}) for n in range(7)]
     blocks = list(tk.in_blocks(iter(batches), "text", size=30))
@@ -155,6 +164,25 @@ def test_exact_combinations():
     assert h.exact(67) == (30, 30, 7) and h.exact(90) is None and h.exact(0) is None and h.exact(1) is None
 
 
+def test_exact_combinations_are_found_whenever_there_are_any():
+    """Against trying all, while lengths are used up."""
+    rng = random.Random(11)
+    for _ in range(150):
+        room = rng.randint(3, 30)
+        counts = {x: rng.randint(1, 3) for x in rng.sample(range(1, room + 1), rng.randint(1, min(room, 8)))}
+        h = packing.Histogram(counts, room)
+        for _ in range(6):
+            gap, without = rng.randint(1, room), rng.choice([0, *[x for x in range(room + 1) if h.n[x]]])
+            left = Counter({x: n for x, n in enumerate(h.n) if n}) - Counter({without: 1})
+            every = [c for k in (1, 2, 3) for c in itertools.combinations_with_replacement(sorted(left, reverse=True), k) if sum(c) == gap and not Counter(c) - left]
+            found = h.exact(gap, without)
+            assert (found in every) if every else found is None
+            if every:
+                assert len(found) == len(every[0])
+                for x in found:
+                    h.use(x, 1)
+
+
 def test_packed_pieces_cover_the_documents(spark, library):
     rows = [*ROWS, *((200 + i, "the same text for many rows") for i in range(300))]
     got = packing.packed(table(spark, rows)).collect()
@@ -225,6 +253,16 @@ def test_mix_hits_targets(spark, seed):
     assert Counter((r["doc_id"], r["source"], words(r["text"])) for r in out.collect()) == +copies
 
 
+def test_mix_keeps_columns_of_any_name_and_spreads_null_ids(spark):
+    rows = [(None if i % 2 else i, f"{'w ' * (i % 5)}{i}", "s", "a", 1, 2, 3, {"k": i}) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __s string, __size int, __none int, row int, copies map<string, int>")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    found = [tuple(r) for r in out.collect()]
+    assert 500 < len(found) <= 800 and all(r in rows for r in found)
+    assert mixing.mix_plan(docs).where("id IS NULL").count() == 200
+
+
 def test_mix_of_odd_tables(spark):
     ddl = "doc_id long, text string, source string"
     assert mixing.mix_plan(spark.createDataFrame([], ddl)).count() == 0 and mixing.mixed(spark.createDataFrame([], ddl)).count() == 0
