@@ -1,17 +1,21 @@
 """Main text of HTML pages: flat text blocks classified by a small decision tree.
 
 A page is read once into a flat list of blocks, the stretches of text between block-level tags.
-A block has its number of words and the density of words inside links, its neighbours' same
-numbers, what its surroundings are by tag or by class words, and whether it stands inside the
-page's article, or outside of one. A decision tree, grown at first use from the labelled table in this module, says which blocks
-are content.
+A block has its number of words and the density of words inside links, and the same numbers of its
+two neighbours. Beside these stand what markup says of it: whether it is in an element that holds no
+main text by tag or role, what its surroundings are called and how much of the page's text is so
+called, whether it stands inside the page's article or outside of one, and, on pages that mark
+none, apart from the innermost element that holds most of the text. A decision tree, grown at first
+use from the blocks of the labelled pages in this module, says which blocks are content.
 
 White space inside a block becomes one space; character references are decoded; content blocks
 are joined by a line feed in page order. Nothing else is dropped or cut.
 
 Defined results: a null, empty or text-free page has the empty text; broken and unclosed markup
-is read as far as it goes, and a tag that the page's end cuts off is no text; repeated rows come out as
-often as they went in; an empty table gives an empty result; other columns pass through.
+is read as far as it goes, and a tag that the page's end cuts off is no text; very long pages are
+read whole, in time that grows with their length, however deep they nest; repeated rows come out
+as often as they went in, alike; an empty table gives an empty result; other columns pass through,
+and columns called like the results, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import functools
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -86,8 +90,14 @@ class Block:
     text: str
     words: int = 0
     linked: int = 0
-    boiler: float = 0.0
+    element: int = 0
+    boiler: bool = False
+    #: 1: so called; 0.5: by a weak word, inside the article; and by which element
+    named: float = 0.0
+    namer: int = 0
     article: bool = False
+    #: the article element inside an article that it is in
+    nested: int = 0
     heading: bool = False
     item: bool = False
 
@@ -99,18 +109,36 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    #: 1: no main text; 0.5: so says a weak word only
-    boiler: float
+    boiler: bool
+    named: float
+    namer: int
     article: bool
+    nested: int
     hidden: bool
+    number: int = 0
+
+
+_ROOT = _Open("", False, 0.0, 0, False, 0, False)
 
 
-@dataclass
 class _Page:
-    blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=list)
-    parts: list[tuple[str, bool]] = field(default_factory=list)
-    links: int = 0
+    """Open elements, and all elements by number in the order of their start tags."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.stack: list[_Open] = []
+        #: places in the stack, by tag and of the block-level elements
+        self.places: dict[str, list[int]] = {}
+        self.levels: list[int] = []
+        self.parts: list[tuple[str, bool]] = []
+        self.tags, self.parents, self.ends = [""], [0], [0]
+
+    @property
+    def links(self) -> bool:
+        return bool(self.places.get("a"))
+
+    def top(self) -> _Open:
+        return self.stack[-1] if self.stack else _ROOT
 
     def flush(self) -> None:
         if not self.parts:
@@ -119,19 +147,38 @@ class _Page:
         text = " ".join("".join(t for t, _ in parts).split())
         if not text:
             return
-        top = self.stack[-1] if self.stack else _Open("", 0.0, False, False)
+        top = self.top()
         tags = {o.tag for o in self.stack[-4:]}
         linked = sum(len(_WORDS.findall(t)) for t, link in parts if link)
+        words = max(1, len(_WORDS.findall(text)))
         self.blocks.append(
-            Block(text, max(1, len(_WORDS.findall(text))), linked, top.boiler, top.article, bool(tags & {"h1", "h2", "h3", "h4", "h5", "h6"}), bool(tags & {"li", "td", "th", "option"}))
+            Block(text, words, min(linked, words), top.number, top.boiler, top.named, top.namer, top.article, top.nested, bool(tags & _HEADINGS), bool(tags & {"li", "td", "th", "option"}))
         )
 
+    def open(self, element: _Open) -> None:
+        element.number = len(self.tags)
+        if element.namer < 0:
+            element.namer = element.number
+        if element.nested < 0:
+            element.nested = element.number
+        self.tags.append(element.tag)
+        self.parents.append(self.top().number)
+        self.ends.append(0)
+        self.places.setdefault(element.tag, []).append(len(self.stack))
+        if element.tag in BLOCK_TAGS:
+            self.levels.append(len(self.stack))
+        self.stack.append(element)
+
     def close(self, at: int) -> None:
         """End the open elements from place `at` on."""
-        if any(o.tag in BLOCK_TAGS for o in self.stack[at:]):
+        if self.levels and self.levels[-1] >= at:
             self.flush()
-        self.links -= sum(o.tag == "a" for o in self.stack[at:])
-        del self.stack[at:]
+        while len(self.stack) > at:
+            o = self.stack.pop()
+            self.places[o.tag].pop()
+            if o.tag in BLOCK_TAGS:
+                self.levels.pop()
+            self.ends[o.number] = len(self.tags)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -152,42 +199,50 @@ def _is_named(names: str, words: frozenset[str]) -> bool:
     return False
 
 
-def _surroundings(tag: str, raw: str, above: _Open | None) -> _Open:
-    boiler, article, hidden = (above.boiler, above.article, above.hidden) if above else (0.0, False, False)
+def _surroundings(tag: str, raw: str, above: _Open, in_article: bool) -> _Open:
+    """The element; a negative namer or nested is its own number, which it gets when it is opened."""
+    o = _Open(tag, above.boiler, above.named, above.namer, above.article, above.nested, above.hidden)
+    if tag == "article" and in_article and not above.nested:
+        o.nested = -1
     if tag in ARTICLE_TAGS:
-        article = True
+        o.article = True
     # a header of the page holds no main text; one inside the article has its title
-    if tag in BOILER_TAGS or tag == "header" and not article:
-        boiler = 1.0
+    if tag in BOILER_TAGS or tag == "header" and not o.article:
+        o.boiler = True
     if tag in RAW_TAGS:
-        hidden = True
+        o.hidden = True
     if raw and not raw.isspace():
         a = _attributes(raw)
         names = _ABOUT.sub(" ", f"{a.get('class', '')} {a.get('id', '')}".lower())
         words = {w for x in _CLASS_PART.findall(names) for w in (x, *x.split("-"))} | set(re.split(r"[_\s]+", names))
         role = a.get("role", "").lower()
         # ids of headings and of an article's sections are anchors made of their titles
-        anchor = tag in _HEADINGS or article and (tag == "section" or "section" in words)
+        anchor = tag in _HEADINGS or o.article and (tag == "section" or "section" in words)
         called = _ABOUT.sub(" ", (a.get("class", "") if anchor else f"{a.get('class', '')} {a.get('id', '')}").lower())
         known = COMMENT_WORDS if tag in ARTICLE_TAGS else BOILER_WORDS
-        if role in BOILER_ROLES or tag not in ("body", "html") and _is_named(called, known - WEAK_WORDS if article and tag not in ARTICLE_TAGS else known):
-            boiler = 1.0
-        elif article and tag not in ("body", "html", *ARTICLE_TAGS) and _is_named(called, WEAK_WORDS):
-            boiler = max(boiler, 0.5)
+        if role in BOILER_ROLES:
+            o.boiler = True
+        if tag not in ("body", "html") and _is_named(called, known - WEAK_WORDS if o.article and tag not in ARTICLE_TAGS else known):
+            if o.named < 1:
+                o.named, o.namer = 1.0, -1
+        elif o.article and tag not in ("body", "html", *ARTICLE_TAGS) and _is_named(called, WEAK_WORDS):
+            if not o.named:
+                o.named, o.namer = 0.5, -1
         elif tag in ("div", "section", "td") and words & ARTICLE_WORDS or role in ("main", "article"):
-            article = True
+            o.article = True
         if "hidden" in a or a.get("aria-hidden") == "true" or _HIDDEN.search(a.get("style", "").lower()):
-            hidden = True
-    return _Open(tag, boiler, article, hidden)
+            o.hidden = True
+    return o
 
 
-def blocks_of(source: str | None) -> list[Block]:
-    """The text blocks of a page in order."""
+def read_page(source: str | None) -> _Page:
+    """The page's blocks in order, and its elements."""
     page, at, source = _Page(), 0, source or ""
+    stack, places = page.stack, page.places
 
     def text(upto: int) -> None:
-        if upto > at and not (page.stack and page.stack[-1].hidden):
-            page.parts.append((html.unescape(source[at:upto]), page.links > 0))
+        if upto > at and not page.top().hidden:
+            page.parts.append((html.unescape(source[at:upto]), page.links))
 
     while found := _TOKEN.search(source, at):
         text(found.start())
@@ -195,131 +250,180 @@ def blocks_of(source: str | None) -> list[Block]:
         closing, tag, raw = found[1], (found[2] or "").lower(), found[3] or ""
         if not tag:
             continue
-        stack = page.stack
         if closing:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-            if tag == "p" and place is None:
+            if places.get(tag):
+                place = places[tag][-1]
+                # an inline end tag does not reach out of the block that it stands in
+                if tag in BLOCK_TAGS or tag in RAW_TAGS or not (page.levels and page.levels[-1] > place):
+                    page.close(place)
+            elif tag == "p":
                 page.flush()
-            # an inline end tag does not reach out of the block that it stands in
-            if place is not None and (tag in BLOCK_TAGS or tag in RAW_TAGS or not any(o.tag in BLOCK_TAGS for o in stack[place + 1 :])):
-                page.close(place)
             continue
         if tag in VOID_TAGS:
             if tag == "hr":
                 page.flush()
-            elif tag == "br" and not (stack and stack[-1].hidden):
-                page.parts.append((" ", page.links > 0))
+            elif tag == "br" and not page.top().hidden:
+                page.parts.append((" ", page.links))
             continue
         if tag in BLOCK_TAGS:
-            for i in range(len(stack) - 1, -1, -1):
-                if tag in IMPLIED_END.get(stack[i].tag, ()):
-                    page.close(i)
-                    break
-                # only inline elements stand between it and what it ends
-                if stack[i].tag in BLOCK_TAGS:
-                    break
+            # only inline elements stand between it and what it ends
+            if page.levels and tag in IMPLIED_END.get(stack[page.levels[-1]].tag, ()):
+                page.close(page.levels[-1])
             page.flush()
             # inline elements that were left open end with their block
             while stack and stack[-1].tag not in BLOCK_TAGS and stack[-1].tag not in RAW_TAGS and stack[-1].tag not in ("a", "span"):
                 page.close(len(stack) - 1)
         if tag == "a" and page.links:
-            page.close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "a"))
+            page.close(places["a"][-1])
         if raw.endswith("/") and tag in ("svg", "math", "path", "use"):
             continue
-        opened = _surroundings(tag, raw, stack[-1] if stack else None)
         if tag in CDATA_TAGS:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
             at = end.end() if end else len(source)
             continue
-        stack.append(opened)
-        page.links += tag == "a"
+        page.open(_surroundings(tag, raw, page.top(), bool(places.get("article"))))
     text(len(source))
     page.flush()
-    return page.blocks
-
+    page.close(0)
+    return page
+
+
+FEATURES = (
+    "boiler", "named", "share", "inside", "outside", "apart", "nested", "rights", "heading", "item",
+    "words", "density", "words_before", "density_before", "words_after", "density_after",
+)
+
+#: The least share of a page's text that an article has, and that the element has which stands for one.
+LEAST_ARTICLE, MOST_OF_TEXT = 0.2, 0.7
+_CONTAINERS = frozenset("div section td center main body dd fieldset".split())
+_RIGHTS = re.compile(r"\u00a9|\(c\) ?\d{4}|\ball rights reserved\b|\bcopyright\b", re.IGNORECASE)
+_RIGHTS_CHARS = 200
+
+
+def _subtree_sums(page: _Page, own: list[float]) -> list[float]:
+    """Of each element's own numbers, the sums with all elements inside it."""
+    total = list(own)
+    for i in range(len(total) - 1, 0, -1):
+        total[page.parents[i]] += total[i]
+    return total
+
+
+def features(page: _Page) -> list[tuple[float, ...]]:
+    """A row of FEATURES for each block."""
+    blocks, size = page.blocks, len(page.tags)
+    plain, many = [0.0] * size, [0.0] * size
+    for b in blocks:
+        if not b.boiler:
+            plain[b.element] += b.words - b.linked
+            many[b.element] += 1
+    plain, many = _subtree_sums(page, plain), _subtree_sums(page, many)
+    free = sum(b.words - b.linked for b in blocks if not b.boiler and b.named < 1)
+    in_article = sum(b.words - b.linked for b in blocks if b.article and not b.boiler and b.named < 1)
+    article = any(b.article and not b.boiler for b in blocks) and in_article >= LEAST_ARTICLE * free
+    # articles inside the article are comments on it, unless one of them has more text than all outside them
+    inner = max((plain[b.nested] for b in blocks if b.nested), default=0.0)
+    comments = sum(b.words - b.linked for b in blocks if b.article and not b.nested and not b.boiler) >= inner
+    most, most_end = 0, size
+    if not article:
+        held = [i for i in range(1, size) if page.tags[i] in _CONTAINERS and many[i] > 1 and plain[i] >= MOST_OF_TEXT * max(plain[0], 1)]
+        if held:
+            most, most_end = held[-1], page.ends[held[-1]]
+    none, out = Block(""), []
+    for i, b in enumerate(blocks):
+        before, after = blocks[i - 1] if i else none, blocks[i + 1] if i + 1 < len(blocks) else none
+        out.append((
+            b.boiler, b.named, plain[b.namer] / max(plain[0], 1) if b.named else 0.0,
+            article and b.article, article and not b.article, not most <= b.element < most_end, comments and b.nested > 0,
+            len(b.text) <= _RIGHTS_CHARS and bool(_RIGHTS.search(b.text)), b.heading, b.item,
+            b.words, b.density, before.words, before.density, after.words, after.density,
+        ))
+    return out
 
-FEATURES = ("boiler", "inside", "outside", "heading", "item", "words", "density", "words_before", "density_before", "words_after", "density_after")
 
-# The labelled table, a row for each kind of block that was read and judged by hand.
-# boiler (0.5: by a weak word inside the article), inside an article, outside the page's article, heading, item, words, density, words and density before, words and density after: content
+# The labelled table, pages whose blocks were judged by hand, one page a line. A block is
+# its label (+ is content), its number of words, and behind an "a" how many of them are linked; "r" has a rights notice.
 LABELLED = """
-0 1 0 1 0   9 0.0   7 0.0  40 0.0 : 1
-0 1 0 1 0   1 0.0   2 1.0   1 0.0 : 1
-0 1 0 1 0   6 1.0  12 0.0  80 0.0 : 1
-0 1 0 0 0  80 0.0   9 0.0 120 0.0 : 1
-0 1 0 0 0   1 0.0  60 0.0  45 0.0 : 1
-0 1 0 0 0   1 0.0   1 0.0   1 1.0 : 1
-0 1 0 0 0   2 0.0  90 0.0   6 0.0 : 1
-0 1 0 0 0 400 0.0  30 0.0   2 1.0 : 1
-0 1 0 0 0  30 0.2   1 1.0  25 0.0 : 1
-0 1 0 0 0   3 1.0  40 0.0  40 0.0 : 1
-0 1 0 0 0   2 1.0   3 1.0   2 1.0 : 1
-0 1 0 0 1   4 0.0  30 0.0   5 0.0 : 1
-0 1 0 0 1  14 0.1   4 0.0  20 1.0 : 1
-0 1 0 0 1   3 1.0   3 1.0   2 1.0 : 1
-0 1 0 0 1   1 0.0   2 1.0   9 0.0 : 1
-0 1 0 0 0  12 0.0   0 0.0   0 0.0 : 1
-0 1 0 0 0   5 0.0   2 1.0   3 1.0 : 1
-1 0 0 0 1   1 1.0   0 0.0   1 1.0 : 0
-1 0 0 0 1   2 1.0   1 1.0   3 1.0 : 0
-1 0 0 0 0  60 0.0  10 0.0  50 0.0 : 0
-1 0 0 0 1   1 1.0   2 1.0   1 1.0 : 0
-1 0 0 1 0   3 0.0  60 0.0  20 0.0 : 0
-1 0 0 0 0   8 0.0  50 0.0   0 0.0 : 0
-1 0 1 0 0  18 0.0   1 1.0   9 0.0 : 0
-1 0 1 0 0   5 0.0  70 0.0   9 0.0 : 0
-1 0 1 0 0  25 0.3   2 0.0   0 0.0 : 0
-1 0 1 1 0   4 0.0  30 0.0   3 1.0 : 0
-1 0 1 0 0 120 0.0  20 0.0  30 0.0 : 0
-1 0 1 0 1   2 1.0   2 1.0   2 1.0 : 0
-1 1 0 0 0  15 0.0  60 0.0  50 0.0 : 0
-1 1 0 0 1   3 1.0  90 0.0   3 1.0 : 0
-1 1 0 1 0   2 0.0  80 0.0  25 0.0 : 0
-1 1 0 0 0  45 0.0   3 0.0  30 0.0 : 0
-1 1 0 0 0   9 0.0  40 0.0  12 0.0 : 0
-.5 1 0 0 0 150 0.0  40 0.0  60 0.0 : 1
-.5 1 0 0 0  60 0.0   5 0.0  30 0.0 : 1
-.5 1 0 0 0  30 0.0   2 0.0  50 0.0 : 1
-.5 1 0 0 0  25 0.1  60 0.0   0 0.0 : 1
-.5 1 0 0 0  90 0.1  60 0.0   3 1.0 : 1
-.5 1 0 0 0   3 0.0  60 0.0   2 1.0 : 0
-.5 1 0 0 0   5 0.0  50 0.0  40 0.0 : 0
-.5 1 0 0 1   2 1.0   3 0.0   2 1.0 : 0
-.5 1 0 0 0   6 1.0  60 0.0  40 0.0 : 0
-.5 1 0 0 0  30 0.9   4 0.0  30 0.0 : 0
-.5 1 0 0 1  25 0.8  25 0.8   9 0.8 : 0
-.5 1 0 1 0   2 0.0  60 0.0   3 1.0 : 0
-0 0 1 0 0   6 0.0   2 1.0   9 0.0 : 0
-0 0 1 0 0  20 0.0   0 0.0   3 1.0 : 0
-0 0 1 1 0   3 0.0  40 0.0  12 0.0 : 0
-0 0 1 0 1   2 1.0   2 1.0   2 1.0 : 0
-0 0 1 0 1   7 0.0  12 0.0  14 0.0 : 0
-0 0 1 0 0  45 0.0  70 0.0   6 0.0 : 0
-0 0 1 0 0 110 0.0  30 0.0  40 0.0 : 0
-0 0 1 1 0   5 0.0  20 0.0 100 0.0 : 0
-0 0 1 0 0  60 0.0  80 0.0   0 0.0 : 0
-0 0 1 0 0   2 0.0   0 0.0  10 0.0 : 0
-0 0 0 0 0  60 0.0   5 0.0  80 0.0 : 1
-0 0 0 0 0 150 0.1  40 0.0  60 0.0 : 1
-0 0 0 0 0  30 0.0  25 0.1   2 1.0 : 1
-0 0 0 0 0   1 0.0  60 0.0  45 0.0 : 1
-0 0 0 0 0   4 0.0  40 0.0  30 0.0 : 1
-0 0 0 0 0  12 0.0   2 1.0  70 0.0 : 1
-0 0 0 0 0  20 0.4  50 0.0  40 0.0 : 1
-0 0 0 1 0   7 0.0   1 1.0  60 0.0 : 1
-0 0 0 1 0   3 0.0  50 0.0  40 0.0 : 1
-0 0 0 0 0  25 0.0   0 0.0   0 0.0 : 1
-0 0 0 0 0   3 0.0   0 0.0   0 0.0 : 1
-0 0 0 0 1  12 0.0  40 0.0  15 0.0 : 1
-0 0 0 0 1   6 0.1  12 0.0   7 0.0 : 1
-0 0 0 0 1   1 1.0   1 1.0   1 1.0 : 0
-0 0 0 0 1   2 1.0   3 1.0   4 0.8 : 0
-0 0 0 0 0   3 0.6   0 0.0  60 0.0 : 0
-0 0 0 0 0   3 1.0   2 1.0  60 0.0 : 0
-0 0 0 0 0   8 0.9  60 0.0   5 1.0 : 0
-0 0 0 0 0  30 0.7   4 1.0   6 0.9 : 0
-0 0 0 0 1  10 0.8   9 0.9  60 0.1 : 0
+<nav><ul><li>-1a1<li>-1a1<li>-2a2</ul></nav><div class="ad">-12</div><article><h1>+9</h1><p>+40</p><p>+1</p><p>+120</p><p>+3</p><p>+6</p></article><footer>-9r</footer>
+<header><h1>-3a3</h1><p>-8</p></header><main><h1>+6</h1><p>+25</p><h2>+2</h2><p>+80a6</p><ul><li>+4</li><li>+14a2</li><li>+3a3</li><li>+9</li></ul><p>+2</p></main><aside><h3>-2</h3><p>-30</p><ul><li>-5a5</li><li>-6a6</li></ul></aside><footer><p>-14r</p><p>-3a3</p></footer>
+<nav>-6a6</nav><form>-4</form><article><p>+2</p><p>+60</p><p>+8</p><p>+35</p><form><p>-10</p></form><p>+5</p><aside><p>-15</p></aside><p>+90</p><nav><ul><li>-3a3</li></ul></nav></article>
+<article><h1>+5</h1><p>+60</p><ul><li>-5a5</li><li>-4a4</li><li>-6a6</li></ul><p>+50</p></article>
+<article><h1>+8</h1><p>+2a2</p><p>+70</p><p>+20</p><ul><li>-8a8</li><li>-3a3</li><li>-7a7</li><li>-5a5</li></ul></article><div>-12</div>
+<main><h1>+4</h1><p>+3a1</p><p>+150</p><h2>+3</h2><p>+45a9</p><p>+3a3</p><p>+40</p><ol><li>+12</li><li>+6a1</li><li>+25</li></ol><p>-2a2</p><p>-2a2</p></main>
+<article><p>+12</p><table><tr><th>+1<th>+2<tr><td>+1<td>+1a1<tr><td>+3<td>+2</table><p>+18</p><blockquote><p>+30</p></blockquote><p>+4</p><p>+1</p></article><div><p>-25</p></div>
+<div>-20</div><article><h1>+7</h1><p>+300</p><p>+10</p><p>+12r</p></article><div><h2>-3</h2><p>-110</p><p>-5</p><p>-60</p></div><div><ul><li>-2a2</li><li>-7</li></ul></div>
+<div><h3>-4</h3><p>-45</p></div><main><p>+15</p><p>+80</p></main><div>-8</div><ul><li>-2a2</li><li>-2a2</li></ul><p>-2</p>
+<article><h1>+8</h1><p>+120</p><p>+60</p><section><article><p>-3</p><p>-20</p></article><article><h4>-2</h4><p>-9</p></article><article><p>-55</p></article></section></article>
+<main><article><h1>+5</h1><p>+30</p><p>+40</p></article><article><h1>+4</h1><p>+50</p><p>+6</p></article></main>
+<article><h1>+5</h1><p>+60</p><div class="notice"><p>+150</p></div><p>+60</p><div class="share">-3</div><p>+40</p><div class="related"><ul><li>-6a6</li><li>-5a5</li></ul></div><div class="tags">-2a2</div></article>
+<article><p>+40</p><div class="notice"><p>-5</p></div><p>+40</p><div class="disclaimer"><p>+30</p></div><p>+50</p><div class="footnotes"><p>+25a2</p></div><div class="recommended"><h3>-2</h3><p>-30a27</p><p>-6a6</p></div></article>
+<article><h1>+6</h1><p>+90</p><div class="alert"><p>+60</p></div><p>+5</p><div class="feedback"><p>-8</p></div><div class="social"><ul><li>-1a1</li><li>-2a2</li></ul></div><p>+30</p><div class="copyright"><p>-9r</p></div></article>
+<article><div class="privacy"><p>+28</p></div><p>+45</p><div class="reply"><p>-7</p></div><p>+70</p><div class="tags"><p>-9a8</p></div></article>
+<article><h1>+5</h1><p>+60</p><div class="ad">-15</div><p>+50</p><div class="ad">-3a3</div><p>+90</p><section class="comments"><h2>-2</h2><p>-25</p><p>-45</p><p>-6</p></section></article>
+<article><p>+30</p><div class="newsletter"><p>-20</p></div><p>+45</p><div class="sidebar"><h3>-2</h3><p>-60</p></div><p>+12</p><div class="cookie-banner"><p>-35</p></div></article>
+<div class="navbar">-5a5</div><div class="cookie-notice"><p>-18</p></div><div><h1>+6</h1><p>+75</p><p>+8</p><p>+30</p><div class="ad">-40</div><p>+55</p></div><div class="comments"><p>-30</p><p>-12</p></div><div class="footer">-8r</div>
+<div class="menu"><ul><li>-1a1</li><li>-1</li></ul></div><p>+40</p><p>+4</p><div class="sponsored"><p>-22</p></div><p>+65</p><div class="reader-comments"><p>-90</p><p>-4</p></div>
+<div class="newsletter"><h1>+6</h1><p>+90</p><p>+150</p><p>+12</p><p>+80</p></div><div>-6r</div>
+<div class="widget comments"><p>+200</p><p>+7</p><p>+45</p></div><ul><li>-1a1</li><li>-1a1</li></ul>
+<div>-5a5</div><div><h1>+7</h1><p>+45</p><p>+3</p><p>+70</p><p>+12</p></div><div>-7r</div>
+<div><div>-2a2</div><div>-2a2</div><div>-1</div></div><div><div><h1>+6</h1><p>+30</p><p>+155a4</p><h2>+3</h2><p>+20</p><ul><li>+6</li><li>+8</li></ul><p>+5</p></div><div><p>-3</p><p>-11</p></div></div><div><p>-8</p><p>-2a2</p><p>-6r</p></div>
+<div><h1>-2</h1><ul><li>-1a1</li><li>-1a1</li><li>-1a1</li></ul></div><div><h1>+9</h1><p>+110</p><p>+25</p><p>+1</p><p>+60</p></div><div><h3>-2</h3><p>-14</p><p>-4</p><p>-35</p><p>-6</p></div>
+<div><h1>+8</h1><p>+45</p></div><div><p>+80</p><p>+60</p><p>+90</p><p>+70</p></div><div>-7</div>
+<div><h1>+5</h1></div><div><p>+50</p><p>+30</p><p>+2</p><p>+9</p></div><div><p>-18</p></div><div><p>-3a3</p><p>-3a3</p></div>
+<div>-12</div><div><p>+140</p><p>+60</p><p>+5</p></div><div><p>-9</p><p>-28</p></div><div>-4</div>
+<ul><li>-1a1<li>-1a1</ul><p>+12</p>
+<p>+3</p><p>+50</p><p>+2</p>
+<p>-4a4</p><h1>+6</h1><p>+40</p><p>+25a2</p><p>+8</p><p>-6r</p>
+<h1>+3</h1><p>+20</p><p>+5</p><p>+3</p>
+<p>+1</p><p>+1</p><p>+1</p>
+<p>+4</p>
+<p>+1</p><p>+2</p><p>+15</p><p>+30</p><p>+1</p><p>+4</p>
+<p>+30</p><p>+3a3</p><p>+40</p><p>-6a6</p><p>-3a3</p>
+<h1>+7</h1><p>+60</p><h2>+3</h2><p>+40</p><ul><li>+12</li><li>+6a1</li><li>+15</li></ul><p>+150a15</p><p>+30</p><p>-2a2</p><p>-3a2</p>
+<table><tr><td>+1<td>+3<tr><td>+2<td>+1</table><p>+9</p>
+<p>-3a2</p><p>-8a7</p><p>+60</p><p>+20a4</p><p>+30</p><p>+25r</p><p>+40</p><p>-30a21</p><p>-6a5</p>
+<ul><li>-2a2</li><li>-3a3</li><li>-4a3</li></ul><h1>+5</h1><p>+35</p><p>+10</p><ul><li>-10a8</li><li>-9a9</li></ul><p>-11r</p>
+<article><h1>+5</h1><p>+900</p><div class="notice"><p>+40</p></div><p>+300</p><div class="disclaimer"><p>-9</p></div><div class="notice"><p>+24</p></div><p>+45</p></article>
+<article><p>+20</p><div class="notice"><p>-6</p></div></article>
+<article><p>+30</p><div class="alert"><p>-10</p></div><p>+6</p><div class="legal"><p>+33</p></div></article>
+<article><h2>+4</h2><p>+60</p><ul><li>-3a3</li><li>-2a2</li><li>-4a4</li></ul><p>+70</p><ul><li>-1a1</li><li>-1a1</li></ul><p>+45</p><p>+2a2</p><p>+38</p><ul><li>-9a9</li><li>-2a2</li></ul><p>+12</p></article>
+<main><p>+15</p><ul><li>-6a6</li><li>-12a12</li></ul><p>+100</p><p>+1a1</p><p>+30</p><ul><li>+2</li><li>+5a5</li><li>+7</li></ul><h3>+2</h3><p>+4a4</p><p>+60</p></main>
+<article><h1>+6</h1><p>+80</p><p>+6r</p><p>+40</p><p>+30a3</p><p>+9r</p></article>
+<p>+70</p><p>+45</p><p>-16r</p>
+<h1>+4</h1><p>+100</p><p>+28r</p><p>+60</p><p>-25r</p><p>-2a2</p>
+<div><h1>+6</h1></div><div><p>+150</p><p>+40</p><p>+70</p></div><div>-3</div><div>-25</div>
+<div><h2>+3</h2></div><div>-5</div><div><p>+60</p><p>+40</p><p>+80</p></div><div><h3>-4</h3></div><div>-9</div>
+<div>-10</div><div><p>+70</p><p>+90</p><p>+14</p></div><div>-30</div><div>-15</div>
+<div>-3</div><div><h1>+8</h1><p>+50</p><p>+12</p><p>+95</p></div><div><p>-22</p><p>-38</p><p>-3</p></div><div>-6a5</div>
+<div>-2</div><div>-18</div><div><h1>+7</h1><p>+120</p><p>+60</p></div><div><p>-2</p></div>
+<div><h1>+7</h1><p>+60</p></div><div><p>+130</p><p>+160</p><p>+50</p></div><div>-20</div>
+<div><p>+40</p></div><div><p>+100</p><p>+60</p><p>+20</p></div>
+<div><h1>-3</h1></div><div>-6a6</div><div><p>+60</p><p>+40</p><p>+80</p></div><div>-2a2</div>
+<h1>+6</h1><p>+55</p><p>+40</p><div class="comments"><p>-50</p><p>-20</p></div><p>+15</p>
+<div><p>+60</p><p>+20</p></div><div class="discussion"><p>-45</p><p>-8</p><p>-25</p></div>
+<div class="promo"><p>+50</p><p>+6</p><p>+40</p></div><p>-4a4</p>
+<article><p>+150</p><div class="comments"><p>-150</p><p>-100</p><p>-30</p></div><p>+40</p></article>
+<article><div class="advert"><p>-120</p></div><p>+200</p><p>+80</p><div class="sponsored"><h3>-5</h3><p>-30a4</p></div><p>+60</p></article>
+<article><p>+60</p><div class="share">-2a2</div><p>+45</p><div class="social">-1a1</div><p>+80</p><div class="related"><p>-40a40</p></div><p>+30</p><div class="ad">-5a5</div><p>+90</p><div class="tags">-4a4</div><p>+33</p></article>
 """
+_BLOCK = re.compile(r"(?<![\w#])([+-])(\d+)(?:a(\d+))?(r?)(?![\w#])")
+
+
+def labelled_rows() -> tuple[np.ndarray, np.ndarray]:
+    """Features of the labelled pages' blocks, and whether they are content."""
+    x, y = [], []
+    for line in LABELLED.strip().splitlines():
+        labels = [m[1] == "+" for m in _BLOCK.finditer(line)]
+
+        def words(m: re.Match) -> str:
+            plain, linked = int(m[2]) - int(m[3] or 0), int(m[3] or 0)
+            return ("\u00a9 " if m[4] else "") + " ".join(["w"] * plain) + (f" <a href=x>{' '.join(['w'] * linked)}</a>" if linked else "")
+
+        rows = features(read_page(_BLOCK.sub(words, line)))
+        if len(rows) != len(labels):
+            raise ValueError(f"{len(rows)} blocks for {len(labels)} labels: {line}")
+        x += rows
+        y += labels
+    return np.array(x, float), np.array(y, int)
 
 
 @dataclass
@@ -338,7 +442,7 @@ def _gini(y: np.ndarray) -> float:
     return 2 * p * (1 - p) * len(y)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> Node:
     """CART: the split that lowers Gini impurity most; ties go to the first feature, lowest value."""
     leaf = Node(bool(y.mean() >= 0.5))
     if depth == 0 or y.all() or not y.any():
@@ -359,18 +463,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node:
 
 @functools.cache
 def tree() -> Node:
-    rows = [line.partition(":") for line in LABELLED.strip().splitlines()]
-    return grow(np.array([list(map(float, a.split())) for a, _, _ in rows]), np.array([int(b) for _, _, b in rows]))
-
-
-def features(blocks: list[Block]) -> list[tuple[float, ...]]:
-    none = Block("")
-    article = any(b.article and not b.boiler for b in blocks)
-    out = []
-    for i, b in enumerate(blocks):
-        before, after = blocks[i - 1] if i else none, blocks[i + 1] if i + 1 < len(blocks) else none
-        out.append((b.boiler, b.article, article and not b.article, b.heading, b.item, b.words, b.density, before.words, before.density, after.words, after.density))
-    return out
+    return grow(*labelled_rows())
 
 
 def is_content(x: tuple[float, ...]) -> bool:
@@ -381,14 +474,14 @@ def is_content(x: tuple[float, ...]) -> bool:
 
 
 def main_text(source: str | None) -> str:
-    blocks = blocks_of(source)
-    return "\n".join(b.text for b, x in zip(blocks, features(blocks), strict=True) if is_content(x))
+    page = read_page(source)
+    return "\n".join(b.text for b, x in zip(page.blocks, features(page), strict=True) if is_content(x))
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages without the html and with text and n_chars, its code points; columns of these names are replaced."""
     small_batches(pages.sparkSession)
-    kept = [c for c in pages.columns if c not in (column, "text", "n_chars")]
+    kept = [c for c in pages.columns if c.lower() not in (column.lower(), "text", "n_chars")]
     read = pages.select(*[pages[f"`{c}`"] for c in kept], pages[f"`{column}`"])
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

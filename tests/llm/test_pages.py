@@ -3,6 +3,7 @@ from __future__ import annotations
 import fnmatch
 import random
 import re
+import time
 
 import pytest
 
@@ -48,10 +49,54 @@ def test_any_markup_is_read():
         assert text == "\n".join(line.strip() for line in text.split("\n"))
 
 
-def test_tree_agrees_with_its_table():
-    for line in h.LABELLED.strip().splitlines():
-        row, _, label = line.partition(":")
-        assert h.is_content(tuple(map(float, row.split()))) == bool(int(label))
+def test_tree_agrees_with_its_table_and_splits_on_words_and_links_of_neighbours():
+    x, y = h.labelled_rows()
+    assert len(x) > 400 and [h.is_content(tuple(r)) for r in x] == [bool(v) for v in y]
+    used, todo = set(), [h.tree()]
+    while todo:
+        node = todo.pop()
+        if node.feature >= 0:
+            used.add(h.FEATURES[node.feature])
+            todo += [node.below, node.above]
+    assert {"words", "density", "words_before", "density_before", "words_after"} <= used
+    # and names are one of many: without them the tree still tells most blocks
+    names = [h.FEATURES.index(f) for f in ("named", "share")]
+    plain = x.copy()
+    plain[:, names] = 0
+    node = h.grow(plain, y)
+    right = 0
+    for row, label in zip(plain, y, strict=True):
+        at = node
+        while at.feature >= 0:
+            at = at.below if row[at.feature] <= at.at else at.above
+        right += at.content == bool(label)
+    assert right > 0.9 * len(y)
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<div><h1>Title</h1><p>{L}</p><p>{L}</p></div><div>2024 Example Ltd. All rights reserved.</div>", "Title {L} {L}"),
+        ("<h1>Title</h1><p>{L}</p><p>{L}</p><p>2024 Example Ltd. All rights reserved.</p>", "Title {L} {L}"),
+        ("<div><h1>Title</h1><p>{L}</p><p>{L}</p></div><div><p>Anna: great article, thanks for writing.</p></div>", "Title {L} {L}"),
+        ("<article><h1>T</h1><p>{L}</p><ul class=mostread><li><a href=1>One link here</a></li><li><a href=2>Two link</a></li><li><a href=3>Three</a></li></ul><p>{L}</p></article>", "T {L} {L}"),
+        ("<div class='text social-history'><h1>T</h1><p>{L}</p><section id='legal'><p>{L}</p><p>Short.</p></section></div>", "T {L} {L} Short."),
+        ("<div class=social><h1>T</h1><p>{L}</p><p>{L}</p></div>", "T {L} {L}"),
+        ("<div><div><a href=1>Home</a> <a href=2>News</a></div><div><h1>T</h1><p>{L}</p><p>Hi.</p><p>{L}</p></div><div><div>Anna</div><div>Nice one!</div></div></div>", "T {L} Hi. {L}"),
+        ("<article><h1>T</h1><p>{L}</p><p>{L}</p><section><article><p>Me too.</p></article><article><p>Not I.</p></article></section></article>", "T {L} {L}"),
+        ("<main><article><p>{L}</p></article><article><p>Hi.</p></article></main>", "{L} Hi."),
+    ],
+)
+def test_pages_without_telling_names(source, text):
+    long = "word " * 39 + "end"
+    assert h.main_text(source.replace("{L}", long)) == text.replace(" ", "\n").replace("{L}", long)
+
+
+@pytest.mark.parametrize("part", ["<div></b>", "<b><div></b>", "<span><p>", '<a "', "<li><ul>", "<a><p></a>", "<div class=ad>x", "<p><span>", "<td><b>x"])
+def test_time_grows_with_the_length_however_deep_a_page_nests(part):
+    began = time.perf_counter()
+    h.main_text(part * 20_000)
+    assert time.perf_counter() - began < 20
 
 
 def test_pages_of_a_table(spark):
