@@ -1,26 +1,31 @@
 """Embedding near-dedup on robust-pruned flat graphs.
 
 1. Equal vectors are collapsed to one with a weight, so copies cost nothing further on.
-2. Centroids are fitted on a bounded sample; every vector is indexed in its OVERLAP nearest
-   clusters. A cluster too large for one task is cut into chunks, and each pair of chunks
-   is a cell of its own, so nothing is cut off and no task is unbounded.
+2. Centroids are fitted on a bounded sample, no two of them within the threshold of each other, so that
+   a tight family is not cut up; every vector is indexed in its OVERLAP nearest clusters. A cluster of
+   more than SPLIT_ROWS is split by centroids of its own, level by level, so the number of clusters
+   grows with the table. What is left too large for one task, as a dense clump, is cut into chunks, and
+   each pair of chunks is a cell of its own, so nothing is cut off and no task is unbounded.
 3. Each cell builds a flat graph by robust pruning of its nearest candidates, and adds far edges: to
    the nearest of thinner and thinner samples and to a few members at random, so that tight families
    are not shut off from each other. The adjacency lists of a vector are united over its cells.
-4. Each cell searches for all its vectors on the united graph: greedily from the medoid until
-   the search stands at the query, then from neighbour to neighbour as far as they are in range
-   or within SLACK of it. What is found is verified by cosine in double precision.
+4. Each cell searches for all its vectors on the united graph: greedily from the medoid, and where
+   the walk arrived in range, from neighbour to neighbour as far as they are in range or within SLACK
+   of it. A walk that gets stuck out of range is counted, and goes on from the vector's own list.
+   What is found is verified by cosine in double precision.
 5. A pair that several cells hold is counted in one of them only, which both ends know from the
    clusters they are in. So counts are sums, and no cell emits its pairs: it returns a count
    and a root for each vector.
-6. An audit compares links of some vectors, of more while they hold few links, with brute force over
-   all rows; below RECALL the index is rebuilt with more overlap, candidates and degree. If that
-   does not help, the cells are compared exactly, in blocks.
+6. An audit compares the links of some vectors, half of them found to have links, with brute force over
+   all rows, and takes more vectors while they hold few links. Below RECALL the index is rebuilt with
+   more overlap, candidates and degree; if that does not help, the cells are compared exactly, in
+   blocks; a recall that stays below LEAST_RECALL is an error.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components
 link with nothing, nor do vectors of different lengths; rows with a null id take no part and
 have a null component; rows that share an id are one vector as far as links go; repeated rows
-count as other vectors; an empty table gives an empty result; other columns are ignored.
+count as other vectors; vectors are compared as they are, floats or doubles of any size; where no
+audited vector has a link the recall is null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import bounded_by_hash, small_batches, table, written
+from .common import bounded_by_hash, discard, small_batches, table, written
 from .components import components
 
 THRESHOLD = 0.95
@@ -41,11 +47,13 @@ SAMPLE, SHARD_ROWS = 20_000, 1000
 OVERLAP = 3
 #: Rows of a cell, at most about; larger clusters are cut into chunks of half of it.
 CELL_ROWS = 4000
+#: Rows of a cluster that is split, so many times at most; rows that its centroids are fitted on, and rows of a task that assigns.
+SPLIT_ROWS, LEVELS, SPLIT_SAMPLE, ASSIGN_ROWS = 8 * CELL_ROWS, 4, 4000, 20_000
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
 #: Far edges of a vector: to each sample, one in THIN of the one before, and to members at random.
 FAR, THIN, AT_RANDOM = 4, 8, 2
 SLACK = 0.1
-AUDIT, RECALL, ATTEMPTS = 512, 0.98, 3
+AUDIT, RECALL, LEAST_RECALL, ATTEMPTS = 512, 0.98, 0.9, 3
 #: True links that an audit should hold, and the most vectors that it takes for that.
 AUDIT_LINKS, MOST_AUDITED = 2000, 8192
 #: Pairs handled together in a search.
@@ -54,11 +62,13 @@ STEP_PAIRS = 200_000
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     v = vectors.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # squares of very large or small numbers would not be finite or zero
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means from spread starting points; x are unit vectors in a fixed order."""
+def fit_centroids(x: np.ndarray, k: int, apart: float = THRESHOLD, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means from spread starting points, x being unit vectors in a fixed order; of
+    centroids whose cosine is `apart` or more the first stays."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
         near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
@@ -66,7 +76,12 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
         np.add.at(sums, near, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(size > 0, sums / np.maximum(size, 1e-300), c)
-    return c
+    free, keep = np.ones(len(c), bool), []
+    for i in range(len(c)):
+        if free[i]:
+            keep.append(i)
+            free &= c @ c[i] < apart
+    return c[keep]
 
 
 def robust_graph(x: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
@@ -143,42 +158,19 @@ def all_in_range(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarra
     return q[q != v], v[q != v]
 
 
-def search_in_range(x: np.ndarray, lists: list[np.ndarray], threshold: float, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
-    """(query, found) for each ordered pair of different vectors found with cosine >= threshold."""
+def search_in_range(x: np.ndarray, lists: list[np.ndarray], threshold: float, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray, int]:
+    """(query, found) for each ordered pair of different vectors found with cosine >= threshold; how many walks got stuck."""
     m = len(x)
     degree = max(1, max(map(len, lists)))
     graph = np.full((m, degree), -1, np.int64)
     for i, row in enumerate(lists):
         graph[i, : len(row)] = row
-    medoid = int((x @ x.mean(axis=0)).argmax())
-    # greedy: each query walks to the best neighbour until none is better; its own node is the best there is
-    at = np.full(m, medoid)
-    best = x @ x[medoid]
-    active = np.nonzero(at != np.arange(m))[0]
-    seeds = [(np.arange(m), at.copy())]
-    while len(active):
-        nbr = graph[at[active]]
-        s = np.empty(nbr.shape)
-        for i in range(0, len(active), 2048):
-            s[i : i + 2048] = np.einsum("qrd,qd->qr", x[nbr[i : i + 2048]], x[active[i : i + 2048]])
-        s[nbr < 0] = -2
-        pick = s.argmax(axis=1)
-        rows = np.arange(len(active))
-        better = s[rows, pick] > best[active]
-        active, pick_id, pick_s = active[better], nbr[rows, pick][better], s[rows, pick][better]
-        at[active], best[active] = pick_id, pick_s
-        active = active[at[active] != active]
-    seeds.append((np.arange(m), at))
-    # a walk that got stuck goes on from the query's own list
-    stuck = np.nonzero(at != np.arange(m))[0]
-    seeds.append((stuck, stuck))
+    at, best = _walk(x, graph)
+    # what is in range of the query is reached from where its walk arrived; out of range, the walk is stuck
+    stuck = best < threshold - slack
+    q, v = np.arange(m), np.where(stuck, np.arange(m), at)
     seen = np.zeros((m, m), bool)
     found_q, found_v = [], []
-    q, v = np.concatenate([s[0] for s in seeds]), np.concatenate([s[1] for s in seeds])
-    near = np.einsum("nd,nd->n", x[q], x[v]) >= threshold - slack
-    q, v = q[near], v[near]
-    code = np.unique(q * m + v)
-    q, v = code // m, code % m
     seen[q, v] = True
     frontier = [(q, v)]
     while frontier:
@@ -199,7 +191,31 @@ def search_in_range(x: np.ndarray, lists: list[np.ndarray], threshold: float, sl
                 near[j : j + 50_000] = np.einsum("nd,nd->n", x[nq[j : j + 50_000]], x[nv[j : j + 50_000]]) >= threshold - slack
             if near.any():
                 frontier.append((nq[near], nv[near]))
-    return np.concatenate(found_q), np.concatenate(found_v)
+    return np.concatenate(found_q), np.concatenate(found_v), int(stuck.sum())
+
+
+def _walk(x: np.ndarray, graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where greedy walks from the medoid arrive, one for each vector as query, and the cosine there.
+
+    Each query goes to the best neighbour until none is better, as it is not at itself.
+    """
+    m = len(x)
+    medoid = int((x @ x.mean(axis=0)).argmax())
+    at, best = np.full(m, medoid), x @ x[medoid]
+    active = np.nonzero(at != np.arange(m))[0]
+    while len(active):
+        nbr = graph[at[active]]
+        s = np.empty(nbr.shape)
+        for i in range(0, len(active), 2048):
+            s[i : i + 2048] = np.einsum("qrd,qd->qr", x[nbr[i : i + 2048]], x[active[i : i + 2048]])
+        s[nbr < 0] = -2
+        pick = s.argmax(axis=1)
+        rows = np.arange(len(active))
+        better = s[rows, pick] > best[active]
+        active, pick_id, pick_s = active[better], nbr[rows, pick][better], s[rows, pick][better]
+        at[active], best[active] = pick_id, pick_s
+        active = active[at[active] != active]
+    return at, best
 
 
 def _usable(column: str) -> F.Column:
@@ -213,7 +229,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _centroids(vectors: DataFrame) -> dict[int, np.ndarray]:
+def _centroids(vectors: DataFrame, threshold: float) -> dict[int, np.ndarray]:
     """By length of vector, from the bounded sample."""
     n = vectors.count()
     rows = bounded_by_hash(vectors, F.col("rep"), n, SAMPLE).orderBy("rep", F.xxhash64("v")).select("v").toArrow().column("v").to_pylist()
@@ -221,12 +237,16 @@ def _centroids(vectors: DataFrame) -> dict[int, np.ndarray]:
     for d in {len(r) for r in rows}:
         x = unit(np.array([r for r in rows if len(r) == d]))
         k = max(1, min(-(-n * len(x) // (max(1, len(rows)) * SHARD_ROWS)), len(x) // 10))
-        out[d] = fit_centroids(x, k)
+        out[d] = fit_centroids(x, k, threshold)
     return out
 
 
+def _nearest(x: np.ndarray, c: np.ndarray, overlap: int) -> np.ndarray:
+    return np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap]
+
+
 def _assigned(vectors: DataFrame, centroids: dict[int, np.ndarray], overlap: int) -> DataFrame:
-    """(rep, w, v, homes, dim, shard): a row for each cluster a vector is indexed in."""
+    """(rep, w, v, homes, dim, shard): a row for each cluster a vector is indexed in; homes are all of them."""
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,18 +256,67 @@ def _assigned(vectors: DataFrame, centroids: dict[int, np.ndarray], overlap: int
                 on = np.nonzero(lengths == d)[0]
                 part = b.take(pa.array(on))
                 c = shared.value.get(int(d))
-                if c is None:
-                    top = np.zeros((len(on), 1), np.int64)
-                else:
-                    top = np.argsort(-(unit(_matrix(part.column("v"))) @ c.T), axis=1, kind="stable")[:, :overlap]
-                homes = pa.array(np.sort(top, axis=1).tolist(), pa.list_(pa.int32()))
+                top = np.zeros((len(on), 1), np.int64) if c is None else _nearest(unit(_matrix(part.column("v"))), c, overlap)
+                homes = pa.array(np.sort(top, axis=1).tolist(), pa.list_(pa.int64()))
                 for j in range(top.shape[1]):
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("rep"), part.column("w"), part.column("v"), homes, pa.array(np.full(len(on), d, np.int32)), pa.array(top[:, j].astype(np.int32))],
+                        [part.column("rep"), part.column("w"), part.column("v"), homes, pa.array(np.full(len(on), d, np.int32)), pa.array(top[:, j].astype(np.int64))],
                         ["rep", "w", "v", "homes", "dim", "shard"],
                     )
 
-    return vectors.mapInArrow(assign, "rep long, w long, v array<float>, homes array<int>, dim int, shard int")
+    kind = vectors.schema["v"].dataType.simpleString()
+    return vectors.mapInArrow(assign, f"rep long, w long, v {kind}, homes array<long>, dim int, shard long")
+
+
+def _split(assigned: DataFrame, overlap: int, threshold: float) -> DataFrame:
+    """assigned with clusters of more than SPLIT_ROWS replaced by clusters inside them.
+
+    A cluster's centroids come from a bounded sample of it, in a task of their own; its rows meet
+    them in groups of about ASSIGN_ROWS. A cluster that has one centroid only is left as it is.
+    """
+    rows, kind = assigned, assigned.schema["v"].dataType.simpleString()
+    tried, any_split = None, False
+    for _ in range(LEVELS):
+        large = rows.groupBy("dim", "shard").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_ROWS)
+        large = written(large if tried is None else large.join(tried, ["dim", "shard"], "left_anti"), "large")
+        if large.isEmpty():
+            break
+        sample = rows.join(large, ["dim", "shard"]).where(F.pmod(F.xxhash64("rep", "v", F.lit(5)), F.col("n")) < SPLIT_SAMPLE)
+
+        def fit(part: pa.Table) -> pa.Table:
+            order = np.lexsort((part.column("at").to_numpy(), part.column("rep").to_numpy()))
+            x = unit(_matrix(part.column("v").combine_chunks()))[order]
+            c = fit_centroids(x, max(1, min(-(-part.column("n")[0].as_py() // SHARD_ROWS), len(x) // 10)), threshold)
+            return pa.table({"dim": part.column("dim")[:1], "shard": part.column("shard")[:1], "n": part.column("n")[:1], "c": pa.array([c.ravel().tolist()], pa.list_(pa.float64()))})
+
+        inner = sample.select("dim", "shard", "n", "rep", F.xxhash64("v").alias("at"), "v").groupBy("dim", "shard").applyInArrow(fit, "dim int, shard long, n long, c array<double>")
+        inner = written(inner, "inner")
+        one = inner.where(F.size("c") <= F.col("dim")).select("dim", "shard")
+        tried = written(one if tried is None else one.unionByName(tried), "tried")
+        inner = inner.where(F.size("c") > F.col("dim")).withColumn("turns", F.ceil(F.col("n") / ASSIGN_ROWS).cast("int"))
+        if inner.isEmpty():
+            break
+        any_split = True
+        moved = rows.join(inner.select("dim", "shard", "turns"), ["dim", "shard"]).withColumn("turn", F.pmod(F.xxhash64("rep", "v"), F.col("turns")).cast("int"))
+        heads = inner.select("dim", "shard", "c", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+
+        def assign(part: pa.Table, head: pa.Table) -> pa.Table:
+            shard = head.column("shard")[0].as_py()
+            c = np.array(head.column("c")[0].as_py()).reshape(-1, head.column("dim")[0].as_py())
+            top = _nearest(unit(_matrix(part.column("v").combine_chunks())), c, overlap)
+            out = [
+                part.select(["rep", "w", "v", "dim"]).append_column("shard", pa.array((shard * 1_000_003 + 1) % (1 << 62) + top[:, j])) for j in range(top.shape[1])
+            ]
+            return pa.concat_tables(out)
+
+        new = moved.select("rep", "w", "v", "dim", "shard", "turn").groupBy("dim", "shard", "turn")
+        new = new.cogroup(heads.groupBy("dim", "shard", "turn")).applyInArrow(assign, f"rep long, w long, v {kind}, dim int, shard long")
+        kept = rows.join(inner.select("dim", "shard"), ["dim", "shard"], "left_anti").select("rep", "w", "v", "dim", "shard")
+        rows = written(kept.unionByName(new), "split")
+    if not any_split:
+        return assigned
+    homes = rows.groupBy("rep", "v", "w", "dim").agg(F.array_sort(F.collect_set("shard")).alias("homes"))
+    return homes.select("rep", "w", "v", "homes", "dim", F.explode("homes").alias("shard"))
 
 
 def _cells(assigned: DataFrame) -> DataFrame:
@@ -278,13 +347,14 @@ def _search(threshold: float, exact: bool = False):
         chunk = table_.column("chunk").to_numpy()
         x = unit(_matrix(table_.column("v").combine_chunks()))
         if exact:
-            q, v = all_in_range(x, threshold)
+            (q, v), walks, stuck = all_in_range(x, threshold), 0, 0
         else:
             place: dict[int, list[int]] = {}
             for k, r in enumerate(rep.tolist()):
                 place.setdefault(r, []).append(k)
             lists = [np.array(sorted({k for r in near for k in place.get(r, ())}), np.int64) for near in table_.column("near").to_pylist()]
-            q, v = search_in_range(x, lists, threshold)
+            walks = len(rep)
+            q, v, stuck = search_in_range(x, lists, threshold)
         other = rep[q] != rep[v]
         q, v = q[other], v[other]
         # the one cell that counts a pair: the first cluster that both are in, and there the chunks of the two
@@ -308,37 +378,57 @@ def _search(threshold: float, exact: bool = False):
                 break
             root = new
         keep = np.unique(q)
-        return pa.table({"rep": pa.array(rep[keep]), "links": pa.array(links[keep]), "root": pa.array(rep[root[keep]])})
+        # the last row, of no vector, tells how many walks got stuck, of how many
+        return pa.table({
+            "rep": pa.array([*rep[keep].tolist(), None], pa.int64()), "links": pa.array([*links[keep].tolist(), stuck], pa.int64()),
+            "root": pa.array([*rep[root[keep]].tolist(), walks], pa.int64()),
+        })
 
     return search
 
 
+def _indexed(vectors: DataFrame, centroids: dict[int, np.ndarray], overlap: int, threshold: float) -> DataFrame:
+    first = written(_assigned(vectors, centroids, overlap), "assigned")
+    return written(_cells(_split(first, overlap, threshold)), "cells")
+
+
 def _linked(vectors: DataFrame, centroids: dict[int, np.ndarray], overlap: int, threshold: float) -> DataFrame:
-    cells = written(_cells(_assigned(vectors, centroids, overlap)), "cells")
+    cells = _indexed(vectors, centroids, overlap, threshold)
     graph = cells.groupBy(*_CELL).applyInArrow(_build(max(1, overlap // OVERLAP)), "rep long, near array<long>")
     united = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     both = cells.join(united, "rep")
-    return written(both.groupBy(*_CELL).applyInArrow(_search(threshold), "rep long, links long, root long"), "found")
+    found = written(both.groupBy(*_CELL).applyInArrow(_search(threshold), "rep long, links long, root long"), "found")
+    discard(cells)
+    return found
 
 
 def _linked_exactly(vectors: DataFrame, centroids: dict[int, np.ndarray], overlap: int, threshold: float) -> DataFrame:
-    cells = _cells(_assigned(vectors, centroids, overlap))
-    return written(cells.groupBy(*_CELL).applyInArrow(_search(threshold, exact=True), "rep long, links long, root long"), "found")
+    cells = _indexed(vectors, centroids, overlap, threshold)
+    found = written(cells.groupBy(*_CELL).applyInArrow(_search(threshold, exact=True), "rep long, links long, root long"), "found")
+    discard(cells)
+    return found
 
 
-def _audit(vectors: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the links of some vectors, found by brute force, that the search found."""
+def _audit(vectors: DataFrame, found: DataFrame, threshold: float) -> float | None:
+    """Share of the links of some vectors, found by brute force, that the search found; null where they have none."""
     size = AUDIT
     while True:
         truth, got, taken = _audited(vectors, found, threshold, size)
         if truth >= AUDIT_LINKS or taken < size or size >= MOST_AUDITED:
-            return got / truth if truth else 1.0
+            return got / truth if truth else None
         size *= 4
 
 
 def _audited(vectors: DataFrame, found: DataFrame, threshold: float, size: int) -> tuple[int, int, int]:
-    """Links of `size` vectors by brute force, those of them that were found, and the vectors there were."""
-    queries = vectors.orderBy(F.xxhash64("rep", F.lit(11)), "rep").limit(size).select("rep", "v").toArrow()
+    """Links of `size` vectors by brute force, those of them that were found, and the vectors there were.
+
+    Half of them are of those found to have links, so that there is something to count; the others
+    may be any, so that vectors whose links were all missed come in.
+    """
+    order = [F.xxhash64("rep", F.lit(11)), "rep"]
+    some = vectors.join(found.where("links > 0").select("rep").distinct(), "rep", "left_semi").orderBy(*order).limit(size // 2).select("rep").distinct()
+    any_ = vectors.orderBy(*order).limit(size // 2).select("rep").distinct()
+    queries = vectors.join(F.broadcast(some.union(any_).distinct()), "rep", "left_semi").select("rep", "v").toArrow()  # some `size` rows at most, but for rows that share an id
     ids, rows = queries.column("rep").to_numpy(), queries.column("v").to_pylist()
     by = {d: [k for k, r in enumerate(rows) if len(r) == d] for d in {len(r) for r in rows}}
     matrices = {d: unit(np.array([rows[k] for k in ks])) for d, ks in by.items()}
@@ -359,28 +449,36 @@ def _audited(vectors: DataFrame, found: DataFrame, threshold: float, size: int)
 
     truth = vectors.mapInArrow(count, "rep long, truth long").groupBy("rep").agg(F.sum("truth").alias("truth"))
     got = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    both = truth.join(got, "rep", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0))))).first()
+    both = truth.where("rep IS NOT NULL").join(got, "rep", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0))))).first()
     return both[0] or 0, both[1] or 0, len(ids)
 
 
 def near_groups(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, n_links, component_id, kept, audit_recall) for every row."""
+    """(key, n_links, component_id, kept, audit_recall, walks_stuck) for every row.
+
+    The last two are of the whole index: the audited recall, and the share of walks that got stuck.
+    """
     small_batches(rows.sparkSession)
-    base = written(rows.select(rows[f"`{key}`"].cast("long").alias("id"), rows[f"`{vector}`"].cast("array<float>").alias("v")), "vectors")
+    kind = "array<float>" if isinstance(rows.schema[vector].dataType.elementType, FloatType) else "array<double>"
+    base = written(rows.select(rows[f"`{key}`"].cast("long").alias("id"), rows[f"`{vector}`"].cast(kind).alias("v")), "vectors")
     good = base.where(F.col("id").isNotNull() & _usable("v"))
     vectors = written(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "distinct")
     if vectors.isEmpty():
         none = base.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-        return none.withColumn("audit_recall", F.lit(1.0))
-    centroids = _centroids(vectors)
+        return none.withColumns({"audit_recall": F.lit(None).cast("double"), "walks_stuck": F.lit(None).cast("double")})
+    centroids = _centroids(vectors, threshold)
     for attempt in range(ATTEMPTS):
         found = _linked(vectors, centroids, OVERLAP << attempt, threshold)
         recall = _audit(vectors, found, threshold)
-        if recall >= RECALL:
+        if recall is None or recall >= RECALL:
             break
     else:
         found = _linked_exactly(vectors, centroids, OVERLAP << attempt, threshold)
         recall = _audit(vectors, found, threshold)
+        if recall is not None and recall < LEAST_RECALL:
+            raise RuntimeError(f"the audit found {recall:.3f} of the links only, even with cells compared exactly")
+    stuck, walks = found.where("rep IS NULL").agg(F.sum("links"), F.sum("root")).first()
+    found = found.where("rep IS NOT NULL")
     links = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     roots = components(links)
     of = (
@@ -396,7 +494,8 @@ def near_groups(rows: DataFrame, key: str = "vec_id", vector: str = "embedding",
         F.col("n").alias("n_links"),
         F.col("root").alias("component_id"),
         F.col("id").eqNullSafe(F.col("root")).alias("kept"),
-        F.lit(float(recall)).alias("audit_recall"),
+        F.lit(recall).cast("double").alias("audit_recall"),
+        F.lit(stuck / walks if walks else None).cast("double").alias("walks_stuck"),
     )
 
 

@@ -71,20 +71,74 @@ def test_graph_search_finds_what_is_in_range():
     x = neardup.unit(np.concatenate([rng.normal(size=(300, 32)), *[b + rng.normal(size=(60, 32)) * 0.1 for b in base]]))
     lists = neardup.robust_graph(x)
     assert max(map(len, lists)) < 200 and all(i not in row for i, row in enumerate(lists))
-    q, v = neardup.search_in_range(x, lists, 0.95)
+    q, v, stuck = neardup.search_in_range(x, lists, 0.95)
+    assert stuck < 0.2 * len(x)
     truth = {(int(a), int(b)) for a, b in zip(*np.nonzero(x @ x.T >= 0.95), strict=True) if a != b}
     found = set(zip(q.tolist(), v.tolist(), strict=True))
     assert found <= truth and len(found) >= 0.99 * len(truth) and len(q) == len(found)
     assert len(neardup.search_in_range(x[:1], neardup.robust_graph(x[:1]), 0.95)[0]) == 0
 
 
-def test_an_audit_below_the_bound_widens_the_index(spark, monkeypatch):
+def test_an_audit_below_the_bound_widens_the_index_and_is_an_error_at_last(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(neardup, "_audit", lambda *a: 0.5)
     linked = neardup._linked
     monkeypatch.setattr(neardup, "_linked", lambda v, c, overlap, t: seen.append(overlap) or linked(v, c, overlap, t))
-    got = run(spark, [(i, [float(i % 7 + 1), float(i % 3), 1.0]) for i in range(20)])
-    assert seen == [3, 6, 12] and {r["audit_recall"] for r in got} == {0.5}
+    with pytest.raises(RuntimeError, match="0.500"):
+        run(spark, [(i, [float(i % 7 + 1), float(i % 3), 1.0]) for i in range(20)])
+    assert seen == [3, 6, 12]
+
+
+def test_searches_start_where_walks_arrive(monkeypatch):
+    """With walks that go nowhere all but the medoid's surroundings is searched from the vectors themselves."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(4, 16))
+    x = neardup.unit(np.repeat(base, 30, axis=0) + rng.normal(size=(120, 16)) * 0.02)
+    lists = neardup.robust_graph(x)
+    q, v, stuck = neardup.search_in_range(x, lists, 0.95)
+    assert len(q) == 4 * 30 * 29 and stuck == 0
+    visited = []
+    monkeypatch.setattr(neardup, "_walk", lambda x, graph: visited.append(1) or (np.full(len(x), 0), x @ x[0]))
+    again = neardup.search_in_range(x, lists, 0.95)
+    assert visited and again[2] == 90 and len(again[0]) == len(q)
+    # arrived beside itself, a search sees what is linked there and nothing of its own list
+    alone = [np.zeros(0, np.int64) for _ in x]
+    assert set(zip(*neardup.search_in_range(x, alone, 0.95)[:2], strict=True)) <= {(i, 0) for i in range(1, 30)}
+
+
+def test_recall_is_null_where_nothing_links(spark):
+    got = run(spark, [(i, np.eye(12)[i].tolist()) for i in range(12)])
+    assert {(r["n_links"], r["kept"], r["audit_recall"]) for r in got} == {(0, True, None)}
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e300, 1e-300])
+def test_doubles_are_compared_as_they_are(spark, scale):
+    """A pair that rounding to floats would part or join, at any size."""
+    a = [1.0, 0.0]
+    inside, outside = 0.95 + 1e-12, 0.95 - 1e-12
+    rows = [(1, a), (2, [inside, -((1 - inside**2) ** 0.5)]), (3, [outside, (1 - outside**2) ** 0.5])]
+    table = spark.createDataFrame([(i, [x * scale for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: r["n_links"] for r in neardup.near_groups(table).collect()} == {1: 1, 2: 1, 3: 0}
+
+
+def test_large_clusters_are_split_by_centroids_of_their_own(spark, monkeypatch):
+    for name, value in (("CELL_ROWS", 60), ("SPLIT_ROWS", 120), ("SHARD_ROWS", 40), ("SAMPLE", 40), ("SPLIT_SAMPLE", 200), ("ASSIGN_ROWS", 50)):
+        monkeypatch.setattr(neardup, name, value)
+    seen, split = [], neardup._split
+
+    def watched(assigned, overlap, threshold):
+        out = split(assigned, overlap, threshold)
+        seen.append((assigned.select("shard").distinct().count(), out.select("shard").distinct().count(), out.groupBy("rep", "v", "shard").count().where("count > 1").count()))
+        return out
+
+    monkeypatch.setattr(neardup, "_split", watched)
+    rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in vectors(900, dim=8, groups=12)]
+    got = run(spark, rows)
+    truth = plain(rows)
+    assert seen and all(after > 3 * before and twice == 0 for before, after, twice in seen)
+    links = sum(n for n, _ in truth.values())
+    assert all(r["n_links"] <= truth[r["vec_id"]][0] for r in got)
+    assert 0.97 * links <= sum(r["n_links"] for r in got) and {r["audit_recall"] >= 0.9 for r in got} == {True}
 
 
 def tight_families(families, size, cosine, dim=64, seed=1):
@@ -98,7 +152,7 @@ def tight_families(families, size, cosine, dim=64, seed=1):
 @pytest.mark.parametrize(("families", "size", "cosine"), [(3, 100, 0.97), (6, 100, 0.97), (10, 60, 0.99)])
 def test_tight_families_in_range_of_each_other_are_linked(families, size, cosine):
     x = neardup.unit(tight_families(families, size, cosine))
-    q, _ = neardup.search_in_range(x, neardup.robust_graph(x), 0.95)
+    q, _, _ = neardup.search_in_range(x, neardup.robust_graph(x), 0.95)
     assert len(q) >= 0.98 * len(x) * (len(x) - 1)
 
 
