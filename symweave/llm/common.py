@@ -46,6 +46,17 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer where df has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def crc_of_id(column: Column) -> Column:
     """crc32 of an id written as decimal text; null ids count as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
@@ -72,12 +83,19 @@ def ranked(df: DataFrame, keys: list[str], parts: list[str], order: list[str], n
     """df with the 0-based rank of each row in its group of `keys`, by `parts` and then `order`.
 
     Rows are numbered inside (keys, parts) only, and the sizes of earlier parts are added, so
-    a group that holds much of the table is sorted in as many tasks as it has parts. keys and
-    parts must not be null.
+    a group that holds much of the table is sorted in as many tasks as it has parts. Sizes are
+    added up one part after the other, so that no window holds more than the values of one part.
+    keys and parts must not be null.
     """
-    sizes = df.groupBy(*keys, *parts).agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy(*keys).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*keys, *parts, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    sizes = written(df.groupBy(*keys, *parts).agg(F.count("*").alias("__n")), "sizes")
+    before, earlier = sizes, []
+    for i, part in enumerate(parts):
+        outer = [*keys, *parts[:i]]
+        window = Window.partitionBy(*outer).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sizes.groupBy(*outer, part).agg(F.sum("__n").alias("__n"))
+        sums = sums.select(*outer, part, F.coalesce(F.sum("__n").over(window), F.lit(0)).alias(f"__before{i}"))
+        before, earlier = before.join(sums, [*outer, part]), [*earlier, F.col(f"__before{i}")]
+    before = before.select(*keys, *parts, sum(earlier[1:], earlier[0]).alias("__before"))
     here = F.row_number().over(Window.partitionBy(*keys, *parts).orderBy(*order)) - 1
     return df.withColumn("__here", here).join(before, [*keys, *parts]).withColumn(name, F.col("__before") + F.col("__here")).drop("__here", "__before")
 
@@ -93,13 +111,14 @@ def looks_listed(df: DataFrame, column: Column, listed: DataFrame, key: Column,
     taken for another, so what looks listed has yet to be joined; all else needs no shuffle.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_PLACES)) + 1
-    bits = (
-        listed.select(place(key).alias("__p"))
-        .groupBy(F.bitmap_bucket_number("__p").alias("__bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__bits"))
+    at, bucket, bits = unused(df, "__place", "__bucket", "__bits")
+    listed_bits = (
+        listed.select(place(key).alias(at))
+        .groupBy(F.bitmap_bucket_number(at).alias(bucket))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
     )
-    at = F.bitmap_bit_position("__p")
-    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(at, 3) + 1).cast("int"), 1)), 16, 10).cast("int")
-    hit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(at, F.lit(8)))), F.lit(2)) == 1
-    probed = df.withColumn("__p", place(column)).withColumn("__bucket", F.bitmap_bucket_number("__p"))
-    return probed.join(F.broadcast(bits), "__bucket", "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("__p", "__bucket", "__bits")
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(bit, 3) + 1).cast("int"), 1)), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
+    probed = df.withColumn(at, place(column)).withColumn(bucket, F.bitmap_bucket_number(at))
+    return probed.join(F.broadcast(listed_bits), bucket, "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop(at, bucket, bits)

@@ -8,8 +8,8 @@ of all rows repeat is never gathered row by row.
 
 Defined results: a null text is the empty text; rows with a null id take part, and a group
 of null ids only keeps null; repeated rows with equal ids are all kept or all dropped; an
-empty table gives an empty result; other columns of the input are ignored (`exact_groups`)
-or kept (`drop_copies`).
+empty table gives an empty result; very long texts are hashed and compared whole; other columns of
+the input are ignored (`exact_groups`) or kept, whatever their names (`drop_copies`).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import looks_listed, table, written
+from .common import looks_listed, table, unused, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,21 +83,20 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     Of rows that also share the id, as repeated rows do, one stays. Only rows whose text looks
     shared are joined with the groups; the others pass where they are.
     """
-    groups = written(exact_groups(docs, key, text, keep).select(F.col(key).alias("__id"), F.col("text_sha256").alias("__sha"), "group_size", "kept"), "exact")
-    several = groups.where("group_size > 1")
-    keepers = several.where("kept").groupBy("__id", "__sha").agg(F.count("*").alias("rows"))
-    keepers = written(keepers, "keepers")
-    repeated = keepers.where("rows > 1").select("__id", "__sha")
+    id_, sha, look = unused(docs, "__id", "__sha", "__shared")
+    groups = written(exact_groups(docs, key, text, keep).select(F.col(key).alias(id_), F.col("text_sha256").alias(sha), "group_size", "kept"), "exact")
+    several = groups.where("group_size > 1").select(id_, sha, "kept")
+    keepers = written(several.where("kept").groupBy(id_, sha).agg(F.count("*").alias("rows")), "keepers")
+    repeated, keepers = keepers.where("rows > 1").select(id_, sha), keepers.select(id_, sha)
     k, t = docs[f"`{key}`"], docs[f"`{text}`"]
-    marked = docs.withColumns({"__sha": F.sha2(ascii_lower(t), 256), "__id": k})
-    marked = looks_listed(marked, F.col("__sha"), several.select("__sha"), F.col("__sha"), "__shared")
-    alone, looked = marked.where("NOT __shared"), marked.where("__shared")
-    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__sha"] == b["__sha"])
-    shas = several.select("__sha").distinct()
-    alone = alone.unionByName(looked.join(shas, "__sha", "left_anti").select(*marked.columns))
+    marked = docs.withColumns({sha: F.sha2(ascii_lower(t), 256), id_: k})
+    marked = looks_listed(marked, F.col(sha), several.select(sha), F.col(sha), look)
+    alone, looked = marked.where(~F.col(look)), marked.where(look)
+    same = lambda a, b: a[id_].eqNullSafe(b[id_]) & (a[sha] == b[sha])
+    alone = alone.unionByName(looked.join(several.select(sha).distinct(), sha, "left_anti").select(*[F.col(f"`{c}`") for c in marked.columns]))
     stay = looked.join(keepers, same(looked, keepers), "left_semi")
     if not repeated.isEmpty():
-        once = stay.join(repeated, same(stay, repeated), "left_semi").dropDuplicates(["__id", "__sha"])
+        once = stay.join(repeated, same(stay, repeated), "left_semi").dropDuplicates([id_, sha])
         stay = stay.join(repeated, same(stay, repeated), "left_anti").unionByName(once)
     return alone.unionByName(stay).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -13,8 +13,9 @@ task nor cut short.
 
 Defined results: null and empty texts and texts of white space alone have fingerprint zero,
 which links like any other; repeated rows come out as often as they went in; null ids stay
-null and are ignored when a component is named, unless it has no other; an empty table gives
-an empty result; other columns are ignored (`near_groups`) or kept (`drop_near_copies`).
+null and are ignored when a component is named, unless it has no other; very long texts are hashed
+whole; an empty table gives an empty result; other columns are ignored (`near_groups`) or kept,
+whatever their names (`drop_near_copies`).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import looks_listed, small_batches, table, tidied, written
+from .common import looks_listed, small_batches, table, tidied, unused, written
 from .components import components
 
 BITS, MAX_DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
@@ -230,20 +231,22 @@ def keep_one_of_each(docs: DataFrame, groups: DataFrame, prints: Callable[[DataF
     theirs alone pass where they are.
     """
     named = F.col(key).eqNullSafe(F.col("component_id"))
+    look, row, print_ = unused(docs, "__look", "__row", "__print")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     ids = written(groups.groupBy(F.col(key).alias("__id")).agg(F.count("*").alias("rows"), F.bool_or(named).alias("some")), "kept")
     single, several = ids.where("some AND rows = 1").select("__id"), ids.where("some AND rows > 1").select("__id")
     # ids that one row has and that stay need no join; the others are those to look up
     others = ids.where("NOT (some AND rows = 1)").select("__id")
-    marked = looks_listed(docs, docs[f"`{key}`"], others, F.col("__id"), "__look")
-    passed, looked = marked.where("NOT __look").select(*docs.columns), marked.where("__look").select(*docs.columns)
+    marked = looks_listed(docs, docs[f"`{key}`"], others, F.col("__id"), look)
+    passed, looked = marked.where(~F.col(look)).select(*columns), marked.where(look).select(*columns)
     is_in = lambda of: looked[f"`{key}`"].eqNullSafe(of["__id"])
     stay = passed.unionByName(looked.join(single, is_in(single), "left_semi"))
     if several.isEmpty():
         return stay
-    again = looked.join(several, is_in(several), "left_semi").withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    found = prints(again.select(F.col("__row").alias("id"), F.col(f"`{text}`").alias("t")))
+    again = looked.join(several, is_in(several), "left_semi").withColumn(row, F.struct(*columns))
+    found = prints(again.select(F.col(row).alias("id"), F.col(f"`{text}`").alias("t"))).select("id", F.col("fp").alias(print_))
     roots = groups.where(named).select(F.col(key).alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-    chosen = found.join(roots, found["id"][key].eqNullSafe(roots["__id"]) & (found["fp"] == roots["__fp"])).dropDuplicates(["__id", "__root"])
+    chosen = found.join(roots, found["id"][key].eqNullSafe(roots["__id"]) & (found[print_] == roots["__fp"])).dropDuplicates(["__id", "__root"])
     return stay.unionByName(chosen.select("id.*"))
 
 

@@ -9,7 +9,9 @@ rule's host part cannot match into a path that imitates a host, and the leading
 `*.example.com` match the host itself as well as its subdomains.
 
 Defined results: a null URL or one without `://` has an empty host and path and matches no
-rule; repeated rows are judged each on its own; other columns of the input pass through.
+rule; of rules that fit the longest wins, host and path together, and of equally long ones the first
+listed; very long URLs are matched whole, one step a character; repeated rows are judged each on its
+own; an empty table gives an empty result; other columns of the input pass through.
 """
 
 from __future__ import annotations

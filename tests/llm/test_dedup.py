@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from symweave.llm import common, components, exact, simhash
+from symweave.llm import common, components, exact, nearcopies, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, d string, fp string, root string"
 
@@ -170,3 +170,15 @@ def test_components_of_chains_stars_and_odd_links(spark):
     assert found == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 160)} | {299: 299, 300: 299}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert np.bitwise_count(np.uint64(7)) == 3
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["doc_id", "text", "__id", "__sha", "__shared", "__place", "__bucket", "__bits", "__look", "__row", "__print", "rows", "fp", "root", "component_id"]
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, t, *[f"{n}{i}" for n in names[2:]]) for i, t in enumerate([long, long.upper(), long, "other", None, "", f"{long} x"])] + [(3, "other", *["again"] * 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{n} string" for n in names[1:]))
+    apart = (simhash.fingerprint(long) ^ simhash.fingerprint(f"{long} x")).bit_count() > simhash.MAX_DISTANCE
+    for drop, kept in ((exact.drop_copies, {2, 3, 5, 6}), (simhash.drop_near_copies, {0, 3, 4} | ({6} if apart else set())), (nearcopies.drop_near_copies, {0, 3, 4})):
+        out = drop(docs)
+        found = [tuple(r) for r in out.collect()]
+        assert out.columns == names and {r[0] for r in found} == kept and len(found) == len(kept) and set(found) <= set(rows)
