@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import impact, report, resolve, retrieve, store, traverse
-from .schemas import EDGE, FILE, INDEX_RUN, SYMBOL, TIERS
+from .schemas import EDGE, INDEX_RUN, TABLES, TIERS
 from .shared import written
 from .sources import chunks as chunk_source
 from .sources import discover as found
@@ -28,6 +28,8 @@ class IndexResult:
     edges: dict[str, int]
     scip_status: str
     warnings: list[str] = field(default_factory=list)
+    #: of the files indexed, those that were not parsed again
+    files_unchanged: int = 0
 
 
 @dataclass
@@ -52,17 +54,19 @@ class Engine:
     # -- index
 
     def index(
-        self, root: str, *, occurrences: DataFrame | None = None, files: DataFrame | None = None, use_scip: bool = False, prune: bool = False,
+        self, root: str, *, occurrences: DataFrame | None = None, files: DataFrame | None = None, use_scip: bool = False, prune: bool = False, force: bool = False,
         progress: Callable[[str], None] = lambda stage: None,
     ) -> IndexResult:
         """Index root, or the given files (path, content). A run that fails is recorded as interrupted.
 
-        occurrences: from a SCIP index; without them use_scip runs the indexer. prune: forget
-        files that are gone from disk, which by default stay.
+        Files whose content is as it was are not parsed again, unless forced; references elsewhere that
+        a change may concern are resolved again, so edges are those of a whole new index.
+        occurrences: from a SCIP index; without them use_scip runs the indexer, and a run with neither
+        leaves no resolved edges. prune: forget files that are gone from disk, which by default stay.
         """
         repo_id, run_id = self._begin(root)
         try:
-            result = self._index(root, repo_id, occurrences, files, use_scip, prune, progress)
+            result = self._index(root, repo_id, occurrences, files, use_scip, prune, force, progress)
         except BaseException as e:
             self._finish(run_id, "interrupted", str(e)[:500], None)
             raise
@@ -72,7 +76,7 @@ class Engine:
     def _repo(self, root: str, **values) -> int:
         row = {"root_path": root, "remote_url": None, "indexed_sha": None, "indexed_at": None, "scip_status": None} | values
         new = self.spark.createDataFrame([row], "root_path string, remote_url string, indexed_sha string, indexed_at timestamp, scip_status string")
-        merged = store.upsert(self.store.table("repo"), new, ["root_path"])
+        merged = store.upsert(self.store.table("repo"), new, ["root_path"], self.store.top_id("repo"))
         self.store.commit({"repo": merged})
         return self.store.table("repo").where(F.col("root_path") == root).first()["id"]
 
@@ -81,7 +85,7 @@ class Engine:
         repo_id = self._repo(root)
         runs = self.store.table("index_run")
         before = runs.where(F.col("repo_id") == repo_id).orderBy(F.desc("id")).select("to_sha").first()
-        run_id = (runs.agg(F.max("id")).first()[0] or 0) + 1
+        run_id = self.store.top_id("index_run") + 1
         row = (run_id, repo_id, datetime.now(UTC).replace(tzinfo=None), None, before[0] if before else None, found.current_sha(root), "running", 0, None, None, None)
         self.store.commit({"index_run": runs.unionByName(self.spark.createDataFrame([row], INDEX_RUN))})
         return repo_id, run_id
@@ -96,38 +100,23 @@ class Engine:
         })
         self.store.commit({"index_run": runs})
 
-    def _index(self, root, repo_id, occurrences, files, use_scip, prune, progress) -> IndexResult:
+    def _index(self, root, repo_id, occurrences, files, use_scip, prune, force, progress) -> IndexResult:
         progress("discover")
-        read = found.with_language(files if files is not None else found.discover(self.spark, root, exclude=(self.store.root,)))
+        read = found.with_language(files if files is not None else found.found_files(self.spark, root, exclude=(self.store.root,)))
+        old = self.store.tables(repo_id)
         progress("parse")
-        parsed = written(python_source.parse_files(read.where(F.col("lang") == "python")), "parsed")
-        read = written(read.select("path"), "read")
-        old = self.store.tables()
-        mine = {n: df.where(F.col("repo_id") == repo_id) for n, df in old.items() if n not in ("repo", "index_run")}
-
-        new_files = parsed.select(F.lit(repo_id).alias("repo_id"), "path", F.lit("python").alias("lang"), "blob_sha", "n_lines")
-        all_files = store.upsert(old["file"], new_files, ["repo_id", "path"])
-        all_files = written(all_files, "files")
-        file_ids = all_files.where(F.col("repo_id") == repo_id).join(new_files.select("path"), "path", "left_semi").select("id", "path")
+        parsed = written(python_source.parse_changed(read, old["file"].limit(0) if force else old["file"]), "parsed")
+        outcomes = {r["outcome"]: r["count"] for r in parsed.groupBy("outcome").count().collect()}
+        new = parsed.where("outcome = 'parsed'")
+
+        new_files = new.select(F.lit(repo_id).alias("repo_id"), "path", F.lit("python").alias("lang"), "blob_sha", "n_lines")
+        all_files = written(store.upsert(old["file"], new_files, ["repo_id", "path"], self.store.top_id("file")), "files")
+        file_ids = written(all_files.join(new_files.select("path"), "path", "left_semi").select("id", "path"), "file-ids")
+        touched = file_ids.select("id")
         if prune:
-            gone = mine["file"].join(read.select("path"), "path", "left_anti").select("id")
-            kept = store.delete_files({k: old[k] for k in ("symbol", "edge")} | {"file": all_files}, gone)
-            old, all_files = old | {k: written(kept[k], k) for k in ("symbol", "edge")}, written(kept["file"], "files")
-
-        rows = parsed.join(file_ids.withColumnRenamed("id", "file_id"), "path").select("file_id", F.inline("symbols"))
-        top = old["symbol"].agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        numbered = store.numbered(rows, ["file_id", "symbol_seq"], top).withColumns({"repo_id": F.lit(repo_id), "scip_symbol": F.lit(None).cast("string")})
-        # symbols of files that were read again are new; all edges of the repository are resolved anew
-        symbols = written(store.replace_of_files(old["symbol"], numbered, file_ids), "symbols")
-        own = symbols.where(F.col("repo_id") == repo_id)
-
-        progress("resolve")
-        refs = parsed.join(file_ids.withColumnRenamed("id", "file_id"), "path").select("file_id", F.inline("references"))
-        parts = [
-            resolve.defines_edges(own, numbered.select("id", "parent_qualified_name")).join(numbered.select(F.col("id").alias("dst_symbol_id"), F.col("symbol_seq").alias("ref_seq")), "dst_symbol_id")
-            .withColumns({"phase": F.lit(_PHASE_DEFINES), "file_id": F.col("evidence_file_id")}),
-            resolve.heuristic_edges(own, refs).withColumn("phase", F.lit(_PHASE_HEURISTIC)),
-        ]
+            gone = old["file"].join(parsed.select("path"), "path", "left_anti").select("id")
+            all_files = written(all_files.join(gone, "id", "left_anti").select(*all_files.columns), "files")
+            touched = written(touched.unionByName(gone), "touched")
         status, warnings = "skipped", []
         if occurrences is None and use_scip:
             try:
@@ -135,30 +124,53 @@ class Engine:
                 occurrences = scip.read_occurrences(self.spark, path)
             except scip.ScipUnavailable as e:
                 status, warnings = "degraded", [str(e)]
+
+        rows = new.join(file_ids.withColumnRenamed("id", "file_id"), "path").select("file_id", F.inline("symbols"))
+        numbered = store.numbered(rows, ["file_id", "symbol_seq"], self.store.top_id("symbol")).withColumns({"repo_id": F.lit(repo_id), "scip_symbol": F.lit(None).cast("string")})
+        stale = old["symbol"].withColumn("scip_symbol", F.lit(None).cast("string"))
+        symbols = written(store.replace_of_files(stale, numbered, touched), "symbols")
+        fresh_refs = new.join(file_ids.withColumnRenamed("id", "file_id"), "path").select(F.lit(repo_id).alias("repo_id"), "file_id", F.inline("references"))
+        refs = written(store.replace_of_files(old["reference"], fresh_refs, touched), "references")
+
+        progress("resolve")
+        # names that came, went, or are of symbols with new ids
+        before = old["symbol"].join(touched.withColumnRenamed("id", "file_id"), "file_id", "left_semi").select("id", "qualified_name")
+        names = written(before.select("qualified_name").unionByName(numbered.select("qualified_name")).distinct(), "names")
+        sources = written(incremental.affected_sources(refs, names), "sources")
+        again = refs.join(sources, "src_qualified_name", "left_semi")
+        # a file's imports take part in the resolution of its other references
+        context = refs.join(again.select("file_id").distinct(), "file_id", "left_semi")
+        own = symbols.where(F.col("repo_id") == repo_id)
+        heuristic = resolve.heuristic_edges(own, context).join(again.select("file_id", "ref_seq"), ["file_id", "ref_seq"], "left_semi")
+        parts = [
+            resolve.defines_edges(own, numbered.select("id", "parent_qualified_name")).join(numbered.select(F.col("id").alias("dst_symbol_id"), F.col("symbol_seq").alias("ref_seq")), "dst_symbol_id")
+            .withColumns({"phase": F.lit(_PHASE_DEFINES), "file_id": F.col("evidence_file_id")}),
+            heuristic.withColumn("phase", F.lit(_PHASE_HEURISTIC)),
+        ]
         if occurrences is not None:
             progress("scip")
-            named = all_files.where(F.col("repo_id") == repo_id)
-            parts.append(resolve.scip_edges(own, refs, occurrences, named).withColumn("phase", F.lit(_PHASE_RESOLVED)))
-            symbols = store.backfill_scip(symbols, resolve.scip_definitions(occurrences, named, own))
+            parts.append(resolve.scip_edges(own, refs, occurrences, all_files).withColumn("phase", F.lit(_PHASE_RESOLVED)))
+            symbols = store.backfill_scip(symbols, resolve.scip_definitions(occurrences, all_files, own))
             status = "ok"
         fresh = parts[0]
         for p in parts[1:]:
             fresh = fresh.unionByName(p)
-        kept = old["edge"].join(file_ids.select(F.col("id").alias("evidence_file_id")), "evidence_file_id", "left_anti")
-        kept = kept.join(symbols.select(F.col("id").alias("src_symbol_id")), "src_symbol_id", "left_semi")
-        kept = kept.join(symbols.select(F.col("id").alias("dst_symbol_id")), "dst_symbol_id", "left_semi").select(*[f.name for f in EDGE])
-        kept = written(kept, "kept")
+        # edges of sources that are resolved again go, and those at symbols that are no more
+        kept = old["edge"].where("tier != 'resolved'")
+        redone = own.join(sources.withColumnRenamed("src_qualified_name", "qualified_name"), "qualified_name", "left_semi").select(F.col("id").alias("src_symbol_id"), F.lit(True).alias("redone"))
+        kept = kept.join(redone, "src_symbol_id", "left").where("redone IS NULL OR kind = 'defines'")
+        for end in ("src_symbol_id", "dst_symbol_id"):
+            kept = kept.join(own.select(F.col("id").alias(end)), end, "left_semi")
+        kept = written(kept.select(*EDGE.names), "kept")
         added = store.insert_edges(kept, fresh, ["phase", "file_id", "ref_seq"])
-        top = old["edge"].agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        added = store.numbered(added, ["phase", "file_id", "ref_seq", "dst_symbol_id"], top).withColumns({"repo_id": F.lit(repo_id), "confidence": F.lit(1.0)})
-        edges = kept.unionByName(added.select(*kept.columns))
+        added = store.numbered(added, ["phase", "file_id", "ref_seq", "dst_symbol_id"], self.store.top_id("edge")).withColumns({"repo_id": F.lit(repo_id), "confidence": F.lit(1.0)})
 
         progress("write")
-        self.store.commit({"file": all_files.select(*[f.name for f in FILE]), "symbol": symbols.select(*[f.name for f in SYMBOL]), "edge": edges})
+        changed = {"file": all_files, "symbol": symbols, "reference": refs, "edge": kept.unionByName(added.select(*kept.columns))}
+        self.store.commit({k: df.select(*[f.name for f in TABLES[k]]) for k, df in changed.items()}, repo_id)
         self._repo(root, indexed_sha=found.current_sha(root), indexed_at=datetime.now(UTC).replace(tzinfo=None, microsecond=0), scip_status=status)
-        done, seen = parsed.count(), read.count()
-        counts = self.counts(root)
-        return IndexResult(done, seen - done, *counts, status, warnings)
+        unchanged = outcomes.get("unchanged", 0)
+        return IndexResult(outcomes.get("parsed", 0) + unchanged, outcomes.get("skipped", 0), *self.counts(root), status, warnings, unchanged)
 
     def changes(self, root: str, files: DataFrame) -> DataFrame:
         """What a re-index of files (path, content) would find added, changed, unchanged and deleted."""
@@ -171,7 +183,7 @@ class Engine:
         repo = self.store.table("repo").where(F.col("root_path") == root).select("id").first()
         if repo is None:
             raise KeyError(f"{root} is not indexed")
-        return self.store.table(name).where(F.col("repo_id") == repo[0])
+        return self.store.table(name, repo[0])
 
     def symbols(self, root: str) -> DataFrame:
         return self._mine(root, "symbol")
@@ -247,7 +259,8 @@ class Engine:
         repo = self.store.table("repo").where(F.col("root_path") == root).first()
         if repo is None:
             return False
-        self.store.commit(store.delete_repo(self.store.tables(), repo["id"]))
+        left = store.delete_repo({n: self.store.table(n) for n in ("repo", "index_run")}, repo["id"])
+        self.store.commit(left, gone=(repo["id"],))
         return True
 
 

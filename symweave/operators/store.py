@@ -1,15 +1,18 @@
 """Mutations as DataFrame functions, and the Parquet store that applies them.
 
 A table is only ever rebuilt from its old rows and the change: keyed merges, anti joins, and
-cascades that follow the references between tables. The store writes a new version of a table
-beside the old one and then points to it, so a reader never sees a half-written table and no path
-is read and overwritten at once.
+cascades that follow the references between tables. The store writes new versions beside the old
+ones and then publishes a state that names them, so a reader never sees a half-written table and no
+path is read and overwritten at once.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +47,13 @@ def numbered(rows: DataFrame, order: list[str], start: int = 0, name: str = "id"
     return placed.withColumn(name, (F.col("__b") + at + 1 + start).cast("long")).drop("__m", "__p", "__b")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with the rows of new, which has no id: a known key keeps its id and takes every other value, nulls too."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], top: int = 0) -> DataFrame:
+    """old with the rows of new, which has no id: a known key keeps its id and takes every other value, nulls too.
+
+    New keys are numbered from top + 1 on, by default from the highest id that old has.
+    """
     known = old.select(*keys, F.col("id").cast("long").alias("id"))
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    top = top or old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     kept = new.join(known, keys).select(*old.columns)
     fresh = numbered(new.join(known, keys, "left_anti"), keys, top).select(*old.columns)
     return old.join(new.select(*keys), keys, "left_anti").select(*old.columns).unionByName(kept).unionByName(fresh)
@@ -90,8 +96,9 @@ def delete_files(tables: dict[str, DataFrame], file_ids: DataFrame) -> dict[str,
     symbols = tables["symbol"]
     dead = symbols.join(gone, "file_id", "left_semi").select("id")
     out["symbol"] = symbols.join(gone, "file_id", "left_anti").select(*symbols.columns)
-    if "chunk" in tables:
-        out["chunk"] = tables["chunk"].join(gone, "file_id", "left_anti").select(*tables["chunk"].columns)
+    for name in ("chunk", "reference"):
+        if name in tables:
+            out[name] = tables[name].join(gone, "file_id", "left_anti").select(*tables[name].columns)
     edges = tables["edge"]
     for end in ("src_symbol_id", "dst_symbol_id"):
         edges = edges.join(dead.withColumnRenamed("id", end), end, "left_anti")
@@ -112,63 +119,140 @@ def fold_runs(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(*last)
 
 
+class Conflict(RuntimeError):
+    """Another writer committed since this one read the state."""
+
+
 class Store:
-    """The tables of one or more repositories below a folder that Spark can reach."""
+    """The tables of one or more repositories below a folder that Spark can reach.
+
+    A commit writes data to new folders and then publishes a numbered state file, which names the
+    folder of each table, and for tables with a repo_id that of each repository; so a commit for one
+    repository writes and replaces its rows only. The state with the highest number is current, and a
+    number can be published once: of two writers the second gets Conflict. Readers never see a
+    missing or half-written state, and what a state names stays on disk for RETAIN_SECONDS after a
+    later one, so that DataFrames read before keep working.
+    """
+
+    RETAIN_SECONDS = 24 * 3600
+    #: Tables that are written per repository.
+    SPLIT = tuple(n for n, t in TABLES.items() if "repo_id" in t.names and n != "index_run")
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._path = self._hadoop.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         state = self._state()
-        if state and state["version"] != SCHEMA_VERSION:
+        if state["number"] and state["version"] != SCHEMA_VERSION:
             raise ValueError(f"{root} has schema version {state['version']}; this is {SCHEMA_VERSION}")
 
-    def _state(self) -> dict:
-        path = self._path(f"{self.root}/state.json")
-        if not self._fs.exists(path):
-            return {}
-        source = self._fs.open(path)
+    def _states(self) -> dict[int, object]:
+        """Status of each published state file by its number."""
+        found = self._fs.globStatus(self._path(f"{self.root}/state-*.json")) if self._fs.exists(self._path(self.root)) else []
+        return {int(s.getPath().getName()[6:-5]): s for s in found or []}
+
+    def _state(self, number: int | None = None) -> dict:
+        if number is None:
+            number = max(self._states(), default=0)
+        if not number:
+            return {"version": SCHEMA_VERSION, "number": 0, "tables": {}}
+        source = self._fs.open(self._path(f"{self.root}/state-{number:09d}.json"))
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
         finally:
             source.close()
 
-    def table(self, name: str) -> DataFrame:
-        path = self._state().get("tables", {}).get(name)
-        if not path:
+    def _read(self, name: str, places: dict[str, str]) -> DataFrame:
+        if not places:
             return empty(self.spark, TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{path}").select(*TABLES[name].names)
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {n: self.table(n) for n in TABLES}
-
-    def commit(self, changed: dict[str, DataFrame]) -> None:
-        """Write the changed tables, all or none of which become current. Tables with a repo_id are partitioned by it."""
-        state = self._state() or {"version": SCHEMA_VERSION, "generation": 0, "tables": {}}
-        state["generation"] += 1
-        old = []
+        reader = self.spark.read.schema(TABLES[name]).option("basePath", f"{self.root}/{name}")
+        return reader.parquet(*[f"{self.root}/{p}" for _, p in sorted(places.items())]).select(*TABLES[name].names)
+
+    def table(self, name: str, repo_id: int | None = None) -> DataFrame:
+        """A table, or what one repository has in it."""
+        places = self._state()["tables"].get(name, {})
+        if repo_id is None:
+            return self._read(name, places)
+        if name in self.SPLIT:
+            return self._read(name, {k: p for k, p in places.items() if k == str(repo_id)})
+        return self._read(name, places).where(F.col("id" if name == "repo" else "repo_id") == repo_id)
+
+    def tables(self, repo_id: int | None = None) -> dict[str, DataFrame]:
+        return {n: self.table(n, repo_id) for n in TABLES}
+
+    def top_id(self, name: str) -> int:
+        """The highest id that a table ever had."""
+        return int(self._state().get("top", {}).get(name, 0))
+
+    def commit(self, changed: dict[str, DataFrame], repo_id: int | None = None, gone: tuple[int, ...] = ()) -> None:
+        """Write the changed tables, all or none of which become current.
+
+        repo_id: the rows of split tables are that repository's, and replace what it had; without
+        it they replace the whole table. gone: repositories that split tables forget.
+        """
+        state = self._state()
+        base = state["number"]
+        state["number"] = base + 1
+        for name in self.SPLIT:
+            for g in gone:
+                state["tables"].get(name, {}).pop(str(g), None)
         for name, df in changed.items():
             if name == "edge":
                 check_tiers(df)
-            path = f"{name}/{state['generation']:09d}"
+            place = f"{name}/{state['number']:09d}-{uuid.uuid4().hex[:8]}"
             rows = df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name]])
-            writer = rows.write.mode("overwrite")
-            (writer.partitionBy("repo_id") if "repo_id" in rows.columns else writer).parquet(f"{self.root}/{path}")
-            if name in state["tables"]:
-                old.append(state["tables"][name])
-            state["tables"][name] = path
-        self._write_state(state)
-        for path in old:
-            self._fs.delete(self._path(f"{self.root}/{path}"), True)
-
-    def _write_state(self, state: dict) -> None:
-        new = self._path(f"{self.root}/.state.json.new")
+            if name in self.SPLIT:
+                rows.write.partitionBy("repo_id").parquet(f"{self.root}/{place}")
+                found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{place}")) if s.isDirectory()]
+                new = {f.partition("=")[2]: f"{place}/{f}" for f in found if f.startswith("repo_id=")}
+                if repo_id is not None and set(new) - {str(repo_id)}:
+                    raise ValueError(f"rows of other repositories than {repo_id}")
+                kept = {k: p for k, p in state["tables"].get(name, {}).items() if k != str(repo_id)} if repo_id is not None else {}
+                state["tables"][name] = kept | new
+            else:
+                rows.write.parquet(f"{self.root}/{place}")
+                state["tables"][name] = {"": place}
+            if "id" in rows.columns:
+                top = state.setdefault("top", {})
+                top[name] = max(top.get(name, 0), self._read(name, state["tables"][name] if repo_id is None else new if name in self.SPLIT else {"": place}).agg(F.max("id")).first()[0] or 0)
+        self._publish(state, base)
+        self.vacuum()
+
+    def _publish(self, state: dict, base: int) -> None:
+        new = self._path(f"{self.root}/.new-{uuid.uuid4().hex}")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(state, indent=1, sort_keys=True), "utf-8"))
         out.close()
-        current = self._path(f"{self.root}/state.json")
-        self._fs.delete(current, False)
-        self._fs.rename(new, current)
+        final = self._path(f"{self.root}/state-{state['number']:09d}.json")
+        context = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 0)
+        try:
+            if max(self._states(), default=0) != base:
+                raise Conflict(f"state {base} of {self.root} is no longer the last")
+            context.rename(self._fs.makeQualified(new), self._fs.makeQualified(final), options)  # fails if it exists
+        except Py4JJavaError as e:
+            if self._fs.exists(final):
+                raise Conflict(f"state {state['number']} of {self.root} was published by another writer") from e
+            raise
+        finally:
+            self._fs.delete(new, False)
+
+    def vacuum(self, retain_seconds: int | None = None) -> int:
+        """Delete states that were replaced longer ago, and the data that only they name; the number of folders deleted."""
+        keep_ms = 1000 * (self.RETAIN_SECONDS if retain_seconds is None else retain_seconds)
+        states = sorted(self._states().items())
+        # a state is replaced when the next one is written
+        old = [n for (n, _), (_, after) in zip(states, states[1:], strict=False) if time.time() * 1000 - after.getModificationTime() >= keep_ms]
+        if not old:
+            return 0
+        named = lambda ns: {p for n in ns for places in self._state(n)["tables"].values() for p in places.values()}
+        dead = named(old) - named([n for n, _ in states if n not in old])
+        for p in sorted(dead):
+            self._fs.delete(self._path(f"{self.root}/{p}"), True)
+        for n in old:
+            self._fs.delete(self._path(f"{self.root}/state-{n:09d}.json"), False)
+        return len(dead)
 
     def size_bytes(self) -> int:
         """Of all files below the folder; 0 if there is none."""

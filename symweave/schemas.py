@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 # The domains, in the order in which counts are listed.
 SYMBOL_KINDS = ("file", "module", "class", "function", "method", "variable")
@@ -39,10 +39,12 @@ INDEX_RUN = _schema(
     "id long, repo_id long, started_at timestamp, finished_at timestamp?, from_sha string?, to_sha string?, status string, "
     "files_done int, files_total int?, scip_status string?, error string?"
 )
+#: Raw references as they were read, so that files that did not change need not be read again.
+REFERENCE = _schema("repo_id long, file_id long, ref_seq int, kind string, src_qualified_name string, target_text string, evidence_line int")
 OCCURRENCE = _schema("path string, line0 int, symbol string, is_definition boolean")
 REGISTRY = _schema("repo_hash string, root_path string, registered_at timestamp")
 
-TABLES = {"repo": REPO, "file": FILE, "symbol": SYMBOL, "edge": EDGE, "chunk": CHUNK, "index_run": INDEX_RUN}
+TABLES = {"repo": REPO, "file": FILE, "symbol": SYMBOL, "edge": EDGE, "chunk": CHUNK, "index_run": INDEX_RUN, "reference": REFERENCE}
 
 
 def empty(spark: SparkSession, schema: StructType) -> DataFrame:

@@ -9,6 +9,7 @@ for the enclosing scope; nothing is read inside lambdas.
 from __future__ import annotations
 
 import ast
+import hashlib
 import io
 import re
 import tokenize
@@ -23,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..shipping import ship
+from .discover import read_bytes
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _SCOPES = (*_FUNCTIONS, ast.ClassDef, ast.Lambda)
@@ -261,6 +263,9 @@ def parse_python(path: str, text: str) -> Parsed:
         return out
 
 
+#: Files that a task reads, about.
+FILES_A_TASK = 200
+
 PARSED = (
     "path string, blob_sha string, n_lines int, "
     "symbols array<struct<symbol_seq:int,kind:string,name:string,qualified_name:string,start_line:int,end_line:int,signature:string,docstring:string,parent_qualified_name:string>>, "
@@ -286,3 +291,47 @@ def parse_files(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return files.select("path", "content", F.sha2("content", 256).alias("blob_sha")).mapInArrow(parsed, PARSED)
+
+
+CHANGED = f"outcome string, {PARSED}"
+
+
+def parse_changed(files: DataFrame, known: DataFrame) -> DataFrame:
+    """A row for each file (path, lang, and uri or content) that can be read, with its outcome: parsed, unchanged or skipped.
+
+    known: (path, blob_sha) of files as they were read before; a file of the same content is not parsed
+    again. Files without a language and files that are not UTF-8 are skipped. A file is read once, by the
+    task that parses it.
+    """
+    spark = files.sparkSession
+    ship(spark)
+    schema, by_uri = to_arrow_schema(StructType.fromDDL(CHANGED)), "uri" in files.columns
+    source = "uri" if by_uri else "content"
+    both = files.select("path", "lang", source).join(known.select("path", F.col("blob_sha").alias("known")), "path", "left")
+    if by_uri:  # names are small and files are not, so rows are spread by their number
+        both = both.repartition(max(spark.sparkContext.defaultParallelism, -(-files.count() // FILES_A_TASK)))
+
+    def row(path: str, lang: str | None, given: str | bytes, sha: str | None) -> dict | None:
+        out = {"path": path, "outcome": "skipped", "blob_sha": None, "n_lines": None, "symbols": [], "references": []}
+        if lang is None:
+            return out
+        content = read_bytes(given) if by_uri else given
+        if content is None:
+            return None
+        out["blob_sha"] = hashlib.sha256(content).hexdigest()
+        if out["blob_sha"] == sha:
+            return out | {"outcome": "unchanged"}
+        try:
+            p = parse_python(path, content.decode("utf-8"))
+        except UnicodeDecodeError:
+            return out
+        return out | {"outcome": "parsed", "n_lines": p.n_lines, "symbols": p.symbols, "references": p.references}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                rows = [row(*r) for r in zip(*(part.column(c).to_pylist() for c in ("path", "lang", source, "known")), strict=True)]
+                yield pa.RecordBatch.from_pylist([r for r in rows if r], schema)
+
+    return both.select("path", "lang", source, "known").mapInArrow(read, CHANGED)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import ancestor_scopes, last_segment
+
 
 def file_changes(stored: DataFrame, current: DataFrame) -> DataFrame:
     """(path, change, old_sha, new_sha) of two snapshots (path, blob_sha): added, changed, unchanged or deleted."""
@@ -29,6 +31,20 @@ def affected_files(changes: DataFrame, files: DataFrame, symbols: DataFrame, edg
     return touched.unionByName(near).distinct()
 
 
+def affected_sources(references: DataFrame, names: DataFrame) -> DataFrame:
+    """(src_qualified_name) of sources whose edges may differ once symbols of the names (qualified_name) have come, gone or changed.
+
+    Every rule of resolution ends in a symbol whose last segment is that of the target, and depends
+    besides on the scopes around the source alone. All references of a source are resolved together,
+    as they share its edges.
+    """
+    bare = names.select(last_segment(F.col("qualified_name")).alias("bare")).distinct()
+    by_target = references.withColumn("bare", last_segment(F.col("target_text"))).join(bare, "bare", "left_semi").select("src_qualified_name")
+    scopes = references.select("src_qualified_name").distinct().withColumn("scope", F.explode(ancestor_scopes(F.col("src_qualified_name"))))
+    by_scope = scopes.join(names.select(F.col("qualified_name").alias("scope")).distinct(), "scope", "left_semi").select("src_qualified_name")
+    return by_target.unionByName(by_scope).distinct()
+
+
 def watch(spark: SparkSession, folder: str, checkpoint: str, apply: Callable[[DataFrame, int], None], available_now: bool = True) -> StreamingQuery:
     """Stream snapshots of files (path, content, as Parquet in a folder) into apply(files, batch).
 

@@ -101,6 +101,51 @@ def test_index_again_with_occurrences_and_remove(spark, engine, tree):
     assert engine.remove(root) is True and engine.remove(root) is False
 
 
+def whole(engine, root):
+    """Everything that an index says, by names."""
+    q = names(engine, root)
+    paths = {r["id"]: r["path"] for r in engine.files(root).collect()}
+    found = [(q[r["src_symbol_id"]], r["kind"], q[r["dst_symbol_id"]], r["tier"], paths.get(r["evidence_file_id"]), r["evidence_line"]) for r in engine.edges(root).collect()]
+    symbols = [(r["qualified_name"], r["kind"], paths[r["file_id"]], r["start_line"], r["scip_symbol"]) for r in engine.symbols(root).collect()]
+    return sorted(map(repr, found)), sorted(map(repr, symbols)), sorted(paths.values())
+
+
+EDITS = [
+    {"pkg/use.py": "from pkg.shapes import Shape, make\n\n\ndef build() -> Shape:\n    return other(1)\n"},
+    {"pkg/extra.py": "def other(x):\n    return make(x)\n\n\nclass Shape:\n    def area(self):\n        return self.sides\n"},
+    {"pkg/shapes.py": "class Shape:\n    pass\n\n\ndef make(name):\n    return Shape()\n\n\ndef main():\n    make('x')\n"},
+    {"pkg/extra.py": None},
+    {"run.py": "from pkg.use import build\nfrom pkg.shapes import make\n\n\ndef main():\n    make(build())\n\n\ndef make(y):\n    return main\n"},
+    {},
+]
+
+
+def test_an_incremental_index_says_what_a_new_one_says(spark, tmp_path, monkeypatch):
+    from symweave.sources import python_source
+
+    root, texts = tmp_path / "tree", dict(SIMPLE_FILES)
+    engine = Engine(spark, str(tmp_path / "store"))
+    frame = lambda: spark.createDataFrame([(p, bytearray(t.encode())) for p, t in texts.items()], "path string, content binary")
+    engine.index(str(root), files=frame())
+    for n, edit in enumerate(EDITS):
+        for path, text in edit.items():
+            texts.pop(path, None)
+            if text is not None:
+                texts[path] = text
+        before = {r["path"]: r["id"] for r in engine.symbols(str(root)).where("kind = 'file'").join(engine.files(str(root)).selectExpr("id AS file_id", "path"), "file_id").collect()}
+        done = engine.index(str(root), files=frame(), prune=True)
+        assert (done.files_indexed, done.files_unchanged) == (len(texts), len(texts) - sum(t is not None for t in edit.values()))
+        new = Engine(spark, str(tmp_path / f"store{n}"))
+        new.index(str(root), files=frame())
+        assert whole(engine, str(root)) == whole(new, str(root)), n
+        after = {r["path"]: r["id"] for r in engine.symbols(str(root)).where("kind = 'file'").join(engine.files(str(root)).selectExpr("id AS file_id", "path"), "file_id").collect()}
+        assert all(after[p] == before[p] for p in texts if p not in edit)
+        ids = [r["id"] for r in engine.edges(str(root)).collect()]
+        assert len(ids) == len(set(ids))
+    forced = engine.index(str(root), files=frame(), force=True)
+    assert forced.files_unchanged == 0 and whole(engine, str(root)) == whole(new, str(root))
+
+
 def test_changes_and_affected_files(spark):
     changes = file_changes(
         spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, blob_sha string"), spark.createDataFrame([("b", "2"), ("c", "1"), ("d", "1")], "path string, blob_sha string")

@@ -77,9 +77,52 @@ def test_store_round_trip_and_version(spark, tmp_path):
     assert again.table("edge").columns == schemas.EDGE.names
     with pytest.raises(ValueError, match="tier"):
         again.commit({"edge": edge.selectExpr(*[c if c != "tier" else "'x' AS tier" for c in edge.columns])})
-    state = tmp_path / "s" / "state.json"
-    (tmp_path / "s" / ".state.json.crc").unlink()
-    state.write_text(state.read_text().replace('"version": 1', '"version": 2'))
-    with pytest.raises(ValueError, match="schema version 2"):
+    state = max((tmp_path / "s").glob("state-*.json"))
+    (tmp_path / "s" / f".{state.name}.crc").unlink()
+    state.write_text(state.read_text().replace(f'"version": {schemas.SCHEMA_VERSION}', '"version": 99'))
+    with pytest.raises(ValueError, match="schema version 99"):
         store.Store(spark, str(tmp_path / "s"))
     assert again.delete() is True
+
+
+def edges(spark, *rows):
+    return spark.createDataFrame([(i, repo, 1, 2, "calls", "resolved", 1.0, None, None) for i, repo in rows], schemas.EDGE)
+
+
+def test_readers_keep_what_they_read_while_others_commit(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    s.commit({"edge": edges(spark, (1, 7), (2, 8))})
+    held = s.table("edge")
+    s.commit({"edge": edges(spark, (3, 7))}, repo_id=7)
+    s.commit({}, gone=(8,))
+    assert sorted(r["id"] for r in held.collect()) == [1, 2]
+    assert [r["id"] for r in s.table("edge").collect()] == [r["id"] for r in s.table("edge", 7).collect()] == [3]
+    assert s.table("edge", 8).count() == 0 and s.top_id("edge") == 3
+    assert s.vacuum() == 0 and s.vacuum(0) == 2
+    assert [r["id"] for r in s.table("edge").collect()] == [3]
+    s.commit({"edge": edges(spark)}, repo_id=7)
+    assert s.table("edge").count() == 0 and s.top_id("edge") == 3
+    with pytest.raises(ValueError, match="other repositories"):
+        s.commit({"edge": edges(spark, (9, 8))}, repo_id=7)
+
+
+def test_of_two_writers_the_second_is_told(spark, tmp_path, monkeypatch):
+    a, b = (store.Store(spark, str(tmp_path / "s")) for _ in range(2))
+    publish = store.Store._publish
+
+    def late(self, state, base):
+        if self is a:
+            b.commit({"edge": edges(spark, (5, 1))}, repo_id=1)
+        publish(self, state, base)
+
+    monkeypatch.setattr(store.Store, "_publish", late)
+    with pytest.raises(store.Conflict):
+        a.commit({"edge": edges(spark, (4, 1))}, repo_id=1)
+    assert [r["id"] for r in a.table("edge").collect()] == [5]
+    # the same between the check and the renaming
+    monkeypatch.setattr(store.Store, "_publish", publish)
+    states = store.Store._states
+    monkeypatch.setattr(store.Store, "_states", lambda self: {n: s for n, s in states(self).items() if n < 1} if self is a else states(self))
+    with pytest.raises(store.Conflict, match="published by another"):
+        a.commit({"edge": edges(spark, (6, 1))}, repo_id=1)
+    assert [r["id"] for r in b.table("edge").collect()] == [5]
