@@ -36,7 +36,10 @@ class IndexResult:
 class Status:
     root_path: str
     indexed_sha: str | None
+    current_sha: str | None
+    #: one of the cases of report.drift(), and how many commits behind if that is known
     drift: str
+    behind: int | None
     scip_status: str | None
     symbols: dict[str, int]
     edges: dict[str, int]
@@ -205,11 +208,10 @@ class Engine:
         return cut.join(named, ["file_id", "qualified_name"], "left").select("repo_id", "file_id", "symbol_id", "start_line", "end_line", "text", "n_tokens")
 
     def list_files(self, root: str, limit: int = traverse.DEFAULT_LIMIT) -> DataFrame:
-        return self.files(root).orderBy("path").limit(limit)
+        return report.first_files(self.files(root), limit)
 
     def list_symbols(self, root: str, file_id: int | None = None, limit: int = traverse.DEFAULT_LIMIT) -> DataFrame:
-        own = self.symbols(root)
-        return (own.orderBy("id") if file_id is None else own.where(F.col("file_id") == file_id).orderBy("start_line", "id")).limit(limit)
+        return report.first_symbols(self.symbols(root), file_id, limit)
 
     def refs(self, root: str, address: str, depth: int = 1, tiers: list[str] | None = None) -> DataFrame | None:
         """What depends on the symbol at a qualified name or `file:line`; None if there is none."""
@@ -228,12 +230,51 @@ class Engine:
         symbol = traverse.resolve_address(self.symbols(root), self.files(root), address)
         return None if symbol is None else traverse.subgraph(self.edges(root), symbol, radius, budget)
 
-    def search(self, root: str, text: str, k: int = 10) -> DataFrame:
-        """Symbols whose name, signature or docstring match best."""
-        own = self.symbols(root).withColumn("__text", F.concat_ws(" ", F.translate("qualified_name", "._", "  "), "signature", "docstring"))
+    def drawing(self, root: str, address: str, radius: int = 2, budget: int = 40, form: str = "mermaid") -> str | None:
+        """The subgraph around an address as Mermaid, or as JSON with what is beyond the budget clustered by file."""
+        symbol = traverse.resolve_address(self.symbols(root), self.files(root), address)
+        if symbol is None:
+            return None
+        nodes = traverse.subgraph(self.edges(root), symbol, radius, budget)
+        if form == "json":
+            return traverse.graph_json(traverse.subgraph_edges(self.edges(root), nodes, self.symbols(root), symbol)).first()["text"]
+        shown = nodes.where("kept").select("symbol_id").unionByName(self.spark.createDataFrame([(symbol,)], "symbol_id long"))
+        return traverse.mermaid(self.edges(root), self.symbols(root).join(shown.withColumnRenamed("symbol_id", "id"), "id", "left_semi")).first()["text"]
+
+    def search(self, root: str, text: str, k: int = 10, *, language: str | None = None, path_prefix: str | None = None, kind: str | None = None) -> DataFrame:
+        """Symbols whose name, signature or docstring match best, of a language, below a path, of a kind."""
+        own = retrieve.search_filter(self.symbols(root), self.files(root), language=language, path_prefix=path_prefix, kind=kind)
+        own = own.withColumn("__text", F.concat_ws(" ", F.translate("qualified_name", "._", "  "), "signature", "docstring"))
         hits = retrieve.bm25(own, self.spark.createDataFrame([(0, text)], "query_id int, query string"), "id", "__text", k)
         return hits.join(own.drop("__text"), "id").orderBy("rank")
 
+    def _numbered_chunks(self, root: str, files: DataFrame) -> DataFrame:
+        cut = self.chunks(root, files)
+        return cut.withColumn("chunk_id", F.concat_ws(":", "file_id", "start_line"))
+
+    def context(self, root: str, files: DataFrame, question: str, k: int = 10, hops: int = 2, budget: int = 8000) -> DataFrame:
+        """Chunks of files (path, content) to show for a question: the best by words, then what their symbols' edges lead to, within a budget of tokens."""
+        cut = self._numbered_chunks(root, files)
+        asked = self.spark.createDataFrame([(0, question)], "query_id int, query string")
+        shown = retrieve.hybrid(cut.select("chunk_id", "symbol_id", "text", "n_tokens"), asked, self.edges(root), k, hops, budget)
+        return shown.join(cut.select("chunk_id", "file_id", "start_line", "end_line", "text"), "chunk_id").orderBy("rank")
+
+    def duplicates(self, root: str, files: DataFrame, threshold: float = 0.8) -> DataFrame:
+        """(a, b, similarity): chunks of different files (path, content) that say nearly the same, copies by one of them."""
+        cut = self._numbered_chunks(root, files)
+        pairs, of = retrieve.duplicate_chunks(cut, "chunk_id", "text", threshold)
+        copies = of.where("chunk_id != representative").select(F.col("representative").alias("a"), F.col("chunk_id").alias("b"), F.lit(1.0).alias("similarity"))
+        file_of = lambda c: F.substring_index(c, ":", 1)
+        return pairs.unionByName(copies).where(file_of(F.col("a")) != file_of(F.col("b")))
+
+    def tests_of(self, root: str, address: str) -> DataFrame | None:
+        """Symbols in test files that use the symbol at an address."""
+        symbol = traverse.resolve_address(self.symbols(root), self.files(root), address)
+        if symbol is None:
+            return None
+        used = impact.test_edges(self.edges(root).where(F.col("dst_symbol_id") == symbol), self.symbols(root), self.files(root))
+        return traverse.enrich(used, self.symbols(root), self.files(root))
+
     # -- report
 
     def counts(self, root: str) -> tuple[dict[str, int], dict[str, int]]:
@@ -247,7 +288,7 @@ class Engine:
         now = found.current_sha(root)
         behind = found.commits_behind(root, repo["indexed_sha"], now) if repo["indexed_sha"] and now else None
         drift = report.drift(repo["indexed_sha"], now, behind)
-        return Status(root, repo["indexed_sha"], drift, repo["scip_status"], *self.counts(root), run and run["status"], run and run["duration_seconds"], self.store.size_bytes())
+        return Status(root, repo["indexed_sha"], now, *drift, repo["scip_status"], *self.counts(root), run and run["status"], run and run["duration_seconds"], self.store.size_bytes())
 
     def listing(self) -> DataFrame:
         """All repositories of the store with their last run."""

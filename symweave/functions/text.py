@@ -84,8 +84,34 @@ def entropy(text: Column) -> Column:
     return F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
 
+#: Strings that may be keys: so long at least, of such characters, and of so many bits a character.
+KEY_CHARS, KEY_LENGTH, KEY_BITS = "A-Za-z0-9+/_=-", 20, 4.0
+
+
 def redact(text: Column, patterns: tuple[str, ...] = SECRET_PATTERNS) -> Column:
     """Credentials by shape, and values assigned to names of secrets, replaced."""
     for p in patterns:
         text = F.regexp_replace(text, p, REDACTED)
     return F.regexp_replace(text, r"(?i)\b(token|secret|password|api_key)(\s*[=:]\s*[\"']?)[A-Za-z0-9+/_-]{16,}", "$1$2" + r"\[REDACTED\]")
+
+
+def redact_keys(text: Column, bits: float = KEY_BITS) -> Column:
+    """Long strings of letters and digits mixed whose characters are near to random, replaced."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[{KEY_CHARS}]{{{KEY_LENGTH},}}"), F.lit(0)))
+    keys = F.filter(found, lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]") & (entropy(x) >= bits))
+    # the longest first, as one may be part of another
+    ordered = F.array_sort(keys, lambda x, y: F.length(y) - F.length(x))
+    return F.when(text.isNotNull(), F.aggregate(ordered, text, lambda t, x: F.replace(t, x, F.lit(REDACTED))))
+
+
+def redact_env(text: Column) -> Column:
+    """The values of `NAME=value` lines, as files of settings have them, replaced; names and comments stay."""
+    return F.regexp_replace(text, r"(?m)^([ \t]*(?:export[ \t]+)?[A-Za-z_][A-Za-z0-9_.]*[ \t]*=)[ \t]*[^\r\n]+", "$1" + r"\[REDACTED\]")
+
+
+def is_env_path(path: Column) -> Column:
+    return F.substring_index(path, "/", -1).rlike(r"^\.env(\..*)?$|\.env$")
+
+
+def redact_file(path: Column, text: Column) -> Column:
+    return F.when(is_env_path(path), redact_env(text)).otherwise(redact_keys(redact(text)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import byte_size
 from ..schemas import SYMBOL_KINDS, TIERS, domain
 from .store import one_of_each
+from .traverse import DEFAULT_LIMIT
 
 
 def _filled(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
@@ -41,6 +42,20 @@ def indexed_totals(files: DataFrame, read: DataFrame) -> DataFrame:
     return read.select(F.count("*").alias("seen")).crossJoin(files.select(F.count("*").alias("indexed"))).select("indexed", (F.col("seen") - F.col("indexed")).alias("skipped"))
 
 
+def sizes(files: DataFrame) -> DataFrame:
+    """(root_path, size_bytes, files) of files (root_path, length)."""
+    return files.groupBy("root_path").agg(F.sum("length").alias("size_bytes"), F.count("*").alias("files"))
+
+
+def first_files(files: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    return files.orderBy("path", "id").limit(limit)
+
+
+def first_symbols(symbols: DataFrame, file_id: int | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """Of a file in reading order, or of all by id."""
+    return (symbols.orderBy("id") if file_id is None else symbols.where(F.col("file_id") == file_id).orderBy("start_line", "id")).limit(limit)
+
+
 def listing(registry: DataFrame, repos: DataFrame, sizes: DataFrame) -> DataFrame:
     """Registered repositories with size and status; one without an index is listed with nulls."""
     own = repos.select("root_path", "indexed_sha", "indexed_at", "scip_status")
@@ -49,17 +64,29 @@ def listing(registry: DataFrame, repos: DataFrame, sizes: DataFrame) -> DataFram
     return joined.select("root_path", "registered_at", "indexed_sha", "indexed_at", "scip_status", size.alias("size_bytes"), byte_size(size).alias("size"))
 
 
-def drift(indexed_sha: str | None, current_sha: str | None, behind: int | None) -> str:
-    """The one of five cases that a status shows for an index and its working copy."""
+def drift(indexed_sha: str | None, current_sha: str | None, behind: int | None) -> tuple[str, int | None]:
+    """How an index stands to its working copy, as one of five cases, and by how many commits if that is known.
+
+    untracked: indexed outside of git; detached: no git there now; current; behind; diverged: not to be counted.
+    """
     if indexed_sha is None:
-        return "none (not a git repo)"
+        return "untracked", None
     if current_sha is None:
-        return f"{indexed_sha} (working copy: not a git repo)"
+        return "detached", None
     if indexed_sha == current_sha:
-        return f"{indexed_sha} (up to date)"
-    if behind is not None:
-        return f"{indexed_sha} ({behind} commit(s) behind {current_sha})"
-    return f"{indexed_sha} (drifted from {current_sha}, exact count unknown: history rewritten?)"
+        return "current", 0
+    return ("diverged", None) if behind is None else ("behind", behind)
+
+
+def token_costs(usage: DataFrame, prices: DataFrame, by: list[str]) -> DataFrame:
+    """Tokens and their cost for each value of `by`; usage: (model, tokens_in, tokens_out), prices: (model, price_in, price_out) a million.
+
+    A model without a price costs null, not nothing.
+    """
+    priced = usage.join(prices, "model", "left")
+    cost = (F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6
+    sums = priced.groupBy(*by).agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum(cost).alias("cost"), F.count_if(cost.isNull()).alias("unpriced"))
+    return sums.select(*by, "tokens_in", "tokens_out", F.when(F.col("unpriced") == 0, F.col("cost")).alias("cost"))
 
 
 def precision_recall(predicted: DataFrame, truth: DataFrame, keys: list[str], by: str | None = None) -> DataFrame:

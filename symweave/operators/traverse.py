@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
 
 MAX_DEPTH, DEFAULT_LIMIT = 4, 1000
 #: Ids that a broadcast may hold, about 16 bytes each.
@@ -57,8 +58,8 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, tiers=None, *, forward
     used = edges.where(edge_filter(None, tiers))
     columns = [c for c in edges.columns]
     frontier = seeds.select("seed_id", "symbol_id").distinct().persist()
-    rows = total = frontier.count()
-    visited, levels = frontier, []
+    held, rows = [frontier], frontier.count()
+    total, visited, levels = rows, frontier, []
     for d in range(1, depth + 1):
         if not rows:
             break
@@ -68,18 +69,22 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, tiers=None, *, forward
             new.groupBy("seed_id", F.col(far).alias("symbol_id"), *[F.col(c).alias(f"__{c}") for c in collapse])
             .agg(F.min_by(F.struct(*columns), F.col("id")).alias("edge"))
             .select("seed_id", "symbol_id", F.lit(d).alias("depth"), "edge.*")
-            .persist()
         )
-        levels.append(found)
-        frontier = found.select("seed_id", "symbol_id").distinct()
         if d < depth:
-            frontier = frontier.persist()
+            found = found.persist()
+            frontier = found.select("seed_id", "symbol_id").distinct().persist()
+            held += [found, frontier]
             rows = frontier.count()
             total += rows
             visited = visited.unionByName(frontier)
+        levels.append(found)
     if not levels:
-        return used.limit(0).select(F.lit(0).cast("long").alias("seed_id"), F.col(far).alias("symbol_id"), F.lit(0).alias("depth"), *columns)
-    return reduce(DataFrame.unionByName, levels)
+        out = used.limit(0).select(F.lit(0).cast("long").alias("seed_id"), F.col(far).alias("symbol_id"), F.lit(0).alias("depth"), *columns)
+    else:
+        out = written(reduce(DataFrame.unionByName, levels), "reach")
+    for df in held:
+        df.unpersist()
+    return out
 
 
 def reverse_dependencies(edges: DataFrame, symbol_id: int, depth: int, tiers=None, collapse: tuple[str, ...] = ("kind",)) -> DataFrame:
@@ -121,9 +126,13 @@ def find_references(symbols: DataFrame, files: DataFrame, edges: DataFrame, addr
 
 
 def by_tier(hits: DataFrame) -> DataFrame:
-    """(tier, hits): the hits of each tier in reading order. For reports; a tier's hits are one row."""
-    hit = F.struct("depth", "qualified_name", "src_symbol_id", "kind", "evidence_path", "evidence_line")
-    return hits.groupBy("tier").agg(F.sort_array(F.collect_list(hit)).alias("hits"), F.count("*").alias("n"))
+    """hits, those of a tier one after the other and each tier's in reading order; a range sort, so no tier is gathered."""
+    return hits.orderBy("tier", "depth", "qualified_name", "src_symbol_id", "kind")
+
+
+def tier_counts(hits: DataFrame) -> DataFrame:
+    """(tier, n, sources): hits of each tier, and different symbols among them."""
+    return hits.groupBy("tier").agg(F.count("*").alias("n"), F.count_distinct("src_symbol_id").alias("sources"))
 
 
 def subgraph(edges: DataFrame, symbol_id: int, radius: int, budget: int = 40, tiers=None) -> DataFrame:
@@ -139,30 +148,118 @@ def subgraph(edges: DataFrame, symbol_id: int, radius: int, budget: int = 40, ti
     return nodes.join(nearest, "symbol_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
+def overflow(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file_id, depth, n): the nodes of a subgraph() beyond its budget, as one cluster for each file, with its nearest depth."""
+    rest = nodes.where("NOT kept").join(symbols.select(F.col("id").alias("symbol_id"), "file_id"), "symbol_id")
+    return rest.groupBy("file_id").agg(F.min("depth").alias("depth"), F.count("*").alias("n"))
+
+
+def subgraph_edges(edges: DataFrame, nodes: DataFrame, symbols: DataFrame, centre: int) -> DataFrame:
+    """(a, b, kind, n): edges inside a subgraph(), an end beyond the budget standing for its file's cluster.
+
+    a and b are `s<symbol id>` for the centre and kept nodes and `f<file id>` for clusters; n counts edges.
+    """
+    spark = edges.sparkSession
+    here = nodes.select("symbol_id", "kept").unionByName(spark.createDataFrame([(centre, True)], "symbol_id long, kept boolean"))
+    label = here.join(symbols.select(F.col("id").alias("symbol_id"), "file_id"), "symbol_id")
+    label = label.select("symbol_id", F.when(F.col("kept"), F.concat(F.lit("s"), "symbol_id")).otherwise(F.concat(F.lit("f"), "file_id")).alias("label"))
+    a, b = (label.select(F.col("symbol_id").alias(c), F.col("label").alias(n)) for c, n in (("src_symbol_id", "a"), ("dst_symbol_id", "b")))
+    inside = edges.join(a, "src_symbol_id").join(b, "dst_symbol_id").where("a != b OR a LIKE 's%'")
+    return inside.groupBy("a", "b", "kind").agg(F.count("*").alias("n"))
+
+
+#: Lines of a drawing, at most; a larger one is an error, not cut.
+MOST_DRAWN = 5000
+
+
+def _few(df: DataFrame, what: str) -> DataFrame:
+    if df.limit(MOST_DRAWN + 1).count() > MOST_DRAWN:
+        raise ValueError(f"more than {MOST_DRAWN} {what} to draw; take a smaller radius or budget")
+    return df
+
+
 def mermaid(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """One row with a Mermaid text of the edges; names: (id, qualified_name). For small graphs."""
+    """One row with a Mermaid text of the edges (src_symbol_id, dst_symbol_id, kind); names: (id, qualified_name)."""
     a, b = names.select(F.col("id").alias("src_symbol_id"), F.col("qualified_name").alias("a")), names.select(F.col("id").alias("dst_symbol_id"), F.col("qualified_name").alias("b"))
     line = F.format_string('  s%d["%s"] -->|%s| s%d["%s"]', "src_symbol_id", "a", "kind", "dst_symbol_id", "b")
-    lines = edges.join(a, "src_symbol_id").join(b, "dst_symbol_id").select(line.alias("line")).distinct()
+    lines = _few(edges.join(a, "src_symbol_id").join(b, "dst_symbol_id").select(line.alias("line")).distinct(), "edges")
     return lines.agg(F.concat_ws("\n", F.lit("graph LR"), F.sort_array(F.collect_list("line"))).alias("text"))
 
 
+def graph_json(edges: DataFrame) -> DataFrame:
+    """One row with the edges of subgraph_edges() as JSON: nodes in order, and edges with kind and count."""
+    few = _few(edges, "edges")
+    nodes = few.select(F.explode(F.array("a", "b")).alias("x")).agg(F.sort_array(F.collect_set("x")).alias("nodes"))
+    links = few.agg(F.sort_array(F.collect_list(F.struct("a", "b", "kind", "n"))).alias("edges"))
+    return nodes.crossJoin(links).select(F.to_json(F.struct("nodes", "edges")).alias("text"))
+
+
+def strongly_connected(edges: DataFrame, tiers=None) -> DataFrame:
+    """(symbol_id, component) of all symbols that lie on a cycle of any length; the component is its highest id.
+
+    Symbols without edges both ways go until none is left. Then the highest id that reaches a symbol
+    is spread along the edges, and of the symbols with one such id those that reach it in turn are its
+    component; what is left starts anew. Every step is a grouped maximum or a join of written tables.
+    """
+    all_ = edges.where(edge_filter(None, tiers)).select(F.col("src_symbol_id").alias("a"), F.col("dst_symbol_id").alias("b")).distinct()
+    loops = all_.where("a = b").select(F.col("a").alias("symbol_id"), F.col("a").alias("component"))
+    left, done = written(all_.where("a != b"), "cycle-edges"), []
+    while True:
+        n, before = left.count(), -1
+        while n != before:
+            ends = left.select(F.col("a").alias("n")).distinct().intersect(left.select(F.col("b").alias("n")).distinct())
+            kept = left.join(ends.withColumnRenamed("n", "a"), "a", "left_semi").join(ends.withColumnRenamed("n", "b"), "b", "left_semi")
+            left = written(kept.select("a", "b"), "cycle-edges")
+            n, before = left.count(), n
+        if not n:
+            break
+        nodes = left.select(F.col("a").alias("n")).distinct()
+        high = _spread(left, written(nodes.select("n", F.col("n").alias("h")), "highest"))
+        same = left.join(high.select(F.col("n").alias("a"), F.col("h").alias("ha")), "a").join(high.select(F.col("n").alias("b"), F.col("h").alias("hb")), "b").where("ha = hb")
+        same = written(same.select("a", "b"), "cycle-colours")
+        found = frontier = written(high.where("n = h").select("n", "h"), "cycle-roots")
+        while not frontier.isEmpty():
+            hop = same.join(frontier.withColumnRenamed("n", "b"), "b").select(F.col("a").alias("n"), "h").distinct()
+            frontier = written(hop.join(found.select("n"), "n", "left_anti"), "cycle-back")
+            found = found.unionByName(frontier)
+        found = written(found, "cycle-found")
+        done.append(found)
+        rest = left.join(found.select(F.col("n").alias("a")), "a", "left_anti").join(found.select(F.col("n").alias("b")), "b", "left_anti")
+        left = written(rest.select("a", "b"), "cycle-edges")
+    parts = [d.select(F.col("n").alias("symbol_id"), F.col("h").alias("component")) for d in done]
+    return reduce(DataFrame.unionByName, parts, loops).groupBy("symbol_id").agg(F.max("component").alias("component"))
+
+
+def _spread(edges: DataFrame, high: DataFrame) -> DataFrame:
+    """(n, h) with h the highest that reaches n along the edges."""
+    while True:
+        come = edges.join(high.select(F.col("n").alias("a"), F.col("h").alias("g")), "a").groupBy(F.col("b").alias("n")).agg(F.max("g").alias("g"))
+        after = written(high.join(come, "n", "left").select("n", F.greatest("h", "g").alias("h"), (F.coalesce("g", "h") > F.col("h")).alias("rose")), "highest")
+        high = after.select("n", "h")
+        if after.where("rose").isEmpty():
+            return high
+
+
 def cycles(edges: DataFrame, max_length: int = 6, tiers=None) -> DataFrame:
-    """(symbol_id, length) of symbols that lie on a cycle of at most max_length edges, the shortest one.
+    """(symbol_id, length) of all symbols that lie on a cycle; the length of the shortest, null if it has more than max_length edges.
 
-    Paths are pairs of first and current symbol, distinct at each length, so they grow with
-    reachability and not with the number of walks.
+    Which symbols these are comes from strongly_connected(), and lengths from paths inside a
+    component: pairs of first and current symbol, distinct at each length.
     """
+    members = written(strongly_connected(edges, tiers), "cycle-members")
     used = edges.where(edge_filter(None, tiers)).select("src_symbol_id", "dst_symbol_id").distinct()
-    # only symbols with edges both ways can lie on one
-    used = used.join(used.select(F.col("dst_symbol_id").alias("src_symbol_id")).distinct(), "src_symbol_id", "left_semi")
-    used = used.join(used.select(F.col("src_symbol_id").alias("dst_symbol_id")).distinct(), "dst_symbol_id", "left_semi").persist()
+    used = used.join(members.select(F.col("symbol_id").alias("src_symbol_id"), F.col("component").alias("x")), "src_symbol_id")
+    used = used.join(members.select(F.col("symbol_id").alias("dst_symbol_id"), F.col("component").alias("y")), "dst_symbol_id")
+    used = written(used.where("x = y").select("src_symbol_id", "dst_symbol_id"), "cycle-used")
     paths = used.select(F.col("src_symbol_id").alias("symbol_id"), F.col("dst_symbol_id").alias("at"))
     found = None
     for n in range(1, max_length + 1):
         closed = paths.where("symbol_id = at").select("symbol_id", F.lit(n).alias("length"))
         found = closed if found is None else found.unionByName(closed)
         if n < max_length:
-            open_ = paths.where("symbol_id != at")
-            paths = open_.join(used.withColumnRenamed("src_symbol_id", "at"), "at").select("symbol_id", F.col("dst_symbol_id").alias("at")).distinct().persist()
-    return found.groupBy("symbol_id").agg(F.min("length").alias("length"))
+            # a symbol that closed has its shortest cycle
+            open_ = paths.where("symbol_id != at").join(closed.select("symbol_id"), "symbol_id", "left_anti")
+            step = open_.join(used.withColumnRenamed("src_symbol_id", "at"), "at").select("symbol_id", F.col("dst_symbol_id").alias("at"))
+            paths = written(step.distinct(), "cycle-paths")
+    lengths = found.groupBy("symbol_id").agg(F.min("length").alias("length"))
+    return members.select("symbol_id").join(lengths, "symbol_id", "left")

@@ -31,10 +31,13 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import extraction, features  # noqa: F401, as they register theirs
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -45,8 +48,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _kept_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges for several hops: here they are derived from other tables, so they are derived once."""
-    return g.edges(spark, sf).persist()
+    """Edges for several hops, which an index has stored."""
+    return g.stored_edges(spark, sf)
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -113,8 +116,7 @@ def refs_by_location(spark, sf):
 
 @_query(g.with_graph(f"SELECT h.tier, count(*) AS n, count(DISTINCT h.src_symbol_id) AS sources {_HIT_JOIN} GROUP BY 1", g.reach_sql(g.WIDE_SEED, 4)))
 def refs_grouped_by_tier(spark, sf):
-    grouped = traverse.by_tier(flagship(spark, sf))
-    return grouped.select("tier", "n", F.size(F.array_distinct(F.transform("hits", lambda h: h.src_symbol_id))).cast("long").alias("sources"))
+    return traverse.tier_counts(flagship(spark, sf))
 
 
 _SEEDS = [g.WIDE_SEED, g.DEEP_SEED, g.FILE0]
@@ -162,15 +164,26 @@ def subgraph_with_budget(spark, sf):
     return traverse.subgraph(_kept_edges(spark, sf), g.DEEP_SEED, 2)
 
 
-@_query(
-    g.with_graph(
-        "SELECT start AS symbol_id, min(n) AS length FROM walk WHERE node = start GROUP BY 1",
-        "used AS (SELECT DISTINCT src_symbol_id AS a, dst_symbol_id AS b FROM gedges WHERE kind = 'imports'), "
-        "walk AS (SELECT a AS start, b AS node, 1 AS n FROM used UNION SELECT start, b, n + 1 FROM walk JOIN used ON a = node WHERE n < 6 AND node <> start)",
+def _cycles_sql(where: str, most: int) -> str:
+    return g.with_graph(
+        "SELECT symbol_id, length FROM (SELECT DISTINCT start AS symbol_id FROM reach WHERE start = node) "
+        "LEFT JOIN (SELECT start AS symbol_id, min(n) AS length FROM walk WHERE node = start GROUP BY 1) USING (symbol_id)",
+        f"used AS (SELECT DISTINCT src_symbol_id AS a, dst_symbol_id AS b FROM gedges WHERE {where}), "
+        "reach AS (SELECT a AS start, b AS node FROM used UNION SELECT start, b FROM reach JOIN used ON a = node), "
+        f"walk AS (SELECT a AS start, b AS node, 1 AS n FROM used UNION SELECT start, b, n + 1 FROM walk JOIN used ON a = node WHERE n < {most} AND node <> start)",
     )
-)
+
+
+@_query(_cycles_sql("tier = 'heuristic' AND kind IN ('imports', 'inherits', 'defines')", 6))
 def cycles_by_tier(spark, sf):
-    return traverse.cycles(g.edges(spark, sf).where("kind = 'imports'"), 6, ["heuristic"])
+    """Of the edges that a file or part has of its own accord; the calls of orders lie on no cycle."""
+    return traverse.cycles(_kept_edges(spark, sf).where(F.col("kind").isin("imports", "inherits", "defines")), 6, ["heuristic"])
+
+
+@_query(_cycles_sql("kind = 'imports'", 3))
+def cycles_longer_than_asked(spark, sf):
+    """Symbols on a longer cycle are found too, without a length."""
+    return traverse.cycles(_kept_edges(spark, sf).where("kind = 'imports'"), 3)
 
 
 # -- counts, runs, listing
@@ -219,7 +232,7 @@ def run_lifecycle_fold(spark, sf):
 
 @_query("SELECT source AS root_path, CAST(sum(n_chars) AS BIGINT) AS size_bytes, count(*) AS files FROM documents GROUP BY 1")
 def repo_size_total(spark, sf):
-    return _t(spark, sf, "documents").groupBy(F.col("source").alias("root_path")).agg(F.sum("n_chars").alias("size_bytes"), F.count("*").alias("files"))
+    return report.sizes(_t(spark, sf, "documents").select(F.col("source").alias("root_path"), F.col("n_chars").alias("length")))
 
 
 _SIZE = "CASE WHEN s < 1024 THEN printf('%d B', s) WHEN s < 1048576 THEN printf('%.1f KB', s / 1024.0) WHEN s < 1073741824 THEN printf('%.1f MB', s / 1048576.0) ELSE printf('%.1f GB', s / 1073741824.0) END"
@@ -359,8 +372,8 @@ def scip_unambiguous_lines(spark, sf):
 
 
 def _star_occurrences(spark, sf) -> DataFrame:
-    """A definition on each order's first span line, and a reference from the next order's file; some lines name two symbols."""
-    li = _t(spark, sf, "lineitem").where("l_linenumber <= 3")
+    """A definition on the first line of each span, and a reference from the next order's file; some lines name two symbols."""
+    li = _t(spark, sf, "lineitem")
     path = lambda k: F.concat(F.lit("f"), k, F.lit(".py"))
     key = F.col("l_orderkey")
     defs = li.select(path(key).alias("path"), (F.col("l_linenumber") - 1).alias("line0"), F.concat(F.lit("s"), key, F.lit("#"), F.col("l_linenumber")).alias("symbol"), F.lit(True).alias("is_definition"))
@@ -369,8 +382,8 @@ def _star_occurrences(spark, sf) -> DataFrame:
 
 
 _STAR_OCC_SQL = """occ AS (
-  SELECT 'f' || l_orderkey || '.py' AS path, l_linenumber - 1 AS line0, 's' || l_orderkey || '#' || l_linenumber AS symbol, true AS is_definition FROM lineitem WHERE l_linenumber <= 3
-  UNION ALL SELECT 'f' || (l_orderkey + 1) || '.py', l_linenumber - 1, 's' || l_orderkey || '#' || CASE WHEN l_quantity > 45 THEN 1 ELSE l_linenumber END, false FROM lineitem WHERE l_linenumber <= 3
+  SELECT 'f' || l_orderkey || '.py' AS path, l_linenumber - 1 AS line0, 's' || l_orderkey || '#' || l_linenumber AS symbol, true AS is_definition FROM lineitem
+  UNION ALL SELECT 'f' || (l_orderkey + 1) || '.py', l_linenumber - 1, 's' || l_orderkey || '#' || CASE WHEN l_quantity > 45 THEN 1 ELSE l_linenumber END, false FROM lineitem
 ), clean AS (SELECT path, line0, is_definition, min(symbol) AS symbol FROM occ GROUP BY path, line0, is_definition HAVING count(DISTINCT symbol) = 1),
 ofiles AS (SELECT DISTINCT o_orderkey AS id, 'f' || o_orderkey || '.py' AS path FROM orders),
 defs AS (SELECT f.id AS fid, line0 + 1 AS line, symbol AS scip_symbol FROM clean JOIN ofiles f USING (path) WHERE is_definition),
@@ -477,12 +490,12 @@ def cdc_added_changed_deleted(spark, sf):
 
 @_query("SELECT page_id, url FROM pages ORDER BY url, page_id LIMIT 1000")
 def list_files_topk(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", "url").orderBy("url", "page_id").limit(traverse.DEFAULT_LIMIT)
+    return report.first_files(_t(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("path"))).select(F.col("id").alias("page_id"), F.col("path").alias("url"))
 
 
 @_query(g.with_graph(f"SELECT id, start_line FROM gsymbols WHERE file_id = {g.FILE0 + 3} ORDER BY start_line, id LIMIT 1000"))
 def list_symbols_by_file(spark, sf):
-    return g.symbols(spark, sf).where(F.col("file_id") == g.FILE0 + 3).orderBy("start_line", "id").limit(traverse.DEFAULT_LIMIT).select("id", "start_line")
+    return report.first_symbols(g.symbols(spark, sf), g.FILE0 + 3).select("id", "start_line")
 
 
 _PATH_SQL = "CASE doc_id % 3 WHEN 0 THEN 'pkg/' || source || '/m' || doc_id || '.py' WHEN 1 THEN source || '/sub/__init__.py' ELSE '__init__.py' END"
@@ -539,8 +552,7 @@ def redact_secrets(spark, sf):
 
 # -- retrieval
 
-_ASKED = [(1, "the thing of"), (2, "und das nicht"), (3, "zzzz")]
-_BM25_SQL = """q AS (SELECT * FROM (VALUES (1, 'the thing of'), (2, 'und das nicht'), (3, 'zzzz')) AS v(query_id, query)),
+_BM25_SQL = """q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 20 = 0),
 terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) AS term FROM q),
 sized AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents),
 stats AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM sized),
@@ -551,7 +563,8 @@ bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 
 def _bm25(spark, sf) -> DataFrame:
-    asked = spark.createDataFrame(_ASKED, "query_id int, query string")
+    """The query set is every twentieth benchmark passage."""
+    asked = _t(spark, sf, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return retrieve.bm25(_t(spark, sf, "documents"), asked, "doc_id", "text")
 
 
@@ -578,11 +591,11 @@ _FUSED = "round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score"
 
 
 @_query(
-    f"WITH {_BM25_SQL}, {_COSINE_SQL}, both_ AS (SELECT query_id, doc_id, rank FROM bmr UNION ALL SELECT CAST(query_id / 100 + 1 AS INT), vec_id, rank FROM cosr WHERE query_id < 300), "
+    f"WITH {_BM25_SQL}, {_COSINE_SQL}, both_ AS (SELECT query_id, doc_id, rank FROM bmr UNION ALL SELECT query_id, vec_id, rank FROM cosr), "
     f"f AS (SELECT query_id, doc_id, {_FUSED} FROM both_ GROUP BY ALL) SELECT query_id, doc_id, round(score, 9) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10"
 )
 def rrf_fusion(spark, sf):
-    near = _cosine(spark, sf).where("query_id < 300").select((F.col("query_id") / 100 + 1).cast("int").alias("query_id"), F.col("vec_id").alias("doc_id"), "rank")
+    near = _cosine(spark, sf).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
     return retrieve.rank_fusion([_bm25(spark, sf), near], "doc_id").select("query_id", "doc_id", F.round("score", 9).alias("score"))
 
 
@@ -611,11 +624,11 @@ def citation_check(spark, sf):
 
 
 @_query(
-    """WITH p AS (SELECT DISTINCT doc_id, lang AS tier FROM documents WHERE doc_id % 3 = 0), t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)
+    """WITH p AS (SELECT DISTINCT doc_id, lang AS tier FROM documents), t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)
 SELECT tier, count(t.doc_id) AS hits, count(*) AS predictions, (SELECT count(*) FROM t) AS truths, count(t.doc_id) / count(*) AS precision, count(t.doc_id) / (SELECT count(*) FROM t) AS recall FROM p LEFT JOIN t USING (doc_id) GROUP BY 1"""
 )
 def retrieval_precision_recall(spark, sf):
-    predicted = _t(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", F.col("lang").alias("tier"))
+    predicted = _t(spark, sf, "documents").select("doc_id", F.col("lang").alias("tier"))
     return report.precision_recall(predicted, _t(spark, sf, "labels").where("quality = 1"), ["doc_id"], "tier")
 
 
@@ -632,18 +645,49 @@ def impact_span_seed(spark, sf):
     return impact.changed_symbols(o.select(F.col("o_orderkey").alias("file_id"), first.alias("first_line"), (first + F.col("o_orderkey") % 3).alias("last_line")), _spans(spark, sf))
 
 
+def _impact_sql(seeds: str, depth: int) -> str:
+    """Level by level, as a symbol may be reached again by surer edges."""
+    parts = [f"f0 AS (SELECT id AS node, true AS sure, [id] AS path FROM ({seeds}))", "v0 AS (SELECT node, sure FROM f0)"]
+    for d in range(1, depth + 1):
+        parts.append(
+            f"h{d} AS (SELECT e.src_symbol_id AS node, f.sure AND e.tier = 'resolved' AS sure, list_append(f.path, e.src_symbol_id) AS path FROM f{d - 1} f JOIN gedges e ON e.dst_symbol_id = f.node), "
+            f"b{d} AS (SELECT node, bool_or(sure) AS sure, min(path) AS least, coalesce(min(path) FILTER (WHERE sure), min(path)) AS path FROM h{d} GROUP BY 1), "
+            f"f{d} AS (SELECT b.* FROM b{d} b LEFT JOIN (SELECT node, bool_or(sure) AS was FROM v{d - 1} GROUP BY 1) k USING (node) WHERE was IS NULL OR (sure AND NOT was)), "
+            f"v{d} AS (SELECT * FROM v{d - 1} UNION ALL SELECT node, sure FROM f{d})"
+        )
+    all_ = " UNION ALL ".join(f"SELECT node, {d} AS depth, sure, least FROM f{d}" for d in range(1, depth + 1))
+    return ", ".join([*parts, f"reached AS (SELECT node AS symbol_id, min(depth) AS depth, bool_or(sure) AS sure, arg_min(least, depth) AS path FROM ({all_}) GROUP BY 1)"])
+
+
+_TESTED = "CASE WHEN id % 5 = 0 THEN 'tests/' ELSE '' END || path"
+
+
 @_query(
     g.with_graph(
-        f"SELECT w.symbol_id, w.depth, CASE WHEN r.symbol_id IS NULL THEN 'possible' ELSE 'definite' END AS certainty, false AS is_test FROM w LEFT JOIN r USING (symbol_id) JOIN gsymbols s ON s.id = w.symbol_id",
-        f"seeds AS (SELECT id FROM gsymbols WHERE kind = 'class' AND id % 7 = 0), "
-        "walk AS (SELECT id AS node, 0 AS depth FROM seeds UNION SELECT src_symbol_id, depth + 1 FROM walk JOIN gedges ON dst_symbol_id = node WHERE depth < 2), "
-        "sure AS (SELECT id AS node, 0 AS depth FROM seeds UNION SELECT src_symbol_id, depth + 1 FROM sure JOIN gedges ON dst_symbol_id = node AND tier = 'resolved' WHERE depth < 2), "
-        "w AS (SELECT node AS symbol_id, min(depth) AS depth FROM walk GROUP BY 1 HAVING min(depth) > 0), r AS (SELECT DISTINCT node AS symbol_id FROM sure WHERE depth > 0)",
-    )
+        f"SELECT symbol_id, depth, CASE WHEN sure THEN 'definite' ELSE 'possible' END AS certainty, {_TESTED} LIKE 'tests/%' AS is_test, array_to_string(r.path, '/') AS path "
+        "FROM reached r JOIN gsymbols s ON s.id = symbol_id JOIN (SELECT id AS fid, path AS fpath FROM gfiles) ON fid = file_id".replace("SELECT id AS fid, path AS fpath", f"SELECT id AS fid, {_TESTED} AS fpath"),
+        _impact_sql("SELECT id FROM gsymbols WHERE kind = 'class' AND id % 7 = 0", impact.DEFAULT_DEPTH),
+    ).replace(f"{_TESTED} LIKE", "fpath LIKE")
 )
 def impact_groups(spark, sf):
+    """Every fifth file holds tests here."""
     seeds = g.symbols(spark, sf).where("kind = 'class' AND id % 7 = 0").select(F.col("id").alias("symbol_id"))
-    return impact.impact(_kept_edges(spark, sf), seeds, g.symbols(spark, sf), g.files(spark, sf), 2)
+    hits = impact.impact(_kept_edges(spark, sf), seeds, g.symbols(spark, sf), _test_files(spark, sf))
+    return hits.withColumn("path", F.array_join("path", "/"))
+
+
+def _test_files(spark, sf) -> DataFrame:
+    return g.files(spark, sf).withColumn("path", F.concat(F.when(F.col("id") % 5 == 0, "tests/").otherwise(""), "path"))
+
+
+@_query(
+    g.with_graph(
+        "SELECT src_symbol_id, dst_symbol_id, 'tests' AS kind, 'inferred' AS tier, arg_min(evidence_file_id, e.id) AS evidence_file_id, arg_min(evidence_line, e.id) AS evidence_line FROM gedges e "
+        "JOIN gsymbols a ON a.id = src_symbol_id JOIN gsymbols b ON b.id = dst_symbol_id WHERE e.kind IN ('calls', 'references', 'imports', 'inherits') AND a.file_id % 5 = 0 AND b.file_id % 5 <> 0 GROUP BY 1, 2"
+    )
+)
+def test_associations(spark, sf):
+    return impact.test_edges(_kept_edges(spark, sf), g.symbols(spark, sf), _test_files(spark, sf))
 
 
 # -- extraction

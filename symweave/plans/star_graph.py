@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import scratch
+
 FILE0, CLASS0, FUNCTION0, METHOD0, VARIABLE0 = 1_000_000, 2_000_000, 3_000_000, 10_000_000, 5_000_000
 WIDE_SEED, DEEP_SEED = 2_000_001, 5_000_008
 
@@ -82,6 +84,19 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """edges() as a stored table, as an index has them: written once for a session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = scratch(spark, "star-edges")
+        edges(spark, sf).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 _CASE = lambda of, column: f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in of.items()) + " END"
 
 FILES_SQL = f"SELECT CAST({FILE0} + n_nationkey AS BIGINT) AS id, 'r' || n_regionkey || '/n' || n_nationkey || '.py' AS path FROM nation"

@@ -114,19 +114,23 @@ def decode_index(data: bytes) -> list[tuple[str, int, str, bool]]:
     return out
 
 
+DECODED = "path string, line0 int, symbol string, is_definition boolean"
+
+
+def decoded_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of the index files in a column of bytes."""
+    for b in batches:
+        for content in b.column("content").to_pylist():
+            rows = decode_index(content)
+            columns = zip(*rows, strict=True) if rows else ([],) * 4
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "line0", "symbol", "is_definition"])
+
+
 def read_occurrences(spark: SparkSession, path: str) -> DataFrame:
     """Occurrences of all index files at a path; one task decodes one file."""
     ship(spark)
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column("content").to_pylist():
-                rows = decode_index(content)
-                columns = zip(*rows, strict=True) if rows else ([],) * 4
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "line0", "symbol", "is_definition"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decoded, "path string, line0 int, symbol string, is_definition boolean")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decoded_batches, DECODED)
 
 
 def run_indexer(root: str, output: str, project: str, version: str | None = None, timeout: float = TIMEOUT_SECONDS) -> str:

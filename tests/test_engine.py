@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import socket
 
 import pytest
@@ -194,12 +195,40 @@ def test_command_line(spark, tree, tmp_path, capsys):
     try:
         assert call("refs", "run.main") == 0 and "run  calls  run.py:9" in capsys.readouterr().out
         assert call("refs", "nobody") == 1 and call("refs", "run", "--tier", "x") == 1
+        capsys.readouterr()
+        said = lambda: json.loads(capsys.readouterr().out)
+        assert call("search", "square", "--json", "--kind", "function") == 0 and said()[0]["qualified_name"] == "pkg.shapes._square"
+        assert call("impact", "pkg/shapes.py:18-19", "--json") == 0 and {"pkg.shapes.Shape.area"} <= {r["qualified_name"] for r in said()}
+        assert call("impact", "nonsense") == 1 and call("graph", "nobody") == 1
+        capsys.readouterr()
+        assert call("graph", "run.main", "--radius", "1", "--json") == 0 and said()["nodes"]
+        assert call("graph", "run.main", "--radius", "1") == 0 and capsys.readouterr().out.startswith("graph LR\n")
+        assert call("status", str(tree), "--json") == 0 and said()["drift"] == "untracked"
+        assert call("index", str(tree), "--no-scip", "--json") == 0 and said()["files_unchanged"] == 4
+        assert call("list", "--json") == 0 and len(said()) == 1
     finally:
         os.chdir(here)
     assert call("remove", str(tree)) == 0 and call("remove", str(tree)) == 1
     assert (tree / "run.py").exists()
 
 
+def test_context_duplicates_and_tests(spark, tmp_path):
+    body = "    total = 0\n    for item in items:\n        total = total + item.price * item.count\n        total = total - item.discount(item.count, item.price)\n    return round(total, 2)\n"
+    texts = {
+        "shop/cart.py": f"def cart_total(items):\n{body}", "shop/order.py": f"def cart_total(items):\n{body}",
+        "tests/test_cart.py": "from shop.cart import cart_total\n\n\ndef test_total():\n    assert cart_total([]) == 0\n",
+    }
+    files = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in texts.items()], "path string, content binary")
+    e = Engine(spark, str(tmp_path / "store"))
+    e.index("/shop", files=files)
+    found = e.duplicates("/shop", files).collect()
+    assert len(found) == 1 and found[0]["similarity"] == 1.0
+    shown = e.context("/shop", files, "discount of an item price").collect()
+    assert shown[0]["rank"] == 1 and "discount" in shown[0]["text"] and sum(r["n_tokens"] for r in shown) <= 8000
+    assert {r["qualified_name"] for r in e.tests_of("/shop", "shop.cart.cart_total").collect()} == {"tests.test_cart"}
+    assert e.tests_of("/shop", "nobody") is None
+
+
 def test_citations_and_fusion(spark):
     files = spark.createDataFrame([(1, "a.py")], "id long, path string")
     symbols = spark.createDataFrame([(5, 1, 2, 9)], "id long, file_id long, start_line int, end_line int")

@@ -231,3 +231,16 @@ def test_registry_and_lock(spark, tmp_path):
         (space.repo_dir("/y") / "data").write_text("12345")
     assert space.size("/y") == 5
     assert space.remove("/y") is True and space.listing() == []
+
+
+def test_listing_on_the_executors_is_that_of_the_driver(spark, tmp_path, monkeypatch):
+    for i in range(12):
+        for inner in ("", "deep/", ".hidden/", "build/"):
+            (tmp_path / f"d{i}" / inner).mkdir(parents=True, exist_ok=True)
+            (tmp_path / f"d{i}" / f"{inner}f.py").write_text("x" * i)
+    rows = lambda df: sorted((r["path"], r["length"]) for r in df.collect())
+    whole = rows(d.listed(spark, f"file://{tmp_path}", d.SKIP_DIRS))
+    assert len(whole) == 24 and whole == rows(d.walked(spark, str(tmp_path), d.SKIP_DIRS))
+    monkeypatch.setattr(d, "LISTED_HERE", 4)
+    assert rows(d.listed(spark, f"file://{tmp_path}", d.SKIP_DIRS)) == whole
+    assert len(rows(d.listed(spark, f"file://{tmp_path}"))) == 48

@@ -59,11 +59,17 @@ def test_counts_are_zero_filled_in_listing_order(spark):
 
 
 @pytest.mark.parametrize(
-    ("args", "text"),
-    [((None, "x", None), "none"), (("a", None, None), "working copy"), (("a", "a", None), "up to date"), (("a", "b", 3), "3 commit(s) behind b"), (("a", "b", None), "drifted")],
+    ("args", "case"),
+    [((None, "x", None), "untracked"), (("a", None, None), "detached"), (("a", "a", None), "current"), (("a", "b", 3), "behind"), (("a", "b", None), "diverged")],
 )
-def test_drift(args, text):
-    assert text in report.drift(*args)
+def test_drift(args, case):
+    assert report.drift(*args) == (case, {"current": 0, "behind": 3}.get(case))
+
+
+def test_costs_of_tokens(spark):
+    usage = spark.createDataFrame([("m", "ask", 1000, 500), ("m", "ask", 1000, 0), ("n", "ask", 5, 5), ("m", "map", 0, 2_000_000)], "model string, step string, tokens_in long, tokens_out long")
+    prices = spark.createDataFrame([("m", 3.0, 15.0)], "model string, price_in double, price_out double")
+    assert {r["step"]: (r["tokens_in"], r["tokens_out"], r["cost"]) for r in report.token_costs(usage, prices, ["step"]).collect()} == {"ask": (2005, 505, None), "map": (0, 2_000_000, 30.0)}
 
 
 def test_store_round_trip_and_version(spark, tmp_path):

@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
+from symweave.functions import text
+from symweave.operators import impact, retrieve
 from symweave.operators import traverse as t
 
 NAMES = {c: i + 1 for i, c in enumerate("ABCDEFGH")}
@@ -116,7 +120,10 @@ def test_references_are_enriched_and_in_reading_order(tables):
     assert [(r["tier"], r["qualified_name"], r["evidence_path"]) for r in rows] == [("heuristic", "m.A", "m.py"), ("heuristic", "m.A.g", None), ("resolved", "n.h", "n.py")]
     assert t.find_references(*tables, "nobody") is None
     assert t.find_references(*tables, "n.h").count() == 0
-    grouped = {r["tier"]: r["n"] for r in t.by_tier(t.find_references(*tables, "m.A.f", 99)).collect()}
+    hits = t.find_references(*tables, "m.A.f", 99)
+    tiers = [r["tier"] for r in t.by_tier(hits).collect()]
+    assert tiers == sorted(tiers) and len(tiers) == hits.count()
+    grouped = {r["tier"]: r["n"] for r in t.tier_counts(hits).collect()}
     assert grouped == {"heuristic": 2, "resolved": 1}
 
 
@@ -132,3 +139,79 @@ def test_tier_filters_reach_the_scan(spark, tmp_path):
     plan = t.edges_to(spark.read.parquet(f"{tmp_path}/edges"), 2, "calls", ["resolved"])._jdf.queryExecution().toString()
     assert "In(tier" in plan or "EqualTo(tier" in plan
     assert "EqualTo(dst_symbol_id,2)" in plan
+
+
+def test_symbols_on_cycles_of_any_length(spark):
+    rng = random.Random(3)
+    ring = [(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)]
+    rows = ring + [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(55)] + [("r0", "n0"), ("x", "x")]
+    names = sorted({n for r in rows for n in r})
+    ids = {n: i for i, n in enumerate(names, 1)}
+    edges = [(k, ids[a], ids[b], "calls", "heuristic") for k, (a, b) in enumerate(rows)]
+    g = spark.createDataFrame(edges, "id long, src_symbol_id long, dst_symbol_id long, kind string, tier string")
+    out = {}
+    for a, b in rows:
+        out.setdefault(ids[a], set()).add(ids[b])
+
+    def reached(start):
+        seen, todo = set(), [*out.get(start, ())]
+        while todo:
+            k = todo.pop()
+            if k not in seen:
+                seen.add(k)
+                todo += out.get(k, ())
+        return seen
+
+    far = {ids[n]: reached(ids[n]) for n in names}
+    expected = {i: max(j for j in far[i] if i in far[j]) for i in far if i in far[i]}
+    assert {r["symbol_id"]: r["component"] for r in t.strongly_connected(g).collect()} == expected
+    lengths = {r["symbol_id"]: r["length"] for r in t.cycles(g, 6).collect()}
+    assert lengths.keys() == expected.keys() and all(lengths[ids[f"r{i}"]] is None for i in range(9)) and lengths[ids["x"]] == 1
+    assert t.strongly_connected(g.limit(0)).count() == 0
+
+
+def test_impact_tells_sure_from_unsure_and_the_way(spark):
+    ddl = "id long, src_symbol_id long, dst_symbol_id long, kind string, tier string"
+    rows = [(2, 1, "heuristic"), (3, 2, "resolved"), (4, 1, "resolved"), (5, 4, "resolved"), (2, 5, "resolved"), (6, 3, "resolved"), (1, 6, "resolved")]
+    edges = spark.createDataFrame([(i, a, b, "calls", tier) for i, (a, b, tier) in enumerate(rows)], ddl)
+    symbols = spark.createDataFrame([(i, i % 2) for i in range(1, 7)], "id long, file_id long")
+    files = spark.createDataFrame([(0, "src/a.py"), (1, "tests/test_a.py")], "id long, path string")
+    seeds = spark.createDataFrame([(1,)], "symbol_id long")
+    got = {r["symbol_id"]: (r["depth"], r["certainty"], r["is_test"], r["path"]) for r in impact.impact(edges, seeds, symbols, files, 4).collect()}
+    assert got == {
+        2: (1, "definite", False, [1, 2]), 3: (2, "definite", True, [1, 2, 3]), 4: (1, "definite", False, [1, 4]), 5: (2, "definite", True, [1, 4, 5]), 6: (3, "possible", False, [1, 2, 3, 6]),
+    }
+    near = {r["symbol_id"]: r["certainty"] for r in impact.impact(edges, seeds, symbols, files, 2).collect()}
+    assert near == {2: "possible", 3: "possible", 4: "definite", 5: "definite"}
+    assert impact.impact(edges, seeds.limit(0), symbols, files).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_duplicate_chunks_are_those_of_brute_force(spark, threshold):
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 60))] for _ in range(25)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for share in (0.01, 0.03, 0.08):
+            texts.append(" ".join("new" if rng.random() < share else w for w in b))
+    texts += [texts[0].upper(), "", "...", "one", "one"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    pairs, of = retrieve.duplicate_chunks(chunks, "id", "text", threshold)
+    sets = {}
+    for i, text in enumerate(texts):
+        words = re.findall("[a-z0-9]+", text.lower())
+        if words:
+            sets[i] = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+    first = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    assert {r["id"]: r["representative"] for r in of.collect()} == first
+    kept = sorted(set(first.values()))
+    expected = {(a, b) for a in kept for b in kept if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
+    found = pairs.collect()
+    assert {(r["a"], r["b"]) for r in found} == expected and len(found) == len(expected)
+
+
+def test_redaction(spark):
+    said = "key AbC9xYz0QwErTyUiOp12LmNoPqRs and AAAAAAAAAAAAAAAAAAAAAAAA1 and plain"
+    df = spark.createDataFrame([(said, "a/.env"), (None, "x")], "t string, p string")
+    one, none = df.select(text.redact_keys(F.col("t")).alias("k"), text.is_env_path(F.col("p")).alias("e")).collect()
+    assert one["k"] == "key [REDACTED] and AAAAAAAAAAAAAAAAAAAAAAAA1 and plain" and one["e"] and none["k"] is None and not none["e"]
