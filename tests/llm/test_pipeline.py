@@ -67,10 +67,35 @@ def test_stages_take_effect_on_all_rows(spark, tmp_path):
         else:
             packed = Counter(r["doc_id"] for r in docs.collect() if r["piece"] == 0)
             assert packed == Counter(i for (i, _), n in rows.items() for _ in range(n))
+            # run() is these stages, one after the other
+            said = lambda df: Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
+            assert said(corpus_pipeline.run(spark, SF)) == said(docs)
             continue
         assert Counter((r["doc_id"], r["text"]) for r in docs.collect()) == expected
 
 
+def test_odd_tables_pass_all_stages(spark, tmp_path):
+    good = "a calm line of plain words that people read and write about the {} of the day {}"
+    rows = [(i, good.format(i, i * 7), "s", f"x{i}") for i in range(60)] + [(i, "BUY!! NOW$$$ click### free&&& win%%%" * 3, "t", "y") for i in range(60, 100)]
+    rows += [(None, None, None, None), (None, good.format(1, 2), "s", "z"), (7, good.format(7, 49), "s", "x7"), (200, "", "s", "e"), (201, "word " * 60_000 + "end", "s", "long")]
+    ddl = "doc_id long, text string, source string, __score string"
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(100)], "doc_id long, quality int")
+    for n, (some, taught) in enumerate([(rows, labels), (rows, labels.limit(0)), (rows[:0], labels)]):
+        folder = str(tmp_path / f"t{n}")
+        spark.createDataFrame(some, ddl).write.parquet(f"{folder}/documents.parquet")
+        taught.write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        left = {}
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, folder).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            left[name] = docs.count()
+            assert name == "packing" or docs.columns == ["doc_id", "text", "source", "__score"]
+        assert left["exact_dedup"] <= left["quality"] <= len(some) and (left["packing"] > 0) == bool(some)
+        if n == 1:
+            assert left["quality"] == len(rows)
+
+
 @here
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_its_sql(spark, name):
