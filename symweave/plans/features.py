@@ -95,26 +95,24 @@ def hybrid_context(spark, sf):
     return retrieve.hybrid(chunks, asked, edges, k=2).select("query_id", "chunk_id", "hop", "rank")
 
 
-_TURNS = "CAST(conv_id * 1000 + turn AS BIGINT)"
-_SETS_SQL = f"""t AS (SELECT {_TURNS} AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS t FROM conversations),
+_SETS_SQL = """t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents),
 sets AS (SELECT id, list_sort(list_distinct(list_transform(range(1, greatest(1, len(t) - 4) + 1), lambda i: array_to_string(list_slice(t, i, i + 4), ' ')))) AS s FROM t WHERE len(t) > 0),
 reps AS (SELECT s, min(id) AS r FROM sets GROUP BY 1)"""
 
 
 @_query(
-    f"WITH {_SETS_SQL}, pairs AS (SELECT a.r AS a, b.r AS b, len(list_intersect(a.s, b.s)) AS c, len(a.s) + len(b.s) AS n FROM reps a JOIN reps b ON a.r < b.r AND least(len(a.s), len(b.s)) >= 0.5 * greatest(len(a.s), len(b.s))) "
-    "SELECT a, b, round(c / (n - c), 9) AS similarity FROM pairs WHERE c / (n - c) >= 0.5"
+    f"WITH {_SETS_SQL}, each AS (SELECT r, len(s) AS n, unnest(s) AS x FROM reps), pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS c, any_value(a.n + b.n) AS n FROM each a JOIN each b USING (x) WHERE a.r < b.r GROUP BY 1, 2) "
+    "SELECT a, b, round(c / (n - c), 9) AS similarity FROM pairs WHERE c / (n - c) >= 0.8"
 )
-def duplicate_passages(spark, sf):
-    turns = _t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("id"), "text")
-    pairs, _ = retrieve.duplicate_chunks(turns, "id", "text", 0.5)
+def duplicate_texts(spark, sf):
+    """Documents as chunks: pairs of different texts at a Jaccard similarity of 0.8."""
+    pairs, _ = retrieve.duplicate_chunks(_t(spark, sf, "documents"), "doc_id", "text")
     return pairs.select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
-@_query(f"WITH {_SETS_SQL} SELECT id, r AS representative FROM sets JOIN reps USING (s)")
-def copies_of_passages(spark, sf):
-    turns = _t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("id"), "text")
-    return retrieve.duplicate_chunks(turns, "id", "text", 0.5)[1]
+@_query(f"WITH {_SETS_SQL} SELECT id AS doc_id, r AS representative FROM sets JOIN reps USING (s)")
+def copies_of_texts(spark, sf):
+    return retrieve.duplicate_chunks(_t(spark, sf, "documents"), "doc_id", "text")[1]
 
 
 @_query(
@@ -193,14 +191,11 @@ def token_costs(spark, sf):
     return report.token_costs(usage, prices, ["step"]).withColumn("cost", F.round("cost", 9))
 
 
-_KEY = "substr(sha256(CAST(doc_id AS VARCHAR)), 1, 32)"
-
-
 @_query(f"SELECT doc_id, 'key ' || CASE WHEN doc_id % 2 = 0 THEN '[REDACTED]' ELSE repeat('ab1', 8) END || ' end ' || doc_id AS text FROM documents")
 def redact_by_entropy(spark, sf):
     """Every other document has a random key, the others a repeated one that says little."""
-    key = F.concat(F.upper(F.base64(F.unhex(F.sha2(F.col("doc_id").cast("string"), 256)))), F.lit("x1"))
-    random = F.when(F.col("doc_id") % 2 == 0, F.left(key, F.lit(44))).otherwise(F.repeat(F.lit("ab1"), 8))
+    key = F.upper(F.base64(F.unhex(F.sha2(F.col("doc_id").cast("string"), 256))))
+    random = F.when(F.col("doc_id") % 2 == 0, F.concat(F.left(key, F.lit(40)), F.lit("x1"))).otherwise(F.repeat(F.lit("ab1"), 8))
     texts = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("key "), random, F.lit(" end "), "doc_id").alias("text"))
     return texts.select("doc_id", text.redact_keys(F.col("text"), bits=3.5).alias("text"))
 
