@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import impact, report, resolve, retrieve, store, traverse
 from .schemas import EDGE, INDEX_RUN, TABLES, TIERS
-from .shared import written
+from .shared import tidy, written
 from .sources import chunks as chunk_source
 from .sources import discover as found
 from .sources import python_source, scip
@@ -56,6 +56,7 @@ class Engine:
 
     # -- index
 
+    @tidy
     def index(
         self, root: str, *, occurrences: DataFrame | None = None, files: DataFrame | None = None, use_scip: bool = False, prune: bool = False, force: bool = False,
         progress: Callable[[str], None] = lambda stage: None,

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import tidy, written
 
 MAX_DEPTH, DEFAULT_LIMIT = 4, 1000
 #: Ids that a broadcast may hold, about 16 bytes each.
@@ -194,6 +194,7 @@ def graph_json(edges: DataFrame) -> DataFrame:
     return nodes.crossJoin(links).select(F.to_json(F.struct("nodes", "edges")).alias("text"))
 
 
+@tidy
 def strongly_connected(edges: DataFrame, tiers=None) -> DataFrame:
     """(symbol_id, component) of all symbols that lie on a cycle of any length; the component is its highest id.
 
@@ -240,6 +241,7 @@ def _spread(edges: DataFrame, high: DataFrame) -> DataFrame:
             return high
 
 
+@tidy
 def cycles(edges: DataFrame, max_length: int = 6, tiers=None) -> DataFrame:
     """(symbol_id, length) of all symbols that lie on a cycle; the length of the shortest, null if it has more than max_length edges.
 

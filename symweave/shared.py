@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes = threading.local()
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor sees, as spark.checkpoint.dir names it.
@@ -35,13 +40,44 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = scratch(spark, tag)
     schema = df.schema
     df.write.parquet(path)
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append((spark, path))
     return spark.read.schema(schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def tidy[**P, R](f: Callable[P, R]) -> Callable[P, R]:
+    """f, after which the tables that it wrote are deleted, but for those that its result reads.
+
+    The result may be a DataFrame, a tuple or list of some, or nothing that reads. What stays counts as
+    written by whichever such function called this one.
+    """
+
+    @functools.wraps(f)
+    def run(*args: P.args, **kwargs: P.kwargs) -> R:
+        open_ = _scopes.open = getattr(_scopes, "open", None) or []
+        open_.append([])
+        out = None
+        try:
+            out = f(*args, **kwargs)
+            return out
+        finally:
+            made = open_.pop()
+            read = {name.rsplit("/", 2)[-2] for x in (out if isinstance(out, tuple | list) else [out]) if isinstance(x, DataFrame) for name in x.inputFiles()} if made else set()
+            for spark, path in made:
+                if path.rsplit("/", 1)[-1] not in read:
+                    _delete(spark, path)
+                elif open_:
+                    open_[-1].append((spark, path))
+
+    return run
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, path)
