@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..shared import discard, scratch, shared_root, written
+from ..shared import discard, scratch, shared_root, tidy, written
 from ..shipping import ship
 
-__all__ = ["discard", "scratch", "shared_root", "written"]
+__all__ = ["discard", "scratch", "shared_root", "tidy", "written"]
 
 #: Rows and bytes of an Arrow batch handed to Python, at most but for its last row. Texts may be long, so batches stay small.
 ARROW_ROWS, ARROW_BYTES = 512, 4 << 20

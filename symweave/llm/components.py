@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, tidy, written
 
 #: Rounds grow with the logarithm of the longest chain; this only guards against a fault.
 MAX_ROUNDS = 60
@@ -37,6 +37,7 @@ def _settled(links: DataFrame) -> bool:
     return nodes.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
+@tidy
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): every node that has a link to another node, with the smallest node reachable.
 

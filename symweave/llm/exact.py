@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import looks_listed, table, unused, written
+from .common import looks_listed, table, tidy, unused, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,6 +33,7 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+@tidy
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
     """(key, keep_id, group_size, kept, text_sha256) for every row.
 
@@ -77,6 +78,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     )
 
 
+@tidy
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of docs that stay, all columns.
 

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import discard, held_out, small_batches, table, tidied, written
+from .common import discard, held_out, small_batches, table, tidied, tidy, written
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -319,6 +319,7 @@ class Scorer:
         return out
 
 
+@tidy
 def train(docs: DataFrame, learn: Column, key: str = "doc_id", rows: int = TRAIN_ROWS, rounds: int = ROUNDS, vocabulary: str | None = None) -> Model:
     """learn: which rows may be learnt from."""
     spark = docs.sparkSession

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, table, written
+from .common import ranked, table, tidy, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed values of the standing mix.
@@ -58,6 +58,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return found.select("none", "s", "source_size", target.alias("target"))
 
 
+@tidy
 def mix_plan(docs: DataFrame, key: str = "doc_id", seed: int = SEED, most: int = MOST) -> DataFrame:
     """(id, size, source_size, target, copies) for every row."""
     text = F.coalesce(docs["text"], F.lit(""))
@@ -83,6 +84,7 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", seed: int = SEED, most: int =
     )
 
 
+@tidy
 def mixed(docs: DataFrame, key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """The rows that the mix takes, as often as it takes them, with all columns.
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import bounded_by_hash, discard, small_batches, table, written
+from .common import bounded_by_hash, discard, small_batches, table, tidy, written
 from .components import components
 
 THRESHOLD = 0.95
@@ -453,6 +453,7 @@ def _audited(vectors: DataFrame, found: DataFrame, threshold: float, size: int)
     return both[0] or 0, both[1] or 0, len(ids)
 
 
+@tidy
 def near_groups(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(key, n_links, component_id, kept, audit_recall, walks_stuck) for every row.
 

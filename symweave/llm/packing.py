@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, ranked, small_batches, table, tidied, written
+from .common import buckets_for, ranked, small_batches, table, tidied, tidy, written
 from .tokens import END_ID, default_path, encoder, in_blocks
 
 ROOM = 2048
@@ -240,6 +240,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id"
     return wanted.mapInArrow(tidied(encoded), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+@tidy
 def packed(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", room: int = ROOM) -> DataFrame:
     """The pieces with sequence_id and offset."""
     spark = docs.sparkSession

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_by_hash, held_out, small_batches, table, tidied, written
+from .common import bounded_by_hash, held_out, small_batches, table, tidied, tidy, written
 
 BITS = 18
 TRAIN_ROWS, TRAIN_CHARS = 12_000, 120_000_000
@@ -148,6 +148,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, c
     return bounded_by_hash(rows, F.struct("id", "label", "h"), size[0], int(size[0] / share)) if share > 1 else rows
 
 
+@tidy
 def train_quality(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> np.ndarray:
     """Weights, at most 2^BITS + 1 numbers, which come to the driver."""
     rows = training_rows(docs, labels, bound)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import looks_listed, small_batches, table, tidied, unused, written
+from .common import looks_listed, small_batches, table, tidied, tidy, unused, written
 from .components import components
 
 BITS, MAX_DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
@@ -199,6 +199,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = MAX_DISTANCE, blocks:
     return links.unionByName(_met_in_chunks(long_runs, distance, limit)).distinct()
 
 
+@tidy
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
     """(key, fp, root, component_id) for every row; fp and root, a component's least fp, are signed."""
     rows = written(fingerprints(docs, key, text), "fingerprints")
@@ -217,6 +218,7 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+@tidy
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
     """One document of each component stays, one with the component's id; all columns."""
     groups = written(near_groups(docs, key, text, distance), "near")

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, table, tidied, written
+from .common import scratch, small_batches, table, tidied, tidy, written
 from .tokens import END_ID, default_path, encoder, in_blocks
 
 FRAME_IDS = 1 << 16
@@ -144,6 +144,7 @@ class TokenReader:
         return np.frombuffer(b"".join(self.stretches(i)), "<u4")
 
 
+@tidy
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, key: str = "doc_id", rows: int = ROWS_PER_FILE, frame_ids: int = FRAME_IDS) -> DataFrame:
     """Encode and write docs in ascending key order; (part, uri, documents, ids, first) of each file.
 
