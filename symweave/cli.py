@@ -15,6 +15,7 @@ from .engine import Engine, Status
 from .functions.text import byte_size
 from .operators.impact import DEFAULT_DEPTH
 from .schemas import TIERS
+from .sources.discover import clone
 from .sources.registry import Locked, Workspace, normalized
 
 DEFAULT_WORKSPACE = "~/.symweave"
@@ -57,11 +58,13 @@ def _index(args: argparse.Namespace, spark: SparkSession, space: Workspace, root
     try:
         with space.lock(root):
             space.register(root)
-            done = Engine(spark, store).index(root, use_scip=not args.no_scip, force=args.force)
+            done = Engine(spark, store).index(root, use_scip=not args.no_scip, force=args.force, remote_url=args.url)
     except Locked as e:
         return _fail(str(e))
     if args.json:
         return _json(asdict(done))
+    if args.url:
+        print(f"{args.url} is at {root}")
     print(f"{done.files_indexed} files indexed, {done.files_skipped} skipped\nsymbols: {_counts(done.symbols, False)}\nedges: {_counts(done.edges)}\nscip: {done.scip_status}")
     if done.files_unchanged:
         print(f"{done.files_unchanged} of the files were as they had been")
@@ -145,7 +148,14 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
             print(f"{r['root_path']}  {_size(spark, r['size_bytes'])}{state}")
         print(f"{len(rows)} repositories, {_size(spark, sum(r['size_bytes'] for r in rows))}")
         return 0
-    root = normalized(getattr(args, "path", "."))
+    given, args.url = getattr(args, "path", "."), None
+    if args.command == "index" and ("://" in given or given.startswith("git@")):
+        args.url = given
+        try:
+            given = clone(given, str(space.repo_dir(given) / "clone" / (given.rstrip("/").rpartition("/")[2].removesuffix(".git") or "project")))
+        except ValueError as e:
+            return _fail(str(e))
+    root = normalized(given)
     if args.command == "remove":
         return 0 if space.remove(root) else _fail(f"{root} is not indexed")
     store = str(space.repo_dir(root) / "store")

@@ -59,7 +59,7 @@ class Engine:
     @tidy
     def index(
         self, root: str, *, occurrences: DataFrame | None = None, files: DataFrame | None = None, use_scip: bool = False, prune: bool = False, force: bool = False,
-        progress: Callable[[str], None] = lambda stage: None,
+        remote_url: str | None = None, progress: Callable[[str], None] = lambda stage: None,
     ) -> IndexResult:
         """Index root, or the given files (path, content). A run that fails is recorded as interrupted.
 
@@ -67,10 +67,11 @@ class Engine:
         a change may concern are resolved again, so edges are those of a whole new index.
         occurrences: from a SCIP index; without them use_scip runs the indexer, and a run with neither
         leaves no resolved edges. prune: forget files that are gone from disk, which by default stay.
+        remote_url: where the working copy came from, which is noted.
         """
-        repo_id, run_id = self._begin(root)
+        repo_id, run_id = self._begin(root, remote_url)
         try:
-            result = self._index(root, repo_id, occurrences, files, use_scip, prune, force, progress)
+            result = self._index(root, repo_id, remote_url, occurrences, files, use_scip, prune, force, progress)
         except BaseException as e:
             self._finish(run_id, "interrupted", str(e)[:500], None)
             raise
@@ -84,9 +85,9 @@ class Engine:
         self.store.commit({"repo": merged})
         return self.store.table("repo").where(F.col("root_path") == root).first()["id"]
 
-    def _begin(self, root: str) -> tuple[int, int]:
+    def _begin(self, root: str, remote_url: str | None) -> tuple[int, int]:
         """A run that starts forgets what was known of the repository's last index."""
-        repo_id = self._repo(root)
+        repo_id = self._repo(root, remote_url=remote_url)
         runs = self.store.table("index_run")
         before = runs.where(F.col("repo_id") == repo_id).orderBy(F.desc("id")).select("to_sha").first()
         run_id = self.store.top_id("index_run") + 1
@@ -104,7 +105,7 @@ class Engine:
         })
         self.store.commit({"index_run": runs})
 
-    def _index(self, root, repo_id, occurrences, files, use_scip, prune, force, progress) -> IndexResult:
+    def _index(self, root, repo_id, remote_url, occurrences, files, use_scip, prune, force, progress) -> IndexResult:
         progress("discover")
         read = found.with_language(files if files is not None else found.found_files(self.spark, root, exclude=(self.store.root,)))
         old = self.store.tables(repo_id)
@@ -113,7 +114,7 @@ class Engine:
         outcomes = {r["outcome"]: r["count"] for r in parsed.groupBy("outcome").count().collect()}
         new = parsed.where("outcome = 'parsed'")
 
-        new_files = new.select(F.lit(repo_id).alias("repo_id"), "path", F.lit("python").alias("lang"), "blob_sha", "n_lines")
+        new_files = found.with_language(new).select(F.lit(repo_id).alias("repo_id"), "path", "lang", "blob_sha", "n_lines")
         all_files = written(store.upsert(old["file"], new_files, ["repo_id", "path"], self.store.top_id("file")), "files")
         file_ids = written(all_files.join(new_files.select("path"), "path", "left_semi").select("id", "path"), "file-ids")
         touched = file_ids.select("id")
@@ -172,7 +173,7 @@ class Engine:
         progress("write")
         changed = {"file": all_files, "symbol": symbols, "reference": refs, "edge": kept.unionByName(added.select(*kept.columns))}
         self.store.commit({k: df.select(*[f.name for f in TABLES[k]]) for k, df in changed.items()}, repo_id)
-        self._repo(root, indexed_sha=found.current_sha(root), indexed_at=datetime.now(UTC).replace(tzinfo=None, microsecond=0), scip_status=status)
+        self._repo(root, remote_url=remote_url, indexed_sha=found.current_sha(root), indexed_at=datetime.now(UTC).replace(tzinfo=None, microsecond=0), scip_status=status)
         unchanged = outcomes.get("unchanged", 0)
         return IndexResult(outcomes.get("parsed", 0) + unchanged, outcomes.get("skipped", 0), *self.counts(root), status, warnings, unchanged)
 

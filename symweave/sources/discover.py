@@ -24,7 +24,7 @@ SKIP_DIRS = (
     ".git", ".hg", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".svn", ".tox", ".venv", "__pycache__", "bower_components", "build", "dist", "env",
     "node_modules", "site-packages", "venv",
 )
-LANGUAGES = {".py": "python"}
+LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript"}
 
 
 def git(root: str, *args: str) -> str | None:
@@ -36,6 +36,20 @@ def git(root: str, *args: str) -> str | None:
     return done.stdout.decode("utf-8", "surrogateescape") if done.returncode == 0 else None
 
 
+def clone(url: str, folder: str) -> str:
+    """The working copy of a git repository below the folder, cloned with its newest commit alone, or brought up to it."""
+    if url.startswith("-"):
+        raise ValueError(f"{url!r} is not the URL of a repository")
+    if is_git_root(folder):
+        done = git(folder, "fetch", "--quiet", "--depth", "1", "origin", "HEAD") is not None and git(folder, "reset", "--quiet", "--hard", "FETCH_HEAD") is not None
+    else:
+        Path(folder).parent.mkdir(parents=True, exist_ok=True)
+        done = git(str(Path(folder).parent), "clone", "--quiet", "--depth", "1", "--", url, folder) is not None
+    if not done:
+        raise ValueError(f"git could not read {url}")
+    return folder
+
+
 def is_git_root(root: str) -> bool:
     top = git(root, "rev-parse", "--show-toplevel")
     return top is not None and Path(top.rstrip("\n")).resolve() == Path(root).resolve()

@@ -1,8 +1,8 @@
 """Symbols and raw references of Python source files, as one table function over (path, content).
 
 The syntax tree is the standard library's. A file that does not parse is read again without
-the top-level statements that break it, with all other lines in place; at the least it has its
-file symbol. Statements inside control flow give no symbols, but calls and imports there count
+the statements that break it, at the top level and inside defs and classes whose head is sound, with
+all other lines in place; at the least it has its file symbol. Statements inside control flow give no symbols, but calls and imports there count
 for the enclosing scope; nothing is read inside lambdas.
 """
 
@@ -63,16 +63,49 @@ def _tree(text: str) -> ast.Module | None:
         return None
 
 
+#: Lines that the head of a block may have, with its decorators.
+_HEAD_LINES = 40
+
+
+def _statements(lines: list[str], a: int, b: int, indent: str) -> list[tuple[int, int]]:
+    """Stretches of lines that each begin a statement at the indentation, decorators with what follows them."""
+    n = len(indent)
+    starts = [i for i in range(a, b) if lines[i].startswith(indent) and lines[i][n : n + 1].strip() and lines[i][n] not in "#)]}" and not lines[i][n:].startswith(("else", "elif", "except", "finally"))]
+    starts = [x for k, x in enumerate(starts) if k == 0 or not lines[starts[k - 1]][n:].startswith("@")]
+    return list(zip(starts, [*starts[1:], b][: len(starts)], strict=True))
+
+
+def _keep(lines: list[str], a: int, b: int, heads: list[str], indent: str, kept: list[str]) -> bool:
+    """Copy to kept what parses of a statement below the heads; of a broken def or class, its head and what parses of its body."""
+    if _tree("".join([*heads, *lines[a:b]])) is not None:
+        kept[a:b] = lines[a:b]
+        return True
+    first = next((i for i in range(a, b) if not lines[i][len(indent) :].startswith("@")), b)
+    if first == b or not re.match(r"(?:async\s+)?def\b|class\b", lines[first][len(indent) :]):
+        return False
+    end = next((h for h in range(first + 1, min(b, first + _HEAD_LINES)) if _tree("".join([*heads, *lines[a:h], f"{indent}  pass\n"])) is not None), None)
+    inner = next((lines[i][: len(lines[i]) - len(lines[i].lstrip())] for i in range(end or b, b) if lines[i].strip() and not lines[i].lstrip().startswith("#")), "")
+    if end is None or not inner.startswith(indent) or len(inner) <= len(indent):
+        return False
+    kept[a:end] = lines[a:end]
+    some = [_keep(lines, x, y, [*heads, *lines[a:end]], inner, kept) for x, y in _statements(lines, end, b, inner)]
+    if not any(some):
+        kept[end] = f"{inner}pass\n"
+    return True
+
+
 def _recovered(text: str) -> tuple[ast.Module | None, str]:
-    """The tree of the text without its broken top-level statements, which become blank lines."""
+    """The tree of the text without what is broken, which becomes blank lines.
+
+    Broken statements go one by one at the top level and, where a def or class has a sound head, inside it.
+    """
     lines = source_lines(text)
-    starts = [i for i, x in enumerate(lines) if x[:1].strip() and x[0] not in "#)]}" and not x.startswith(("else", "elif", "except", "finally"))]
-    # decorators belong to what follows them
-    starts = [s for k, s in enumerate(starts) if k == 0 or not lines[starts[k - 1]].startswith("@")]
     kept = ["\n"] * len(lines)
-    for a, b in zip(starts, [*starts[1:], len(lines)][: len(starts)], strict=True):
-        if _tree("".join(lines[a:b])) is not None:
-            kept[a:b] = lines[a:b]
+    try:
+        for a, b in _statements(lines, 0, len(lines), ""):
+            _keep(lines, a, b, [], "", kept)
+    except RecursionError:
+        return None, text
     text = "".join(kept)
     return _tree(text), text
 
@@ -321,8 +354,10 @@ def parse_changed(files: DataFrame, known: DataFrame) -> DataFrame:
         out["blob_sha"] = hashlib.sha256(content).hexdigest()
         if out["blob_sha"] == sha:
             return out | {"outcome": "unchanged"}
+        from .typescript_source import parse_typescript
+
         try:
-            p = parse_python(path, content.decode("utf-8"))
+            p = {"python": parse_python, "typescript": parse_typescript}[lang](path, content.decode("utf-8"))
         except UnicodeDecodeError:
             return out
         return out | {"outcome": "parsed", "n_lines": p.n_lines, "symbols": p.symbols, "references": p.references}

@@ -115,6 +115,17 @@ def test_broken_source_keeps_its_lines_and_what_parses():
         assert parse_python("m.py", text).symbols[0]["kind"] == "file"
 
 
+def test_a_broken_method_does_not_take_its_class_along():
+    text = "class C(Base):\n    x: int = 1\n\n    @deco\n    def ok(self,\n           a):\n        return f(a)\n\n    def bad(self):\n        y = = 2\n        return g(self)\n\n    def worse(self:\n        pass\n\n    class Inner:\n        z = (\n\n        def deep(self): return h()\n\n\ndef after(): pass\n"
+    p = parse_python("m.py", text)
+    assert [(s["qualified_name"], s["start_line"]) for s in p.symbols] == [
+        ("m", 1), ("m.C", 1), ("m.C.x", 2), ("m.C.ok", 4), ("m.C.bad", 9), ("m.C.Inner", 16), ("m.C.Inner.deep", 19), ("m.after", 22),
+    ]
+    assert next(s for s in p.symbols if s["name"] == "ok")["signature"] == "ok(self, a)"
+    assert {(r["kind"], r["target_text"]) for r in p.references} >= {("inherits", "Base"), ("calls", "f"), ("calls", "g"), ("calls", "h")}
+    assert parse_python("m.py", "class C:\n    def a(self):\n        )\n").symbols[-1]["qualified_name"] == "m.C.a"
+
+
 def test_files_that_are_not_text_are_left_out(spark):
     files = spark.createDataFrame([("a.py", bytearray(b"x = 1\n")), ("b.py", bytearray(b"\xff\xfe"))], "path string, content binary")
     rows = parse_files(files).collect()
