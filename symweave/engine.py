@@ -113,13 +113,17 @@ class Engine:
         parsed = written(python_source.parse_changed(read, old["file"].limit(0) if force else old["file"]), "parsed")
         outcomes = {r["outcome"]: r["count"] for r in parsed.groupBy("outcome").count().collect()}
         new = parsed.where("outcome = 'parsed'")
+        first = old["file"].isEmpty()
+        gone = old["file"].join(parsed.select("path"), "path", "left_anti").select("id")
+        resolved = occurrences is not None or use_scip or not old["edge"].where("tier = 'resolved'").isEmpty()
+        if not outcomes.get("parsed") and not first and not resolved and (not prune or gone.isEmpty()):
+            return self._indexed(root, remote_url, outcomes, "skipped", [])
 
         new_files = found.with_language(new).select(F.lit(repo_id).alias("repo_id"), "path", "lang", "blob_sha", "n_lines")
         all_files = written(store.upsert(old["file"], new_files, ["repo_id", "path"], self.store.top_id("file")), "files")
         file_ids = written(all_files.join(new_files.select("path"), "path", "left_semi").select("id", "path"), "file-ids")
         touched = file_ids.select("id")
         if prune:
-            gone = old["file"].join(parsed.select("path"), "path", "left_anti").select("id")
             all_files = written(all_files.join(gone, "id", "left_anti").select(*all_files.columns), "files")
             touched = written(touched.unionByName(gone), "touched")
         status, warnings = "skipped", []
@@ -138,15 +142,18 @@ class Engine:
         refs = written(store.replace_of_files(old["reference"], fresh_refs, touched), "references")
 
         progress("resolve")
-        # names that came, went, or are of symbols with new ids
-        before = old["symbol"].join(touched.withColumnRenamed("id", "file_id"), "file_id", "left_semi").select("id", "qualified_name")
-        names = written(before.select("qualified_name").unionByName(numbered.select("qualified_name")).distinct(), "names")
-        sources = written(incremental.affected_sources(refs, names), "sources")
-        again = refs.join(sources, "src_qualified_name", "left_semi")
-        # a file's imports take part in the resolution of its other references
-        context = refs.join(again.select("file_id").distinct(), "file_id", "left_semi")
         own = symbols.where(F.col("repo_id") == repo_id)
-        heuristic = resolve.heuristic_edges(own, context).join(again.select("file_id", "ref_seq"), ["file_id", "ref_seq"], "left_semi")
+        if first:
+            heuristic = resolve.heuristic_edges(own, refs)
+        else:
+            # names that came, went, or are of symbols with new ids
+            before = old["symbol"].join(touched.withColumnRenamed("id", "file_id"), "file_id", "left_semi").select("id", "qualified_name")
+            names = before.select("qualified_name").unionByName(numbered.select("qualified_name")).distinct()
+            sources = written(incremental.affected_sources(refs, names), "sources")
+            again = refs.join(sources, "src_qualified_name", "left_semi")
+            # a file's imports take part in the resolution of its other references
+            context = refs.join(again.select("file_id").distinct(), "file_id", "left_semi")
+            heuristic = resolve.heuristic_edges(own, context).join(again.select("file_id", "ref_seq"), ["file_id", "ref_seq"], "left_semi")
         parts = [
             resolve.defines_edges(own, numbered.select("id", "parent_qualified_name")).join(numbered.select(F.col("id").alias("dst_symbol_id"), F.col("symbol_seq").alias("ref_seq")), "dst_symbol_id")
             .withColumns({"phase": F.lit(_PHASE_DEFINES), "file_id": F.col("evidence_file_id")}),
@@ -160,19 +167,23 @@ class Engine:
         fresh = parts[0]
         for p in parts[1:]:
             fresh = fresh.unionByName(p)
-        # edges of sources that are resolved again go, and those at symbols that are no more
-        kept = old["edge"].where("tier != 'resolved'")
-        redone = own.join(sources.withColumnRenamed("src_qualified_name", "qualified_name"), "qualified_name", "left_semi").select(F.col("id").alias("src_symbol_id"), F.lit(True).alias("redone"))
-        kept = kept.join(redone, "src_symbol_id", "left").where("redone IS NULL OR kind = 'defines'")
-        for end in ("src_symbol_id", "dst_symbol_id"):
-            kept = kept.join(own.select(F.col("id").alias(end)), end, "left_semi")
-        kept = written(kept.select(*EDGE.names), "kept")
+        kept = old["edge"].where("tier != 'resolved'").select(*EDGE.names)
+        if not first:
+            # edges of sources that are resolved again go, and those at symbols that are no more
+            redone = own.join(sources.withColumnRenamed("src_qualified_name", "qualified_name"), "qualified_name", "left_semi").select(F.col("id").alias("src_symbol_id"), F.lit(True).alias("redone"))
+            kept = kept.join(redone, "src_symbol_id", "left").where("redone IS NULL OR kind = 'defines'")
+            for end in ("src_symbol_id", "dst_symbol_id"):
+                kept = kept.join(own.select(F.col("id").alias(end)), end, "left_semi")
+            kept = written(kept.select(*EDGE.names), "kept")
         added = store.insert_edges(kept, fresh, ["phase", "file_id", "ref_seq"])
         added = store.numbered(added, ["phase", "file_id", "ref_seq", "dst_symbol_id"], self.store.top_id("edge")).withColumns({"repo_id": F.lit(repo_id), "confidence": F.lit(1.0)})
 
         progress("write")
         changed = {"file": all_files, "symbol": symbols, "reference": refs, "edge": kept.unionByName(added.select(*kept.columns))}
         self.store.commit({k: df.select(*[f.name for f in TABLES[k]]) for k, df in changed.items()}, repo_id)
+        return self._indexed(root, remote_url, outcomes, status, warnings)
+
+    def _indexed(self, root: str, remote_url: str | None, outcomes: dict[str, int], status: str, warnings: list[str]) -> IndexResult:
         self._repo(root, remote_url=remote_url, indexed_sha=found.current_sha(root), indexed_at=datetime.now(UTC).replace(tzinfo=None, microsecond=0), scip_status=status)
         unchanged = outcomes.get("unchanged", 0)
         return IndexResult(outcomes.get("parsed", 0) + unchanged, outcomes.get("skipped", 0), *self.counts(root), status, warnings, unchanged)
