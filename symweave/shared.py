@@ -50,6 +50,20 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def _roots(df: DataFrame) -> set[str] | None:
+    """The folders that df reads, as they were given and not file by file; None if that cannot be told, as of something persisted."""
+    leaves, out = df._jdf.queryExecution().optimizedPlan().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            out |= {paths.apply(k).toString() for k in range(paths.size())}
+        elif kind not in ("LocalRelation", "LogicalRDD", "Range", "OneRowRelation"):
+            return None
+    return out
+
+
 def tidy[**P, R](f: Callable[P, R]) -> Callable[P, R]:
     """f, after which the tables that it wrote are deleted, but for those that its result reads.
 
@@ -67,9 +81,10 @@ def tidy[**P, R](f: Callable[P, R]) -> Callable[P, R]:
             return out
         finally:
             made = open_.pop()
-            read = {name.rsplit("/", 2)[-2] for x in (out if isinstance(out, tuple | list) else [out]) if isinstance(x, DataFrame) for name in x.inputFiles()} if made else set()
+            roots = [_roots(x) for x in (out if isinstance(out, tuple | list) else [out]) if isinstance(x, DataFrame)] if made else []
+            read = {r.rstrip("/").rsplit("/", 1)[-1] for r in set().union(*(x or () for x in roots))}
             for spark, path in made:
-                if path.rsplit("/", 1)[-1] not in read:
+                if None not in roots and path.rsplit("/", 1)[-1] not in read:
                     _delete(spark, path)
                 elif open_:
                     open_[-1].append((spark, path))

@@ -225,7 +225,7 @@ def test_context_duplicates_and_tests(spark, tmp_path):
     assert len(found) == 1 and found[0]["similarity"] == 1.0
     shown = e.context("/shop", files, "discount of an item price").collect()
     assert shown[0]["rank"] == 1 and "discount" in shown[0]["text"] and sum(r["n_tokens"] for r in shown) <= 8000
-    assert {r["qualified_name"] for r in e.tests_of("/shop", "shop.cart.cart_total").collect()} == {"tests.test_cart"}
+    assert {r["qualified_name"] for r in e.tests_of("/shop", "shop.cart.cart_total").collect()} == {"tests.test_cart", "tests.test_cart.test_total"}
     assert e.tests_of("/shop", "nobody") is None
 
 

@@ -30,6 +30,12 @@ def test_tables_that_a_result_does_not_read_are_deleted(spark):
     assert n == 7 and sorted(r["id"] for r in df.collect()) == [4, 6, 8]
     assert sorted(t.split("-")[0] for t in tables(spark) - before) == ["kept", "late"]
 
+    @tidy
+    def held():
+        return written(spark.range(4), "held").persist()
+
+    assert held().count() == 4 and any(t.startswith("held") for t in tables(spark))
+
     @tidy
     def fails():
         written(spark.range(3), "half")
