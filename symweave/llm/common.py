@@ -94,10 +94,11 @@ def ranked(df: DataFrame, keys: list[str], parts: list[str], order: list[str], n
         window = Window.partitionBy(*outer).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
         sums = sizes.groupBy(*outer, part).agg(F.sum("__n").alias("__n"))
         sums = sums.select(*outer, part, F.coalesce(F.sum("__n").over(window), F.lit(0)).alias(f"__before{i}"))
-        before, earlier = before.join(sums, [*outer, part]), [*earlier, F.col(f"__before{i}")]
+        before, earlier = before.join(sums.hint("merge"), [*outer, part]), [*earlier, F.col(f"__before{i}")]
     before = before.select(*keys, *parts, sum(earlier[1:], earlier[0]).alias("__before"))
     here = F.row_number().over(Window.partitionBy(*keys, *parts).orderBy(*order)) - 1
-    return df.withColumn("__here", here).join(before, [*keys, *parts]).withColumn(name, F.col("__before") + F.col("__here")).drop("__here", "__before")
+    # sizes grow with the table until all parts are there, so they are no side to broadcast; rows are dealt by these keys as they are
+    return df.withColumn("__here", here).join(before.hint("merge"), [*keys, *parts]).withColumn(name, F.col("__before") + F.col("__here")).drop("__here", "__before")
 
 
 #: Places of the bitmap that looks_listed() broadcasts: 2^24 bits are 2 MB at most, whatever the data.
