@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, html_text, langid, mixing, neardup, packing, quality, simhash, tokenfile, urls
+from . import exact, html_text, langid, mixing, neardup, packing, parsing, quality, simhash, tokenfile, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_url_filters": urls.op9_url_filters,
         "op10_quality_classifier": quality.op10_quality_classifier,
+        "op12_document_fingerprints": parsing.op12_document_fingerprints,
     }
 
 
