@@ -2,7 +2,7 @@
 
 A text's bytes are symbols. At each level runs of one symbol become one symbol; deterministic coin
 tossing then gives neighbours different labels: a symbol's label is the lowest bit in which it differs
-from the symbol before and that bit's value, which after four rounds leaves six labels, and two sweeps
+from the symbol before and that bit's value, which after a few rounds leaves six labels, and two sweeps
 of the larger ones leave three. Blocks begin at the labels' local maxima, so they are two to four symbols long
 inside a text, and their borders depend on a few symbols to either side only. A block's name is a
 hash of its symbols, and the names are the symbols of the next level. Equal substrings thus get equal
@@ -44,7 +44,7 @@ TOP, LEAST, SLOTS = 4, 32, 64
 #: Bytes of text dealt to a bucket, at most so many buckets, and ids drawn for each cut.
 BUCKET_BYTES, MOST_BUCKETS, DRAWN = 16 << 20, 20_000, 40
 #: Bytes parsed at once.
-PARSED = 1 << 19
+PARSED = 1 << 18
 
 _MUL, _RUN, _NAME = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _32, _29 = np.uint64(32), np.uint64(29)
@@ -67,13 +67,15 @@ _FREE = np.array([[min({0, 1, 2} - {a, b}) for b in range(7)] for a in range(7)]
 
 
 def labels(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Labels 0 to 2 of symbols, of which no two neighbours are equal; first: where a text begins."""
-    before = np.empty_like(x)
-    before[1:] = x[:-1]
-    before[first] = x[first] ^ np.uint64(1)
-    differ = x ^ before
-    k = np.bitwise_count(~differ & (differ - np.uint64(1)))
-    lab = (2 * k + ((x >> k.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).astype(np.uint8)
+    """Labels 0 to 2 of symbols (64-bit numbers or bytes), of which no two neighbours are equal; first: where a text begins."""
+    lab = x
+    if x.dtype != np.uint8:
+        before = np.empty_like(x)
+        before[1:] = x[:-1]
+        before[first] = x[first] ^ np.uint64(1)
+        differ = x ^ before
+        k = np.bitwise_count(~differ & (differ - np.uint64(1)))
+        lab = 2 * k + ((x >> k.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
     for _ in range(3):
         old = np.empty_like(lab)
         old[1:] = lab[:-1]
@@ -92,20 +94,29 @@ def labels(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def next_level(x: np.ndarray, first: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the phrases of a level, and where each text's begin, from the symbols below; no text is empty."""
+    """Names of the phrases of a level, and where each text's begin, from the symbols below (names or bytes); no text is empty.
+
+    Bytes toss by themselves, as neighbouring runs are of different bytes.
+    """
     begins = np.zeros(len(x), bool)
     begins[first] = True
     # runs of one symbol
     new = begins.copy()
     new[1:] |= x[1:] != x[:-1]
     at = np.flatnonzero(new)
-    if len(at) < len(x):
+    shorter = len(at) < len(x)
+    if shorter:
         length = np.diff(at, append=len(x))
         x, begins = x[at], begins[at]
+        first = np.flatnonzero(begins)
+    tossed = x
+    if x.dtype == np.uint8:
+        x = BYTES[x]
+    if shorter:
         more = np.flatnonzero(length > 1)
         x[more] = mixed(x[more] * _RUN + length[more].astype(np.uint64))
-        first = np.flatnonzero(begins)
-    lab = labels(x, first)
+        tossed = tossed if tossed.dtype == np.uint8 else x
+    lab = labels(tossed, first)
     peak = np.zeros(len(x), bool)
     peak[1:-1] = (lab[1:-1] > lab[:-2]) & (lab[1:-1] > lab[2:])
     # a text's last symbol begins no block of its own, and the one before it has a neighbour within the text
@@ -113,9 +124,10 @@ def next_level(x: np.ndarray, first: np.ndarray, level: int) -> tuple[np.ndarray
     peak[first] = True
     at = np.flatnonzero(peak)
     end = np.append(at[1:], len(x))
-    name = np.full(len(at), level * int(_MUL) % (1 << 64), np.uint64)
-    for j in range(int((end - at).max())):
-        on = np.flatnonzero(at + j < end)
+    size = end - at
+    name = mixed((x[at] ^ np.uint64(level * int(_MUL) % (1 << 64))) * _MUL)
+    for j in range(1, int(size.max())):
+        on = np.flatnonzero(size > j)
         name[on] = mixed((name[on] ^ x[at[on] + j]) * _MUL)
     return name, np.flatnonzero(begins[at])
 
@@ -142,7 +154,7 @@ def fingerprints(texts: list[bytes]) -> list[str]:
     if not len(live):
         return out
     size = np.array([len(texts[i]) for i in live])
-    x, first = BYTES[np.frombuffer(b"".join(texts), np.uint8)], np.cumsum(size) - size
+    x, first = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size
     n = len(live)
     root, own, kept = np.zeros(n, np.uint64), np.ones(n, np.int64), []
     on, level = np.arange(n), 0

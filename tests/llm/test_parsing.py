@@ -34,9 +34,10 @@ def phrases(xs, level):
             runs[-1][1] += 1
         else:
             runs.append([x, 1])
-    xs = [x if n == 1 else mix((x * 0xC2B2AE3D27D4EB4F + n) & M) for x, n in runs]
-    lab = xs
-    for _ in range(4):
+    symbols = [x for x, _ in runs] if level > 1 else [mix((x + 1) * 0x9E3779B97F4A7C15 & M) for x, _ in runs]
+    xs = [x if n == 1 else mix((x * 0xC2B2AE3D27D4EB4F + n) & M) for x, (_, n) in zip(symbols, runs)]
+    lab = xs if level > 1 else [x for x, _ in runs]
+    for _ in range(4 if level > 1 else 3):
         lab = tossed(lab)
     assert all(a != b for a, b in zip(lab, lab[1:])) and max(lab) < 6
     for v in (5, 4, 3):
@@ -54,7 +55,7 @@ def phrases(xs, level):
 
 def plain(text):
     """The fingerprint of one text, symbol by symbol."""
-    xs = [mix((c + 1) * 0x9E3779B97F4A7C15 & M) for c in text.encode()]
+    xs = list(text.encode())
     if not xs:
         return parsing.EMPTY
     levels = []
@@ -85,7 +86,7 @@ def test_equal_substrings_share_names_at_any_offset():
     for level, least in ((1, 0.98), (2, 0.95), (3, 0.85)):
         names = []
         for before in ("", "x", prose(7, 31)):
-            x = parsing.BYTES[np.frombuffer((before + common).encode(), np.uint8)]
+            x = np.frombuffer((before + common).encode(), np.uint8)
             first = np.array([0])
             for lv in range(1, level + 1):
                 x, first = parsing.next_level(x, first, lv)
