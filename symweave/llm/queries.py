@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, html_text, langid, mixing, neardup, packing, parsing, quality, simhash, tokenfile, trie, urls
+from . import collocations, exact, html_text, langid, mixing, neardup, packing, parsing, quality, simhash, tokenfile, trie, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_url_filters": urls.op9_url_filters,
         "op10_quality_classifier": quality.op10_quality_classifier,
+        "op11_phrase_collocations": collocations.op11_phrase_collocations,
         "op12_document_fingerprints": parsing.op12_document_fingerprints,
         "op13_conversation_trie": trie.op13_conversation_trie,
     }
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": exact.ORACLE_SQL,
         "op6_mixing": mixing.ORACLE_SQL,
         "op9_url_filters": urls.ORACLE_SQL,
+        "op11_phrase_collocations": collocations.ORACLE_SQL,
         "op13_conversation_trie": trie.ORACLE_SQL,
     }
