@@ -8,23 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written
+from .intervals import overlapping
 from .traverse import _sized, clamp_depth
 
 DEFAULT_DEPTH = 3
 #: Paths that hold tests.
 TEST_PATH = r"(^|/)(tests?/|test_[^/]*$|[^/]*_test\.[^/]*$)"
-BLOCK = 64
 
 
 def changed_symbols(changes: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(symbol_id) of symbols whose span overlaps a changed stretch (file_id, first_line, last_line).
-
-    Both meet in blocks of lines of their file, so the join is an equi join.
-    """
-    spread = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BLOCK), F.floor(F.greatest(a, b) / BLOCK)))
-    left = changes.withColumn("block", spread("first_line", "last_line"))
-    right = symbols.select(F.col("id").alias("symbol_id"), "file_id", "start_line", "end_line").withColumn("block", spread("start_line", "end_line"))
-    return left.join(right, ["file_id", "block"]).where("start_line <= last_line AND end_line >= first_line").select("symbol_id").distinct()
+    """(symbol_id) of symbols whose span overlaps a changed stretch (file_id, first_line, last_line)."""
+    spans = symbols.select(F.col("id").alias("symbol_id"), "file_id", "start_line", "end_line")
+    stretches = changes.select("file_id", "first_line", "last_line")
+    return overlapping(stretches, spans, ["file_id"], ("first_line", "last_line"), ("start_line", "end_line")).select("symbol_id").distinct()
 
 
 def impact(edges: DataFrame, seeds: DataFrame, symbols: DataFrame, files: DataFrame, depth: int = DEFAULT_DEPTH) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestor_scopes, last_segment
+from .intervals import around
 
 # Which kinds a reference of a kind may point to; others may point to any.
 CALLABLE_KINDS, CLASS_KINDS = ("function", "method", "class"), ("class",)
@@ -132,17 +133,11 @@ def unambiguous(occurrences: DataFrame) -> DataFrame:
     return sets.where("symbol = last").drop("last")
 
 
-def innermost(probes: DataFrame, symbols: DataFrame, keep: list[str], width: int = 64) -> DataFrame:
-    """probes (file_id, line and the columns `keep`) with symbol_id, the narrowest span around the line; ties to the lowest id.
-
-    Spans and lines meet in blocks of `width` lines of one file, so the join is an equi join.
-    """
-    spans = symbols.select(F.col("id").alias("symbol_id"), "file_id", "start_line", "end_line").withColumn(
-        "block", F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.greatest("start_line", "end_line") / width)))
-    )
-    at = probes.withColumn("block", F.floor(F.col("line") / width))
-    hits = at.join(spans, ["file_id", "block"]).where("line BETWEEN start_line AND end_line")
+def innermost(probes: DataFrame, symbols: DataFrame, keep: list[str]) -> DataFrame:
+    """probes (file_id, line and the columns `keep`) with symbol_id, the narrowest span around the line; ties to the lowest id."""
+    spans = symbols.select(F.col("id").alias("symbol_id"), "file_id", "start_line", "end_line")
     keys = list(dict.fromkeys(["file_id", "line", *keep]))
+    hits = around(probes.select(*keys), spans, ["file_id"], "line", "start_line", "end_line")
     best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("w"), "symbol_id"))
     return hits.groupBy(*keys).agg(best.alias("s")).select(*keys, F.col("s.symbol_id").alias("symbol_id"))
 

@@ -345,7 +345,7 @@ def defines_edges(spark, sf):
 
 # -- locations
 
-_SPANS_SQL = """spans AS (SELECT l_orderkey * 10 + l_linenumber AS sid, l_orderkey AS fid, l_linenumber AS a, l_linenumber + CAST(q AS INT) % 3 AS b
+_SPANS_SQL = """spans AS MATERIALIZED (SELECT l_orderkey * 10 + l_linenumber AS sid, l_orderkey AS fid, l_linenumber AS a, l_linenumber + CAST(q AS INT) % 3 AS b
   FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem GROUP BY ALL)),
 probes AS (SELECT o_orderkey AS fid, CAST(unnest(range(1, 11)) AS INT) AS line FROM orders)"""
 
@@ -362,6 +362,18 @@ def symbol_at_location(spark, sf):
     return resolve.innermost(probes, _spans(spark, sf), [])
 
 
+@_query(
+    g.with_graph(
+        "SELECT p.file_id, p.line, arg_min(s.id, (s.end_line - s.start_line)::HUGEINT * 1000000000000 + s.id) AS symbol_id "
+        "FROM (SELECT DISTINCT 1000000 + o_orderkey % 25 AS file_id, o_custkey * 10 + 100000001 + o_orderkey % 12 AS line FROM orders) p JOIN gsymbols s ON s.file_id = p.file_id AND p.line BETWEEN s.start_line AND s.end_line GROUP BY ALL"
+    )
+)
+def symbol_at_location_in_long_files(spark, sf):
+    """Spans of one line to two thousand million, the file's own among them."""
+    file, line = F.lit(g.FILE0) + F.col("o_orderkey") % 25, F.col("o_custkey") * 10 + 100_000_001 + F.col("o_orderkey") % 12
+    return resolve.innermost(_t(spark, sf, "orders").select(file.alias("file_id"), line.alias("line")), g.symbols(spark, sf), [])
+
+
 _CLEAN_SQL = f"""occ AS (SELECT replace(path, '\\', '/') AS path, line0, symbol, is_definition FROM ({fx.OCCURRENCES_SQL}) WHERE symbol <> '' AND line0 IS NOT NULL),
 clean AS (SELECT path, line0, is_definition, min(symbol) AS symbol FROM occ GROUP BY path, line0, is_definition HAVING count(DISTINCT symbol) = 1)"""
 
@@ -384,10 +396,10 @@ def _star_occurrences(spark, sf) -> DataFrame:
 _STAR_OCC_SQL = """occ AS (
   SELECT 'f' || l_orderkey || '.py' AS path, l_linenumber - 1 AS line0, 's' || l_orderkey || '#' || l_linenumber AS symbol, true AS is_definition FROM lineitem
   UNION ALL SELECT 'f' || (l_orderkey + 1) || '.py', l_linenumber - 1, 's' || l_orderkey || '#' || CASE WHEN l_quantity > 45 THEN 1 ELSE l_linenumber END, false FROM lineitem
-), clean AS (SELECT path, line0, is_definition, min(symbol) AS symbol FROM occ GROUP BY path, line0, is_definition HAVING count(DISTINCT symbol) = 1),
+), clean AS MATERIALIZED (SELECT path, line0, is_definition, min(symbol) AS symbol FROM occ GROUP BY path, line0, is_definition HAVING count(DISTINCT symbol) = 1),
 ofiles AS (SELECT DISTINCT o_orderkey AS id, 'f' || o_orderkey || '.py' AS path FROM orders),
 defs AS (SELECT f.id AS fid, line0 + 1 AS line, symbol AS scip_symbol FROM clean JOIN ofiles f USING (path) WHERE is_definition),
-found AS (SELECT arg_min(sid, (b - a) * 1000000000000 + sid) AS symbol_id, scip_symbol, d.fid AS file_id, line FROM defs d JOIN spans s ON s.fid = d.fid AND line BETWEEN a AND b GROUP BY ALL)"""
+found AS MATERIALIZED (SELECT arg_min(sid, (b - a) * 1000000000000 + sid) AS symbol_id, scip_symbol, d.fid AS file_id, line FROM defs d JOIN spans s ON s.fid = d.fid AND line BETWEEN a AND b GROUP BY ALL)"""
 
 
 def _order_files(spark, sf) -> DataFrame:
@@ -400,7 +412,7 @@ def scip_definition_map(spark, sf):
 
 
 @_query(
-    f"""WITH {_SPANS_SQL}, {_STAR_OCC_SQL}, ours AS (SELECT scip_symbol, arg_max(symbol_id, file_id * 1000 + line) AS dst FROM found GROUP BY 1),
+    f"""WITH {_SPANS_SQL}, {_STAR_OCC_SQL}, ours AS MATERIALIZED (SELECT scip_symbol, arg_max(symbol_id, file_id * 1000 + line) AS dst FROM found GROUP BY 1),
 lines AS (SELECT f.id AS file_id, line0 + 1 AS evidence_line, symbol AS scip_symbol FROM clean JOIN ofiles f USING (path) WHERE NOT is_definition)
 SELECT s.fid AS file_id, s.sid AS src_symbol_id, o.dst AS dst_symbol_id, s.a AS evidence_line FROM spans s JOIN lines l ON l.file_id = s.fid AND l.evidence_line = s.a JOIN ours o USING (scip_symbol) WHERE o.dst <> s.sid"""
 )
@@ -623,6 +635,19 @@ def citation_check(spark, sf):
     return retrieve.check_citations(cited.join(files, "id").drop("id"), g.symbols(spark, sf).where("kind != 'file'"), files).select("path", "start_line", "end_line", "verified")
 
 
+@_query(
+    g.with_graph(
+        "SELECT f.path, o_orderkey * 40000 AS start_line, o_orderkey * 40000 + o_custkey AS end_line, exists(SELECT 1 FROM gsymbols s WHERE s.file_id = f.id AND o_orderkey * 40000 >= s.start_line AND o_orderkey * 40000 + o_custkey <= s.end_line) AS verified "
+        "FROM orders JOIN gfiles f ON f.id = 1000000 + o_orderkey % 25"
+    )
+)
+def citation_check_in_long_files(spark, sf):
+    """Citations that lie in the file's own symbol, and some beyond its last line."""
+    files, start = g.files(spark, sf), F.col("o_orderkey") * 40_000
+    cited = _t(spark, sf, "orders").select((F.lit(g.FILE0) + F.col("o_orderkey") % 25).alias("id"), start.alias("start_line"), (start + F.col("o_custkey")).alias("end_line"))
+    return retrieve.check_citations(cited.join(files, "id").drop("id"), g.symbols(spark, sf), files).select("path", "start_line", "end_line", "verified")
+
+
 @_query(
     """WITH p AS (SELECT DISTINCT doc_id, lang AS tier FROM documents), t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)
 SELECT tier, count(t.doc_id) AS hits, count(*) AS predictions, (SELECT count(*) FROM t) AS truths, count(t.doc_id) / count(*) AS precision, count(t.doc_id) / (SELECT count(*) FROM t) AS recall FROM p LEFT JOIN t USING (doc_id) GROUP BY 1"""
