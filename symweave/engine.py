@@ -8,9 +8,10 @@ from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .operators import impact, report, resolve, retrieve, store, traverse
-from .schemas import EDGE, INDEX_RUN, TABLES, TIERS
+from .schemas import EDGE, FILE, INDEX_RUN, REPO, TIERS
 from .shared import tidy, written
 from .sources import chunks as chunk_source
 from .sources import discover as found
@@ -69,63 +70,123 @@ class Engine:
         leaves no resolved edges. prune: forget files that are gone from disk, which by default stay.
         remote_url: where the working copy came from, which is noted.
         """
+        return self._run(root, remote_url, occurrences, files, use_scip, prune, force, progress)
+
+    def _run(self, root, remote_url, *args, **more) -> IndexResult:
         repo_id, run_id = self._begin(root, remote_url)
         try:
-            result = self._index(root, repo_id, remote_url, occurrences, files, use_scip, prune, force, progress)
+            result = self._index(root, repo_id, remote_url, *args, **more)
         except BaseException as e:
-            self._finish(run_id, "interrupted", str(e)[:500], None)
+            self._finish(repo_id, run_id, "interrupted", str(e)[:500], None)
             raise
-        self._finish(run_id, "ok", None, result.files_indexed)
+        self._finish(repo_id, run_id, "ok", None, result.files_indexed)
         return result
 
+    def _again(self, change: Callable[[dict], int | None]) -> int | None:
+        """change, given a state to read and to commit upon, until no other writer comes between."""
+        while True:
+            try:
+                return change(self.store.pinned())
+            except store.Conflict:
+                continue
+
     def _repo(self, root: str, **values) -> int:
         row = {"root_path": root, "remote_url": None, "indexed_sha": None, "indexed_at": None, "scip_status": None} | values
-        new = self.spark.createDataFrame([row], "root_path string, remote_url string, indexed_sha string, indexed_at timestamp, scip_status string")
-        merged = store.upsert(self.store.table("repo"), new, ["root_path"], self.store.top_id("repo"))
-        self.store.commit({"repo": merged})
-        return self.store.table("repo").where(F.col("root_path") == root).first()["id"]
+
+        def change(state: dict) -> int:
+            known = self._repo_id(root, state)
+            repo_id = known or self.store.reserve("repo", 1) + 1
+            new = self.spark.createDataFrame([[repo_id, *[row[c] for c in REPO.names[1:]]]], REPO)
+            # a new root must not be registered twice, so the state may have moved by its own reservation only
+            self.store.commit({"repo": new}, repo_id, base=state if known else self.store.pinned(state["number"] + 1), alone=not known, numbered=True)
+            return repo_id
+
+        return self._again(change)
 
     def _begin(self, root: str, remote_url: str | None) -> tuple[int, int]:
         """A run that starts forgets what was known of the repository's last index."""
         repo_id = self._repo(root, remote_url=remote_url)
-        runs = self.store.table("index_run")
-        before = runs.where(F.col("repo_id") == repo_id).orderBy(F.desc("id")).select("to_sha").first()
-        run_id = self.store.top_id("index_run") + 1
-        row = (run_id, repo_id, datetime.now(UTC).replace(tzinfo=None), None, before[0] if before else None, found.current_sha(root), "running", 0, None, None, None)
-        self.store.commit({"index_run": runs.unionByName(self.spark.createDataFrame([row], INDEX_RUN))})
+        run_id = self.store.reserve("index_run", 1) + 1
+
+        def change(state: dict) -> None:
+            runs = self.store.table("index_run", repo_id, state)
+            before = runs.orderBy(F.desc("id")).select("to_sha").first()
+            row = (run_id, repo_id, datetime.now(UTC).replace(tzinfo=None), None, before[0] if before else None, found.current_sha(root), "running", 0, None, None, None)
+            self.store.commit({"index_run": runs.unionByName(self.spark.createDataFrame([row], INDEX_RUN))}, repo_id, base=state, numbered=True)
+
+        self._again(change)
         return repo_id, run_id
 
-    def _finish(self, run_id: int, status: str, error: str | None, files_done: int | None) -> None:
+    def _finish(self, repo_id: int, run_id: int, status: str, error: str | None, files_done: int | None) -> None:
         here = F.col("id") == run_id
-        runs = self.store.table("index_run").withColumns({
-            "status": F.when(here, status).otherwise(F.col("status")),
-            "finished_at": F.when(here, F.lit(datetime.now(UTC).replace(tzinfo=None))).otherwise(F.col("finished_at")),
-            "error": F.when(here, F.lit(error)).otherwise(F.col("error")),
-            "files_done": F.when(here & F.lit(files_done is not None), F.lit(files_done or 0)).otherwise(F.col("files_done")),
-        })
-        self.store.commit({"index_run": runs})
-
-    def _index(self, root, repo_id, remote_url, occurrences, files, use_scip, prune, force, progress) -> IndexResult:
+
+        def change(state: dict) -> None:
+            runs = self.store.table("index_run", repo_id, state).withColumns({
+                "status": F.when(here, status).otherwise(F.col("status")),
+                "finished_at": F.when(here, F.lit(datetime.now(UTC).replace(tzinfo=None))).otherwise(F.col("finished_at")),
+                "error": F.when(here, F.lit(error)).otherwise(F.col("error")),
+                "files_done": F.when(here & F.lit(files_done is not None), F.lit(files_done or 0)).otherwise(F.col("files_done")),
+            })
+            self.store.commit({"index_run": runs}, repo_id, base=state, numbered=True)
+
+        self._again(change)
+
+    @tidy
+    def apply_snapshots(self, root: str, snapshots: DataFrame, batch: int, stream: str = "") -> bool:
+        """Index a batch of a stream of file snapshots (path, seq, content or null for a file that is gone); False if it was applied before.
+
+        A batch takes effect once: its number is published with what it changes. Of several snapshots of
+        a path the one with the highest seq counts, and one that is older than what was applied before is refused.
+        """
+        name = f"{stream}@{root}"
+        state = self.store.pinned()
+        if state["applied"].get(name, -1) >= batch:
+            return False
+        repo_id = self._repo_id(root, state)
+        stored = self.store.table("snapshot", repo_id or 0, state)
+        new = written(incremental.newest(stored, snapshots), "snapshots")
+        self._run(
+            root, None, None, new.where("content IS NOT NULL").select("path", "content"), False, False, False, lambda stage: None,
+            deleted=new.where("content IS NULL").select("path"), snapshots=new.select("path", "seq", F.col("content").isNull().alias("gone")), applied={name: batch},
+        )
+        return True
+
+    def follow(self, root: str, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+        """Keep the index of root at the snapshots (path, seq, content) that arrive as Parquet files in a folder."""
+        return incremental.watch(self.spark, folder, checkpoint, lambda files, batch: self.apply_snapshots(root, files, batch, checkpoint), available_now)
+
+    def _index(self, root, repo_id, remote_url, occurrences, files, use_scip, prune, force, progress, deleted=None, snapshots=None, applied=None) -> IndexResult:
         progress("discover")
         read = found.with_language(files if files is not None else found.found_files(self.spark, root, exclude=(self.store.root,)))
-        old = self.store.tables(repo_id)
+        state = self.store.pinned()
+        old = self.store.tables(repo_id, state)
         progress("parse")
         parsed = written(python_source.parse_changed(read, old["file"].limit(0) if force else old["file"]), "parsed")
         outcomes = {r["outcome"]: r["count"] for r in parsed.groupBy("outcome").count().collect()}
         new = parsed.where("outcome = 'parsed'")
         first = old["file"].isEmpty()
-        gone = old["file"].join(parsed.select("path"), "path", "left_anti").select("id")
+        more: dict = {"applied": applied}
+        if snapshots is not None:
+            more["parts"] = {"snapshot": (snapshots.withColumn("repo_id", F.lit(repo_id)), snapshots.select("path"))}
+        if deleted is None:
+            gone = old["file"].join(parsed.select("path"), "path", "left_anti").select("id")
+        else:
+            gone, prune = old["file"].join(deleted, "path", "left_semi").select("id"), True
         resolved = occurrences is not None or use_scip or not old["edge"].where("tier = 'resolved'").isEmpty()
         if not outcomes.get("parsed") and not first and not resolved and (not prune or gone.isEmpty()):
+            if applied:
+                self.store.commit(None, repo_id, base=state, numbered=True, **more)
             return self._indexed(root, remote_url, outcomes, "skipped", [])
 
         new_files = found.with_language(new).select(F.lit(repo_id).alias("repo_id"), "path", "lang", "blob_sha", "n_lines")
-        all_files = written(store.upsert(old["file"], new_files, ["repo_id", "path"], self.store.top_id("file")), "files")
-        file_ids = written(all_files.join(new_files.select("path"), "path", "left_semi").select("id", "path"), "file-ids")
+        known = old["file"].join(new_files.select("path"), "path", "left_semi").select(*FILE.names)
+        fresh_paths = new_files.join(known.select("path"), "path", "left_anti")
+        file_rows = written(store.upsert(known, new_files, ["repo_id", "path"], self.store.reserve("file", fresh_paths.count())), "files")
+        file_ids = file_rows.select("id", "path")
         touched = file_ids.select("id")
         if prune:
-            all_files = written(all_files.join(gone, "id", "left_anti").select(*all_files.columns), "files")
             touched = written(touched.unionByName(gone), "touched")
+        all_files = written(old["file"].join(touched, "id", "left_anti").select(*FILE.names).unionByName(file_rows.select(*FILE.names)), "files")
         status, warnings = "skipped", []
         if occurrences is None and use_scip:
             try:
@@ -135,7 +196,7 @@ class Engine:
                 status, warnings = "degraded", [str(e)]
 
         rows = new.join(file_ids.withColumnRenamed("id", "file_id"), "path").select("file_id", F.inline("symbols"))
-        numbered = store.numbered(rows, ["file_id", "symbol_seq"], self.store.top_id("symbol")).withColumns({"repo_id": F.lit(repo_id), "scip_symbol": F.lit(None).cast("string")})
+        numbered = store.numbered(rows, ["file_id", "symbol_seq"], self.store.reserve("symbol", rows.count())).withColumns({"repo_id": F.lit(repo_id), "scip_symbol": F.lit(None).cast("string")})
         stale = old["symbol"].withColumn("scip_symbol", F.lit(None).cast("string"))
         symbols = written(store.replace_of_files(stale, numbered, touched), "symbols")
         fresh_refs = new.join(file_ids.withColumnRenamed("id", "file_id"), "path").select(F.lit(repo_id).alias("repo_id"), "file_id", F.inline("references"))
@@ -175,12 +236,24 @@ class Engine:
             for end in ("src_symbol_id", "dst_symbol_id"):
                 kept = kept.join(own.select(F.col("id").alias(end)), end, "left_semi")
             kept = written(kept.select(*EDGE.names), "kept")
-        added = store.insert_edges(kept, fresh, ["phase", "file_id", "ref_seq"])
-        added = store.numbered(added, ["phase", "file_id", "ref_seq", "dst_symbol_id"], self.store.top_id("edge")).withColumns({"repo_id": F.lit(repo_id), "confidence": F.lit(1.0)})
+        added = written(store.insert_edges(kept, fresh, ["phase", "file_id", "ref_seq"]), "added")
+        added = store.numbered(added, ["phase", "file_id", "ref_seq", "dst_symbol_id"], self.store.reserve("edge", added.count())).withColumns({"repo_id": F.lit(repo_id), "confidence": F.lit(1.0)})
 
         progress("write")
-        changed = {"file": all_files, "symbol": symbols, "reference": refs, "edge": kept.unionByName(added.select(*kept.columns))}
-        self.store.commit({k: df.select(*[f.name for f in TABLES[k]]) for k, df in changed.items()}, repo_id)
+        added = added.select(*EDGE.names)
+        if first or resolved:
+            changed = {"file": all_files, "symbol": symbols, "reference": refs, "edge": kept.unionByName(added)}
+            self.store.commit(changed, repo_id, base=state, buckets=store.buckets_for(all_files.count()), numbered=True, **more)
+        else:
+            of_files = touched.withColumnRenamed("id", "file_id")
+            parts = {
+                "file": (file_rows, touched),
+                "symbol": (numbered, old["symbol"].join(of_files, "file_id", "left_semi").select("id", "file_id")),
+                "reference": (fresh_refs, of_files),
+                "edge": (added, old["edge"].select("id", "evidence_file_id").join(kept.select("id"), "id", "left_anti")),
+            }
+            more["parts"] = more.get("parts", {}) | parts
+            self.store.commit(None, repo_id, base=state, numbered=True, **more)
         return self._indexed(root, remote_url, outcomes, status, warnings)
 
     def _indexed(self, root: str, remote_url: str | None, outcomes: dict[str, int], status: str, warnings: list[str]) -> IndexResult:
@@ -195,11 +268,16 @@ class Engine:
 
     # -- ask
 
+    def _repo_id(self, root: str, state: dict) -> int | None:
+        found_ = self.store.table("repo", state=state).where(F.col("root_path") == root).select("id").first()
+        return found_ and found_[0]
+
     def _mine(self, root: str, name: str) -> DataFrame:
-        repo = self.store.table("repo").where(F.col("root_path") == root).select("id").first()
-        if repo is None:
+        state = self.store.pinned()
+        repo_id = self._repo_id(root, state)
+        if repo_id is None:
             raise KeyError(f"{root} is not indexed")
-        return self.store.table(name, repo[0])
+        return self.store.table(name, repo_id, state)
 
     def symbols(self, root: str) -> DataFrame:
         return self._mine(root, "symbol")
@@ -313,8 +391,7 @@ class Engine:
         repo = self.store.table("repo").where(F.col("root_path") == root).first()
         if repo is None:
             return False
-        left = store.delete_repo({n: self.store.table(n) for n in ("repo", "index_run")}, repo["id"])
-        self.store.commit(left, gone=(repo["id"],))
+        self.store.commit(gone=(repo["id"],))
         return True
 
 

@@ -2,7 +2,7 @@
 
 A table is only ever rebuilt from its old rows and the change: keyed merges, anti joins, and
 cascades that follow the references between tables. The store writes new versions beside the old
-ones and then publishes a state that names them, so a reader never sees a half-written table and no
+ones, bucket by bucket, and then publishes a state that names them, so a reader never sees a half-written table and no
 path is read and overwritten at once.
 """
 
@@ -11,9 +11,10 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SCHEMA_VERSION, TABLES, TIERS, empty
@@ -120,109 +121,73 @@ def fold_runs(events: DataFrame) -> DataFrame:
 
 
 class Conflict(RuntimeError):
-    """Another writer committed since this one read the state."""
+    """Another writer committed what this one read or replaces."""
+
+
+#: Which column's hash deals a table's rows to the buckets of their repository: the file that a row is of.
+BUCKET_OF = {"file": "id", "symbol": "file_id", "reference": "file_id", "chunk": "file_id", "edge": "evidence_file_id", "snapshot": "path"}
+#: Files for each bucket, and buckets of a repository at most.
+FILES_A_BUCKET, MOST_BUCKETS = 16, 256
+
+
+def buckets_for(files: int) -> int:
+    return min(MOST_BUCKETS, 1 << (max(1, files) // FILES_A_BUCKET).bit_length())
+
+
+def _bucket(name: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(BUCKET_OF[name])), F.lit(n)).cast("int") if name in BUCKET_OF else F.lit(0)
 
 
 class Store:
     """The tables of one or more repositories below a folder that Spark can reach.
 
-    A commit writes data to new folders and then publishes a numbered state file, which names the
-    folder of each table, and for tables with a repo_id that of each repository; so a commit for one
-    repository writes and replaces its rows only. The state with the highest number is current, and a
-    number can be published once: of two writers the second gets Conflict. Readers never see a
-    missing or half-written state, and what a state names stays on disk for RETAIN_SECONDS after a
-    later one, so that DataFrames read before keep working.
+    A table is kept by repository, and there in buckets of files. A commit writes the buckets that it
+    changes to new folders and then publishes a numbered state file, which names the folders of every bucket; the
+    state with the highest number is current, and a number can be published once. Readers never see
+    a missing or half-written state, and what a state names stays on disk for RETAIN_SECONDS after a later one, so
+    that DataFrames read before keep working.
+
+    A writer pins the state that it reads (`pinned`) and passes it to `commit`. If others committed since, the
+    commit goes through as long as they changed other repositories or other tables, and is a Conflict
+    otherwise. Ids are handed out by `reserve`, so writers at work at once have different ones.
     """
 
     RETAIN_SECONDS = 24 * 3600
-    #: Tables that are written per repository.
-    SPLIT = tuple(n for n, t in TABLES.items() if "repo_id" in t.names and n != "index_run")
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._path = self._hadoop.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        state = self._state()
+        state = self.pinned()
         if state["number"] and state["version"] != SCHEMA_VERSION:
             raise ValueError(f"{root} has schema version {state['version']}; this is {SCHEMA_VERSION}")
 
+    # -- states
+
     def _states(self) -> dict[int, object]:
         """Status of each published state file by its number."""
         found = self._fs.globStatus(self._path(f"{self.root}/state-*.json")) if self._fs.exists(self._path(self.root)) else []
         return {int(s.getPath().getName()[6:-5]): s for s in found or []}
 
-    def _state(self, number: int | None = None) -> dict:
+    def pinned(self, number: int | None = None) -> dict:
+        """The current state, or that of a number, to read from and to commit upon."""
         if number is None:
             number = max(self._states(), default=0)
         if not number:
-            return {"version": SCHEMA_VERSION, "number": 0, "tables": {}}
+            return {"version": SCHEMA_VERSION, "number": 0, "tables": {}, "top": {}, "applied": {}}
         source = self._fs.open(self._path(f"{self.root}/state-{number:09d}.json"))
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
         finally:
             source.close()
 
-    def _read(self, name: str, places: dict[str, str]) -> DataFrame:
-        if not places:
-            return empty(self.spark, TABLES[name])
-        reader = self.spark.read.schema(TABLES[name]).option("basePath", f"{self.root}/{name}")
-        return reader.parquet(*[f"{self.root}/{p}" for _, p in sorted(places.items())]).select(*TABLES[name].names)
-
-    def table(self, name: str, repo_id: int | None = None) -> DataFrame:
-        """A table, or what one repository has in it."""
-        places = self._state()["tables"].get(name, {})
-        if repo_id is None:
-            return self._read(name, places)
-        if name in self.SPLIT:
-            return self._read(name, {k: p for k, p in places.items() if k == str(repo_id)})
-        return self._read(name, places).where(F.col("id" if name == "repo" else "repo_id") == repo_id)
-
-    def tables(self, repo_id: int | None = None) -> dict[str, DataFrame]:
-        return {n: self.table(n, repo_id) for n in TABLES}
-
-    def top_id(self, name: str) -> int:
-        """The highest id that a table ever had."""
-        return int(self._state().get("top", {}).get(name, 0))
-
-    def commit(self, changed: dict[str, DataFrame], repo_id: int | None = None, gone: tuple[int, ...] = ()) -> None:
-        """Write the changed tables, all or none of which become current.
-
-        repo_id: the rows of split tables are that repository's, and replace what it had; without
-        it they replace the whole table. gone: repositories that split tables forget.
-        """
-        state = self._state()
-        base = state["number"]
-        state["number"] = base + 1
-        for name in self.SPLIT:
-            for g in gone:
-                state["tables"].get(name, {}).pop(str(g), None)
-        for name, df in changed.items():
-            if name == "edge":
-                check_tiers(df)
-            place = f"{name}/{state['number']:09d}-{uuid.uuid4().hex[:8]}"
-            rows = df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name]])
-            if name in self.SPLIT:
-                rows.write.partitionBy("repo_id").parquet(f"{self.root}/{place}")
-                found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{place}")) if s.isDirectory()]
-                new = {f.partition("=")[2]: f"{place}/{f}" for f in found if f.startswith("repo_id=")}
-                if repo_id is not None and set(new) - {str(repo_id)}:
-                    raise ValueError(f"rows of other repositories than {repo_id}")
-                kept = {k: p for k, p in state["tables"].get(name, {}).items() if k != str(repo_id)} if repo_id is not None else {}
-                state["tables"][name] = kept | new
-            else:
-                rows.write.parquet(f"{self.root}/{place}")
-                state["tables"][name] = {"": place}
-            if "id" in rows.columns:
-                top = state.setdefault("top", {})
-                top[name] = max(top.get(name, 0), self._read(name, state["tables"][name] if repo_id is None else new if name in self.SPLIT else {"": place}).agg(F.max("id")).first()[0] or 0)
-        self._publish(state, base)
-        self.vacuum()
-
     def _publish(self, state: dict, base: int) -> None:
+        """Make state the one after base."""
+        state["number"] = base + 1
         new = self._path(f"{self.root}/.new-{uuid.uuid4().hex}")
         out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps(state, indent=1, sort_keys=True), "utf-8"))
+        out.write(bytearray(json.dumps(state, sort_keys=True), "utf-8"))
         out.close()
         final = self._path(f"{self.root}/state-{state['number']:09d}.json")
         context = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -238,6 +203,140 @@ class Store:
         finally:
             self._fs.delete(new, False)
 
+    def _change(self, change: Callable[[dict], None]) -> None:
+        """Apply change to the current state and publish it, again upon each state that others publish meanwhile."""
+        while True:
+            state = self.pinned()
+            base = state["number"]
+            change(state)
+            try:
+                return self._publish(state, base)
+            except Conflict:
+                if max(self._states(), default=0) == base:
+                    raise
+
+    def reserve(self, name: str, n: int) -> int:
+        """The id below n ids that nobody else is given."""
+        start = []
+
+        def take(state: dict) -> None:
+            start[:] = [int(state["top"].get(name, 0))]
+            state["top"][name] = start[0] + n
+
+        if n:
+            self._change(take)
+            return start[0]
+        return self.top_id(name)
+
+    def top_id(self, name: str) -> int:
+        """The highest id that a table ever had or was promised."""
+        return int(self.pinned()["top"].get(name, 0))
+
+    # -- reading
+
+    def _leaves(self, repo: str, entry: dict, only: set[int] | None = None) -> list[str]:
+        """Folders of a repository's buckets, each with its rows alone."""
+        return [f"{self.root}/{folder}/__repo={repo}/__bucket={b}" for folder, bs in sorted(entry["places"].items()) for b in bs if only is None or b in only]
+
+    def _read(self, name: str, leaves: list[str]) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(*leaves) if leaves else empty(self.spark, TABLES[name])
+
+    def table(self, name: str, repo_id: int | None = None, state: dict | None = None) -> DataFrame:
+        """A table, or what one repository has in it; of the current state or of one that is pinned."""
+        entries = (state or self.pinned())["tables"].get(name, {})
+        wanted = entries if repo_id is None else {k: e for k, e in entries.items() if k == str(repo_id)}
+        return self._read(name, [x for k, e in sorted(wanted.items()) for x in self._leaves(k, e)])
+
+    def tables(self, repo_id: int | None = None, state: dict | None = None) -> dict[str, DataFrame]:
+        state = state or self.pinned()
+        return {n: self.table(n, repo_id, state) for n in TABLES}
+
+    # -- writing
+
+    def _write(self, name: str, rows: DataFrame, n: int) -> dict[str, dict]:
+        """Entries by repository of rows that are written to n buckets each."""
+        if name == "edge":
+            check_tiers(rows)
+        place = f"{name}/{uuid.uuid4().hex}"
+        typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name]])
+        placed = typed.withColumns({"__repo": F.col("id" if name == "repo" else "repo_id"), "__bucket": _bucket(name, n)})
+        placed.repartition("__repo", "__bucket").write.partitionBy("__repo", "__bucket").parquet(f"{self.root}/{place}")
+        out: dict[str, dict] = {}
+        for repo in self._folders(place, "__repo="):
+            out[repo] = {"buckets": n, "places": {place: sorted(int(b) for b in self._folders(f"{place}/__repo={repo}", "__bucket="))}}
+        return out
+
+    def _folders(self, place: str, start: str) -> list[str]:
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{place}")) if s.isDirectory()]
+        return [f.removeprefix(start) for f in found if f.startswith(start)]
+
+    def commit(
+        self, changed: dict[str, DataFrame] | None = None, repo_id: int | None = None, gone: tuple[int, ...] = (), *,
+        parts: dict[str, tuple[DataFrame, DataFrame]] | None = None, base: dict | None = None, buckets: int = 1, alone: bool = False, numbered: bool = False, applied: dict[str, int] | None = None,
+    ) -> None:
+        """Write changes, all or none of which become current.
+
+        changed: whole tables, in so many buckets; with repo_id they are that repository's and replace what
+        it had. parts: (rows to add, rows to remove, by the column of BUCKET_OF and, if they have it, by id) of
+        the repository; only the buckets that they are in are written. gone: repositories to forget.
+        base: the state that was read, by default the current one. alone: no commit of others at all may lie between.
+        numbered: ids come from `reserve`. applied: streams and the batch of each that this commit makes good.
+        """
+        base = base or self.pinned()
+        mine, new = str(repo_id), {}
+        for name, df in (changed or {}).items():
+            new[name] = self._write(name, df, buckets if name in BUCKET_OF else 1)
+            if repo_id is not None and set(new[name]) - {mine}:
+                raise ValueError(f"rows of other repositories than {repo_id}")
+        for name, (added, removed) in (parts or {}).items():
+            new[name] = {mine: self._merged(name, added, removed, mine, base)}
+        tops = {} if numbered else {n: self._read(n, [x for k, e in new[n].items() for x in self._leaves(k, e)]).agg(F.max("id")).first()[0] or 0 for n in new if "id" in TABLES[n].names}
+
+        def version(state: dict, name: str) -> object:
+            entries = state["tables"].get(name, {})
+            return entries.get(mine, {}).get("commit") if repo_id is not None else {k: e["commit"] for k, e in entries.items()}
+
+        def apply(state: dict) -> None:
+            if state["number"] != base["number"]:
+                lost = mine in base["tables"].get("repo", {}) and mine not in state["tables"].get("repo", {})
+                if alone or lost or any(version(state, n) != version(base, n) for n in new):
+                    raise Conflict(f"state {base['number']} of {self.root} was read, and {state['number']} changed the same")
+                if any(state["applied"].get(k, -1) != base["applied"].get(k, -1) for k in applied or {}):
+                    raise Conflict(f"a batch was applied twice at once to {self.root}")
+            for g in gone:
+                for entries in state["tables"].values():
+                    entries.pop(str(g), None)
+            for name, entries in new.items():
+                now = state["tables"].setdefault(name, {})
+                if repo_id is None:
+                    now.clear()
+                now.pop(mine, None)
+                now.update({k: e | {"commit": state["number"] + 1} for k, e in entries.items() if e["places"]})
+            for name, top in tops.items():
+                state["top"][name] = max(state["top"].get(name, 0), top)
+            state["applied"].update(applied or {})
+
+        self._change(apply)
+        self.vacuum()
+
+    def _merged(self, name: str, added: DataFrame, removed: DataFrame, repo: str, base: dict) -> dict:
+        """A repository's entry once the buckets that rows come to or go from are written anew."""
+        entry = base["tables"].get(name, {}).get(repo) or {"buckets": 1, "places": {}}
+        n, of = entry["buckets"], BUCKET_OF[name]
+        at = _bucket(name, n).alias("b")
+        touched = {r["b"] for r in added.select(at).unionByName(removed.select(at)).distinct().collect()}  # MOST_BUCKETS at most
+        if not touched:
+            return entry
+        key = "id" if "id" in removed.columns else of
+        left = self._read(name, self._leaves(repo, entry, touched)).join(removed.select(key), key, "left_anti")
+        written_ = self._write(name, left.select(*TABLES[name].names).unionByName(added.select(*TABLES[name].names)), n)
+        if set(written_) - {repo}:
+            raise ValueError(f"rows of other repositories than {repo}")
+        kept = {f: [b for b in bs if b not in touched] for f, bs in entry["places"].items()}
+        return {"buckets": n, "places": {f: bs for f, bs in kept.items() if bs} | written_.get(repo, {"places": {}})["places"]}
+
+    # -- disk
+
     def vacuum(self, retain_seconds: int | None = None) -> int:
         """Delete states that were replaced longer ago, and the data that only they name; the number of folders deleted."""
         keep_ms = 1000 * (self.RETAIN_SECONDS if retain_seconds is None else retain_seconds)
@@ -246,10 +345,10 @@ class Store:
         old = [n for (n, _), (_, after) in zip(states, states[1:], strict=False) if time.time() * 1000 - after.getModificationTime() >= keep_ms]
         if not old:
             return 0
-        named = lambda ns: {p for n in ns for places in self._state(n)["tables"].values() for p in places.values()}
+        named = lambda ns: {x for n in ns for t in self.pinned(n)["tables"].values() for k, e in t.items() for x in self._leaves(k, e)}
         dead = named(old) - named([n for n, _ in states if n not in old])
         for p in sorted(dead):
-            self._fs.delete(self._path(f"{self.root}/{p}"), True)
+            self._fs.delete(self._path(p), True)
         for n in old:
             self._fs.delete(self._path(f"{self.root}/state-{n:09d}.json"), False)
         return len(dead)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 
 # The domains, in the order in which counts are listed.
 SYMBOL_KINDS = ("file", "module", "class", "function", "method", "variable")
@@ -41,10 +41,12 @@ INDEX_RUN = _schema(
 )
 #: Raw references as they were read, so that files that did not change need not be read again.
 REFERENCE = _schema("repo_id long, file_id long, ref_seq int, kind string, src_qualified_name string, target_text string, evidence_line int")
+#: Of a stream of file snapshots: the last one of each path, and whether it said that the file is gone.
+SNAPSHOT = _schema("repo_id long, path string, seq long, gone boolean")
 OCCURRENCE = _schema("path string, line0 int, symbol string, is_definition boolean")
 REGISTRY = _schema("repo_hash string, root_path string, registered_at timestamp")
 
-TABLES = {"repo": REPO, "file": FILE, "symbol": SYMBOL, "edge": EDGE, "chunk": CHUNK, "index_run": INDEX_RUN, "reference": REFERENCE}
+TABLES = {"repo": REPO, "file": FILE, "symbol": SYMBOL, "edge": EDGE, "chunk": CHUNK, "index_run": INDEX_RUN, "reference": REFERENCE, "snapshot": SNAPSHOT}
 
 
 def empty(spark: SparkSession, schema: StructType) -> DataFrame:

@@ -45,13 +45,24 @@ def affected_sources(references: DataFrame, names: DataFrame) -> DataFrame:
     return by_target.unionByName(by_scope).distinct()
 
 
+def newest(stored: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Of snapshots (path, seq, content or null), the latest of each path that is later than the stored one (path, seq).
+
+    Snapshots with one seq should say the same; if not, the one with the highest content counts. A
+    path may come any number of times: all but the last are dropped before the shuffle.
+    """
+    place = F.struct("seq", F.col("content").isNotNull(), F.sha2("content", 256))
+    last = snapshots.where("path IS NOT NULL AND seq IS NOT NULL").groupBy("path").agg(F.max_by(F.struct("seq", "content"), place).alias("s")).select("path", "s.seq", "s.content")
+    before = stored.select("path", F.col("seq").alias("was"))
+    return last.join(before, "path", "left").where("was IS NULL OR seq > was").select("path", "seq", "content")
+
+
 def watch(spark: SparkSession, folder: str, checkpoint: str, apply: Callable[[DataFrame, int], None], available_now: bool = True) -> StreamingQuery:
-    """Stream snapshots of files (path, content, as Parquet in a folder) into apply(files, batch).
+    """Stream snapshots of files (path, seq, content, as Parquet in a folder) into apply(files, batch).
 
-    Of several snapshots of one path in a batch the one with the last content by hash would be
-    a guess, so a batch is given as it came. A batch that fails is given again: apply must be
-    repeatable, as keyed merges are.
+    A batch that fails, or whose end was not noted before the driver was lost, is given again with its number:
+    apply must be repeatable, or refuse a number that it knows.
     """
-    source = spark.readStream.schema("path string, content binary").parquet(folder)
+    source = spark.readStream.schema("path string, seq long, content binary").parquet(folder)
     writer = source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -8,6 +8,7 @@ import pytest
 from symweave import cli
 from symweave.engine import Engine
 from symweave.operators import retrieve
+from symweave.operators.store import Conflict
 from symweave.plans.fixtures import OCCURRENCE_DDL, SIMPLE_FILES
 from symweave.streaming.incremental import affected_files, file_changes, watch
 
@@ -167,6 +168,55 @@ def test_stream_of_snapshots(spark, tmp_path):
         spark.createDataFrame([(f"b{n}.py", bytearray(b"y"))], "path string, content binary").write.mode("append").parquet(folder)
 
 
+def test_two_repositories_indexed_at_once_both_land(spark, tmp_path):
+    store = str(tmp_path / "store")
+    a, b = Engine(spark, store), Engine(spark, store)
+    frame = lambda name: spark.createDataFrame([(f"{name}.py", bytearray(f"def {name}():\n    return {name}()\n".encode()))], "path string, content binary")
+    # at each stage of one run another writer does a whole run, of another root or of one that it knows
+    others = {"discover": "/b", "parse": "/c", "resolve": "/b", "write": "/d"}
+    a.index("/a", files=frame("first"), progress=lambda stage: b.index(others[stage], files=frame(stage)))
+    repos = {r["root_path"]: r["id"] for r in a.store.table("repo").collect()}
+    assert sorted(repos) == ["/a", "/b", "/c", "/d"] and len(set(repos.values())) == 4
+    assert {r["path"] for r in a.store.table("file").collect()} == {"first.py", "discover.py", "parse.py", "resolve.py", "write.py"}
+    for name in ("file", "symbol", "edge", "index_run"):
+        ids = [r["id"] for r in b.store.table(name).collect()]
+        assert len(ids) == len(set(ids)) and ids, name
+    assert sorted(r["status"] for r in a.store.table("index_run").collect()) == ["ok"] * 5
+    assert a.status("/a").last_run_status == "ok" and a.store.table("reference").count() == 5
+    # the same repository cannot be changed by two runs at once
+    with pytest.raises(Conflict):
+        a.index("/a", files=frame("again"), progress=lambda stage: stage == "resolve" and b.index("/a", files=frame("other")))
+    assert {r["path"] for r in a.files("/a").collect()} == {"first.py", "other.py"}
+    assert a.remove("/b") and sorted(r["root_path"] for r in b.listing().collect()) == ["/a", "/c", "/d"]
+
+
+def test_a_stream_ends_in_the_index_of_its_last_snapshots(spark, tmp_path):
+    engine, texts = Engine(spark, str(tmp_path / "store")), dict(SIMPLE_FILES)
+    ddl = "path string, seq long, content binary"
+    rows = lambda seq, of: spark.createDataFrame([(p, seq, None if t is None else bytearray(t.encode())) for p, t in of.items()], ddl)
+    assert engine.apply_snapshots("/r", rows(5, texts), 0, "s")
+    for n, edit in enumerate(EDITS[:3], 1):
+        texts |= edit
+        older = rows(4, {p: "def late():\n    pass\n" for p in SIMPLE_FILES}).unionByName(rows(5 + n, edit))
+        assert engine.apply_snapshots("/r", older, n, "s")
+        # a batch that is given twice is applied once
+        assert not engine.apply_snapshots("/r", rows(99, dict.fromkeys(texts)), n, "s")
+    texts = {p: t for p, t in texts.items() if t is not None}
+    new = Engine(spark, str(tmp_path / "new"))
+    new.index("/r", files=rows(0, texts).select("path", "content"))
+    assert whole(engine, "/r") == whole(new, "/r")
+    state = {r["path"]: r["gone"] for r in engine.store.table("snapshot").collect()}
+    assert {p for p, gone in state.items() if not gone} == set(texts)
+
+
+def test_follow_a_folder(spark, tmp_path):
+    engine, folder = Engine(spark, str(tmp_path / "store")), str(tmp_path / "snapshots")
+    for n, (seq, text) in enumerate([(1, "def f():\n    pass\n"), (3, "def g():\n    pass\n"), (2, "def late():\n    pass\n"), (4, None)]):
+        spark.createDataFrame([("m.py", seq, text and bytearray(text.encode()))], "path string, seq long, content binary").write.mode("append").parquet(folder)
+        engine.follow("/r", folder, str(tmp_path / "check")).awaitTermination()
+        assert {r["name"] for r in engine.symbols("/r").where("kind = 'function'").collect()} == [{"f"}, {"g"}, {"g"}, set()][n]
+
+
 def test_indexing_opens_no_connection_beyond_this_machine(spark, tree, tmp_path, monkeypatch):
     connect = socket.socket.connect
 

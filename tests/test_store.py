@@ -3,6 +3,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from symweave import schemas
 from symweave.operators import report, store
@@ -104,7 +105,7 @@ def test_readers_keep_what_they_read_while_others_commit(spark, tmp_path):
     assert sorted(r["id"] for r in held.collect()) == [1, 2]
     assert [r["id"] for r in s.table("edge").collect()] == [r["id"] for r in s.table("edge", 7).collect()] == [3]
     assert s.table("edge", 8).count() == 0 and s.top_id("edge") == 3
-    assert s.vacuum() == 0 and s.vacuum(0) == 2
+    assert s.vacuum() == 0 and s.vacuum(0) == 2  # both repositories' first folders
     assert [r["id"] for r in s.table("edge").collect()] == [3]
     s.commit({"edge": edges(spark)}, repo_id=7)
     assert s.table("edge").count() == 0 and s.top_id("edge") == 3
@@ -114,21 +115,61 @@ def test_readers_keep_what_they_read_while_others_commit(spark, tmp_path):
 
 def test_of_two_writers_the_second_is_told(spark, tmp_path, monkeypatch):
     a, b = (store.Store(spark, str(tmp_path / "s")) for _ in range(2))
-    publish = store.Store._publish
+    a.commit({"edge": edges(spark, (1, 1), (2, 2))})
+    read = a.pinned()
+    held = a.table("edge", 1, read)
+    b.commit({"edge": edges(spark, (5, 1))}, repo_id=1)
+    # what was read and changed is no longer current
+    with pytest.raises(store.Conflict):
+        a.commit({"edge": held.unionByName(edges(spark, (4, 1)))}, repo_id=1, base=read)
+    with pytest.raises(store.Conflict):
+        a.commit({"edge": edges(spark, (4, 1))}, base=read)
+    with pytest.raises(store.Conflict):
+        a.commit({}, repo_id=2, base=read, alone=True)
+    # of another repository, and another table, it is
+    a.commit({"edge": edges(spark, (6, 2))}, repo_id=2, base=read)
+    a.commit({"chunk": spark.createDataFrame([(1, 1, 3, None, 1, 2, "t", 1)], schemas.CHUNK)}, repo_id=1, base=read)
+    assert sorted(r["id"] for r in a.table("edge").collect()) == [5, 6] and b.table("chunk").count() == 1
+    # another writer publishes between the look at the states and the renaming
+    publish, states = store.Store._publish, store.Store._states
 
     def late(self, state, base):
-        if self is a:
-            b.commit({"edge": edges(spark, (5, 1))}, repo_id=1)
-        publish(self, state, base)
+        monkeypatch.setattr(store.Store, "_publish", publish)
+        b.commit({"edge": edges(spark, (7, 3))}, repo_id=3)
+        monkeypatch.setattr(store.Store, "_states", lambda self: {n: x for n, x in states(self).items() if n <= base} if self is a else states(self))
+        try:
+            publish(self, state, base)
+        finally:
+            monkeypatch.setattr(store.Store, "_states", states)
 
     monkeypatch.setattr(store.Store, "_publish", late)
-    with pytest.raises(store.Conflict):
-        a.commit({"edge": edges(spark, (4, 1))}, repo_id=1)
-    assert [r["id"] for r in a.table("edge").collect()] == [5]
-    # the same between the check and the renaming
-    monkeypatch.setattr(store.Store, "_publish", publish)
-    states = store.Store._states
-    monkeypatch.setattr(store.Store, "_states", lambda self: {n: s for n, s in states(self).items() if n < 1} if self is a else states(self))
-    with pytest.raises(store.Conflict, match="published by another"):
-        a.commit({"edge": edges(spark, (6, 1))}, repo_id=1)
-    assert [r["id"] for r in b.table("edge").collect()] == [5]
+    a.commit({"edge": edges(spark, (8, 1))}, repo_id=1)
+    assert sorted(r["id"] for r in b.table("edge").collect()) == [6, 7, 8]
+
+
+def test_ids_are_handed_out_once(spark, tmp_path):
+    a, b = (store.Store(spark, str(tmp_path / "s")) for _ in range(2))
+    assert [a.reserve("symbol", 5), b.reserve("symbol", 2), a.reserve("symbol", 0), a.reserve("edge", 1)] == [0, 5, 7, 0]
+
+
+def test_only_buckets_that_change_are_written(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    rows = spark.range(20_000).selectExpr("id", "7L AS repo_id", "id % 5000 AS file_id", "'class' AS kind", "sha2(cast(id AS string), 256) AS name", "'q' AS qualified_name", "NULL AS scip_symbol", "1 AS start_line", "2 AS end_line", "NULL AS signature", "NULL AS docstring")
+    s.commit({"symbol": rows}, 7, buckets=store.buckets_for(5000))
+    whole = s.size_bytes()
+    before = s.table("symbol", 7)
+    of_file = before.where("file_id = 77")
+    s.commit(None, 7, parts={"symbol": (of_file.where("id < 6000").withColumn("name", F.lit("new")), of_file.select("id", "file_id"))})
+    assert 0 < s.size_bytes() - whole < 0.02 * whole
+    after = s.table("symbol", 7)
+    assert after.count() == 20_000 - 2 and before.count() == 20_000
+    assert sorted(r["id"] for r in after.where("name = 'new'").collect()) == [77, 5077]
+    assert after.where("file_id != 77").exceptAll(before.where("file_id != 77")).isEmpty()
+    # a bucket that loses all rows goes, and a repository without rows takes parts
+    s.commit(None, 7, parts={"symbol": (after.limit(0), after.select("id", "file_id"))})
+    assert s.table("symbol").count() == 0
+    s.commit(None, 9, parts={"edge": (edges(spark, (3, 9)), edges(spark).select("id", "evidence_file_id"))})
+    s.commit(None, 9, parts={"edge": (edges(spark, (4, 9)), edges(spark, (3, 9)).select("id", "evidence_file_id"))})
+    assert [r["id"] for r in s.table("edge", 9).collect()] == [4]
+    with pytest.raises(ValueError, match="other repositories"):
+        s.commit(None, 9, parts={"edge": (edges(spark, (5, 8)), edges(spark).select("id", "evidence_file_id"))})
