@@ -42,6 +42,8 @@ UNDETERMINED = "und"
 WIDE, NARROWEST, WIDEST, ROWS = 64, 12, 26, 2
 #: Log2 of the counters that travel together, phrases added at once, and where counters stop.
 BLOCK, ADDED, FULL = 16, 1 << 15, 255
+#: Tasks of a scan for each core.
+TASKS = 2
 #: Bytes of text cut into words at once.
 READ = 1 << 18
 #: Characters of the phrases of one group of automata.
@@ -332,6 +334,8 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", least
     small_batches(spark)
     read = docs.select(F.coalesce(docs[f"`{lang}`"].cast("string"), F.lit(UNDETERMINED)).alias("lang"), docs[f"`{text}`"].cast("string").alias("text")).where("text != ''")
     size = read.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # what a task tells of sketches, candidates and counts does not shrink with its share of the texts, so few long tasks tell less
+    read = read.coalesce(TASKS * spark.sparkContext.defaultParallelism)
     wanted = max(NARROWEST, (size // WIDE).bit_length())
     log, parts = min(wanted, WIDEST), 1 << max(0, wanted - WIDEST)
     single = {1: _bits(read, 1, log, least, {}, 0, 1)}
