@@ -14,7 +14,7 @@ distinct word is scored once while it stays in a memo of MEMO_BYTES at most. Eve
 scored whole, where it lies, without a shuffle.
 
 Training reads about TRAIN_ROWS texts of each language, chosen by a hash of the id among rows
-that are not held out, and of these the words of up to LEARNT_LETTERS letters; its counts are
+that are not held out, longer words in overlapping windows of LEARNT_LETTERS letters; its counts are
 summed on the executors, and one number per piece and language passes the driver. Languages are
 MAX_LANGUAGES at most, as every worker holds all their probabilities; more are an error.
 
@@ -46,7 +46,8 @@ from .common import discard, held_out, small_batches, table, tidied, tidy, writt
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 TRAIN_ROWS = 1500
-LEARNT_LETTERS = 32
+#: Letters of a word that training looks at together, and how many of them the next window of a longer word has again.
+LEARNT_LETTERS, AGAIN = 32, 8
 MAX_LANGUAGES = 500
 ROUNDS = 3
 #: Added to each piece's expected count, and the probability of a character outside the vocabulary.
@@ -73,6 +74,14 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def windows(word: str) -> Iterator[str]:
+    """The word, or overlapping windows of one that is longer than LEARNT_LETTERS."""
+    yield word[: LEARNT_LETTERS + 1]
+    step = LEARNT_LETTERS - AGAIN
+    for at in range(step + 1, len(word) - AGAIN, step):
+        yield word[at : at + LEARNT_LETTERS]
+
+
 class Pieces:
     """Number of each usable piece from 1, found by a 64-bit hash of its characters; 0 is none.
 
@@ -342,7 +351,7 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", rows: int = TRAIN
         for b in batches:
             seen: dict[str, Counter] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(MARK + w for w in words_of(text) if len(w) <= LEARNT_LETTERS)
+                seen.setdefault(lang, Counter()).update(x for w in words_of(text) for x in windows(MARK + w))
             for lang, c in seen.items():
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c), pa.string()), "word": pa.array(list(c), pa.string()), "n": pa.array(c.values(), pa.int64())})
 

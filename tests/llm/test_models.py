@@ -88,6 +88,22 @@ def test_languages_are_learnt_and_held_out_rows_are_not(spark):
     assert langid.train(wrong, ~held_out(F.col("doc_id"))).languages == ["de", "en"]
 
 
+@pytest.mark.parametrize("run", [5, 20, 40, 3000])
+def test_languages_without_spaces_are_told_apart(spark, run):
+    rng = random.Random(run)
+    rows = [(i, "".join(rng.choices("abcdefgh" if i % 2 else "ijklmnop", k=run)), "x" if i % 2 else "y") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    said = langid.predict(docs, langid.train(docs, ~held_out(F.col("doc_id")))).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in said)
+
+
+@pytest.mark.parametrize("n", [1, 32, 33, 40, 56, 57, 500])
+def test_windows_cover_a_word(n):
+    word = "▁" + "".join(chr(0x4E00 + i) for i in range(n))
+    cut = list(langid.windows(word))
+    assert cut[0] == word[:33] and all(len(x) <= 32 for x in cut[1:]) and "".join([cut[0], *[x[langid.AGAIN :] for x in cut[1:]]]) == word
+
+
 def test_long_words_are_summed_over_all_segmentations(monkeypatch):
     """Against exact fractions, over windows and far below the smallest float."""
     pieces, rng = langid.Pieces(PIECES), np.random.default_rng(3)
