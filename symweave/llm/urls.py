@@ -11,11 +11,14 @@ rule's host part cannot match into a path that imitates a host, and the leading
 Defined results: a null URL or one without `://` has an empty host and path and matches no
 rule; of rules that fit the longest wins, host and path together, and of equally long ones the first
 listed; very long URLs are matched whole, one step a character; repeated rows are judged each on its
-own; an empty table gives an empty result; other columns of the input pass through.
+own; an empty table gives an empty result; other columns of the input pass through, but for those called like a
+result in any case, which are replaced, the URL's own column too if it is called so. Rules come as they are listed or from a
+table of MAX_RULES rows at most (`rules_of`), as every worker holds their automaton.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import small_batches, table, tidied
+from .common import small_batches, table, tidied, unused
 
 SEP = "\x1f"
 #: URLs stepped together; long ones are stepped with others of about their length.
 STEP_ROWS = 2048
+MAX_RULES = 20_000
 
 
 @dataclass(frozen=True)
@@ -50,6 +54,14 @@ def under(host: str, path: str, verdict: str) -> Rule:
     return Rule(host + path, f"*.{host}", f"{path}*", verdict)
 
 
+def rules_of(table_: DataFrame) -> tuple[Rule, ...]:
+    """Rules from rows (host, path, verdict): a host with all its subdomains and a path prefix, either with `*` and `?` as in globs; in order of their bytes."""
+    rows = table_.select("host", "path", "verdict").where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").distinct().limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    return tuple(under(*r) for r in sorted(map(tuple, rows)))
+
+
 # The rules of the standing contract, in its order.
 CONTRACT_RULES = (
     under("com", "/", "allow"),
@@ -167,13 +179,24 @@ class Judge:
     def __init__(self, rules: tuple[Rule, ...], defaults: tuple[Rule, ...], verdict: str) -> None:
         self.rules = sorted(rules, key=lambda r: -len(r.name))
         self.defaults, self.verdict = defaults, verdict
-        self.automaton = Automaton([r.glob for r in [*self.rules, *defaults]])
+
+    @functools.cached_property
+    def automaton(self) -> Automaton:
+        """Built where it is used, once in a worker."""
+        return Automaton([r.glob for r in [*self.rules, *self.defaults]])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "automaton"}
 
     def judge(self, parts: list[tuple[str, str]]) -> list[tuple[str | None, str]]:
         """Rule name or null, and verdict, of each (host, path)."""
+        if not self.rules and not self.defaults:
+            return [(None, self.verdict)] * len(parts)
         hits = self.automaton.match([canonical(*p) for p in parts])
+        hits = np.hstack([hits, np.zeros((len(hits), 1), bool)])  # what never fits, for a side without rules
         k = len(self.rules)
-        ruled, first = hits[:, :k].any(axis=1), hits[:, :k].argmax(axis=1)
+        first = hits[:, :k].argmax(axis=1) if k else np.zeros(len(hits), int)
+        ruled = hits[:, :k].any(axis=1)
         late, which = hits[:, k:].any(axis=1), hits[:, k:].argmax(axis=1)
         out = []
         for i in range(len(parts)):
@@ -192,21 +215,24 @@ def filter_urls(
     defaults: tuple[Rule, ...] = DEFAULT_RULES,
     verdict: str = DEFAULT_VERDICT,
 ) -> DataFrame:
-    """pages with host, path, rule and verdict; columns of these names are replaced."""
+    """pages with host, path, rule and verdict; columns of these names, in any case, are replaced."""
     added = [StructField(n, StringType()) for n in ("host", "path", "rule", "verdict")]
     names = {f.name for f in added}
-    kept = pages.select(*[pages[f"`{c}`"] for c in pages.columns if c not in names])
+    kept = pages.select(*[pages[f"`{c}`"] for c in pages.columns if c.lower() not in names])
+    (read,) = unused(kept, "__read")
+    rows = pages.select(*[pages[f"`{c}`"] for c in kept.columns], pages[f"`{url}`"].alias(read))
     small_batches(pages.sparkSession)
+    shared = pages.sparkSession.sparkContext.broadcast(Judge(rules, defaults, verdict))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(rules, defaults, verdict)
+        judge = shared.value
         for b in batches:
-            parts = [split_url(u) for u in b.column(url).to_pylist()]
+            parts = [split_url(u) for u in b.column(b.num_columns - 1).to_pylist()]
             said = judge.judge(parts)
             new = zip(*[(*p, *s) for p, s in zip(parts, said, strict=True)], strict=True) if parts else ([],) * 4
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, pa.string()) for x in new]], [*b.schema.names, *[f.name for f in added]])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(x, pa.string()) for x in new]], [*b.schema.names[:-1], *[f.name for f in added]])
 
-    return kept.mapInArrow(tidied(judged), StructType([*kept.schema.fields, *added]))
+    return rows.mapInArrow(tidied(judged), StructType([*kept.schema.fields, *added]))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

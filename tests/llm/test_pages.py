@@ -159,6 +159,31 @@ def test_urls_of_a_table(spark):
     assert urls.filter_urls(spark.createDataFrame([], "url string")).count() == 0
 
 
+@pytest.mark.parametrize("clash", ["Host", "PATH", "Rule", "verdict"])
+def test_columns_called_like_results_are_replaced(spark, clash):
+    rows = spark.createDataFrame([("http://a.net/es/x", 1, "y")], f"`{clash}` string, n int, __read string")
+    (got,) = urls.filter_urls(rows, url=clash).collect()
+    assert got.asDict() == {"n": 1, "__read": "y", "host": "a.net", "path": "/es/x", "rule": "net/es/", "verdict": "block"}
+
+
+def test_a_thousand_rules_of_a_table(spark, monkeypatch):
+    rng = random.Random(4)
+    hosts = [f"h{i}.{rng.choice(['com', 'net', 'org'])}" for i in range(200)]
+    rules = {(rng.choice(hosts), "/" + "".join(rng.choices("ab/", k=rng.randint(0, 5))), rng.choice(["allow", "block"])) for _ in range(1100)}
+    ddl = "host string, path string, verdict string"
+    known = urls.rules_of(spark.createDataFrame([*rules, (None, "/", "allow")], ddl))
+    assert len(known) == len(rules) > 1000
+    pages = [(f"https://{rng.choice(['', 'www.', 'x'])}{rng.choice(hosts)}/{''.join(rng.choices('ab/', k=8))}?q",) for _ in range(300)]
+    got = urls.filter_urls(spark.createDataFrame(pages, "url string"), rules=known, defaults=(), verdict="none").collect()
+    for r in got:
+        fits = [x for x in sorted(rules) if (r["host"] == x[0] or r["host"].endswith("." + x[0])) and r["path"].startswith(x[1])]
+        best = max(fits, key=lambda x: len(x[0] + x[1]), default=(None, None, "none"))
+        assert (r["rule"], r["verdict"]) == (best[0] and best[0] + best[1], best[2])
+    monkeypatch.setattr(urls, "MAX_RULES", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        urls.rules_of(spark.createDataFrame(list(rules), ddl))
+
+
 LONG = "word " * 39 + "end"
 
 
