@@ -411,24 +411,24 @@ def _linked_exactly(vectors: DataFrame, centroids: dict[int, np.ndarray], overla
 
 def _audit(vectors: DataFrame, found: DataFrame, threshold: float) -> float | None:
     """Share of the links of some vectors, found by brute force, that the search found; null where they have none."""
-    size = AUDIT
+    size, linked = AUDIT, found.where("links > 0 AND rep IS NOT NULL").select("rep").distinct().count()
     while True:
-        truth, got, taken = _audited(vectors, found, threshold, size)
-        if truth >= AUDIT_LINKS or taken < size or size >= MOST_AUDITED:
+        truth, got, taken = _audited(vectors, found, threshold, min(size // 2, linked), size)
+        if truth >= AUDIT_LINKS or taken < size or size >= MOST_AUDITED:  # fewer are there only where all are in
             return got / truth if truth else None
         size *= 4
 
 
-def _audited(vectors: DataFrame, found: DataFrame, threshold: float, size: int) -> tuple[int, int, int]:
+def _audited(vectors: DataFrame, found: DataFrame, threshold: float, linked: int, size: int) -> tuple[int, int, int]:
     """Links of `size` vectors by brute force, those of them that were found, and the vectors there were.
 
-    Half of them are of those found to have links, so that there is something to count; the others
-    may be any, so that vectors whose links were all missed come in.
+    So many of them as `linked` says are of those found to have links, so that there is something to count; the
+    rest are others, so that vectors whose links were all missed come in.
     """
     order = [F.xxhash64("rep", F.lit(11)), "rep"]
-    some = vectors.join(found.where("links > 0").select("rep").distinct(), "rep", "left_semi").orderBy(*order).limit(size // 2).select("rep").distinct()
-    any_ = vectors.orderBy(*order).limit(size // 2).select("rep").distinct()
-    queries = vectors.join(F.broadcast(some.union(any_).distinct()), "rep", "left_semi").select("rep", "v").toArrow()  # some `size` rows at most, but for rows that share an id
+    some = vectors.join(found.where("links > 0 AND rep IS NOT NULL").select("rep").distinct(), "rep", "left_semi").orderBy(*order).limit(linked).select("rep").distinct()
+    others = vectors.join(F.broadcast(some), "rep", "left_anti").orderBy(*order).limit(size - linked).select("rep").distinct()
+    queries = vectors.join(F.broadcast(some.union(others)), "rep", "left_semi").select("rep", "v").toArrow()  # some `size` rows at most, but for rows that share an id
     ids, rows = queries.column("rep").to_numpy(), queries.column("v").to_pylist()
     by = {d: [k for k, r in enumerate(rows) if len(r) == d] for d in {len(r) for r in rows}}
     matrices = {d: unit(np.array([rows[k] for k in ks])) for d, ks in by.items()}

@@ -161,3 +161,20 @@ def test_cells_are_compared_exactly_if_the_graph_does_not_do(spark, monkeypatch)
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(tight_families(3, 60, 0.97))]
     got = run(spark, rows)
     assert {(r["n_links"], r["component_id"], r["audit_recall"]) for r in got} == {(179, 0, 1.0)}
+
+
+def test_an_audit_of_few_links_takes_others_in(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3000, 24))
+    base[2980:] = base[:20] + 0.001 * rng.normal(size=(20, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>")
+    seen, audited = [], neardup._audited
+
+    def noted(*a):
+        seen.append(audited(*a))
+        return seen[-1]
+
+    monkeypatch.setattr(neardup, "_audited", noted)
+    got = neardup.near_groups(table).collect()
+    assert {r["audit_recall"] for r in got} == {1.0} and sum(r["n_links"] for r in got) == 40
+    assert [x[2] for x in seen] == [512, 2048, 3000] and seen[-1][:2] == (40, 40)
