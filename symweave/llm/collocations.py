@@ -1,8 +1,8 @@
 """Phrase collocation mining: sketches bound every phrase's count from above, automata count what may be frequent.
 
 Texts are cut into pieces at punctuation and line ends, and pieces into words. For each number of words from
-one to LONGEST a count-min sketch adds up all phrases of that length whose parts may be frequent by the
-sketches before; the tasks' counters are summed by blocks, and a bit says which counters reach the least
+one to LONGEST a count-min sketch adds up the phrases of that length, in one scan for one and two words and in another for
+more, whose pairs must be possible by the first; the tasks' counters are summed by blocks, and a bit says which counters reach the least
 count. No phrase that is frequent can miss its bits, so the phrases that have them are all candidates and
 a few that are not. Candidates compile into Aho-Corasick automata, a delimiter before and after each
 phrase, so that whole words match and overlapping matches all count; the texts are scanned once for each group
@@ -11,7 +11,7 @@ a longer phrase covers are joins over phrases.
 
 Sizes: a sketch has a counter for WIDE bytes of text, at most WIDEST; beyond that phrases are dealt by their first word
 to several sketches, one after the other, so what a task holds stays the same and the bounds stay as tight, for one more
-scan of the texts for each. A task holds two rows of 16-bit counters, or the bits of the sketches before, or one group's
+scan of the texts for each. A task holds two rows of 16-bit counters for each of two lengths, or the bits of the sketches before, or one group's
 automata of GROUP_CHARS characters. Only bits, of a bounded size, and one group at a time pass the driver.
 
 Defined results: a null text is the empty text and has no words; a null language is `und`; without frequent phrases
@@ -47,7 +47,7 @@ TASKS = 2
 #: Bytes of text cut into words at once.
 READ = 1 << 18
 #: Characters of the phrases of one group of automata.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 6_000_000
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -207,48 +207,69 @@ def _admitted(words: Words, bits: dict[int, Bits], part: int, parts: int, n: int
 
 
 def _summed(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(row, block, bits) of blocks that come one after the other."""
+    """(n, row, block, bits) of blocks that come one after the other."""
     unpack, now, total = zstandard.ZstdDecompressor(), None, None
 
     def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"r": pa.array([now[0]], pa.int32()), "block": pa.array([now[1]], pa.int32()), "bits": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+        return pa.RecordBatch.from_arrays([*[pa.array([x], pa.int32()) for x in now], pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["n", "r", "block", "bits"])
 
     for b in batches:
-        for r, block, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if now != (r, block):
+        for *at, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if now != at:
                 if now:
                     yield done()
-                now, total = (r, block), 0
+                now, total = at, 0
             total = np.minimum(total + np.frombuffer(unpack.decompress(data), np.uint8).astype(np.uint16), FULL)
     if now:
         yield done()
 
 
 @tidy
-def _bits(read: DataFrame, n: int, log: int, least: int, bits: dict[int, Bits], part: int, parts: int) -> Bits:
-    """Sketch all phrases of n words, of first words in this part, and say which counters reach the least count."""
-    spark = read.sparkSession
-    shared = spark.sparkContext.broadcast(bits)
+def _bits(read: DataFrame, lengths: tuple[int, ...], log: int, least: int, bits: dict[int, Bits], part: int, parts: int) -> dict[int, Bits]:
+    """Sketch the phrases of some lengths, of first words in this part, and say which counters reach the least count; with the bits there are."""
+    shared = read.sparkSession.sparkContext.broadcast(bits)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch(log)
+        sketches = {n: Sketch(log) for n in lengths}
         for b in batches:
             for texts, langs in cut_texts(b):
                 words = Words(texts, [seed_of(x) for x in langs])
-                for k, h, good in _admitted(words, shared.value, part, parts, n):
-                    if k == n:
-                        sketch.add(h[good])
-        for r, block, data in sketch.blocks():
-            yield pa.RecordBatch.from_pydict({"r": pa.array([r], pa.int32()), "block": pa.array([block], pa.int32()), "data": pa.array([data], pa.binary())})
-
-    blocks = read.mapInArrow(tidied(sketched), "r int, block int, data binary").repartition("r", "block").sortWithinPartitions("r", "block")
-    sums = blocks.mapInArrow(tidied(lambda batches: _summed(batches, min(least, FULL))), "r int, block int, bits binary")
+                for k, h, good in _admitted(words, shared.value, part, parts, max(lengths)):
+                    if k in sketches:
+                        sketches[k].add(h[good])
+        for n, sketch in sketches.items():
+            for r, block, data in sketch.blocks():
+                yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.int32()) for x in (n, r, block)], pa.array([data], pa.binary())], ["n", "r", "block", "data"])
+
+    at = ["n", "r", "block"]
+    blocks = read.mapInArrow(tidied(sketched), "n int, r int, block int, data binary").repartition(*at).sortWithinPartitions(*at)
+    sums = blocks.mapInArrow(tidied(lambda batches: _summed(batches, min(least, FULL))), "n int, r int, block int, bits binary")
     size = (1 << min(BLOCK, log)) // 8
-    rows = [bytearray((1 << log) // 8) for _ in range(ROWS)]
-    for x in sums.collect():  # at most ROWS << WIDEST bits
-        rows[x["r"]][x["block"] * size : (x["block"] + 1) * size] = x["bits"]
+    rows = {n: [bytearray((1 << log) // 8) for _ in range(ROWS)] for n in lengths}
+    for x in sums.collect():  # ROWS << WIDEST bits of each length, at most
+        rows[x["n"]][x["r"]][x["block"] * size : (x["block"] + 1) * size] = x["bits"]
     shared.unpersist()
-    return Bits(log, [bytes(r) for r in rows])
+    return bits | {n: Bits(log, [bytes(r) for r in of]) for n, of in rows.items()}
+
+
+class Seen:
+    """Hashes that came before: all in a set, and most in a table that tells for many at once."""
+
+    def __init__(self) -> None:
+        self._all: set[int] = set()
+        self._last = np.zeros(1 << 20, np.uint64)
+
+    def new(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that come for the first time, one of each."""
+        at = (h >> np.uint64(44)).astype(np.int64)
+        on = np.flatnonzero(self._last[at] != h)
+        if not len(on):
+            return on
+        self._last[at[on]] = h[on]
+        distinct, first = np.unique(h[on], return_index=True)
+        fresh = [i for i, x in zip(first.tolist(), distinct.tolist(), strict=True) if x not in self._all]
+        self._all.update(distinct.tolist())
+        return on[fresh]
 
 
 def _found(read: DataFrame, bits: dict[int, Bits], part: int, parts: int, longest: int) -> DataFrame:
@@ -256,7 +277,7 @@ def _found(read: DataFrame, bits: dict[int, Bits], part: int, parts: int, longes
     shared = read.sparkSession.sparkContext.broadcast(bits)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = [Seen() for _ in range(longest + 1)]
         for b in batches:
             for texts, langs in cut_texts(b):
                 words = Words(texts, [seed_of(x) for x in langs])
@@ -265,11 +286,8 @@ def _found(read: DataFrame, bits: dict[int, Bits], part: int, parts: int, longes
                     if k == 1 and part:
                         continue
                     on = np.flatnonzero(good)
-                    distinct, first = np.unique(h[on], return_index=True)
-                    for x, i in zip(distinct.tolist(), on[first].tolist(), strict=True):
-                        if x not in seen:
-                            seen.add(x)
-                            out.append((langs[words.doc[i]], words.phrase(i, k)))
+                    for i in on[seen[k].new(h[on])].tolist():
+                        out.append((langs[words.doc[i]], words.phrase(i, k)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["lang", "phrase"])
 
@@ -338,12 +356,13 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", least
     read = read.coalesce(TASKS * spark.sparkContext.defaultParallelism)
     wanted = max(NARROWEST, (size // WIDE).bit_length())
     log, parts = min(wanted, WIDEST), 1 << max(0, wanted - WIDEST)
-    single = {1: _bits(read, 1, log, least, {}, 0, 1)}
-    candidates = None
+    candidates, single = None, {}
     for part in range(parts):
-        bits = dict(single)
-        for n in range(2, longest + 1):
-            bits[n] = _bits(read, n, log, least, bits, part, parts)
+        # the shortest phrases have no shorter ones to go by, and the others none but these
+        bits = _bits(read, (2,) if single else (1, 2), log, least, single, part, parts)
+        single = {1: bits[1]}
+        if longest > 2:
+            bits = _bits(read, tuple(range(3, longest + 1)), log, least, bits, part, parts)
         found = written(_found(read, bits, part, parts, longest).distinct(), "candidates")
         candidates = found if candidates is None else candidates.unionByName(found)
     candidates = written(candidates.withColumn("id", F.monotonically_increasing_id()), "candidates")
