@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import tidy, written
+from .store import numbered
 
 MAX_DEPTH, DEFAULT_LIMIT = 4, 1000
 #: Ids that a broadcast may hold, about 16 bytes each.
@@ -87,6 +88,42 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, tiers=None, *, forward
     return out
 
 
+#: Seeds that one word of bits stands for.
+WORD = 64
+
+
+@tidy
+def reach_sets(edges: DataFrame, seeds: DataFrame, depth: int, tiers=None, *, forward: bool = False) -> DataFrame:
+    """(seed_id, symbol_id, depth): what is reachable from each of many seeds (seed_id, symbol_id), with the shortest depth.
+
+    As reach(), without the edges, but for all seeds together: a bit stands for a seed, and a symbol's row
+    carries a word of 64 of them. A level is one join of edges with the words of its frontier, and one
+    grouped OR; bits that were there before go. So a level has at most symbols x words rows, however many
+    seeds lead to each. Start symbols of a seed are not listed for it.
+    """
+    near, far = ("src_symbol_id", "dst_symbol_id") if forward else ("dst_symbol_id", "src_symbol_id")
+    used = edges.where(edge_filter(None, tiers)).select(F.col(near).alias("near"), F.col(far).alias("symbol_id")).distinct()
+    starts = seeds.select("seed_id", "symbol_id").where("seed_id IS NOT NULL AND symbol_id IS NOT NULL")
+    places = written(numbered(starts.select("seed_id").distinct(), ["seed_id"], -1, "place"), "places")
+    words = lambda df: df.groupBy("symbol_id", "word").agg(F.bit_or("bits").alias("bits"))
+    bit = F.expr(f"shiftleft(1L, CAST(place % {WORD} AS INT))")
+    frontier = written(words(starts.join(places, "seed_id").select("symbol_id", F.floor(F.col("place") / WORD).alias("word"), bit.alias("bits"))), "frontier")
+    visited, levels = frontier, []
+    for d in range(1, depth + 1):
+        if frontier.isEmpty():
+            break
+        hop = words(used.join(frontier.withColumnRenamed("symbol_id", "near"), "near").select("symbol_id", "word", "bits"))
+        before = visited.withColumnRenamed("bits", "seen")
+        new = hop.join(before, ["symbol_id", "word"], "left").select("symbol_id", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long")))).alias("bits"))
+        frontier = written(new.where("bits != 0"), "frontier")
+        levels.append(frontier.withColumn("depth", F.lit(d)))
+        if d < depth:
+            visited = written(words(visited.unionByName(frontier)), "visited")
+    rows = reduce(DataFrame.unionByName, levels) if levels else frontier.withColumn("depth", F.lit(0)).limit(0)
+    each = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1)))).where("(shiftrightunsigned(bits, i) & 1) = 1")
+    return each.select((F.col("word") * WORD + F.col("i")).alias("place"), "symbol_id", "depth").join(places, "place").select("seed_id", "symbol_id", "depth")
+
+
 def reverse_dependencies(edges: DataFrame, symbol_id: int, depth: int, tiers=None, collapse: tuple[str, ...] = ("kind",)) -> DataFrame:
     """Edges by which symbols depend on one, with depth; the depth is not clamped here.
 

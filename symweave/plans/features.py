@@ -13,6 +13,18 @@ from .registry import _both_ways, _kept_edges, _query, _star_refs, _STAR_REFS_SQ
 
 # -- graphs
 
+_SUPPLIERS_SQL = """walk AS (
+  SELECT id AS seed, id AS node, 0 AS depth FROM gsymbols WHERE kind IN ('class', 'variable')
+  UNION SELECT w.seed, e.src_symbol_id, w.depth + 1 FROM walk w JOIN (SELECT DISTINCT src_symbol_id, dst_symbol_id FROM gedges) e ON e.dst_symbol_id = w.node WHERE w.depth < 3)"""
+
+
+@_query(g.with_graph("SELECT seed AS seed_id, node AS symbol_id, min(depth) AS depth FROM walk GROUP BY ALL HAVING min(depth) > 0", _SUPPLIERS_SQL))
+def reverse_deps_of_all(spark, sf):
+    """What depends on each supplier and each part within three hops, all of them as seeds at once."""
+    seeds = g.symbols(spark, sf).where("kind IN ('class', 'variable')").select(F.col("id").alias("seed_id"), F.col("id").alias("symbol_id"))
+    return traverse.reach_sets(_kept_edges(spark, sf), seeds, 3)
+
+
 _NODES = f"nodes AS (SELECT node AS symbol_id, min(depth) AS depth, row_number() OVER (ORDER BY min(depth), node) <= 40 AS kept FROM (SELECT * FROM back UNION ALL SELECT * FROM ahead) WHERE node <> {g.DEEP_SEED} GROUP BY node)"
 
 
@@ -129,6 +141,22 @@ def search_filters(spark, sf):
 # -- impact and incremental
 
 
+@_query(
+    """WITH s AS (SELECT 'u' || user_id || '/' || event_type AS path, event_id AS seq, event_id % 7 = 0 AS gone, (event_id * 7919) % 4 AS batch FROM events)
+SELECT path, max(seq) AS seq, arg_max(gone, seq) AS gone FROM s GROUP BY path"""
+)
+def stream_of_snapshots(spark, sf):
+    """Events as snapshots of files that arrive in four batches out of order, some saying that the file is gone; the state after all."""
+    e = _t(spark, sf, "events")
+    content = F.when(F.col("event_id") % 7 != 0, F.encode(F.col("event_id").cast("string"), "utf-8"))
+    rows = e.select(F.concat(F.lit("u"), "user_id", F.lit("/"), "event_type").alias("path"), F.col("event_id").alias("seq"), content.alias("content"), ((F.col("event_id") * 7919) % 4).alias("batch"))
+    state = rows.limit(0).select("path", "seq", F.lit(True).alias("gone"))
+    for batch in (0, 1, 2, 3):
+        new = incremental.newest(state, rows.where(F.col("batch") == batch)).select("path", "seq", F.col("content").isNull().alias("gone"))
+        state = state.join(new.select("path"), "path", "left_anti").unionByName(new)
+    return state
+
+
 @_query(
     """WITH c AS (SELECT CAST(user_id % 100 AS BIGINT) AS case_id, 'd' || user_id % 7 || '/f' || user_id || '.py' AS path FROM (SELECT DISTINCT user_id FROM events)),
 guess AS (SELECT DISTINCT a.case_id, b.path FROM c a JOIN (SELECT DISTINCT path FROM c) b ON regexp_replace(a.path, '[^/]*$', '') = regexp_replace(b.path, '[^/]*$', '') AND a.path <> b.path),

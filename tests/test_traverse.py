@@ -215,3 +215,16 @@ def test_redaction(spark):
     df = spark.createDataFrame([(said, "a/.env"), (None, "x")], "t string, p string")
     one, none = df.select(text.redact_keys(F.col("t")).alias("k"), text.is_env_path(F.col("p")).alias("e")).collect()
     assert one["k"] == "key [REDACTED] and AAAAAAAAAAAAAAAAAAAAAAAA1 and plain" and one["e"] and none["k"] is None and not none["e"]
+
+
+@pytest.mark.parametrize(("seeds", "forward"), [(3, False), (200, False), (130, True)])
+def test_sets_of_seeds_reach_what_each_seed_reaches(spark, seeds, forward):
+    rng = random.Random(seeds)
+    rows = [(i, rng.randint(0, 60), rng.randint(0, 60), "calls", rng.choice(["resolved", "heuristic"])) for i in range(130)]
+    edges = spark.createDataFrame(rows, "id long, src_symbol_id long, dst_symbol_id long, kind string, tier string")
+    starts = spark.createDataFrame([(s * 10, rng.randint(0, 70)) for s in range(seeds) for _ in range(2)] + [(None, 1), (5, None)], "seed_id long, symbol_id long")
+    for tiers in (None, ["resolved"]):
+        got = sorted(map(tuple, t.reach_sets(edges, starts, 4, tiers, forward=forward).collect()))
+        one = t.reach(edges, starts.dropna(), 4, tiers, forward=forward, collapse=()).select("seed_id", "symbol_id", "depth")
+        assert got == sorted(map(tuple, one.collect())) and got
+    assert t.reach_sets(edges, starts.limit(0), 4).count() == 0
