@@ -58,9 +58,18 @@ def mermaid_of_imports(spark, sf):
     return traverse.mermaid(_kept_edges(spark, sf).where("kind = 'imports'"), g.symbols(spark, sf))
 
 
-@_query(fx.values_sql([('{"nodes":["f9","s1","s2"],"edges":[{"a":"s1","b":"f9","kind":"calls","n":3},{"a":"s1","b":"s2","kind":"calls","n":1}]}',)], "text"))
+_PICTURE_SQL = "picture AS (SELECT a.l AS a, b.l AS b, kind, count(*) AS n FROM gedges JOIN label a ON a.id = src_symbol_id JOIN label b ON b.id = dst_symbol_id WHERE a.l <> b.l OR a.l LIKE 's%' GROUP BY ALL)"
+
+
+@_query(
+    g.with_graph(
+        "SELECT to_json({'nodes': (SELECT list(DISTINCT x ORDER BY x) FROM (SELECT a AS x FROM picture UNION SELECT b FROM picture)), 'edges': (SELECT list({'a': a, 'b': b, 'kind': kind, 'n': n} ORDER BY a, b, kind) FROM picture)})::VARCHAR AS text",
+        f"{_both_ways(g.DEEP_SEED, 2)}, {_NODES}, {_LABELS}, {_PICTURE_SQL}",
+    )
+)
 def graph_as_json(spark, sf):
-    return traverse.graph_json(spark.createDataFrame([("s1", "s2", "calls", 1), ("s1", "f9", "calls", 3)], "a string, b string, kind string, n long"))
+    edges = _kept_edges(spark, sf)
+    return traverse.graph_json(traverse.subgraph_edges(edges, traverse.subgraph(edges, g.DEEP_SEED, 2), g.symbols(spark, sf), g.DEEP_SEED))
 
 
 @_query(

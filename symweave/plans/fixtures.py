@@ -47,20 +47,20 @@ REFS_SQL = f"SELECT CAST(file_id AS BIGINT) AS file_id, ref_seq, kind, src_quali
 _OK = "CASE WHEN r.kind = 'calls' THEN n.dst_kind IN ('function', 'method', 'class') WHEN r.kind = 'inherits' THEN n.dst_kind = 'class' ELSE true END"
 #: Common tables from syms and refs to targets (file_id, ref_seq, place, dst).
 RESOLVE_SQL = f"""
-names AS (SELECT qualified_name AS name, arg_max(id, id) AS dst, arg_max(kind, id) AS dst_kind FROM syms GROUP BY 1),
-r AS (SELECT * FROM refs WHERE kind IN ('calls', 'inherits', 'references', 'imports')),
-scopes AS (
+names AS MATERIALIZED (SELECT qualified_name AS name, arg_max(id, id) AS dst, arg_max(kind, id) AS dst_kind FROM syms GROUP BY 1),
+r AS MATERIALIZED (SELECT * FROM refs WHERE kind IN ('calls', 'inherits', 'references', 'imports')),
+scopes AS MATERIALIZED (
   SELECT file_id, ref_seq, kind, target_text, up, array_to_string(list_slice(parts, 1, len(parts) - up), '.') AS scope
   FROM (SELECT *, string_split(src_qualified_name, '.') AS parts, unnest(range(0, len(string_split(src_qualified_name, '.')))) AS up FROM r)
-), owners AS (
+), owners AS MATERIALIZED (
   SELECT file_id, ref_seq, target_text, arg_min(scope, up) AS owner FROM scopes JOIN names n ON n.name = scope AND n.dst_kind = 'class'
   WHERE kind = 'calls' AND regexp_full_match(target_text, '(self|cls)\\.[^.]+') GROUP BY ALL
-), firsts AS (
+), firsts AS MATERIALIZED (
   SELECT file_id, split_part(target_text, '.', -1) AS bare, arg_min(n.dst, ref_seq) AS dst, arg_min(n.dst_kind, ref_seq) AS dst_kind
   FROM r JOIN names n ON n.name = target_text WHERE r.kind = 'imports' GROUP BY ALL
-), bares AS (
+), bares AS MATERIALIZED (
   SELECT split_part(qualified_name, '.', -1) AS bare, kind AS dst_kind, count(*) AS c, min(id) AS dst FROM syms GROUP BY ALL
-), candidates AS (
+), candidates AS MATERIALIZED (
   SELECT o.file_id, o.ref_seq, 0 AS place, n.dst FROM owners o JOIN names n ON n.name = owner || '.' || split_part(target_text, '.', -1)
   UNION ALL SELECT r.file_id, r.ref_seq, 1, n.dst FROM r JOIN names n ON n.name = r.target_text WHERE {_OK}
   UNION ALL SELECT r.file_id, r.ref_seq, CAST(2 + r.up AS INT), n.dst FROM scopes r JOIN names n ON n.name = r.scope || '.' || r.target_text
@@ -68,7 +68,7 @@ scopes AS (
   UNION ALL SELECT r.file_id, r.ref_seq, 100000, n.dst FROM r JOIN firsts n ON n.file_id = r.file_id AND n.bare = r.target_text WHERE r.kind <> 'imports' AND {_OK}
   UNION ALL SELECT r.file_id, r.ref_seq, 200000, min(n.dst) FROM r JOIN bares n ON n.bare = r.target_text
     WHERE NOT contains(r.target_text, '.') AND r.kind <> 'imports' AND {_OK} GROUP BY r.file_id, r.ref_seq HAVING sum(c) = 1
-), targets AS (SELECT file_id, ref_seq, min(place) AS place, arg_min(dst, place) AS dst FROM candidates GROUP BY ALL)
+), targets AS MATERIALIZED (SELECT file_id, ref_seq, min(place) AS place, arg_min(dst, place) AS dst FROM candidates GROUP BY ALL)
 """
 
 #: path, line0, symbol, is_definition

@@ -265,36 +265,6 @@ def registry_listing(spark, sf):
 # -- resolution
 
 
-@_query(f"WITH syms AS ({fx.SYMBOLS_SQL}), refs AS ({fx.REFS_SQL}), {fx.RESOLVE_SQL} SELECT file_id, ref_seq, place, dst FROM targets")
-def resolve_chain(spark, sf):
-    return resolve.resolved_targets(fx.symbols(spark), fx.refs(spark))
-
-
-def _rule(name: str, low: int, high: int, run: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], extra: str = "") -> None:
-    def query(spark, sf):
-        refs = fx.refs(spark).where(F.col("kind").isin("calls", "inherits", "references", "imports"))
-        return run(refs, resolve.by_qualified_name(fx.symbols(spark)), fx.symbols(spark)).select("file_id", "ref_seq", "dst")
-
-    query.__name__ = name
-    pick = f"SELECT file_id, ref_seq, arg_min(dst, place) AS dst FROM candidates WHERE place BETWEEN {low} AND {high}{extra} GROUP BY ALL"
-    _query(f"WITH syms AS ({fx.SYMBOLS_SQL}), refs AS ({fx.REFS_SQL}), {fx.RESOLVE_SQL} {pick}")(query)
-
-
-_rule("resolve_exact", 1, 1, lambda r, n, s: resolve.exact_candidates(r, n))
-_rule("resolve_ancestor", 2, 99_999, lambda r, n, s: resolve.scope_candidates(r.where("kind != 'imports'"), n))
-_rule("resolve_self_cls", 0, 0, lambda r, n, s: resolve.self_candidates(r, n))
-_rule("resolve_same_file_import", 100_000, 100_000, lambda r, n, s: resolve.import_candidates(r, n))
-_rule("resolve_unique_bare", 200_000, 200_000, lambda r, n, s: resolve.unique_candidates(r, s))
-
-
-@_query(
-    f"WITH syms AS ({fx.SYMBOLS_SQL}), refs AS ({fx.REFS_SQL}), {fx.RESOLVE_SQL} SELECT r.file_id, r.ref_seq, s.dst AS src_symbol_id, t.dst AS dst_symbol_id, r.kind "
-    "FROM r JOIN targets t USING (file_id, ref_seq) JOIN names s ON s.name = r.src_qualified_name WHERE t.dst <> s.dst"
-)
-def heuristic_edges(spark, sf):
-    return resolve.heuristic_edges(fx.symbols(spark), fx.refs(spark)).select("file_id", "ref_seq", "src_symbol_id", "dst_symbol_id", "kind")
-
-
 def _star_refs(spark, sf) -> DataFrame:
     """A reference of each order, by number to a customer in scope, a supplier by its bare name, a dotted name or a name that nothing has."""
     s = g.symbols(spark, sf).where("kind = 'method'")
@@ -318,13 +288,69 @@ _STAR_REFS_SQL = f"""SELECT file_id, CAST(key AS INT) AS ref_seq, CASE key % 3 W
 def resolve_star_graph(spark, sf):
     return resolve.resolved_targets(g.symbols(spark, sf), _star_refs(spark, sf))
 
+def _class_symbols(spark, sf) -> DataFrame:
+    """The star graph's symbols with customers as classes, whose methods are their orders."""
+    return g.symbols(spark, sf).withColumn("kind", F.when(F.col("kind") == "function", "class").otherwise(F.col("kind")))
+
+
+def _all_refs(spark, sf) -> DataFrame:
+    """References of every kind: those of _star_refs, of each order to the last order of its customer or to a name that its class
+    lacks, by self and cls, and of each file to the suppliers of the nation before."""
+    key = F.col("id") - g.METHOD0
+    orders = g.symbols(spark, sf).where("kind = 'method'").withColumn("owner", F.regexp_replace("qualified_name", r"\.o[0-9]+$", ""))
+    last = orders.groupBy("owner").agg(F.max(key).alias("last"))
+    target = F.when(key % 3 == 0, F.concat(F.lit("self.o"), "last")).when(key % 3 == 1, F.concat(F.lit("cls.o"), "last")).otherwise(F.lit("self.absent"))
+    own = orders.join(last, "owner").select("file_id", (key + 500_000_000).cast("int").alias("ref_seq"), F.lit("calls").alias("kind"), F.col("qualified_name").alias("src_qualified_name"), target.alias("target_text"), F.lit(2).alias("evidence_line"))
+    files = g.symbols(spark, sf).where("kind = 'file'").select(F.col("id").alias("file_id"), F.col("qualified_name").alias("src_qualified_name"))
+    suppliers = g.symbols(spark, sf).where("kind = 'class'").select(
+        (F.lit(g.FILE0) + (F.col("file_id") - g.FILE0 + 1) % 25).alias("file_id"), (F.lit(g.CLASS0) - F.col("id")).cast("int").alias("ref_seq"), F.lit("imports").alias("kind"), F.col("qualified_name").alias("target_text"), F.lit(1).alias("evidence_line")
+    )
+    imports = suppliers.join(F.broadcast(files), "file_id")  # a row for each nation
+    return _star_refs(spark, sf).unionByName(own).unionByName(imports)
+
+
+_ALL_REFS_SQL = f"""SELECT * FROM ({_STAR_REFS_SQL})
+  UNION ALL SELECT file_id, CAST(key + 500000000 AS INT), 'calls', qualified_name, CASE key % 3 WHEN 0 THEN 'self.o' || last WHEN 1 THEN 'cls.o' || last ELSE 'self.absent' END, 2
+  FROM (SELECT *, id - {g.METHOD0} AS key, max(id - {g.METHOD0}) OVER (PARTITION BY regexp_replace(qualified_name, '\\.o[0-9]+$', '')) AS last FROM gsymbols WHERE kind = 'method')
+  UNION ALL SELECT f.id, CAST({g.CLASS0} - s.id AS INT), 'imports', f.qualified_name, s.qualified_name, 1 FROM gsymbols s JOIN gsymbols f ON f.kind = 'file' AND f.id = {g.FILE0} + (s.file_id - {g.FILE0} + 1) % 25 WHERE s.kind = 'class'"""
+_RESOLUTION_SQL = f"syms AS MATERIALIZED (SELECT id, file_id, CASE kind WHEN 'function' THEN 'class' ELSE kind END AS kind, qualified_name FROM gsymbols), refs AS MATERIALIZED ({_ALL_REFS_SQL}), {fx.RESOLVE_SQL}"
+
+
+@_query(g.with_graph("SELECT file_id, ref_seq, place, dst FROM targets", _RESOLUTION_SQL))
+def resolve_chain(spark, sf):
+    return resolve.resolved_targets(_class_symbols(spark, sf), _all_refs(spark, sf))
+
+
+def _rule(name: str, low: int, high: int, run: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> None:
+    def query(spark, sf):
+        symbols = _class_symbols(spark, sf)
+        return run(_all_refs(spark, sf), resolve.by_qualified_name(symbols), symbols).select("file_id", "ref_seq", "dst")
+
+    query.__name__ = name
+    _query(g.with_graph(f"SELECT file_id, ref_seq, arg_min(dst, place) AS dst FROM candidates WHERE place BETWEEN {low} AND {high} GROUP BY ALL", _RESOLUTION_SQL))(query)
+
+
+_rule("resolve_exact", 1, 1, lambda r, n, s: resolve.exact_candidates(r, n))
+_rule("resolve_ancestor", 2, 99_999, lambda r, n, s: resolve.scope_candidates(r.where("kind != 'imports'"), n))
+_rule("resolve_self_cls", 0, 0, lambda r, n, s: resolve.self_candidates(r, n))
+_rule("resolve_same_file_import", 100_000, 100_000, lambda r, n, s: resolve.import_candidates(r, n))
+_rule("resolve_unique_bare", 200_000, 200_000, lambda r, n, s: resolve.unique_candidates(r, s))
+
 
 @_query(
-    f"WITH syms AS ({fx.SYMBOLS_SQL}), refs AS ({fx.REFS_SQL}) SELECT r.file_id, r.ref_seq, max(s.id) AS dst FROM refs r JOIN syms s ON s.qualified_name = r.target_text WHERE r.kind = 'imports' GROUP BY ALL"
+    g.with_graph(
+        "SELECT p.file_id, p.ref_seq, s.dst AS src_symbol_id, p.dst AS dst_symbol_id, p.kind FROM picked p JOIN names s ON s.name = p.src_qualified_name WHERE p.dst <> s.dst",
+        f"{_RESOLUTION_SQL}, picked AS MATERIALIZED (SELECT r.*, t.dst FROM r JOIN targets t ON t.file_id = r.file_id AND t.ref_seq = r.ref_seq)",
+    )
 )
+def heuristic_edges(spark, sf):
+    return resolve.heuristic_edges(_class_symbols(spark, sf), _all_refs(spark, sf)).select("file_id", "ref_seq", "src_symbol_id", "dst_symbol_id", "kind")
+
+
+@_query(g.with_graph("SELECT r.file_id, r.ref_seq, max(s.id) AS dst FROM refs r JOIN syms s ON s.qualified_name = r.target_text WHERE r.kind = 'imports' GROUP BY ALL", _RESOLUTION_SQL))
 def resolve_imports(spark, sf):
-    imports = fx.refs(spark).where("kind = 'imports'")
-    return resolve.resolved_targets(fx.symbols(spark), imports).select("file_id", "ref_seq", "dst")
+    imports = _all_refs(spark, sf).where("kind = 'imports'")
+    return resolve.resolved_targets(_class_symbols(spark, sf), imports).select("file_id", "ref_seq", "dst")
 
 
 _PARENT_SQL = "CASE WHEN contains(c.qualified_name, '.') THEN regexp_replace(c.qualified_name, '\\.[^.]*$', '') END"

@@ -96,3 +96,13 @@ def test_scip_edges(spark):
     )
     rows = [(x["src_symbol_id"], x["dst_symbol_id"], x["tier"], x["evidence_line"]) for x in r.scip_edges(symbols, refs, occurrences, files).collect()]
     assert rows == [(3, 2, "resolved", 2)]
+
+
+def test_all_rules_on_the_small_example(spark):
+    """Rows that the star schema cannot show: ambiguous names, nested scopes, dotted targets."""
+    import duckdb
+
+    sql = f"WITH syms AS ({fx.SYMBOLS_SQL}), refs AS ({fx.REFS_SQL}), {fx.RESOLVE_SQL} SELECT file_id, ref_seq, place, dst FROM targets"
+    expected = duckdb.connect().execute(sql).fetchall()
+    got = r.resolved_targets(fx.symbols(spark), fx.refs(spark)).collect()
+    assert sorted(map(tuple, got)) == sorted(expected) and len(expected) > 10
