@@ -286,6 +286,21 @@ def test_citations_and_fusion(spark):
     assert {(r["path"], r["start_line"], r["verified"]) for r in retrieve.check_citations(cited, symbols, files).collect()} == {("a.py", 3, True), ("a.py", 1, False), ("b.py", 1, False), ("a.py", 4, False)}
 
 
+def test_budget_of_one_query_with_many_ranks(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "RANKS", 7)
+    rows = [(q, r, (r * 7919) % 5) for q in (1, 2, None) for r in range(1, 100 if q == 1 else 30)]
+    for budget in (0, 3, 50, 10_000):
+        expected = []
+        for q in (1, 2, None):
+            used = 0
+            for _, r, n in sorted(x for x in rows if x[0] == q):
+                used += n
+                if used <= budget:
+                    expected.append((q, r, n, used))
+        got = retrieve.context_budget(spark.createDataFrame(rows, "query_id long, rank long, n_tokens long"), budget).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
+
+
 def test_cosine_in_blocks_of_queries(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i % 5 + 1), float(i % 3), 1.0]) for i in range(40)] + [(90, [0.0, 0.0, 0.0])], "id long, v array<float>")
     queries = vectors.where("id % 4 = 0").selectExpr("id AS query_id", "v AS query")
