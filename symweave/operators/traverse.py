@@ -235,47 +235,112 @@ def graph_json(edges: DataFrame) -> DataFrame:
 def strongly_connected(edges: DataFrame, tiers=None) -> DataFrame:
     """(symbol_id, component) of all symbols that lie on a cycle of any length; the component is its highest id.
 
-    Symbols without edges both ways go until none is left. Then the highest id that reaches a symbol
-    is spread along the edges, and of the symbols with one such id those that reach it in turn are its
-    component; what is left starts anew. Every step is a grouped maximum or a join of written tables.
+    Chains shrink first, see _shrunk(). Of what is left, the highest in a random order that reaches a symbol
+    is spread along the edges, and against them among the symbols with one such; those that get one both
+    ways are a component, and the rest starts anew. Then what shrank is laid out again, the last step
+    first. Every step is a grouped maximum or a join of written tables.
     """
     all_ = edges.where(edge_filter(None, tiers)).select(F.col("src_symbol_id").alias("a"), F.col("dst_symbol_id").alias("b")).distinct()
-    loops = all_.where("a = b").select(F.col("a").alias("symbol_id"), F.col("a").alias("component"))
-    left, done = written(all_.where("a != b"), "cycle-edges"), []
+    left, steps = written(all_.where("a != b"), "cycle-edges"), []
+    found = left.select(F.col("a").alias("n"), F.col("b").alias("h")).limit(0)
     while True:
-        n, before = left.count(), -1
-        while n != before:
-            ends = left.select(F.col("a").alias("n")).distinct().intersect(left.select(F.col("b").alias("n")).distinct())
-            kept = left.join(ends.withColumnRenamed("n", "a"), "a", "left_semi").join(ends.withColumnRenamed("n", "b"), "b", "left_semi")
-            left = written(kept.select("a", "b"), "cycle-edges")
-            n, before = left.count(), n
-        if not n:
+        left = _shrunk(left, steps)
+        if left.isEmpty():
             break
-        nodes = left.select(F.col("a").alias("n")).distinct()
-        high = _spread(left, written(nodes.select("n", F.col("n").alias("h")), "highest"))
-        same = left.join(high.select(F.col("n").alias("a"), F.col("h").alias("ha")), "a").join(high.select(F.col("n").alias("b"), F.col("h").alias("hb")), "b").where("ha = hb")
-        same = written(same.select("a", "b"), "cycle-colours")
-        found = frontier = written(high.where("n = h").select("n", "h"), "cycle-roots")
-        while not frontier.isEmpty():
-            hop = same.join(frontier.withColumnRenamed("n", "b"), "b").select(F.col("a").alias("n"), "h").distinct()
-            frontier = written(hop.join(found.select("n"), "n", "left_anti"), "cycle-back")
-            found = found.unionByName(frontier)
-        found = written(found, "cycle-found")
-        done.append(found)
-        rest = left.join(found.select(F.col("n").alias("a")), "a", "left_anti").join(found.select(F.col("n").alias("b")), "b", "left_anti")
-        left = written(rest.select("a", "b"), "cycle-edges")
-    parts = [d.select(F.col("n").alias("symbol_id"), F.col("h").alias("component")) for d in done]
-    return reduce(DataFrame.unionByName, parts, loops).groupBy("symbol_id").agg(F.max("component").alias("component"))
-
-
-def _spread(edges: DataFrame, high: DataFrame) -> DataFrame:
-    """(n, h) with h the highest that reaches n along the edges."""
+        ahead = _spread(left)
+        a, b = (ahead.select(F.col("n").alias(c), F.col("h").alias(f"h{c}")) for c in "ab")
+        same = written(left.join(a, "a").join(b, "b").where("ha = hb").select(F.col("b").alias("a"), F.col("a").alias("b")), "cycle-colours")
+        one = written(ahead.join(_spread(same), ["n", "h"]).select("n", "h"), "cycle-found")
+        found = found.unionByName(one)
+        left = written(left.join(one.select(F.col("n").alias("a")), "a", "left_anti").join(one.select(F.col("n").alias("b")), "b", "left_anti").select("a", "b"), "cycle-edges")
+    for step in reversed(steps):
+        # a symbol between p and p itself is a cycle of two, whatever else p lies on
+        loops = step.where("p = q").select(F.col("p").alias("n"), F.col("p").alias("h")).distinct().join(found.select("n"), "n", "left_anti")
+        found = found.unionByName(loops)
+        p, q = (found.select(F.col("n").alias(c), F.col("h").alias(f"h{c}")) for c in "pq")
+        found = written(found.unionByName(step.join(p, "p").join(q, "q").where("hp = hq").select("n", F.col("hp").alias("h"))), "cycle-found")
+    selves = all_.where("a = b").select(F.col("a").alias("n"), F.col("a").alias("h"))
+    found = found.unionByName(selves.join(found.select("n"), "n", "left_anti"))
+    highest = found.groupBy("h").agg(F.max("n").alias("component"))
+    return found.join(highest, "h").select(F.col("n").alias("symbol_id"), "component")
+
+
+def _shrunk(left: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """left (a, b) without the symbols that have no edge in or none out, and without those with one each.
+
+    The latter are replaced by an edge from the symbol before to the one after: (n, p, q) goes to steps, and n
+    lies on a cycle if p and q lie on one together. Of neighbours only the highest in a random order goes
+    at a time, so a chain shrinks by a third a round, however long.
+    """
+    nil = F.lit(None).cast("long")
+    while True:
+        ends = left.select(F.col("a").alias("n"), nil.alias("p"), F.col("b").alias("q")).unionByName(left.select(F.col("b").alias("n"), F.col("a").alias("p"), nil.alias("q")))
+        roles = ends.groupBy("n").agg(F.count("p").alias("ins"), F.count("q").alias("outs"), F.max("p").alias("p"), F.max("q").alias("q"))
+        # another order each round: in one order the highest go first, and then one neighbour at a time
+        order = F.struct(F.xxhash64("n", F.lit(len(steps))), F.col("n"))
+        mid = roles.where("ins = 1 AND outs = 1").select("n", "p", "q", order.alias("o"))
+        before, after = (mid.select(F.col("n").alias(c), F.col("o").alias(f"o{c}")) for c in "pq")
+        first = mid.join(before, "p", "left").join(after, "q", "left").where("(op IS NULL OR o > op) AND (oq IS NULL OR o > oq)")
+        dead = roles.where("ins = 0 OR outs = 0").select("n", nil.alias("p"), nil.alias("q"))
+        gone = written(first.select("n", "p", "q").unionByName(dead), "cycle-step")
+        if gone.isEmpty():
+            return left
+        steps.append(gone.where("p IS NOT NULL"))
+        kept = left.unionByName(gone.where("p != q").select(F.col("p").alias("a"), F.col("q").alias("b")))
+        for end in "ab":
+            kept = kept.join(gone.select(F.col("n").alias(end)), end, "left_anti")
+        left = written(kept.select("a", "b").distinct(), "cycle-edges")
+
+
+def _spread(edges: DataFrame) -> DataFrame:
+    """(n, h) with h the highest that reaches n along the edges (a, b), in a random order; n itself if none is higher.
+
+    A round takes the best of the symbols before, and of the one that was best so far what reaches that: the
+    stretch that a symbol has seen grows by a factor a round, and not by one edge.
+    """
+    nodes = edges.select(F.col("a").alias("n")).union(edges.select(F.col("b").alias("n"))).distinct()
+    high = written(nodes.select("n", F.struct(F.xxhash64("n").alias("x"), F.col("n").alias("h")).alias("g")), "highest")
     while True:
-        come = edges.join(high.select(F.col("n").alias("a"), F.col("h").alias("g")), "a").groupBy(F.col("b").alias("n")).agg(F.max("g").alias("g"))
-        after = written(high.join(come, "n", "left").select("n", F.greatest("h", "g").alias("h"), (F.coalesce("g", "h") > F.col("h")).alias("rose")), "highest")
-        high = after.select("n", "h")
+        along = edges.join(high.select(F.col("n").alias("a"), "g"), "a").select(F.col("b").alias("n"), "g")
+        better = high.where("g.h != n").select(F.col("n").alias("via"), F.col("g").alias("far"))
+        jumps = high.select("n", F.col("g.h").alias("via")).where("via != n").join(better, "via").select("n", F.col("far").alias("g"))
+        come = along.unionByName(jumps).groupBy("n").agg(F.max("g").alias("c"))
+        after = high.join(come, "n", "left").select("n", F.greatest("g", "c").alias("g"), F.coalesce(F.col("c") > F.col("g"), F.lit(False)).alias("rose"))
+        after = written(after, "highest")
+        high = after.select("n", "g")
         if after.where("rose").isEmpty():
-            return high
+            return high.select("n", F.col("g.h").alias("h"))
+
+
+@tidy
+def cycle_paths(edges: DataFrame, max_length: int = 6, tiers=None) -> DataFrame:
+    """(component, symbols, length, path): a shortest cycle of each component of symbols on cycles, as its ids from the lowest round to it again.
+
+    Of several shortest ones it is the first in the order of their ids. length and path are null if it has
+    more than max_length edges. A cycle is looked for from its lowest id only, over higher ones; a pair of
+    first and current symbol is kept at its first length, with the first of its paths, and a component is
+    left once a cycle closes.
+    """
+    members = written(strongly_connected(edges, tiers), "cycle-members")
+    used = edges.where(edge_filter(None, tiers)).select(F.col("src_symbol_id").alias("a"), F.col("dst_symbol_id").alias("b")).distinct()
+    used = used.join(members.select(F.col("symbol_id").alias("a"), "component"), "a").join(members.select(F.col("symbol_id").alias("b"), F.col("component").alias("y")), "b")
+    used = written(used.where("component = y AND component IS NOT NULL").select("component", "a", "b"), "cycle-used")
+    paths = written(used.where("b >= a").select("component", F.col("a").alias("start"), F.col("b").alias("at"), F.array("a", "b").alias("path")), "cycle-paths")
+    seen, found = paths.select("start", "at"), []
+    for n in range(1, max_length + 1):
+        closed = written(paths.where("start = at").groupBy("component").agg(F.min("path").alias("path")).withColumn("length", F.lit(n)), "cycle-closed")
+        found.append(closed)
+        if n == max_length:
+            break
+        going = paths.join(closed.select("component"), "component", "left_anti")
+        step = going.join(used.select(F.col("a").alias("at"), "b"), "at").where("b >= start")
+        new = step.groupBy("component", "start", F.col("b").alias("at")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
+        paths = written(new.join(seen, ["start", "at"], "left_anti").select("component", "start", "at", "path"), "cycle-paths")
+        if paths.isEmpty():
+            break
+        seen = seen.unionByName(paths.select("start", "at"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("symbols"))
+    return sizes.join(reduce(DataFrame.unionByName, found), "component", "left").select("component", "symbols", "length", "path")
 
 
 @tidy

@@ -82,6 +82,41 @@ def strongly_connected_files(spark, sf):
     return traverse.strongly_connected(_kept_edges(spark, sf).where("kind = 'imports'"))
 
 
+def _next_parts(spark, sf):
+    """Edges from the part of an order's line to that of its next one, from the fifth line on: nearly all parts are one component."""
+    li = _t(spark, sf, "lineitem")
+    after = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next"))
+    tier = F.when(F.col("l_linestatus") == "F", "resolved").otherwise("heuristic")
+    rows = li.where("l_linenumber >= 5").join(after, ["l_orderkey", "l_linenumber"]).where("l_partkey != next")
+    return rows.select((F.lit(g.VARIABLE0) + F.col("l_partkey")).cast("long").alias("src_symbol_id"), (F.lit(g.VARIABLE0) + F.col("next")).cast("long").alias("dst_symbol_id"), F.lit("references").alias("kind"), tier.alias("tier"))
+
+
+def _component_sql(where: str) -> str:
+    return f"""used AS (SELECT DISTINCT {g.VARIABLE0} + x.l_partkey AS a, {g.VARIABLE0} + y.l_partkey AS b
+  FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE x.l_linenumber >= 5 AND x.l_partkey <> y.l_partkey{where}),
+reach AS (SELECT a, b FROM used UNION SELECT r.a, u.b FROM reach r JOIN used u ON r.b = u.a),
+members AS (SELECT r.a AS symbol_id, max(r.b) AS component FROM reach r JOIN reach t ON r.a = t.b AND r.b = t.a GROUP BY 1)"""
+
+
+@_query(f"WITH RECURSIVE {_component_sql(" AND x.l_linestatus = 'F'")} SELECT symbol_id, component FROM members")
+def strongly_connected_parts(spark, sf):
+    """Parts that lead round to themselves by finished lines: one large component and small ones."""
+    return traverse.strongly_connected(_next_parts(spark, sf), ["resolved"])
+
+
+@_query(
+    f"""WITH RECURSIVE {_component_sql(" AND x.l_linestatus = 'F'")},
+inside AS (SELECT a, b, m.component FROM used JOIN members m ON a = m.symbol_id JOIN members o ON b = o.symbol_id WHERE m.component = o.component),
+walk AS (SELECT component, a AS start, b AS here, [a, b] AS path FROM inside WHERE b >= a
+  UNION ALL SELECT w.component, w.start, i.b, list_append(w.path, i.b) FROM walk w JOIN inside i ON i.a = w.here WHERE w.here > w.start AND i.b >= w.start AND len(w.path) < 5),
+best AS (SELECT component, len(path) - 1 AS length, array_to_string(path, '>') AS path FROM walk WHERE start = here QUALIFY row_number() OVER (PARTITION BY component ORDER BY len(path), path) = 1)
+SELECT component, count(*) AS symbols, CAST(any_value(length) AS INT) AS length, any_value(best.path) AS path FROM members LEFT JOIN best USING (component) GROUP BY 1"""
+)
+def shortest_cycle_of_components(spark, sf):
+    found = traverse.cycle_paths(_next_parts(spark, sf), 4, ["resolved"])
+    return found.withColumn("path", F.concat_ws(">", F.col("path"))).withColumn("path", F.when(F.col("length").isNotNull(), F.col("path")))
+
+
 # -- retrieval
 
 

@@ -170,6 +170,76 @@ def test_symbols_on_cycles_of_any_length(spark):
     assert t.strongly_connected(g.limit(0)).count() == 0
 
 
+DDL = "id long, src_symbol_id long, dst_symbol_id long, kind string, tier string"
+
+
+def _brute(pairs):
+    """Components by reaching, and of each the first of its shortest cycles."""
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+
+    def paths_from(start):
+        level, seen = {b: (start, b) for b in sorted(out.get(start, ()))}, {}
+        while level:
+            seen |= level
+            step = {}
+            for at, path in level.items():
+                for b in out.get(at, ()):
+                    if b not in seen:
+                        step[b] = min(step.get(b, path + (b,)), path + (b,))
+            level = step
+        return seen
+
+    reached = {n: paths_from(n) for n in {x for pair in pairs for x in pair}}
+    component = {n: max(m for m in reached[n] if n in reached[m]) for n in reached if n in reached[n]}
+    first = {}
+    for n, c in component.items():
+        path = reached[n][n]
+        if min(path) == n and (c not in first or (len(path), path) < (len(first[c]), first[c])):
+            first[c] = path
+    return component, first
+
+
+@pytest.mark.parametrize("seed,nodes,links", [(2, 40, 44), (3, 40, 90)])
+def test_components_and_first_cycles_against_brute_force(spark, seed, nodes, links):
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(links)}
+    pairs |= {(100, 101), (101, 100), (101, 102), (102, 103), (103, 101), (110, 111), (111, 110), (111, 0)}
+    g = spark.createDataFrame([(k, a, b, "calls", "heuristic") for k, (a, b) in enumerate(sorted(pairs))], DDL)
+    component, first = _brute(pairs)
+    assert {r["symbol_id"]: r["component"] for r in t.strongly_connected(g).collect()} == component
+    rows = t.cycle_paths(g, 4).collect()
+    assert {r["component"]: r["symbols"] for r in rows} == {c: [*component.values()].count(c) for c in component.values()}
+    for r in rows:
+        path = first[r["component"]]
+        assert (r["length"], r["path"]) == ((len(path) - 1, [*path]) if len(path) <= 5 else (None, None))
+
+
+def test_cycles_of_a_tier_alone_and_of_no_edges(spark):
+    rows = [(1, 1, 2, "calls", "resolved"), (2, 2, 1, "calls", "heuristic"), (3, 2, 3, "calls", "resolved"), (4, 3, 1, "calls", "resolved"), (5, None, 1, "calls", "resolved"), (6, 1, None, "calls", "resolved")]
+    g = spark.createDataFrame(rows, DDL)
+    assert [r["path"] for r in t.cycle_paths(g).collect()] == [[1, 2, 1]]
+    assert [r["path"] for r in t.cycle_paths(g, tiers=["resolved"]).collect()] == [[1, 2, 3, 1]]
+    assert t.cycle_paths(g, tiers=["heuristic"]).count() == 0 and t.cycle_paths(g.limit(0)).count() == 0
+
+
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(t, "written", lambda df, tag, keep=t.written: tables.append(tag) or keep(df, tag))
+
+    def rounds(n):
+        tables.clear()
+        links = [(i, i + 1) for i in range(n)] + [(n, n // 2)] + [(n + 1 + i, n + 2 + i) for i in range(n)] + [(2 * n + 1, n + 1)]
+        g = spark.createDataFrame([(k, a, b, "calls", "resolved") for k, (a, b) in enumerate(links)], DDL)
+        sizes = {r["component"]: r["count"] for r in t.strongly_connected(g).groupBy("component").count().collect()}
+        assert sizes == {n: n - n // 2 + 1, 2 * n + 1: n + 1}
+        return tables.count("cycle-step") + tables.count("highest")
+
+    few, many = rounds(40), rounds(640)
+    assert many <= 2.5 * few and many <= 30, (few, many)
+
+
 def test_impact_tells_sure_from_unsure_and_the_way(spark):
     ddl = "id long, src_symbol_id long, dst_symbol_id long, kind string, tier string"
     rows = [(2, 1, "heuristic"), (3, 2, "resolved"), (4, 1, "resolved"), (5, 4, "resolved"), (2, 5, "resolved"), (6, 3, "resolved"), (1, 6, "resolved")]
