@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 import socket
 
 import pytest
@@ -308,3 +309,37 @@ def test_cosine_in_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "QUERY_BLOCK", 3)
     assert sorted(one) == sorted(retrieve.cosine_top_k(vectors, queries, "id", "v", 3).collect())
     assert len(one) == 30 and all(r["id"] != 90 for r in one)
+
+
+@pytest.mark.parametrize("numbers", [1 << 16, 200])
+def test_cosine_is_that_of_a_plain_loop_with_copies_and_odd_vectors(spark, monkeypatch, numbers):
+    monkeypatch.setattr(retrieve, "LEAST_NUMBERS", numbers)
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(60)]
+    rows += [(60 + i, rows[i % 3][1]) for i in range(40)] + [(100, [0.0] * 6), (101, None), (102, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (103, [1.0, 2.0]), (104, [1e200] * 6), (105, []), (106, [1e-170] * 6)]
+
+    def cosine(a, b):
+        if not a or not b or None in a + b or len(a) != len(b):
+            return None
+        d = p = q = 0.0
+        for x, y in zip(a, b, strict=True):
+            d, p, q = d + x * y, p + x * x, q + y * y
+        return round(d / p**0.5 / q**0.5, 9) if p > 0 and q > 0 else None
+
+    asked = [r for r in rows if r[0] % 4 == 0]
+    expected = []
+    for i, q in asked:
+        best = sorted((-s, j) for j, v in rows if (s := cosine(v, q)) is not None and s == s)[:5]
+        expected += [(i, j, -s, n + 1) for n, (s, j) in enumerate(best)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>")
+    got = retrieve.cosine_top_k(vectors, vectors.where("id % 4 = 0").select(vectors.id.alias("query_id"), vectors.v.alias("query")), "id", "v", 5)
+    assert got.columns == ["query_id", "id", "score", "rank"]
+    odd = {104}  # lengths that overflow
+    assert sorted(tuple(r) for r in got.collect() if r[0] not in odd) == sorted(r for r in expected if r[0] not in odd)
+
+
+def test_cosine_deals_vectors_to_blocks_and_multiplies_matrices(spark, monkeypatch):
+    """Queries met all vectors in one broadcast join of interpreted loops; the driver held them."""
+    vectors = spark.range(50).selectExpr("id", "array(cast(id AS float), 1f, cast(id % 7 AS float)) AS v")
+    plan = retrieve.cosine_top_k(vectors, vectors.selectExpr("id AS query_id", "v AS query"), "id", "v", 3)._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "FlatMapCoGroupsInArrow" in plan
