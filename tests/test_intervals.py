@@ -47,3 +47,13 @@ def test_a_span_is_few_rows_however_long(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], SPANS)
     assert intervals.around(spark.createDataFrame([(0, 1, 5)], "f int, p int, x long"), none, ["f"], "x", "a", "b").count() == 0
+
+
+def test_neither_side_is_broadcast_as_both_have_more_rows_than_were_read(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS f", "id AS x").write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    left = points.select("f", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("x"))
+    joined = intervals.around(left, points.selectExpr("f", "x AS a", "x + 9 AS b"), ["f"], "x", "a", "b")
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
