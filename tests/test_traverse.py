@@ -298,3 +298,9 @@ def test_sets_of_seeds_reach_what_each_seed_reaches(spark, seeds, forward):
         one = t.reach(edges, starts.dropna(), 4, tiers, forward=forward, collapse=()).select("seed_id", "symbol_id", "depth")
         assert got == sorted(map(tuple, one.collect())) and got
     assert t.reach_sets(edges, starts.limit(0), 4).count() == 0
+
+
+def test_sizes_halfway_between_two_tenths_take_the_even_one(spark):
+    sizes = {1023: "1023 B", 1024: "1.0 KB", 1280: "1.2 KB", 1792: "1.8 KB", 1281: "1.3 KB", 5 << 18: "1.2 MB", 7 << 18: "1.8 MB", 5 << 28: "1.2 GB", (1 << 20) - 1: "1024.0 KB", None: None}
+    rows = spark.createDataFrame([(s,) for s in sizes], "s long").select("s", text.byte_size(F.col("s")).alias("t")).collect()
+    assert {r["s"]: r["t"] for r in rows} == sizes
