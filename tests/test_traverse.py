@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 from symweave.functions import text
-from symweave.operators import impact, retrieve
+from symweave.operators import impact, report, retrieve
 from symweave.operators import traverse as t
 
 NAMES = {c: i + 1 for i, c in enumerate("ABCDEFGH")}
@@ -304,3 +304,20 @@ def test_sizes_halfway_between_two_tenths_take_the_even_one(spark):
     sizes = {1023: "1023 B", 1024: "1.0 KB", 1280: "1.2 KB", 1792: "1.8 KB", 1281: "1.3 KB", 5 << 18: "1.2 MB", 7 << 18: "1.8 MB", 5 << 28: "1.2 GB", (1 << 20) - 1: "1024.0 KB", None: None}
     rows = spark.createDataFrame([(s,) for s in sizes], "s long").select("s", text.byte_size(F.col("s")).alias("t")).collect()
     assert {r["s"]: r["t"] for r in rows} == sizes
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 60])
+def test_guesses_by_folder_are_counted_without_a_row_for_each(spark, n):
+    rng = random.Random(n)
+    path = lambda: rng.choice([f"{rng.choice('ab')}/{rng.choice(['', 'c/'])}f{rng.randint(0, 9)}.py", f"top{rng.randint(0, 4)}.py", None])
+    changed = spark.createDataFrame([(rng.choice([1, 2, 3, None]), path()) for _ in range(n)], "case_id long, path string")
+    files = spark.createDataFrame([(path(),) for _ in range(40)], "path string")
+    long_way = report.precision_recall(impact.same_directory(changed, files), changed, ["case_id", "path"])
+    counted = impact.same_directory_score(changed, files)
+    assert counted.columns == long_way.columns and counted.collect() == long_way.collect()
+
+
+def test_counting_guesses_is_linear_in_the_files_of_a_folder(spark):
+    """200,000 files of one folder and a hundred changes are 20 million guesses, and ten times as many files a hundred times the pairs."""
+    changed = spark.range(200_000).selectExpr("id % 100 AS case_id", "concat('d/f', id) AS path")
+    assert impact.same_directory_score(changed, changed.select("path")).first()[:3] == (200_000, 20_000_000, 200_000)
