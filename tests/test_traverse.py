@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import re
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from symweave.functions import text
 from symweave.operators import impact, report, retrieve
 from symweave.operators import traverse as t
+from symweave.plans import star_graph
 
 NAMES = {c: i + 1 for i, c in enumerate("ABCDEFGH")}
 
@@ -321,3 +323,25 @@ def test_counting_guesses_is_linear_in_the_files_of_a_folder(spark):
     """200,000 files of one folder and a hundred changes are 20 million guesses, and ten times as many files a hundred times the pairs."""
     changed = spark.range(200_000).selectExpr("id % 100 AS case_id", "concat('d/f', id) AS path")
     assert impact.same_directory_score(changed, changed.select("path")).first()[:3] == (200_000, 20_000_000, 200_000)
+
+
+def test_stored_edges_hold_their_ids_and_lines_alone(spark, tmp_path):
+    """The ends, kind and tier are in the id: strings and keys were shuffled and stored beside it before."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables are not here")
+    kept = star_graph.stored_edges(spark, sf)
+    assert spark.read.parquet(star_graph._STORED[spark.sparkContext.applicationId, sf]).columns == ["id", "evidence_line"]
+    assert kept.count() == kept.select("src_symbol_id", "dst_symbol_id", "kind", "tier").distinct().count() == star_graph.edges(spark, sf).count()
+    packed = spark.createDataFrame([(((2_000_000_011 * (1 << 28) + (1 << 28) - 1) * 8 + 3) * 2 + 1, 7)], "id long, evidence_line int")
+    assert star_graph._unpacked(packed).first()[1:5] == (2_000_000_011, (1 << 28) - 1, "inherits", "resolved")
+
+
+def test_sets_of_seeds_group_once_a_level(spark, monkeypatch):
+    """What was visited was written and grouped again at each level, and edges made distinct."""
+    tags, own = [], t.written
+    monkeypatch.setattr(t, "written", lambda df, tag: tags.append(tag) or own(df, tag))
+    edges = spark.createDataFrame([(i, i, i + 1, "calls", "resolved") for i in range(9)], "id long, src_symbol_id long, dst_symbol_id long, kind string, tier string")
+    starts = spark.createDataFrame([(1, 0), (2, 3)], "seed_id long, symbol_id long")
+    got = sorted(map(tuple, t.reach_sets(edges, starts, 3, forward=True).collect()))
+    assert got == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 4, 1), (2, 5, 2), (2, 6, 3)] and "visited" not in tags
