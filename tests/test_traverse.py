@@ -345,3 +345,12 @@ def test_sets_of_seeds_group_once_a_level(spark, monkeypatch):
     starts = spark.createDataFrame([(1, 0), (2, 3)], "seed_id long, symbol_id long")
     got = sorted(map(tuple, t.reach_sets(edges, starts, 3, forward=True).collect()))
     assert got == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 4, 1), (2, 5, 2), (2, 6, 3)] and "visited" not in tags
+
+
+def test_rounds_of_components_send_no_table_through_the_driver(spark, monkeypatch):
+    plans, own = [], t.written
+    monkeypatch.setattr(t, "written", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, tag))
+    rows = [(i, a, b, "calls", "resolved") for i, (a, b) in enumerate([(1, 2), (2, 1), (1, 3), (3, 2)])]
+    edges = spark.createDataFrame(rows, "id long, src_symbol_id long, dst_symbol_id long, kind string, tier string")
+    assert sorted(map(tuple, t.strongly_connected(edges).collect())) == [(1, 3), (2, 3), (3, 3)]
+    assert plans and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)
