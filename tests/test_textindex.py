@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from symweave.operators import retrieve, textindex
 from symweave.operators.store import Conflict
 from symweave.operators.textindex import TextIndex
@@ -52,3 +53,16 @@ def test_empty_tables_and_the_second_of_two_writers(spark, tmp_path):
         index._store._publish(stale, stale["number"])
     assert [r["key"] for r in index.search(asked).orderBy("rank").collect()] == [3, 1]
     assert index.search(asked.limit(0)).count() == 0
+
+
+def test_an_update_shuffles_blocks_alone(spark, tmp_path):
+    """Neither texts nor a row for each posting: documents that share their words are few blocks."""
+    text = " ".join(f"w{i}" for i in range(400))
+    docs = spark.range(2000).select("id", F.lit(text).alias("text")).coalesce(2)
+    status = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = status()
+    index = TextIndex(spark, f"file://{tmp_path}/index")
+    index.update(docs, "id", "text")
+    assert status() - before < 2000 * len(text) * 2  # a row for each posting would be 4.7 times the texts
+    rows = spark.read.parquet(f"file://{tmp_path}/index/segment-*/postings").agg(F.sum("size"), F.max("top_tf"), F.min("low_n")).first()
+    assert tuple(rows) == (2000 * 400, 1, 400) and index.documents().select("number").distinct().count() == 2000
