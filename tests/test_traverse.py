@@ -354,3 +354,21 @@ def test_rounds_of_components_send_no_table_through_the_driver(spark, monkeypatc
     edges = spark.createDataFrame(rows, "id long, src_symbol_id long, dst_symbol_id long, kind string, tier string")
     assert sorted(map(tuple, t.strongly_connected(edges).collect())) == [(1, 3), (2, 3), (3, 3)]
     assert plans and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)
+
+
+def test_edges_move_a_line_once_and_group_where_they_lie(spark, tmp_path, monkeypatch):
+    """One shuffle, of a row for each line; a part or supplier may be null, and equal edges stay one."""
+    small = "/root/testdata/sf0.001"
+    if not os.path.exists(small):
+        pytest.skip("no tables")
+    for name in ("nation", "supplier", "customer", "orders", "part"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    odd = lines.withColumn("l_partkey", F.lit(None).cast("long")).unionByName(lines.withColumn("l_suppkey", F.lit(None).cast("long")))
+    lines.unionByName(odd).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(star_graph, "TASK_LINES", 1000, raising=False)
+    whole = star_graph._packed_edges(spark, small)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    with_odd = star_graph._packed_edges(spark, str(tmp_path))
+    assert with_odd.count() == with_odd.select("id").distinct().count() == whole.count() and with_odd.exceptAll(whole).isEmpty()
