@@ -70,6 +70,29 @@ def test_edges_to_itself_and_from_nowhere_are_dropped(spark):
     assert r.heuristic_edges(symbols, refs).count() == 0
 
 
+def reads(df, column):
+    """How often a plan reads a table that has the column."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(column in leaves.apply(i).output().mkString(",") for i in range(leaves.size()))
+
+
+def test_all_rules_look_up_their_names_in_one_join(spark, tmp_path):
+    for name, df in (("symbols", fx.symbols(spark)), ("refs", fx.refs(spark))):
+        df.write.parquet(f"{tmp_path}/{name}")
+    symbols, refs = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("symbols", "refs"))
+    edges = r.heuristic_edges(symbols, refs)
+    # the imports are looked up before, as they are names themselves; what symbols are called is a table by then
+    assert reads(edges, "target_text") == 2 and reads(edges, "qualified_name") == 2
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, r.heuristic_edges(fx.symbols(spark), fx.refs(spark)).collect())) and edges.count() > 5
+
+
+def test_references_that_share_a_key_share_a_target(spark):
+    symbols = spark.createDataFrame([(1, 1, "function", "m.f"), (2, 1, "function", "m.g"), (3, 1, "function", "m.h"), (4, 1, "function", "m.h.g")], fx.SYMBOL_DDL)
+    refs = spark.createDataFrame([(1, 5, "calls", "m.f", "m.g", 1), (1, 5, "references", "m.h", "g", 9), (1, 5, "references", "m.h", "g", 9)], fx.REF_DDL)
+    edges = [(x["src_symbol_id"], x["dst_symbol_id"], x["kind"], x["evidence_line"]) for x in r.heuristic_edges(symbols, refs).collect()]
+    assert sorted(edges) == [(1, 2, "calls", 1), (3, 2, "references", 9), (3, 2, "references", 9)]
+
+
 def test_defines_edges_stay_in_their_file_and_take_the_last_parent(spark):
     symbols = spark.createDataFrame(
         [(1, 1, "class", "m.A", 1, 9), (2, 1, "class", "m.A", 11, 19), (3, 1, "method", "m.A.f", 2, 3), (4, 2, "method", "m.A.f", 2, 3)],
