@@ -86,6 +86,16 @@ def test_all_rules_look_up_their_names_in_one_join(spark, tmp_path):
     assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, r.heuristic_edges(fx.symbols(spark), fx.refs(spark)).collect())) and edges.count() > 5
 
 
+def test_many_names_are_dealt_before_they_are_counted(spark, monkeypatch):
+    """No map of names grows with a task's share of the symbols."""
+    for name in ("TASK_REFS", "TASK_NAMES"):
+        monkeypatch.setattr(r, name, 1)
+    monkeypatch.setattr(r, "FEW_TASKS", 1)
+    plan = r._named(fx.symbols(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange") > plan.rindex("HashAggregate") and "SortAggregate" not in plan
+    assert found(spark, fx.SYMBOL_ROWS, fx.REF_ROWS) == plain(fx.SYMBOL_ROWS, fx.REF_ROWS)
+
+
 def test_references_that_share_a_key_share_a_target(spark):
     symbols = spark.createDataFrame([(1, 1, "function", "m.f"), (2, 1, "function", "m.g"), (3, 1, "function", "m.h"), (4, 1, "function", "m.h.g")], fx.SYMBOL_DDL)
     refs = spark.createDataFrame([(1, 5, "calls", "m.f", "m.g", 1), (1, 5, "references", "m.h", "g", 9), (1, 5, "references", "m.h", "g", 9)], fx.REF_DDL)
