@@ -88,6 +88,23 @@ def test_depth_is_clamped():
     assert [t.clamp_depth(d) for d in (-1, 0, 1, 4, 99)] == [1, 1, 1, 4, 4]
 
 
+def test_edges_of_a_small_subgraph_are_not_shuffled(spark, tmp_path):
+    """Only what is counted moves, also where Spark takes no table for small."""
+    edges = spark.createDataFrame([(i, i, i + 1, "calls", "heuristic") for i in range(9)], "id long, src_symbol_id long, dst_symbol_id long, kind string, tier string")
+    edges.write.parquet(f"{tmp_path}/edges")
+    symbols = spark.range(10).withColumn("file_id", F.col("id") % 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        stored = spark.read.parquet(f"{tmp_path}/edges")
+        inside = t.subgraph_edges(stored, t.subgraph(stored, 4, 2, 3), symbols, 4)
+        plan = inside._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(map(tuple, inside.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    assert rows == [("s2", "s3", "calls", 1), ("s3", "s4", "calls", 1), ("s4", "s5", "calls", 1), ("s5", "f0", "calls", 1)]
+
+
 def test_cycles_and_subgraph(spark):
     g = graph(spark, [("A", "B"), ("B", "C"), ("C", "A"), ("D", "A"), ("E", "E")])
     assert {(r["symbol_id"], r["length"]) for r in t.cycles(g, 4).collect()} == {(1, 3), (2, 3), (3, 3), (5, 1)}
