@@ -4,15 +4,16 @@ Texts are cut into pieces at punctuation and line ends, and pieces into words. F
 one to LONGEST a count-min sketch adds up the phrases of that length, in one scan for one and two words and in another for
 more, whose pairs must be possible by the first; the tasks' counters are summed by blocks, and a bit says which counters reach the least
 count. No phrase that is frequent can miss its bits, so the phrases that have them are all candidates and
-a few that are not. Candidates compile into Aho-Corasick automata, a delimiter before and after each
-phrase, so that whole words match and overlapping matches all count; the texts are scanned once for each group
-of candidates, and the sums of all tasks are exact. Thresholds, scores and the dropping of what
-a longer phrase covers are joins over phrases.
+a few that are not. In one more scan each task takes a run of its texts at a time, finds the candidates in them, compiles
+those into Aho-Corasick automata, a delimiter before and after each phrase, so that whole words match and overlapping
+matches all count, and counts them in the run. A candidate that a run holds is in the run's automata, so the sums over
+all runs are exact, and the texts are scanned as often however many candidates there are. Thresholds, scores and the
+dropping of what a longer phrase covers are joins over phrases.
 
-Sizes: a sketch has a counter for WIDE bytes of text, at most WIDEST; beyond that phrases are dealt by their first word
-to several sketches, one after the other, so what a task holds stays the same and the bounds stay as tight, for one more
-scan of the texts for each. A task holds two rows of 16-bit counters for each of two lengths, or the bits of the sketches before, or one group's
-automata of GROUP_CHARS characters. Only bits, of a bounded size, and one group at a time pass the driver.
+Sizes: a sketch has a counter for WIDE bytes of text, at most 2 to the WIDEST; beyond that phrases are dealt by their first word
+to several sketches, one after the other, so what a task holds stays the same and the bounds stay as tight, for three more
+scans of the texts for each. A task holds two rows of 8-bit counters for each of two lengths, or the bits of the sketches before and one run of
+RUN_BYTES of text with automata of some GROUP_CHARS characters. Only bits, of a bounded size, pass the driver.
 
 Defined results: a null text is the empty text and has no words; a null language is `und`; without frequent phrases
 the result is empty, as for an empty table; repeated rows count as often as they are there; ties in score and count go by
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from operator import itemgetter
 
@@ -39,15 +40,15 @@ from .common import small_batches, table, tidied, tidy, written
 LONGEST, LEAST, COVERED, FIRST = 4, 30, 80, 2000
 UNDETERMINED = "und"
 #: Bytes of text for a counter of a sketch; log2 of the fewest and the most counters; rows of counters.
-WIDE, NARROWEST, WIDEST, ROWS = 64, 12, 26, 2
+WIDE, NARROWEST, WIDEST, ROWS = 96, 12, 27, 2
 #: Log2 of the counters that travel together, phrases added at once, and where counters stop.
 BLOCK, ADDED, FULL = 16, 1 << 15, 255
 #: Tasks of a scan for each core.
 TASKS = 2
 #: Bytes of text cut into words at once.
 READ = 1 << 18
-#: Characters of the phrases of one group of automata.
-GROUP_CHARS = 6_000_000
+#: A run of texts ends where its candidates have so many characters, or its texts so many bytes.
+GROUP_CHARS, RUN_BYTES = 14_000_000, 1 << 27
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -163,17 +164,17 @@ class Bits:
 
 
 class Sketch:
-    """Counters that stop at FULL, in ROWS rows."""
+    """Counters that stop at `full`, in ROWS rows."""
 
-    def __init__(self, log: int) -> None:
-        self.log = log
-        self.rows = np.zeros((ROWS, 1 << log), np.uint16)
+    def __init__(self, log: int, full: int = FULL) -> None:
+        self.log, self.full = log, full
+        self.rows = np.zeros((ROWS, 1 << log), np.uint8)
 
     def add(self, h: np.ndarray) -> None:
         for i in range(0, len(h), ADDED):
             for row, at in zip(self.rows, places(h[i : i + ADDED], self.log), strict=True):
-                np.add.at(row, at, 1)
-                row[at[row[at] > FULL]] = FULL
+                at, times = np.unique(at[row[at] < self.full], return_counts=True)
+                row[at] = np.minimum(row[at] + times, self.full)
 
     def blocks(self) -> Iterator[tuple[int, int, bytes]]:
         """(row, block, packed counters) of blocks that are not all zero."""
@@ -182,7 +183,7 @@ class Sketch:
             for i in range(0, len(row), size):
                 part = row[i : i + size]
                 if part.any():
-                    yield r, i // size, pack.compress(part.astype(np.uint8).tobytes())
+                    yield r, i // size, pack.compress(part.tobytes())
 
 
 def _admitted(words: Words, bits: dict[int, Bits], part: int, parts: int, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -230,7 +231,7 @@ def _bits(read: DataFrame, lengths: tuple[int, ...], log: int, least: int, bits:
     shared = read.sparkSession.sparkContext.broadcast(bits)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketches = {n: Sketch(log) for n in lengths}
+        sketches = {n: Sketch(log, min(least, FULL)) for n in lengths}
         for b in batches:
             for texts, langs in cut_texts(b):
                 words = Words(texts, [seed_of(x) for x in langs])
@@ -272,77 +273,66 @@ class Seen:
         return on[fresh]
 
 
-def _found(read: DataFrame, bits: dict[int, Bits], part: int, parts: int, longest: int) -> DataFrame:
-    """(lang, phrase) of the phrases whose bits are set; single words only from the first part."""
-    shared = read.sparkSession.sparkContext.broadcast(bits)
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [Seen() for _ in range(longest + 1)]
-        for b in batches:
-            for texts, langs in cut_texts(b):
-                words = Words(texts, [seed_of(x) for x in langs])
-                out: list[tuple[str, str]] = []
-                for k, h, good in _admitted(words, shared.value, part, parts, longest):
-                    if k == 1 and part:
-                        continue
-                    on = np.flatnonzero(good)
-                    for i in on[seen[k].new(h[on])].tolist():
-                        out.append((langs[words.doc[i]], words.phrase(i, k)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["lang", "phrase"])
-
-    return read.mapInArrow(tidied(found), "lang string, phrase string")
-
-
-class Automata:
-    """One automaton for each language over phrases with a delimiter before and after."""
+def guarded(text: bytes) -> str:
+    """Words with one space before and after each, pieces parted by a word of their own."""
+    return _SPACES.sub(b" ", b" " + text.translate(_PLAIN).replace(b"\n", b" \n ") + b" ").decode()
 
-    def __init__(self, phrases: pa.Table) -> None:
-        self.phrases = phrases
 
-    def of(self, lang: str):
-        if not hasattr(self, "_built"):
-            import ahocorasick
+def _matched(phrases: list[str], texts: list[bytes]) -> np.ndarray:
+    """How often each of some sorted phrases is in the texts."""
+    import ahocorasick
 
-            self._built = {}
-            for i, x, p in zip(*(self.phrases.column(c).to_pylist() for c in ("id", "lang", "phrase")), strict=True):
-                if x not in self._built:
-                    self._built[x] = ahocorasick.Automaton()
-                self._built[x].add_word(f" {p} ", i)
-            for a in self._built.values():
-                a.make_automaton()
-        return self._built.get(lang)
+    automaton, found = ahocorasick.Automaton(), np.zeros(len(phrases), np.int64)
+    for i, p in enumerate(phrases):
+        automaton.add_word(f" {p} ", i)
+    automaton.make_automaton()
+    for text in texts:
+        np.add.at(found, np.fromiter(map(itemgetter(1), automaton.iter(guarded(text))), np.int64), 1)
+    return found
 
-    def __getstate__(self) -> dict:
-        return {"phrases": self.phrases}
 
+def _counted(read: DataFrame, bits: dict[int, Bits], part: int, parts: int, longest: int) -> DataFrame:
+    """(lang, phrase, n): matches of the phrases whose bits are set, in each run of texts; only the first part has single words, and as a null phrase all words."""
+    shared = read.sparkSession.sparkContext.broadcast(bits)
 
-def guarded(text: bytes) -> str:
-    """Words with one space before and after each, pieces parted by a word of their own."""
-    return _SPACES.sub(b" ", b" " + text.translate(_PLAIN).replace(b"\n", b" \n ") + b" ").decode()
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts_of, phrases_of, words_of = defaultdict(list), defaultdict(list), Counter()
+        seen, chars, size = [Seen() for _ in range(longest + 1)], 0, 0
 
+        def rows(lang: list[str], phrase: list[str | None], n: list[int] | np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
 
-def _counted(read: DataFrame, phrases: pa.Table, with_words: bool) -> DataFrame:
-    """(id, n) of the phrases' matches, and (lang, n) of all words where asked for."""
-    shared = read.sparkSession.sparkContext.broadcast(Automata(phrases))
+        def run() -> Iterator[pa.RecordBatch]:
+            seen.clear()
+            while phrases_of:
+                lang, phrases = phrases_of.popitem()
+                phrases.sort()  # so that what is walked together lies together
+                yield rows([lang] * len(phrases), phrases, _matched(phrases, texts_of.pop(lang)))
+            texts_of.clear()
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata, found, words = shared.value, Counter(), Counter()
-        second = itemgetter(1)
         for b in batches:
             for texts, langs in cut_texts(b):
-                for text, lang in zip(texts, langs, strict=True):
-                    plain = guarded(text)
-                    words[lang] += plain.count(" ") - 1 - plain.count("\n")
-                    automaton = automata.of(lang)
-                    if automaton is not None:
-                        found.update(map(second, automaton.iter(plain)))
-        ids = np.fromiter(found.keys(), np.int64, len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.string()), pa.array(np.fromiter(found.values(), np.int64, len(found)))], ["id", "lang", "n"])
-        if with_words:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["id", "lang", "n"])
+                words = Words(texts, [seed_of(x) for x in langs])
+                for x, text, n in zip(langs, texts, np.bincount(words.doc, minlength=len(texts)).tolist(), strict=True):
+                    texts_of[x].append(text)
+                    words_of[x] += n
+                    size += len(text)
+                for k, h, good in _admitted(words, shared.value, part, parts, longest):
+                    if k == 1 and part:
+                        continue
+                    on = np.flatnonzero(good)
+                    for i in on[seen[k].new(h[on])].tolist():
+                        phrase = words.phrase(i, k)
+                        phrases_of[langs[words.doc[i]]].append(phrase)
+                        chars += len(phrase) + 2
+                if chars >= GROUP_CHARS or size >= RUN_BYTES:
+                    yield from run()
+                    seen, chars, size = [Seen() for _ in range(longest + 1)], 0, 0
+        yield from run()
+        if not part:
+            yield rows(list(words_of), [None] * len(words_of), list(words_of.values()))
 
-    return read.mapInArrow(tidied(counted), "id long, lang string, n long")
+    return read.mapInArrow(tidied(counted), "lang string, phrase string, n long")
 
 
 @tidy
@@ -356,27 +346,18 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", least
     read = read.coalesce(TASKS * spark.sparkContext.defaultParallelism)
     wanted = max(NARROWEST, (size // WIDE).bit_length())
     log, parts = min(wanted, WIDEST), 1 << max(0, wanted - WIDEST)
-    candidates, single = None, {}
+    counts, single = None, {}
     for part in range(parts):
         # the shortest phrases have no shorter ones to go by, and the others none but these
         bits = _bits(read, (2,) if single else (1, 2), log, least, single, part, parts)
         single = {1: bits[1]}
         if longest > 2:
             bits = _bits(read, tuple(range(3, longest + 1)), log, least, bits, part, parts)
-        found = written(_found(read, bits, part, parts, longest).distinct(), "candidates")
-        candidates = found if candidates is None else candidates.unionByName(found)
-    candidates = written(candidates.withColumn("id", F.monotonically_increasing_id()), "candidates")
-    chars = candidates.agg(F.coalesce(F.sum(F.char_length("phrase") + 2), F.lit(0))).first()[0]
-    groups = max(1, -(-chars // GROUP_CHARS))
-    counts = None
-    for g in range(groups):
-        phrases = candidates.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g).select("id", "lang", "phrase").toArrow()
-        of = _counted(read, phrases, g == 0)
-        of = written(of.groupBy("id", "lang").agg(F.sum("n").alias("n")), "counts")
+        of = _counted(read, bits, part, parts, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        of = written(of.where(F.col("phrase").isNull() | (F.col("n") >= least)), "counts")
         counts = of if counts is None else counts.unionByName(of)
-    frequent = counts.where(F.col("id").isNotNull() & (F.col("n") >= least)).select("id", F.col("n").alias("a")).join(candidates, "id")
-    frequent = written(frequent.select("lang", "phrase", (F.size(F.split("phrase", " "))).alias("size"), "a"), "phrases")
-    return frequent, written(counts.where(F.col("id").isNull()).select("lang", "n"), "words")
+    frequent = counts.where("phrase IS NOT NULL").select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), F.col("n").alias("a"))
+    return frequent, counts.where("phrase IS NULL").select("lang", "n")
 
 
 def _exact(c: Column) -> Column:

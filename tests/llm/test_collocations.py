@@ -101,3 +101,18 @@ def test_words_of_bytes():
     fits = [f.tolist() for _, f in words.phrases(2)][1]
     assert fits == [True, False, True, False, True, False]
     assert co.guarded(b"A  b.c\t,") == " a b \n c \n "
+
+
+def test_texts_are_scanned_as_often_however_many_candidates_there_are(spark, monkeypatch):
+    rows = [("en", " ".join(f"w{i % 50} w{(i * 7) % 50}" for i in range(4000)))]
+    docs, scans = spark.createDataFrame(rows, "lang string, text string"), []
+    made = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: (scans.append(schema), made(self, f, schema))[1])
+    monkeypatch.setattr(co, "READ", 500)
+    found = []
+    for chars in (6_000_000, 300):
+        monkeypatch.setattr(co, "GROUP_CHARS", chars)
+        scans.clear()
+        counts, words = co.phrase_counts(docs)
+        found.append((len(scans), sorted(map(tuple, counts.collect())), words.collect()))
+    assert found[0] == found[1] and len(found[0][1]) > 100
