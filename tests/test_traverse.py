@@ -389,3 +389,18 @@ def test_edges_move_a_line_once_and_group_where_they_lie(spark, tmp_path, monkey
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
     with_odd = star_graph._packed_edges(spark, str(tmp_path))
     assert with_odd.count() == with_odd.select("id").distinct().count() == whole.count() and with_odd.exceptAll(whole).isEmpty()
+
+
+@pytest.mark.parametrize(("step", "most"), [(1, 0), (-3, 0), (1_000_003, None)])
+def test_sets_of_seeds_shuffle_no_row_of_the_result(spark, monkeypatch, step, most):
+    """Near ids are their own places: the result was joined to a table of all seeds' numbers before."""
+    tags, own = [], t.written
+    monkeypatch.setattr(t, "written", lambda df, tag: tags.append(tag) or own(df, tag))
+    edges = spark.createDataFrame([(i, i, i + 1, "calls", "resolved") for i in range(300)], "id long, src_symbol_id long, dst_symbol_id long, kind string, tier string")
+    starts = spark.createDataFrame([(i * step, i) for i in range(200)], "seed_id long, symbol_id long")
+    out = t.reach_sets(edges, starts, 2, forward=True)
+    assert sorted(map(tuple, out.collect())) == sorted((i * step, i + d, d) for i in range(200) for d in (1, 2))
+    assert ("places" in tags) == (most is None) and tags.count("frontier") == 2
+    if most is not None:
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1  # of the last level's edges
